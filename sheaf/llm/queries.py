@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import mixing, recipes
+from sheaf.llm import bpe, mixing, recipes
 from sheaf.llm.shared import table
 
 
@@ -10,6 +10,12 @@ def op3_exact_dedup(spark, sf_dir):
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -17,6 +23,7 @@ def op5_source_mix(spark, sf_dir):
 def queries():
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_byte_bpe": op4_byte_bpe,
         "op5_source_mix": op5_source_mix,
     }
 
