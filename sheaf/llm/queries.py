@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, mixing, recipes
+from sheaf.llm import bpe, mixing, recipes, toxicity
 from sheaf.llm.shared import table
 
 
@@ -20,11 +20,16 @@ def op5_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_source_mix": op5_source_mix,
+        "op10_toxicity": op10_toxicity,
     }
 
 
