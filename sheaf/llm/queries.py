@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, mixing, recipes, toxicity
+from sheaf.llm import bpe, extract, mixing, recipes, toxicity, warc
 from sheaf.llm.shared import table
 
 
+def op1_main_text(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -20,15 +24,21 @@ def op5_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_warc_zstd(spark, sf_dir):
+    return warc.archive_digest(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url")
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
     return {
+        "op1_main_text": op1_main_text,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_source_mix": op5_source_mix,
+        "op7_warc_zstd": op7_warc_zstd,
         "op10_toxicity": op10_toxicity,
     }
 
@@ -37,4 +47,5 @@ def oracle_sql():
     return {
         "op3_exact_dedup": recipes.SQL,
         "op5_source_mix": mixing.SQL,
+        "op7_warc_zstd": warc.SQL,
     }
