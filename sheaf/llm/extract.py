@@ -49,8 +49,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 #: Weights where no page is labelled.
-DEFAULT_WEIGHTS = {"word": 1.0, "tag": -3.0}
-LIMIT, LEAST = 8.0, 0.1
+DEFAULT_WEIGHTS = {"word": 1.0, "tag": -1.0}
+#: Bounds of learnt weights, and the weight of tags that no labelled page has.
+LIMIT, LEAST, UNSEEN = 8.0, 0.1, -0.5
 
 
 def marked(attributes: str) -> bool:
@@ -125,17 +126,15 @@ def kind(tag: str) -> str:
 
 
 def tallies(page: str) -> Counter:
-    """(kind, inside the article) -> number, for one labelled page."""
-    sequence = read(page, whole=True)
-    span = article_span(sequence)
+    """(kind, inside the article) -> number, for one labelled page: words of the whole page, but tags
+    only where the scan will meet them, outside apart elements."""
     found: Counter = Counter()
-    if span:
-        for i, (tag, text) in enumerate(sequence):
-            inside = span[0] < i < span[1]
-            if tag:
-                found[kind(tag), inside] += 1
-            else:
-                found["word", inside] += len(text.split())
+    for whole in (True, False):
+        sequence = read(page, whole)
+        span = article_span(sequence)
+        for i, (tag, text) in enumerate(sequence if span else ()):
+            if bool(tag) != whole:
+                found[kind(tag) if tag else "word", span[0] < i < span[1]] += 1 if tag else len(text.split())
     return found
 
 
@@ -160,7 +159,7 @@ def learn(pages: DataFrame) -> dict[str, float]:
         return dict(DEFAULT_WEIGHTS)
     inside = sum(v for (_, i), v in n.items() if i) + len(every)
     outside = sum(v for (_, i), v in n.items() if not i) + len(every)
-    weights = {"tag": -LIMIT / 2}
+    weights = {"tag": UNSEEN}
     for k in every:
         odds = math.log((n.get((k, True), 0) + 1) / inside) - math.log((n.get((k, False), 0) + 1) / outside)
         weights[k] = min(LIMIT, max(LEAST, odds)) if k == "word" else -min(LIMIT, max(LEAST, -odds))
@@ -170,7 +169,7 @@ def learn(pages: DataFrame) -> dict[str, float]:
 def region(sequence: list[tuple[str, str]], weights: dict[str, float]) -> tuple[int, int]:
     """First and end position of the maximum-scoring subsequence, by one scan; (0, 0) if none is positive."""
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    word, other = weights.get("word", 1.0), weights.get("tag", -3.0)
+    word, other = weights.get("word", 1.0), weights.get("tag", UNSEEN)
     for i, (tag, text) in enumerate(sequence):
         if total <= 0:
             total, start = 0.0, i
