@@ -51,7 +51,7 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>
 #: Weights where no page is labelled.
 DEFAULT_WEIGHTS = {"word": 1.0, "tag": -1.0}
 #: Bounds of learnt weights, and the weight of tags that no labelled page has.
-LIMIT, LEAST, UNSEEN = 8.0, 0.1, -0.5
+LIMIT, LEAST, LEAST_WORD, UNSEEN = 8.0, 0.1, 1.0, -0.2
 
 
 def marked(attributes: str) -> bool:
@@ -141,7 +141,7 @@ def tallies(page: str) -> Counter:
 def learn(pages: DataFrame) -> dict[str, float]:
     """Log-odds of words and tags inside against outside the article, over all labelled pages.
 
-    Words score at least LEAST and tags at most -LEAST. The table has a row per known tag."""
+    Words score at least LEAST_WORD and tags at most -LEAST. The table has a row per known tag."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -162,7 +162,7 @@ def learn(pages: DataFrame) -> dict[str, float]:
     weights = {"tag": UNSEEN}
     for k in every:
         odds = math.log((n.get((k, True), 0) + 1) / inside) - math.log((n.get((k, False), 0) + 1) / outside)
-        weights[k] = min(LIMIT, max(LEAST, odds)) if k == "word" else -min(LIMIT, max(LEAST, -odds))
+        weights[k] = min(LIMIT, max(LEAST_WORD, odds)) if k == "word" else -min(LIMIT, max(LEAST, -odds))
     return weights
 
 
