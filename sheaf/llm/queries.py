@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, extract, mixing, recipes, toxicity, warc
+from sheaf.llm import bpe, extract, mixing, ngram_join, recipes, toxicity, warc
 from sheaf.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op5_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_ngram_jaccard(spark, sf_dir):
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_zstd(spark, sf_dir):
     return warc.archive_digest(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url")
 
@@ -38,6 +42,7 @@ def queries():
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_source_mix": op5_source_mix,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_warc_zstd": op7_warc_zstd,
         "op10_toxicity": op10_toxicity,
     }
