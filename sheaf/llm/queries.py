@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, extract, mixing, ngram_join, recipes, toxicity, warc
+from sheaf.llm import bpe, extract, mixing, ngram_join, recipes, sorted_passes, toxicity, warc
 from sheaf.llm.shared import table
 
 
@@ -32,6 +32,10 @@ def op7_warc_zstd(spark, sf_dir):
     return warc.archive_digest(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url")
 
 
+def op8_sorted_passes(spark, sf_dir):
+    return sorted_passes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ def queries():
         "op5_source_mix": op5_source_mix,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_warc_zstd": op7_warc_zstd,
+        "op8_sorted_passes": op8_sorted_passes,
         "op10_toxicity": op10_toxicity,
     }
 
