@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, extract, mixing, ngram_join, recipes, sorted_passes, toxicity, warc
+from sheaf.llm import bpe, extract, mixing, ngram_join, recipes, sorted_passes, suffix_dedup, toxicity, warc
 from sheaf.llm.shared import table
 
 
@@ -36,6 +36,10 @@ def op8_sorted_passes(spark, sf_dir):
     return sorted_passes.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def queries():
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_warc_zstd": op7_warc_zstd,
         "op8_sorted_passes": op8_sorted_passes,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
