@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sheaf.llm.shared import text_or_empty
 
@@ -130,21 +130,25 @@ def token_spans(text: str, path: str, pattern: str) -> list[tuple[int, int, int,
     return out
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, tokens array<int> per row of ``docs``; null text counts as empty and has no tokens.
+def encode(docs: DataFrame, path: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns of ``carry``, tokens array<int> per row of ``docs``; null text counts as
+    empty and has no tokens.
 
     No special tokens: their spelling in a text is ordinary text. Other columns are ignored;
     repeated rows are encoded each; an empty table gives an empty table."""
+    rows = docs.select("doc_id", *(carry or []), text_or_empty().alias("text"))
+    names = [*rows.columns[:-1], "tokens"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids = list(encode_texts(b.column(1).to_pylist(), path, pattern))
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "tokens"])
-
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tokens array<int>")
+            for at in range(0, b.num_rows, 500):
+                some = b.slice(at, 500)
+                ids = list(encode_texts(some.column(some.num_columns - 1).to_pylist(), path, pattern))
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+
+    return rows.mapInArrow(batches, rows.drop("text").schema.add("tokens", T.ArrayType(T.IntegerType())))
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, extract, mixing, ngram_join, recipes, sorted_passes, suffix_dedup, toxicity, warc
+from sheaf.llm import bpe, extract, mixing, ngram_join, pseudo_lm, recipes, sorted_passes, suffix_dedup, toxicity, warc
 from sheaf.llm.shared import table
 
 
@@ -10,6 +10,10 @@ def op1_main_text(spark, sf_dir):
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_pseudo_likelihood(spark, sf_dir):
+    return pseudo_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return recipes.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_toxicity(spark, sf_dir):
 def queries():
     return {
         "op1_main_text": op1_main_text,
+        "op2_pseudo_likelihood": op2_pseudo_likelihood,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_source_mix": op5_source_mix,
