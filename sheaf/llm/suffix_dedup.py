@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sheaf.llm import anchors as places
-from sheaf.llm.shared import shuffle_width, staged, text_or_empty
+from sheaf.llm.shared import packed_texts, shuffle_width, staged, text_or_empty
 
 LENGTH = 200
 #: A difference cover of the integers modulo PERIOD: any two residues are moved into it by one shift.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 #: Bytes of contexts sorted as one block.
-BLOCK = 4 << 20
-#: Anchors with so many different contexts in a sixteenth of the documents go by windows, not by bucket.
+BLOCK = 3 << 19
+#: An anchor is hot if a sixteenth of the documents holds at least so many different contexts of it,
+#: and more than a shuffle partition's share of these documents. Its windows go by hashes, not by bucket.
 HOT_IN_SAMPLE = 16
 #: At most so many hot anchors are treated apart; further ones are right too, in one bucket each.
 HOT_ANCHORS = 20_000
@@ -115,7 +116,7 @@ def repeated_suffixes(data: np.ndarray, suffixes: np.ndarray, buckets: np.ndarra
     return repeated
 
 
-SPAN, CONTEXT, WINDOWED = 0, 1, 2
+SPAN, CONTEXT, HOT_CONTEXT = 0, 1, 2
 
 
 def _empty(n: int) -> list[np.ndarray]:
@@ -125,7 +126,6 @@ def _empty(n: int) -> list[np.ndarray]:
 def _anchors_of(ids: list[int], texts: list[str], length: int):
     """Anchors of some documents: hash, context hash, doc_id, first window, windows, place of the anchor."""
     parts = [_empty(6)]
-    hashes = {}
     for k, (doc_id, text) in enumerate(zip(ids, texts)):
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         first, last, place = places.anchors(data, length)
@@ -134,8 +134,7 @@ def _anchors_of(ids: list[int], texts: list[str], length: int):
             off = (place - first).astype(np.uint64)
             context = of.of(first, last + length) + off * np.uint64(0xA0761D6478BD642F)
             parts.append([of.of(place, place + places.GRAM), context, np.full(len(first), k, np.int64), first.astype(np.uint32), (last - first + 1).astype(np.uint16), off.astype(np.uint16)])
-            hashes[k] = of
-    return [np.concatenate([p[i] for p in parts]) for i in range(6)], hashes
+    return [np.concatenate([p[i] for p in parts]) for i in range(6)]
 
 
 def _slices(it: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[tuple[list, list]]:
@@ -150,7 +149,7 @@ def _contexts_in_sample(length: int):
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(it):
-            (h, c, *_), _ = _anchors_of(ids, texts, length)
+            h, c, *_ = _anchors_of(ids, texts, length)
             pair = np.unique(np.stack([h, c], axis=1), axis=0)[:, 0]
             own, n = np.unique(pair, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
@@ -163,23 +162,16 @@ PACKED = "bucket int, kind int, hashes binary, contexts binary, docs binary, sta
 
 def _survey(buckets: int, length: int, hot: np.ndarray):
     """Documents -> anchors by bucket. Contexts that repeat among some documents are settled here: their
-    bytes become spans, and one of them goes on as sure. Windows of hot anchors go on by their hashes."""
+    bytes become spans, and one of them goes on as sure. Contexts of hot anchors are dealt one by one."""
 
     def row(bucket, kind, h, c, d, s, w, o, sure):
         return [bucket, kind, h.tobytes(), c.tobytes(), d.tobytes(), s.tobytes(), w.tobytes(), o.tobytes(), sure.tobytes()]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(it):
-            (h, c, k, s, w, o), hashes = _anchors_of(ids, texts, length)
+            h, c, k, s, w, o = _anchors_of(ids, texts, length)
             doc = np.array(ids, dtype=np.int64)
             rows = []
-            is_hot = np.isin(h, hot)
-            for i in np.unique(k[is_hot]):
-                own = np.flatnonzero(is_hot & (k == i))
-                at = np.concatenate([np.arange(s[a], int(s[a]) + int(w[a]), dtype=np.int64) for a in own])
-                x = hashes[i].of(at, at + length)
-                rows.append(row(int(x[0] % np.uint64(buckets)), WINDOWED, x, x[:0], np.full(len(at), doc[i]), at.astype(np.uint32), w[:0], o[:0], np.zeros(0, np.uint8)))
-            h, c, k, s, w, o = (a[~is_hot] for a in (h, c, k, s, w, o))
             order = np.lexsort((c, h))
             h, c, k, s, w, o = (a[order] for a in (h, c, k, s, w, o))
             if len(h):
@@ -192,12 +184,13 @@ def _survey(buckets: int, length: int, hot: np.ndarray):
                     rows.append(row(int(h[0] % np.uint64(buckets)), SPAN, h[:0], c[:0], doc[of], a.astype(np.uint32), w[:0], o[:0], b.astype(np.uint32).view(np.uint8)))
                 sure = (sizes > 1).astype(np.uint8)
                 h, c, k, s, w, o = (a[first] for a in (h, c, k, s, w, o))
-                to = (h % np.uint64(buckets)).astype(np.int64)
+                is_hot = np.isin(h, hot)
+                to = (np.where(is_hot, h ^ c, h) % np.uint64(buckets)).astype(np.int64) * 2 + is_hot
                 order = np.argsort(to, kind="stable")
                 h, c, k, s, w, o, sure, to = (a[order] for a in (h, c, k, s, w, o, sure, to))
                 cut = np.flatnonzero(np.diff(np.concatenate([[-1], to])))
                 for a, e in zip(cut, np.append(cut[1:], len(to))):
-                    rows.append(row(int(to[a]), CONTEXT, h[a:e], c[a:e], doc[k[a:e]], s[a:e], w[a:e], o[a:e], sure[a:e]))
+                    rows.append(row(int(to[a] // 2), HOT_CONTEXT if to[a] % 2 else CONTEXT, h[a:e], c[a:e], doc[k[a:e]], s[a:e], w[a:e], o[a:e], sure[a:e]))
             if rows:
                 kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 7
                 names = [x.split()[0] for x in PACKED.split(", ")]
@@ -217,49 +210,49 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], far[last] - doc[first] * (1 << 34)
 
 
-FOUND = "kind int, doc_id long, start long, end long, h long, many boolean, sure boolean"
+FOUND = "kind int, doc_id long, start long, end long, h long, sure boolean"
 
 
 def _settle(length: int):
     """Per bucket: contexts that occur twice are spans; those alone under their anchor are unique; the
-    rest, one of each sure context and all others, has to be sorted."""
+    rest, one of each sure context and all others, has to be sorted. Contexts of a hot anchor are
+    spread over the buckets, so all of them are taken for open."""
 
     def out(kind, doc, start, end, h=None, sure=None):
         n = len(doc)
         return pa.RecordBatch.from_arrays([
             pa.array(np.full(n, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)),
-            pa.array((h if h is not None else np.zeros(n, np.uint64)).view(np.int64)), pa.array(np.zeros(n, bool)), pa.array(sure if sure is not None else np.zeros(n, bool)),
-        ], names=["kind", "doc_id", "start", "end", "h", "many", "sure"])
+            pa.array((h if h is not None else np.zeros(n, np.uint64)).view(np.int64)), pa.array(sure if sure is not None else np.zeros(n, bool)),
+        ], names=["kind", "doc_id", "start", "end", "h", "sure"])
 
     def settle(rows: list[tuple]):
         join = lambda col, t, some: np.frombuffer(b"".join(r[col] for r in some), dtype=t)
         spans = [r for r in rows if r[1] == SPAN]
         if spans:
             yield out(SPAN, join(4, np.int64, spans), join(5, np.uint32, spans), join(8, np.uint32, spans))
-        windows = [r for r in rows if r[1] == WINDOWED]
-        if windows:
-            at = join(5, np.uint32, windows).astype(np.int64)
-            yield out(WINDOWED, join(4, np.int64, windows), at, at + length, join(2, np.uint64, windows))
-        some = [r for r in rows if r[1] == CONTEXT]
-        if not some:
-            return
-        h, c, d, s = join(2, np.uint64, some), join(3, np.uint64, some), join(4, np.int64, some), join(5, np.uint32, some).astype(np.int64)
-        w, sure = join(6, np.uint16, some).astype(np.int64), join(8, np.uint8, some) > 0
-        order = np.lexsort((s, d, c, h))
-        h, c, d, s, w, sure = (a[order] for a in (h, c, d, s, w, sure))
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-        sizes = np.diff(np.append(first, len(h)))
-        certain = (sizes > 1) | np.maximum.reduceat(sure, first)
-        each = np.repeat(certain, sizes)
-        if each.any():
-            yield out(SPAN, d[each], s[each], s[each] + w[each] + (length - 1))
-        h1 = h[first]
-        head = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
-        n = np.diff(np.append(head, len(h1)))
-        open_ = np.repeat((n > 1) & ~np.minimum.reduceat(certain, head), n)
-        pick = first[open_]
-        if len(pick):
-            yield out(CONTEXT, d[pick], s[pick], s[pick] + w[pick] + (length - 1), h[pick], certain[open_])
+        for kind in (CONTEXT, HOT_CONTEXT):
+            some = [r for r in rows if r[1] == kind]
+            if not some:
+                continue
+            h, c, d, s = join(2, np.uint64, some), join(3, np.uint64, some), join(4, np.int64, some), join(5, np.uint32, some).astype(np.int64)
+            w, sure = join(6, np.uint16, some).astype(np.int64), join(8, np.uint8, some) > 0
+            order = np.lexsort((s, d, c, h))
+            h, c, d, s, w, sure = (a[order] for a in (h, c, d, s, w, sure))
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+            sizes = np.diff(np.append(first, len(h)))
+            certain = (sizes > 1) | np.maximum.reduceat(sure, first)
+            each = np.repeat(certain, sizes)
+            if each.any():
+                yield out(SPAN, d[each], s[each], s[each] + w[each] + (length - 1))
+            open_ = np.ones(len(first), bool)
+            if kind == CONTEXT:
+                h1 = h[first]
+                head = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
+                n = np.diff(np.append(head, len(h1)))
+                open_ = np.repeat((n > 1) & ~np.minimum.reduceat(certain, head), n)
+            pick = first[open_]
+            if len(pick):
+                yield out(kind, d[pick], s[pick], s[pick] + w[pick] + (length - 1), h[pick], certain[open_])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -276,22 +269,6 @@ def _settle(length: int):
     return batches
 
 
-def _packed_texts(docs: DataFrame) -> DataFrame:
-    """Texts in Zstandard, so that joins by doc_id move a third of the bytes."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=1)
-        for b in it:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                packed = [z.compress(t.encode()) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
-
-    return docs.mapInArrow(batches, "doc_id long, packed binary")
-
-
 def _cut_contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -309,6 +286,26 @@ def _cut_contexts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["h", "doc_id", "start", "sure", "bytes"])
 
 
+def _cut_windows(length: int):
+    """Contexts of hot anchors -> the hash of each window."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for b in it:
+            for doc_id, packed, parts in zip(*(c.to_pylist() for c in b.columns)):
+                data = np.frombuffer(z.decompress(packed), dtype=np.uint8)
+                n = np.array([p["end"] - p["start"] - length + 1 for p in parts])
+                at = np.concatenate([np.arange(p["start"], p["end"] - length + 1) for p in parts])
+                h = places.Hashes(data).of(at, at + length)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at), pa.array(np.repeat([p["sure"] for p in parts], n))],
+                    names=["h", "doc_id", "start", "sure"])
+
+    return batches
+
+
 def _sort_buckets(length: int):
     """Contexts sorted by bucket -> spans of repeated suffixes, a block of whole buckets at a time."""
 
@@ -381,24 +378,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     known = rows.filter("doc_id IS NOT NULL")
 
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(_contexts_in_sample(length), "h long, n long")
-    hot = sample.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_IN_SAMPLE).orderBy(F.desc("n"), "h").limit(HOT_ANCHORS)
-    # only which way anchors go depends on this list of bounded length, not the result
-    hot = np.array(sorted(r["h"] for r in hot.select("h").collect()), dtype=np.int64).view(np.uint64)
+    # which way anchors go depends on this list of bounded length, the result does not
+    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)
+    least = max(HOT_IN_SAMPLE, -(-sample.count() // width))
+    hot = sample.mapInArrow(_contexts_in_sample(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    hot = np.array(sorted(r["h"] for r in hot.orderBy(F.desc("n"), "h").limit(HOT_ANCHORS).collect()), dtype=np.int64).view(np.uint64)
 
     packed = known.mapInArrow(_survey(width * 4, length, hot), PACKED).repartition(width, "bucket").sortWithinPartitions("bucket")
     found = staged(packed.mapInArrow(_settle(length), FOUND), "anchors")
     spans = found.filter(F.col("kind") == SPAN).select("doc_id", "start", "end")
 
-    parts = found.filter(F.col("kind") == CONTEXT).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end", "sure")).alias("parts"))
-    contexts = _packed_texts(known).join(parts, "doc_id").mapInArrow(_cut_contexts, "h long, doc_id long, start long, sure boolean, bytes binary")
-    sorted_spans = contexts.repartition(width, "h").sortWithinPartitions("h").mapInArrow(_sort_buckets(length), "doc_id long, start long, end long")
-
-    windows = found.filter(F.col("kind") == WINDOWED).select("h", "doc_id", "start", "end")
-    twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spot = F.hash("h").alias("spot")
-    hot_spans = windows.select("*", spot).join(twice.select("h", spot), ["spot", "h"]).select("doc_id", "start", "end")
-
-    every = staged(spans.union(sorted_spans).union(hot_spans), "spans").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return _packed_texts(rows).join(every, "doc_id", "left").mapInArrow(
+    def with_texts(kind: int) -> DataFrame:
+        parts = found.filter(F.col("kind") == kind).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end", "sure")).alias("parts"))
+        return packed_texts(known).join(parts, "doc_id").select("doc_id", "packed", "parts")
+
+    contexts = with_texts(CONTEXT).mapInArrow(_cut_contexts, "h long, doc_id long, start long, sure boolean, bytes binary")
+    spans = spans.union(contexts.repartition(width, "h").sortWithinPartitions("h").mapInArrow(_sort_buckets(length), "doc_id long, start long, end long"))
+    if len(hot):
+        windows = staged(with_texts(HOT_CONTEXT).mapInArrow(_cut_windows(length), "h long, doc_id long, start long, sure boolean"), "windows")
+        twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        spot = F.hash("h").alias("spot")
+        again = windows.filter("NOT sure").select("*", spot).join(twice.select("h", spot), ["spot", "h"])
+        spans = spans.union(again.select("doc_id", "start", (F.col("start") + length).alias("end")))
+
+    every = staged(spans, "spans").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return packed_texts(rows).join(every, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
         _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
