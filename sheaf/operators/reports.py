@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-N = F.count(F.lit(1))
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
@@ -15,18 +16,18 @@ def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
 
 
 def feed_counts(articles: DataFrame) -> DataFrame:
-    return articles.groupBy("source_feed").agg(N.alias("articles")).orderBy(F.desc("articles"), "source_feed")
+    return articles.groupBy("source_feed").agg(n_rows().alias("articles")).orderBy(F.desc("articles"), "source_feed")
 
 
 def feed_stats(feeds: DataFrame) -> DataFrame:
     """Per channel and, with chat_id null, over all: feeds, active, with errors, average errors, last success."""
     return feeds.groupingSets([["chat_id"], []], "chat_id").agg(
-        N.alias("total"), F.count_if("active").alias("active"), F.count_if(F.col("error_count") > 0).alias("with_errors"),
+        n_rows().alias("total"), F.count_if("active").alias("active"), F.count_if(F.col("error_count") > 0).alias("with_errors"),
         F.round(F.avg("error_count"), 6).alias("average_errors"), F.max("last_success_at").alias("last_success_at"), F.count_distinct("owner").alias("channels"))
 
 
 def feed_health(feeds: DataFrame, articles: DataFrame, healthy_below: int = 5, disable_at: int = 10) -> DataFrame:
-    per = articles.groupBy(F.col("source_feed").alias("url")).agg(N.alias("n"))
+    per = articles.groupBy(F.col("source_feed").alias("url")).agg(n_rows().alias("n"))
     f = feeds.join(per, "url", "left")
     healthy = F.count_if(F.col("active") & (F.col("error_count") < healthy_below))
     return f.agg(
@@ -43,19 +44,19 @@ def channel_feeds(feeds: DataFrame) -> DataFrame:
 
 
 def keyword_numbers(topics: DataFrame, keywords: DataFrame) -> DataFrame:
-    n = keywords.filter("kind = 'include'").groupBy("name").agg(N.alias("n_keywords"))
+    n = keywords.filter("kind = 'include'").groupBy("name").agg(n_rows().alias("n_keywords"))
     return topics.join(n, "name", "left").withColumn("n_keywords", F.coalesce("n_keywords", F.lit(0)))
 
 
 def topic_stats(topics: DataFrame, keywords: DataFrame, as_of: Column) -> DataFrame:
     """``topics`` carries last_match_at."""
     t = keyword_numbers(topics, keywords)
-    return t.agg(N.alias("total"), F.count_if("active").alias("active"), F.round(F.avg("confidence_threshold"), 6).alias("average_threshold"), F.round(F.avg("n_keywords"), 6).alias("average_keywords"),
+    return t.agg(n_rows().alias("total"), F.count_if("active").alias("active"), F.round(F.avg("confidence_threshold"), 6).alias("average_threshold"), F.round(F.avg("n_keywords"), 6).alias("average_keywords"),
                  F.max("n_keywords").alias("most_keywords"), F.count_if(F.col("last_match_at") >= as_of - F.expr("INTERVAL 7 DAYS")).alias("matched_lately"))
 
 
 def channel_topics(topics: DataFrame, keywords: DataFrame) -> DataFrame:
-    return keyword_numbers(topics, keywords).groupBy("chat_id").agg(N.alias("topics"), F.sum("n_keywords").alias("keywords"), F.round(F.avg("n_keywords"), 6).alias("average_keywords"))
+    return keyword_numbers(topics, keywords).groupBy("chat_id").agg(n_rows().alias("topics"), F.sum("n_keywords").alias("keywords"), F.round(F.avg("n_keywords"), 6).alias("average_keywords"))
 
 
 CHAT_TYPES = ("private", "group", "supergroup", "channel")
@@ -63,14 +64,14 @@ CHAT_TYPES = ("private", "group", "supergroup", "channel")
 
 def channel_stats(channels: DataFrame) -> DataFrame:
     by_type = [F.count_if(F.col("active") & (F.col("chat_type") == t)).alias(f"active_{t}") for t in CHAT_TYPES]
-    return channels.agg(N.alias("total"), F.count_if("active").alias("active"), F.count_if(~F.col("active")).alias("inactive"), *by_type)
+    return channels.agg(n_rows().alias("total"), F.count_if("active").alias("active"), F.count_if(~F.col("active")).alias("inactive"), *by_type)
 
 
 def channel_status(channels: DataFrame, topics: DataFrame, feeds: DataFrame, articles: DataFrame) -> DataFrame:
     """Topics, feeds and articles of each channel; an article counts once however often its feed is listed."""
-    t = topics.groupBy("chat_id").agg(N.alias("topics"))
-    f = feeds.groupBy("chat_id").agg(N.alias("feeds"))
-    per = articles.groupBy(F.col("source_feed").alias("url")).agg(N.alias("n"))
+    t = topics.groupBy("chat_id").agg(n_rows().alias("topics"))
+    f = feeds.groupBy("chat_id").agg(n_rows().alias("feeds"))
+    per = articles.groupBy(F.col("source_feed").alias("url")).agg(n_rows().alias("n"))
     a = feeds.select("chat_id", "url").distinct().join(per, "url").groupBy("chat_id").agg(F.sum("n").alias("articles"))
     j = channels.select("chat_id").join(t, "chat_id", "left").join(f, "chat_id", "left").join(a, "chat_id", "left")
     return j.select("chat_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("topics", "feeds", "articles")])
@@ -78,7 +79,7 @@ def channel_status(channels: DataFrame, topics: DataFrame, feeds: DataFrame, art
 
 def user_usage(topics: DataFrame, users: DataFrame, free_limit: int = 5) -> DataFrame:
     """Topics per user with names by channel; unknown users count as free, pro users have no limit."""
-    per = topics.filter("active").groupBy("telegram_user_id", "chat_id").agg(N.alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    per = topics.filter("active").groupBy("telegram_user_id", "chat_id").agg(n_rows().alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
     g = per.groupBy("telegram_user_id").agg(F.sum("n").alias("topics"), F.array_join(F.array_sort(F.collect_list(F.concat("chat_id", F.lit(":"), "names"))), ";").alias("by_channel"))
     j = g.join(users, "telegram_user_id", "left")
     tier = F.coalesce("subscription_tier", F.lit("free"))
@@ -86,7 +87,7 @@ def user_usage(topics: DataFrame, users: DataFrame, free_limit: int = 5) -> Data
 
 
 def delivery_stats(channels: DataFrame, feeds: DataFrame, articles: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    per = articles.filter(F.col("created_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).groupBy(F.col("source_feed").alias("url")).agg(N.alias("n"))
+    per = articles.filter(F.col("created_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).groupBy(F.col("source_feed").alias("url")).agg(n_rows().alias("n"))
     a = feeds.filter("active").join(per, "url").groupBy("chat_id").agg(F.sum("n").alias("articles"))
     return channels.join(a, "chat_id", "left").select("chat_id", F.coalesce("articles", F.lit(0)).alias("articles"), "last_delivery_at")
 
@@ -114,18 +115,18 @@ def run_rollup(runs: DataFrame) -> DataFrame:
     """Totals per run and channel, per run, and over all. runs: run, chat_id, articles, messages, ok."""
     return runs.rollup("run", "chat_id").agg(
         F.sum("articles").alias("articles"), F.sum("messages").alias("messages"), F.round(F.when(F.sum("messages") > 0, F.sum("articles") / F.sum("messages")).otherwise(0.0), 6).alias("articles_per_message"),
-        F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), ratio(F.count_if("ok"), N).alias("success_rate"))
+        F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), ratio(F.count_if("ok"), n_rows()).alias("success_rate"))
 
 
 def provider_breakdown(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("provider").agg(N.alias("requests"), F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("failures"), ratio(F.count_if("success"), N).alias("success_rate"))
+    return calls.groupBy("provider").agg(n_rows().alias("requests"), F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("failures"), ratio(F.count_if("success"), n_rows()).alias("success_rate"))
 
 
 def error_stats(errors: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Errors of the last hours by category, severity and component, and over all, with recovery rates."""
     e = errors.filter(F.col("ts") >= as_of - F.expr(f"INTERVAL {hours} HOURS"))
     g = e.groupingSets([["category"], ["severity"], ["component"], []], "category", "severity", "component").agg(
-        N.alias("errors"), ratio(F.count_if("recovery_successful"), F.count_if("recovery_attempted")).alias("recovery_rate"))
+        n_rows().alias("errors"), ratio(F.count_if("recovery_successful"), F.count_if("recovery_attempted")).alias("recovery_rate"))
     kind = F.when(F.col("category").isNotNull(), "category").when(F.col("severity").isNotNull(), "severity").when(F.col("component").isNotNull(), "component").otherwise("all")
     return g.select(kind.alias("kind"), F.coalesce("category", "severity", "component").alias("value"), "errors", "recovery_rate")
 
@@ -140,13 +141,13 @@ def recent_errors(errors: DataFrame, n: int, severity: str | None = None) -> Dat
 def retry_stats(attempts: DataFrame, as_of: Column, hours: int = 24 * 30) -> DataFrame:
     """Per day and, with day null, over all: attempts, success rate, average delay."""
     a = attempts.filter(F.col("ts") >= as_of - F.expr(f"INTERVAL {hours} HOURS")).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return a.rollup("day").agg(N.alias("attempts"), ratio(F.count_if("success"), N).alias("success_rate"), F.round(F.avg("delay"), 6).alias("average_delay"))
+    return a.rollup("day").agg(n_rows().alias("attempts"), ratio(F.count_if("success"), n_rows()).alias("success_rate"), F.round(F.avg("delay"), 6).alias("average_delay"))
 
 
 def setup_audit(channels: DataFrame, feeds: DataFrame, topics: DataFrame, keywords: DataFrame) -> DataFrame:
     """What is wrong with each channel's setup, and whether it can work at all."""
-    f = feeds.groupBy("chat_id").agg(N.alias("n_feeds"), F.count_if(F.col("error_count") > 0).alias("bad"), F.count_if(F.col("error_count") >= 10).alias("dead"))
-    t = keyword_numbers(topics, keywords).groupBy("chat_id").agg(N.alias("n_topics"), F.count_if(F.col("n_keywords") < 2).alias("few"), F.count_if(F.col("confidence_threshold") < 0.35).alias("low"))
+    f = feeds.groupBy("chat_id").agg(n_rows().alias("n_feeds"), F.count_if(F.col("error_count") > 0).alias("bad"), F.count_if(F.col("error_count") >= 10).alias("dead"))
+    t = keyword_numbers(topics, keywords).groupBy("chat_id").agg(n_rows().alias("n_topics"), F.count_if(F.col("n_keywords") < 2).alias("few"), F.count_if(F.col("confidence_threshold") < 0.35).alias("low"))
     j = channels.select("chat_id").join(f, "chat_id", "left").join(t, "chat_id", "left").na.fill(0)
     say = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {text}")))
     issues = F.array_compact(F.array(F.when(F.col("n_feeds") == 0, F.lit("no feeds")), F.when(F.col("n_topics") == 0, F.lit("no topics")), say("few", "topics with few keywords"), say("low", "low thresholds"), say("bad", "feeds with errors"), say("dead", "feeds to disable")))

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
 from sheaf.operators import dedup as op
-from sheaf.plans.views import AS_OF, view, with_views
+from sheaf.plans.views import now, view, with_views
 
-NOW = F.lit(AS_OF).cast("timestamp")
 A = lambda s, d: view(s, d, "articles_raw")
 
 
@@ -18,7 +17,7 @@ def _shown(v):
 
 def _verdicts(s, d):
     a = A(s, d)
-    return op.merged_verdicts(op.batch_duplicates(a), op.history_duplicates(a, view(s, d, "history"), NOW))
+    return op.merged_verdicts(op.batch_duplicates(a), op.history_duplicates(a, view(s, d, "history"), now()))
 
 
 def d3(s, d):
@@ -26,7 +25,7 @@ def d3(s, d):
 
 
 def d4(s, d):
-    return _shown(op.history_duplicates(A(s, d), view(s, d, "history"), NOW))
+    return _shown(op.history_duplicates(A(s, d), view(s, d, "history"), now()))
 
 
 def d5(s, d):
@@ -39,7 +38,7 @@ def d6(s, d):
 
 def d7(s, d):
     v, a = _verdicts(s, d), A(s, d)
-    summary = op.dedup_summary(a, v, NOW)
+    summary = op.dedup_summary(a, v, now())
     return op.issue_histogram(v).crossJoin(F.broadcast(summary))  # the summary is one row
 
 

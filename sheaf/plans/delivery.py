@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from sheaf.functions import text as tx
 from sheaf.operators import digest as dg, selection as op
 from sheaf.plans import matching as m
-from sheaf.plans.views import AS_OF, view, with_views
+from sheaf.plans.views import now, view, with_views
 
-NOW = F.lit(AS_OF).cast("timestamp")
 A = lambda s, d: view(s, d, "articles_raw")
 
 
@@ -18,7 +17,7 @@ def _results(s, d):
 
 
 def _delivery(s, d, k=5):
-    return op.deliverable(_results(s, d), A(s, d), view(s, d, "topics"), NOW, k)
+    return op.deliverable(_results(s, d), A(s, d), view(s, d, "topics"), now(), k)
 
 
 def _owned(s, d):
@@ -28,7 +27,7 @@ def _owned(s, d):
 
 def j1(s, d):
     done = view(s, d, "processing_results").filter("seq % 2 = 0")
-    return op.unprocessed(A(s, d), view(s, d, "feeds"), done, NOW).withColumn("created_at", tx.stamp(F.col("created_at")))
+    return op.unprocessed(A(s, d), view(s, d, "feeds"), done, now()).withColumn("created_at", tx.stamp(F.col("created_at")))
 
 
 def j2(s, d):
@@ -45,7 +44,7 @@ def j4(s, d):
 
 
 def j5(s, d):
-    return op.recent(A(s, d), NOW, 24, 50).select("id")
+    return op.recent(A(s, d), now(), 24, 50).select("id")
 
 
 def j6(s, d):
@@ -73,11 +72,11 @@ def j11(s, d):
 
 
 def f1(s, d):
-    return dg.items(_delivery(s, d), A(s, d), NOW)
+    return dg.items(_delivery(s, d), A(s, d), now())
 
 
 def f2(s, d):
-    return dg.messages(dg.items(_delivery(s, d), A(s, d), NOW), 900)
+    return dg.messages(dg.items(_delivery(s, d), A(s, d), now()), 900)
 
 
 def f3(s, d):
@@ -92,16 +91,13 @@ def f5(s, d):
     r = _results(s, d)
     sent = _delivery(s, d)
     marked = dg.mark_delivered(r, sent)
-    ch = dg.mark_channels(view(s, d, "channels"), sent, NOW).select("chat_id", tx.stamp(F.col("last_delivery_at")).alias("last_delivery_at"))
+    ch = dg.mark_channels(view(s, d, "channels"), sent, now()).select("chat_id", tx.stamp(F.col("last_delivery_at")).alias("last_delivery_at"))
     return marked.select("article_id", "chat_id", "topic_name", "delivered").join(ch, "chat_id")
 
 
 QUERIES = {
     "J1_unprocessed": j1, "J2_candidates_topk": j2, "J3_delivery_topk": j3, "J4_articles_by_feed": j4, "J5_recent_articles": j5, "J6_user_topics": j6, "J7_topic_search": j7, "J9_assign_owners": j9,
-    "J10_channels_due": j10, "J11_preview": j11, "F1_digest_items": f1, "F2_pack_messages": f2, "F3_digest_header": f3, "F4_topic_preview": f"""WITH {DEL(5)}, l AS (SELECT chat_id, topic_name, rank, rank || '. ' || {_trunc('title', 70)} || coalesce(' - ' || strftime(published_at, '%m/%d'), '') AS line FROM del),
-      g AS (SELECT chat_id, topic_name, count(*) AS n, list(line ORDER BY rank) AS lines FROM l GROUP BY chat_id, topic_name)
-      SELECT chat_id, topic_name, topic_name || ' preview' || chr(10) || array_to_string(lines[1:3], chr(10)) || CASE WHEN n > 3 THEN chr(10) || '... and ' || (n - 3) || ' more articles' ELSE '' END AS preview FROM g""",
-    "F5_mark_delivered": f5,
+    "J10_channels_due": j10, "J11_preview": j11, "F1_digest_items": f1, "F2_pack_messages": f2, "F3_digest_header": f3, "F4_topic_preview": f4, "F5_mark_delivered": f5,
 }
 
 
@@ -136,13 +132,14 @@ SQL = {
         owner IS NOT NULL AND owner NOT IN (SELECT telegram_user_id FROM users WHERE telegram_user_id % 2 = 0) AS to_create FROM o""",
     "J10_channels_due": "SELECT DISTINCT chat_id FROM feeds WHERE active",
     "J11_preview": f"""WITH {DEL(3)} SELECT chat_id, topic_name, count(*) AS total,
-        array_to_string(list({_trunc('title', 60)} ORDER BY rank)[1:2], chr(10)) || CASE WHEN count(*) > 2 THEN chr(10) || '... and ' || (count(*) - 2) || ' more' ELSE '' END AS text FROM del GROUP BY chat_id, topic_name""",
+        array_to_string(list({_trunc('title', 60)} ORDER BY rank)[1:2], chr(10)) || CASE WHEN count(*) > 2 THEN chr(10) || '... and ' || (count(*) - 2) || ' more' ELSE '' END AS text FROM del GROUP BY ALL""",
     "F3_digest_header": f"""WITH {DEL(5)}, p AS (SELECT chat_id, topic_name, count(*) AS n FROM del GROUP BY ALL),
       g AS (SELECT chat_id, sum(n)::BIGINT AS articles, count(*) AS topics, list(topic_name || ': ' || n || ' articles' ORDER BY topic_name || ': ' || n || ' articles') AS lines FROM p GROUP BY ALL)
       SELECT chat_id, articles, topics, greatest(1.0, articles * 0.5)::DOUBLE AS minutes, 'Daily digest: ' || articles || ' articles from ' || topics || CASE WHEN topics = 1 THEN ' topic' ELSE ' topics' END || ', '
         || ceil(greatest(1.0, articles * 0.5))::BIGINT || ' min' || chr(10) || array_to_string(lines, chr(10)) AS header FROM g""",
-    "F4_topic_preview": f"""WITH {DEL(5)} SELECT chat_id, topic_name, topic_name || ' preview' || chr(10) || array_to_string(list(rank || '. ' || {_trunc('title', 70)} || coalesce(' - ' || strftime(published_at, '%m/%d'), '') ORDER BY rank)[1:3], chr(10))
-        || CASE WHEN count(*) > 3 THEN chr(10) || '... and ' || (count(*) - 3) || ' more articles' ELSE '' END AS preview FROM del GROUP BY ALL""",
+    "F4_topic_preview": f"""WITH {DEL(5)}, l AS (SELECT chat_id, topic_name, rank, rank || '. ' || {_trunc('title', 70)} || coalesce(' - ' || strftime(published_at, '%m/%d'), '') AS line FROM del),
+      g AS (SELECT chat_id, topic_name, count(*) AS n, list(line ORDER BY rank) AS lines FROM l GROUP BY chat_id, topic_name)
+      SELECT chat_id, topic_name, topic_name || ' preview' || chr(10) || array_to_string(lines[1:3], chr(10)) || CASE WHEN n > 3 THEN chr(10) || '... and ' || (n - 3) || ' more articles' ELSE '' END AS preview FROM g""",
     "F5_mark_delivered": f"""WITH {DEL(5)} SELECT r.article_id, r.chat_id, r.topic_name, r.delivered OR d.article_id IS NOT NULL AS delivered,
         CASE WHEN r.chat_id IN (SELECT chat_id FROM del) THEN '2024-01-31 00:00:00' END AS last_delivery_at
       FROM processing_results r LEFT JOIN del d ON d.article_id = r.article_id AND d.chat_id = r.chat_id AND d.topic_name = r.topic_name JOIN channels c ON c.chat_id = r.chat_id""",

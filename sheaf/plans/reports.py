@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from sheaf.functions import text as tx
 from sheaf.operators import errors as er, reports as op, retention as rt
 from sheaf.plans import matching as m
-from sheaf.plans.views import AS_OF, view, with_views
+from sheaf.plans.views import now, view, with_views
 
-NOW = F.lit(AS_OF).cast("timestamp")
 A = lambda s, d: view(s, d, "articles_raw")
 
 
@@ -21,12 +20,12 @@ def _ts(df, *cols):
 
 def _feeds(s, d):
     f = view(s, d, "feeds").withColumn("owner", F.col("chat_id"))
-    return f.withColumn("last_success_at", F.when(F.col("error_count") < 8, NOW - F.make_interval(hours=F.col("id") % 90)))
+    return f.withColumn("last_success_at", F.when(F.col("error_count") < 8, now() - F.make_interval(hours=F.col("id") % 90)))
 
 
 def _channels(s, d):
     c = view(s, d, "channels")
-    return c.withColumn("last_delivery_at", F.when(F.col("chat_id") != "2", NOW - F.make_interval(hours=F.col("chat_id").cast("int") * 30)))
+    return c.withColumn("last_delivery_at", F.when(F.col("chat_id") != "2", now() - F.make_interval(hours=F.col("chat_id").cast("int") * 30)))
 
 
 def a2(s, d):
@@ -34,8 +33,8 @@ def a2(s, d):
 
 
 def a5(s, d):
-    t = view(s, d, "topics").withColumn("last_match_at", NOW - F.make_interval(days=F.col("topic_ord") * 2))
-    return op.topic_stats(t, view(s, d, "topic_keywords"), NOW)
+    t = view(s, d, "topics").withColumn("last_match_at", now() - F.make_interval(days=F.col("topic_ord") * 2))
+    return op.topic_stats(t, view(s, d, "topic_keywords"), now())
 
 
 def a9(s, d):
@@ -44,11 +43,11 @@ def a9(s, d):
 
 
 def a10(s, d):
-    return op.delivery_stats(_channels(s, d), _feeds(s, d), A(s, d), NOW, 2).withColumn("last_delivery_at", tx.stamp(F.col("last_delivery_at")))
+    return op.delivery_stats(_channels(s, d), _feeds(s, d), A(s, d), now(), 2).withColumn("last_delivery_at", tx.stamp(F.col("last_delivery_at")))
 
 
 def a11(s, d):
-    return op.run_status(_channels(s, d), NOW).withColumn("last_success", tx.stamp(F.col("last_success")))
+    return op.run_status(_channels(s, d), now()).withColumn("last_success", tx.stamp(F.col("last_success")))
 
 
 def a12(s, d):
@@ -77,7 +76,7 @@ def a16(s, d):
 
 
 def a17(s, d):
-    return op.retry_stats(_ts(view(s, d, "call_log"), "ts").withColumn("delay", (F.col("seq") % 60).cast("double")), NOW)
+    return op.retry_stats(_ts(view(s, d, "call_log"), "ts").withColumn("delay", (F.col("seq") % 60).cast("double")), now())
 
 
 def a20(s, d):
@@ -86,12 +85,12 @@ def a20(s, d):
 
 
 def r1(s, d):
-    left = rt.old_results(_ts(view(s, d, "processing_results"), "processed_at"), NOW, 7)
-    return rt.old_articles(A(s, d), left, NOW, 2).select("id")
+    left = rt.old_results(_ts(view(s, d, "processing_results"), "processed_at"), now(), 7)
+    return rt.old_articles(A(s, d), left, now(), 2).select("id")
 
 
 def r2(s, d):
-    return rt.simple_retention(_ts(view(s, d, "processing_results"), "processed_at"), A(s, d), NOW, 3)
+    return rt.simple_retention(_ts(view(s, d, "processing_results"), "processed_at"), A(s, d), now(), 3)
 
 
 def r3(s, d):
@@ -102,7 +101,7 @@ def r3(s, d):
 
 
 def r4(s, d):
-    return rt.resolved_errors(_ts(view(s, d, "error_events"), "ts", "resolved_at"), NOW, 48).select("seq")
+    return rt.resolved_errors(_ts(view(s, d, "error_events"), "ts", "resolved_at"), now(), 48).select("seq")
 
 
 def v1(s, d):
@@ -132,7 +131,7 @@ QUERIES = {
     "A8_channel_status": lambda s, d: op.channel_status(view(s, d, "channels"), view(s, d, "topics"), view(s, d, "feeds"), A(s, d)),
     "A9_user_usage": a9, "A10_delivery_stats": a10, "A11_run_status": a11, "A12_funnel": a12, "A13_run_rollup": a13,
     "A14_provider_breakdown": lambda s, d: op.provider_breakdown(view(s, d, "call_log")),
-    "A15_error_stats": lambda s, d: op.error_stats(_errors(s, d), NOW, 72),
+    "A15_error_stats": lambda s, d: op.error_stats(_errors(s, d), now(), 72),
     "A16_recent_errors": a16, "A17_retry_stats": a17,
     "A18_setup_audit": lambda s, d: op.setup_audit(view(s, d, "channels"), view(s, d, "feeds"), view(s, d, "topics"), view(s, d, "topic_keywords")),
     "A20_batch_ingest_summary": a20, "R1_retention": r1, "R2_retention_simple": r2, "R3_cascade_delete": r3, "R4_resolved_errors": r4, "V1_apply_row_rules": v1, "V2_violations": v2, "V3_filter_bad_rows": v3,

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from sheaf.functions import words as w
 from sheaf.operators import dedup, scoring as op
 from sheaf.plans import dedup as dedup_plans, matching as m
-from sheaf.plans.views import AS_OF, view, with_views
+from sheaf.plans.views import now, view, with_views
 
-NOW = F.lit(AS_OF).cast("timestamp")
 A = lambda s, d: view(s, d, "articles_raw")
 
 
@@ -63,7 +62,7 @@ def m13(s, d):
 
 
 def m14(s, d):
-    return A(s, d).select("id", F.round(dedup.quality(NOW), 6).alias("quality"))
+    return A(s, d).select("id", F.round(dedup.quality(now()), 6).alias("quality"))
 
 
 def m15(s, d):

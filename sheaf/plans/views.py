@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The fixed clock of all registered queries.
 AS_OF = "2024-01-31 00:00:00"
@@ -91,6 +91,10 @@ FROM articles_raw WHERE seq % 4 = 0 OR seq % 9 = 1""",
 }
 
 
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
 def needs(sql: str) -> list[str]:
     """Views that a statement reads, those they read first."""
     found: list[str] = []
