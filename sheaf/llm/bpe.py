@@ -11,8 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sheaf.llm.shared import text_or_empty
 
-#: A text is cut before a space after at least so many characters, where no match of the pattern
-#: can reach over, so that one encoding never holds a very long text at once.
-PIECE = 1 << 16
-#: Characters of text given to the library at once.
-AT_ONCE = 1 << 18
+#: Distinct pieces of text whose ids a Python worker remembers, and the longest of them; when full it
+#: starts afresh.
+REMEMBERED, SHORT = 250_000, 64
+#: Characters of text looked at together, and given to the library as one.
+AT_ONCE, JOINED = 1 << 20, 1 << 14
+#: White space before a space: how it is split depends on what follows.
+UNSAFE = re.compile(r"\s ")
+SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def byte_characters() -> list[str]:
@@ -81,38 +86,84 @@ def tokenizer(path: str, pattern: str):
 
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut before white space that follows anything else; joined, the pieces are the text.
+    """``text`` cut before every space that follows anything but white space; joined, the pieces
+    are the text.
 
     The pattern's matches never reach over such a place: a match is white space only, or a space at
-    most and then none. So the pieces' ids are the text's ids."""
-    cut, at = [], 0
-    while len(text) - at > PIECE:
-        end = at + PIECE
-        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
-            end += 1
-        cut.append(text[at:end])
-        at = end
-    return [*cut, text[at:]] if at < len(text) or not cut else cut
+    most and then none. So the pieces' ids are the text's ids, whatever stands before or after."""
+    if UNSAFE.search(text):
+        return SAFE_CUT.split(text)
+    first, *rest = text.split(" ")
+    return [first, *[" " + p for p in rest]]
+
+
+class Encoder:
+    """Ids of texts by the ids of their pieces; each distinct piece goes to the library once in a while.
+
+    Pieces that begin with a space and don't end with white space are encoded joined, as in a text;
+    the bytes of the tokens tell where each piece ends."""
+
+    def __init__(self, path: str, pattern: str):
+        self.tok, self.table = tokenizer(path, pattern)
+        self.size = np.array([len(t) for t in self.table], dtype=np.int64)
+        self.ids: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        joined = [p for p in new if p[:1] == " " and not p[-1].isspace()]
+        groups, held = [[]], 0
+        for p in joined:
+            groups[-1].append(p)
+            held += len(p)
+            if held > JOINED:
+                groups.append([])
+                held = 0
+        groups = [g for g in groups if g]
+        alone = [p for p in new if p and (p[0] != " " or p[-1].isspace())]
+        batch = self.tok.encode_batch_fast(["".join(g) for g in groups] + alone, add_special_tokens=False)
+        for g, e in zip(groups, batch):
+            ids = np.array(e.ids, dtype=np.int32)
+            cut = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in g])) + 1
+            start = 0
+            for p, end in zip(g, cut.tolist()):
+                self.ids[p] = ids[start:end].tobytes()
+                start = end
+        for p, e in zip(alone, batch[len(groups):]):
+            self.ids[p] = np.array(e.ids, dtype=np.int32).tobytes()
+        self.ids[""] = b""
+
+    def some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        parts = [pieces(t) for t in texts]
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        new = set(chain.from_iterable(parts)).difference(self.ids)
+        if new:
+            self.learn(list(new))
+        known = self.ids.__getitem__
+        for p in parts:
+            yield np.frombuffer(b"".join(map(known, p)), dtype=np.int32)
+        for p in new:
+            if len(p) > SHORT:
+                del self.ids[p]
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        todo, held = [], 0
+        for text in texts:
+            todo.append(text)
+            held += len(text)
+            if held >= AT_ONCE:
+                yield from self.some(todo)
+                todo, held = [], 0
+        yield from self.some(todo)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[np.ndarray]:
     """The ids of each text, in order."""
-    tok, _ = tokenizer(path, pattern)
-
-    def flush(todo: list[list[str]]) -> Iterator[np.ndarray]:
-        done = (np.array(e.ids, dtype=np.int32) for e in tok.encode_batch_fast([p for parts in todo for p in parts], add_special_tokens=False))
-        for parts in todo:
-            own = [next(done) for _ in parts]
-            yield own[0] if len(own) == 1 else np.concatenate(own)
-
-    todo, held = [], 0
-    for text in texts:
-        todo.append(pieces(text))
-        held += len(text)
-        if held >= AT_ONCE:
-            yield from flush(todo)
-            todo, held = [], 0
-    yield from flush(todo)
+    return encoder(path, pattern)(texts)
 
 
 def token_spans(text: str, path: str, pattern: str) -> list[tuple[int, int, int, int, int]]:
