@@ -6,10 +6,12 @@ in a number of shingles that grows with their sizes, which gives three exact ste
 1. Sets are reduced to their least shingle hashes. Partners must share a share of those, so a set
    of whose reduced shingles too few occur in any other set has no partner. Most sets end here.
 2. The others meet in blocks: each shared reduced shingle sends its sets to the block of the least
-   set that has it. Partners share a reduced shingle, so they share a block.
-3. In a block, whose lists are local, a T-occurrence search finds the sets that overlap enough:
-   short inverted lists are merged, long ones probed by binary search (DivideSkip). Large blocks are
-   first compared with their least set, then the rest part by part.
+   set that has it, the block's center. Partners share a reduced shingle, so they share a block.
+   Each set is compared with the center that it shares most with, which links most groups already.
+3. In blocks that are not in one component by now, whose lists are local, a T-occurrence search finds
+   the sets that overlap enough: short inverted lists are merged, long ones probed by binary search
+   (DivideSkip), first over the shared shingles, then over the whole sets of those that may link. Sets outside the block's largest component are searched for among all sets, large
+   blocks part by part.
 
 Links become components. Sets that are equal count once through all steps.
 """
@@ -21,15 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sheaf.llm.components import components
-from sheaf.llm.shared import shuffle_width, staged, text_or_empty
+from sheaf.llm.shared import packed_texts, shuffle_width, staged, text_or_empty
 
 WORDS = 5
 PERCENT = 80
-#: Sets of a block that are searched together; larger blocks are dealt out in parts of this size.
+#: Sets that are compared with their center by one task; larger blocks are also split by size bands.
 PART = 256
+#: Usual sets that are searched together: a block in p parts of which c are asked for moves its sets c
+#: times, so a small part costs more shuffle than it saves memory.
+SEARCHED = 1024
+#: Shingles of a usual set; longer ones count for more.
+USUAL = 512
+
+#: Reduced sets hold a part of so many more shingles than partners may differ in. A smaller number means
+#: more shingles to move and fewer sets and blocks left.
+SHARE = 5
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -47,35 +58,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_bytes_hash = _mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
+_letters = _mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
+_turns = _mix(np.arange(1, 65, dtype=np.uint64) * _MULTIPLIER) | np.uint64(1)
+
+
+def _word_hashes(b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of some bytes, all words at once, by letters and their places."""
+    space = _SPACE[b]
+    edge = np.flatnonzero(np.concatenate([[not space[0]], space[1:] != space[:-1], [not space[-1]]]))
+    sizes = edge[1::2] - edge[0::2]
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    letters = b[~space]
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(begin, sizes)
+    long = place >= 64
+    each = _letters[letters] * _turns[place & 63]
+    if long.any():
+        each[long] = _mix(each[long] + (place[long] >> 6).astype(np.uint64) * _MULTIPLIER)
+    return _mix(np.add.reduceat(each, begin) ^ sizes.astype(np.uint64))
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     """Distinct 64-bit hashes of the word shingles of a whole text, ascending; A-Z lower-cased first.
 
-    Fewer words than ``words`` make one shingle, no word none. A word's hash is a polynomial of its
-    bytes, taken for all words at once from the running sum over the text."""
+    Fewer words than ``words`` make one shingle, no word none."""
     b = _LOWER[np.frombuffer(text.encode(), dtype=np.uint8)]
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    space = _SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    # position within the word, so that equal words hash alike wherever they stand
-    place = np.arange(len(b), dtype=np.int64)
-    word_of = np.cumsum(np.bincount(starts, minlength=len(b))[: len(b)]) - 1
-    place = (place - starts[np.maximum(word_of, 0)]).astype(np.uint64)
-    each = _mix(_bytes_hash[b] + place * _MULTIPLIER)
-    each[space] = 0
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
-    w = _mix((total[ends] - total[starts]) ^ (ends - starts).astype(np.uint64))
+    w = _word_hashes(b) if len(b) else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
     n = min(words, len(w))
-    h = np.zeros(len(w) - n + 1, np.uint64)
+    h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
-        h = _mix(h * _MULTIPLIER + w[k : k + len(h)])
-    return np.unique(h + np.uint64(n))
+        h += w[k : k + len(h)] * _turns[k]
+    return np.unique(_mix(h))
 
 
 def needed(n: int, percent: int) -> int:
@@ -87,9 +103,14 @@ def reach(n: int, percent: int) -> tuple[int, int]:
     """How many least hashes represent a set of size n, and how many of them a partner must share.
 
     If two sets overlap in a elements, their (size - a + l) least elements share at least l. Here l
-    is a twentieth of the size, and that of the smaller of the two, whose size is at least p %."""
-    own = max(1, n // 20)
-    return min(n, n - needed(n, percent) + own), max(1, needed(n, percent) // 20)
+    is a fifth of the size, and that of the smaller of the two, whose size is at least p %."""
+    own = max(1, n // SHARE)
+    return min(n, n - needed(n, percent) + own), max(1, needed(n, percent) // SHARE)
+
+
+def band(n: int, percent: int) -> int:
+    """Sizes of partners lie in the same band or in neighbouring ones."""
+    return int(math.log(n) / math.log(100 / percent) + 1e-9)
 
 
 def required(n: np.ndarray, m: int, percent: int) -> np.ndarray:
@@ -102,45 +123,48 @@ def _array(values, kind) -> pa.Array:
 
 
 def _pack_reduced(buckets: int, words: int, percent: int):
-    """Documents -> one row per document (bucket -1: id, size, digest) and, per batch and bucket, the
-    reduced shingles with the digests of their sets. Equal sets of a batch send their shingles once."""
+    """Documents -> per batch and bucket the reduced shingles with the digests of their sets, and (kind
+    0) the documents' ids, sizes and digests. Equal sets of a batch send their shingles once."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at in range(0, b.num_rows, 2000):
                 some = b.slice(at, 2000)
-                ids, sizes, digests, seen = [], [], [], set()
-                shingles, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                sizes, digests, seen = [], [], set()
+                shingles, owners, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+                for text in some.column(1).to_pylist():
                     s = shingle_set(text, words)
                     n = len(s)
                     digest = _mix(np.array([np.bitwise_xor.reduce(_mix(s * _MULTIPLIER)) + np.uint64(n) if n else np.uint64(0)], dtype=np.uint64))[0]
-                    ids.append(doc_id), sizes.append(n), digests.append(digest)
+                    sizes.append(n), digests.append(digest)
                     if n and digest not in seen:
                         seen.add(digest)
                         head = s[: reach(n, percent)[0]]
-                        shingles.append(head), owners.append(np.full(len(head), digest))
+                        shingles.append(head), owners.append(np.full(len(head), digest)), bands.append(np.full(len(head), band(n, percent), np.uint8))
+                ids = [-1 if i is None else i for i in some.column(0).to_pylist()]
+                known = np.array([i is not None for i in some.column(0).to_pylist()], np.uint8)
                 d = np.array(digests, dtype=np.uint64)
-                bucket = [np.array([-1], np.int32).repeat(len(ids))]
-                a, o = np.concatenate(shingles), np.concatenate(owners)
+                a, o, w = np.concatenate(shingles), np.concatenate(owners), np.concatenate(bands)
                 which = ((a >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(which, kind="stable")
-                a, o, which = a[order], o[order], which[order]
+                a, o, w, which = a[order], o[order], w[order], which[order]
                 cut = np.flatnonzero(np.diff(np.concatenate([[-1], which])))
                 ends = np.append(cut[1:], len(a))
+                # half of a shingle's hash is enough here: two that agree on it can only let a set through too many
+                a = (a >> np.uint64(24)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([
-                    _array(np.concatenate([*bucket, which[cut]]), pa.int32()),
-                    _array(ids + [None] * len(cut), pa.int64()),
-                    _array(sizes + [0] * len(cut), pa.int64()),
-                    _array(np.concatenate([d.view(np.int64), np.zeros(len(cut), np.int64)]), pa.int64()),
-                    _array([None] * len(ids) + [a[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
-                    _array([None] * len(ids) + [o[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
-                ], names=["bucket", "doc_id", "n", "digest", "shingles", "owners"])
+                    _array([int(d[0] % np.uint64(buckets)), *which[cut].tolist()], pa.int32()),
+                    _array([0] + [1] * len(cut), pa.int32()),
+                    _array([np.array(sizes, np.int64).tobytes()] + [a[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
+                    _array([d.tobytes()] + [o[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
+                    _array([np.array(ids, np.int64).tobytes()] + [None] * len(cut), pa.binary()),
+                    _array([known.tobytes()] + [w[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
+                ], names=["bucket", "kind", "shingles", "owners", "ids", "bands"])
 
     return batches
 
 
-PACKED = "bucket int, doc_id long, n long, digest long, shingles binary, owners binary"
+PACKED = "bucket int, kind int, shingles binary, owners binary, ids binary, bands binary"
 
 
 def _by_bucket(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[tuple]]]:
@@ -157,109 +181,88 @@ def _by_bucket(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
         yield now, rows
 
 
-def _shared_shingles(digest_buckets: int):
-    """Per bucket: shingles that two or more different sets have, sent on by digest."""
+def _shared_shingles():
+    """Per bucket: (set's digest, shared shingles) of the sets that share shingles of this bucket with
+    another set of a possible size, and one row per document: id, size, digest."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(it, ["bucket", "shingles", "owners"]):
-            s = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
-            o = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint64)
-            order = np.lexsort((o, s))
-            s, o = s[order], o[order]
+        for bucket, rows in _by_bucket(it, ["bucket", "kind", "shingles", "owners", "ids", "bands"]):
+            for r in rows:
+                if r[1] == 0:
+                    sizes, ids = np.frombuffer(r[2], np.int64), np.frombuffer(r[4], np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids, mask=np.frombuffer(r[5], np.uint8) == 0), pa.array(sizes), pa.array(np.frombuffer(r[3], np.int64)), pa.nulls(len(ids), pa.list_(pa.int64())),
+                    ], names=["doc_id", "n", "digest", "shingles"])
+            s = np.frombuffer(b"".join(r[2] for r in rows if r[1]), dtype=np.uint32)
+            o = np.frombuffer(b"".join(r[3] for r in rows if r[1]), dtype=np.uint64)
+            if not len(s):
+                continue
+            w = np.frombuffer(b"".join(r[5] for r in rows if r[1]), dtype=np.uint8).astype(np.int16)
+            order = np.lexsort((o, w, s))
+            s, o, w = s[order], o[order], w[order]
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
-            s, o = s[new], o[new]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            several = np.repeat(np.diff(np.append(first, len(s))) > 1, np.diff(np.append(first, len(s))))
-            s, o = s[several], o[several]
+            s, o, w = s[new], o[new], w[new]
+            # shared: another set of a possible size has it too; in order of bands that is a neighbour
+            pair = (s[1:] == s[:-1]) & (w[1:] - w[:-1] <= 1)
+            several = np.concatenate([[False], pair]) | np.concatenate([pair, [False]])
+            s, o = s[several].astype(np.int64) | (bucket << 32), o[several]
             if not len(s):
                 continue
-            to = (o % np.uint64(digest_buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            s, o, to = s[order], o[order], to[order]
-            cut = np.flatnonzero(np.diff(np.concatenate([[-1], to])))
-            ends = np.append(cut[1:], len(s))
-            yield pa.RecordBatch.from_arrays([
-                _array(to[cut], pa.int32()),
-                _array([s[a:e].tobytes() for a, e in zip(cut, ends)], pa.binary()),
-                _array([o[a:e].tobytes() for a, e in zip(cut, ends)], pa.binary()),
-            ], names=["bucket", "shingles", "owners"])
-
-    return batches
-
-
-def _enough_shared(percent: int):
-    """Per bucket of digests: the shared shingles of each set that has enough of them."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(it, ["bucket", "digests", "sizes", "ids", "shingles", "owners"]):
-            join = lambda k: np.frombuffer(b"".join(r[k] for r in rows if r[k] is not None), dtype=np.int64)
-            digests, sizes, ids = join(1), join(2), join(3)
-            s, o = join(4), join(5)
-            order = np.argsort(digests, kind="stable")
-            digests, sizes, ids = digests[order], sizes[order], ids[order]
             order = np.argsort(o, kind="stable")
-            order = order[np.isin(o[order], digests)]  # sets without any doc_id take no part
             s, o = s[order], o[order]
-            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-            ends = np.append(first[1:], len(o))
-            at = np.searchsorted(digests, o[first])
-            least = np.array([reach(int(n), percent)[1] for n in sizes[at]], dtype=np.int64) if len(at) else np.zeros(0, np.int64)
-            keep = np.flatnonzero(ends - first >= least)
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([
-                    _array(ids[at[keep]], pa.int64()), _array(sizes[at[keep]], pa.int64()),
-                    _array([s[a:e].tolist() for a, e in zip(first[keep], ends[keep])], pa.list_(pa.int64())),
-                ], names=["doc_id", "n", "shingles"])
+            cut = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(o[cut].view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.append(cut, len(s)).astype(np.int32)), pa.array(s)),
+            ], names=["doc_id", "n", "digest", "shingles"])
 
     return batches
 
 
-def divide_skip(query: np.ndarray, size: int, keys: np.ndarray, starts: np.ndarray, posts: np.ndarray, threshold: int, n_sets: int) -> np.ndarray:
+def divide_skip(query: np.ndarray, keys: np.ndarray, starts: np.ndarray, posts: np.ndarray, places: np.ndarray, threshold: int, n_sets: int) -> np.ndarray:
     """Sets that share at least ``threshold`` shingles with ``query``.
 
-    The inverted lists are ``posts[starts[i]:starts[i + 1]]`` for ``keys[i]``, both ascending. The
-    longest lists, fewer than the threshold, are put aside; the short ones are merged and counted; a
+    The inverted lists are ``posts[starts[i]:starts[i + 1]]`` for ``keys[i]``, both ascending;
+    ``places`` is ``i * n_sets + posts``. The longest lists, fewer than the threshold, are put aside; the short ones are merged and counted; a
     set that could still reach the threshold is looked up in each long list by binary search."""
-    at = np.searchsorted(keys, query)
-    at = at[(at < len(keys))]
-    at = at[np.isin(keys[at], query, assume_unique=False)]
+    at = np.minimum(np.searchsorted(keys, query), len(keys) - 1)
+    at = at[keys[at] == query]
     lengths = starts[at + 1] - starts[at]
-    at = at[np.argsort(-lengths, kind="stable")]
-    lengths = np.sort(lengths)[::-1]
+    order = np.argsort(-lengths, kind="stable")
+    at, lengths = at[order], lengths[order]
     # as many long lists as DivideSkip's balance of merging against probing says
     n_long = min(len(at), threshold - 1, int(threshold / (0.01 * math.log(max(2, n_sets)) + 1)))
-    long_lists, short = at[:n_long], at[n_long:]
+    short, n = at[n_long:], lengths[n_long:]
     if not len(short):
         return np.zeros(0, np.int64)
-    merged = np.concatenate([posts[starts[i] : starts[i + 1]] for i in short])
+    merged = posts[np.repeat(starts[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
     count = np.bincount(merged, minlength=n_sets)
-    found = np.flatnonzero(count >= threshold - n_long)
-    if not n_long or not len(found):
-        return found[count[found] >= threshold]
-    total = count[found]
-    for i in long_lists:
-        own = posts[starts[i] : starts[i + 1]]
-        p = np.minimum(np.searchsorted(own, found), len(own) - 1)
-        total = total + (own[p] == found)
-    return found[total >= threshold]
-
-
-def inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = np.flatnonzero(count >= max(1, threshold - n_long))
+    if n_long and len(found):
+        # list number and set together ascend over all lists, so one search probes all of them
+        probe = (at[:n_long, None] * n_sets + found[None, :]).ravel()
+        place = np.minimum(np.searchsorted(places, probe), len(places) - 1)
+        count[found] += (places[place] == probe).reshape(n_long, -1).sum(axis=0)
+    return found[count[found] >= threshold]
+
+
+def inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     keys, first = np.unique(flat[order], return_index=True)
-    return keys, np.append(first, len(flat)), owner[order]
+    starts, posts = np.append(first, len(flat)), owner[order]
+    return keys, starts, posts, np.repeat(np.arange(len(keys)), np.diff(starts)) * len(sets) + posts
 
 
 def partners(sets: list[np.ndarray], queries: list[int], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs (query, other) that link, by T-occurrence search and a check of each found set's size."""
-    keys, starts, posts = inverted(sets)
+    keys, starts, posts, places = inverted(sets)
     sizes = np.array([len(s) for s in sets])
     for q in queries:
         n = len(sets[q])
         low = needed(n, percent)  # no partner is smaller, or overlaps less
-        for j in divide_skip(sets[q], n, keys, starts, posts, low, len(sets)):
+        for j in divide_skip(sets[q], keys, starts, posts, places, low, len(sets)):
             j = int(j)
             if j != q and sizes[j] * 100 >= n * percent and n * 100 >= sizes[j] * percent:
                 need = int(required(sizes[j : j + 1], n, percent)[0])
@@ -267,58 +270,73 @@ def partners(sets: list[np.ndarray], queries: list[int], percent: int) -> Iterat
                     yield q, j
 
 
-def _search_blocks(percent: int):
-    """Blocks -> links of a block as a star to the least member, by searching the whole block; of a
-    block in several parts, links with its least set, and as u = v the sets that do not link with it."""
+def _compare_with_center(percent: int):
+    """Sets beside their center, by spot -> links u, v."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(it, ["spot", "doc_id", "set", "parts", "center"]):
-            ids = [r[1] for r in rows]
-            sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
-            center, u, v = rows[0][4], [], []
-            if rows[0][3] == 1:
-                todo = list(range(len(sets)))
-                root = list(todo)
-
-                def find(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = i = root[root[i]]
-                    return i
-
-                for q, j in partners(sets, todo, percent):
-                    a, b = find(q), find(j)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                for i in todo:
-                    if (r := find(i)) != i:
-                        u.append(ids[i]), v.append(ids[r])
-            else:
-                at = ids.index(center)
-                for i, s in enumerate(sets):
-                    if i != at:
-                        o = len(np.intersect1d(sets[at], s, assume_unique=True))
-                        links = o * 100 >= percent * (len(s) + len(sets[at]) - o)
-                        u.append(ids[i]), v.append(center if links else ids[i])
-            yield pa.RecordBatch.from_arrays([_array(u, pa.int64()), _array(v, pa.int64()), _array([center] * len(u), pa.int64())], names=["u", "v", "center"])
+        for _, rows in _by_bucket(it, ["spot", "center", "doc_id", "set"]):
+            center = rows[0][1]
+            own = next(np.frombuffer(r[3], dtype=np.uint64) for r in rows if r[2] == center)
+            u = []
+            for r in rows:
+                s = np.frombuffer(r[3], dtype=np.uint64)
+                if r[2] != center and len(s) * 100 >= percent * len(own) and len(own) * 100 >= percent * len(s):
+                    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                    o = int((own[at] == s).sum())
+                    if o * 100 >= percent * (len(s) + len(own) - o):
+                        u.append(r[2])
+            if u:
+                yield pa.RecordBatch.from_arrays([_array(u, pa.int64()), _array([center] * len(u), pa.int64())], names=["u", "v"])
 
     return batches
 
 
-def _search_rest(percent: int):
-    """Parts of a large block, each with some sets to search for (asked): links of those."""
+def _promising(percent: int):
+    """Parts of blocks with the shared shingles of their sets -> those that share enough of them with a
+    set of another component: center, band, doc_id. No set without such a partner links with one."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(it, ["spot", "doc_id", "set", "asked"]):
-            ids = [r[1] for r in rows]
-            sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
-            asked = [i for i, r in enumerate(rows) if r[3]]
-            found = [(ids[q], ids[j]) for q, j in partners(sets, asked, percent)] if asked and len(asked) <= len(rows) else []
-            yield pa.RecordBatch.from_arrays([_array([a for a, _ in found], pa.int64()), _array([b for _, b in found], pa.int64())], names=["u", "v"])
+        for _, rows in _by_bucket(it, ["spot", "center", "band", "doc_id", "component", "n", "shingles", "asked"]):
+            asked = [i for i, r in enumerate(rows) if r[7]]
+            if not asked:
+                continue
+            sets = [np.sort(np.array(r[6], dtype=np.int64)).view(np.uint64) for r in rows]
+            keys, starts, posts, places = inverted(sets)
+            sizes, component = np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
+            near = np.zeros(len(rows), bool)
+            for q in asked:
+                j = divide_skip(sets[q], keys, starts, posts, places, reach(int(sizes[q]), percent)[1], len(sets))
+                j = j[(component[j] != component[q]) & (sizes[j] * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes[j] * percent)]
+                near[j] = True
+                near[q] |= len(j) > 0
+            at = np.flatnonzero(near)
+            yield pa.RecordBatch.from_arrays([_array([rows[i][k] for i in at], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64()))], names=["center", "band", "doc_id"])
 
     return batches
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part: int = PART) -> DataFrame:
+def _search_blocks(percent: int):
+    """Parts of blocks, in which some sets are asked for -> links between sets of different components,
+    one for each pair of components, found by searching the part for each asked set."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(it, ["spot", "doc_id", "component", "set", "asked"]):
+            asked = [i for i, r in enumerate(rows) if r[4]]
+            if not asked:
+                continue
+            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+            found: dict[tuple[int, int], tuple[int, int]] = {}
+            for q, j in partners(sets, asked, percent):
+                a, b = rows[q][2], rows[j][2]
+                if a != b:
+                    found.setdefault((min(a, b), max(a, b)), (rows[q][1], rows[j][1]))
+            if found:
+                yield pa.RecordBatch.from_arrays([_array([a for a, _ in found.values()], pa.int64()), _array([b for _, b in found.values()], pa.int64())], names=["u", "v"])
+
+    return batches
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part: int = PART, searched: int = SEARCHED) -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``.
 
     Null or empty text, or text of white space only, has no shingles and links with nothing. Rows
@@ -326,65 +344,78 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, par
     text. Equal sets are linked whatever their number. Other columns are ignored; an empty table
     gives an empty table. Shingles are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    packed = staged(rows.mapInArrow(_pack_reduced(width * 4, words, percent), PACKED), "reduced")
+    packed = rows.mapInArrow(_pack_reduced(width * 4, words, percent), PACKED)
+    shared = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_shingles(), "doc_id long, n long, digest long, shingles array<long>")
+    shared = staged(shared, "shared")
 
-    info = packed.filter("bucket = -1").select("doc_id", "n", "digest")
+    info = shared.filter("shingles IS NULL").select("doc_id", "n", "digest")
     sets = info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
-    shared = (
-        packed.filter("bucket >= 0").select("bucket", "shingles", "owners")
-        .repartition(width, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_shared_shingles(width * 4), "bucket int, shingles binary, owners binary")
-    )
-    # the sets themselves, packed by the same buckets of digests (unsigned remainder)
-    bucket = F.expr(f"CAST(pmod(pmod(digest, {width * 4}L) + CASE WHEN digest < 0 THEN {2**64 % (width * 4)}L ELSE 0L END, {width * 4}L) AS INT)")
-    known = sets.select(bucket.alias("bucket"), "digest", "n", "rep").mapInArrow(
-        _pack_sets, "bucket int, digests binary, sizes binary, ids binary")
-    none = F.lit(None).cast("binary")
-    meeting = known.select("bucket", "digests", "sizes", "ids", none.alias("shingles"), none.alias("owners")).union(
-        shared.select("bucket", none, none, none, "shingles", "owners"))
-    kept = staged(
-        meeting.repartition(width, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_enough_shared(percent), "doc_id long, n long, shingles array<long>"), "candidates")
-
-    at = kept.select("doc_id", F.explode("shingles").alias("shingle"))
+    sets = staged(sets, "distinct-sets")
+    # sets with enough shared shingles; a set's row number here is bounded by its own size
+    counts = shared.filter("shingles IS NOT NULL").groupBy("digest").agg(F.sum(F.size("shingles")).alias("k"))
+    enough = sets.join(counts, "digest").filter(F.col("k") >= _least_shared(percent)).select("digest", "rep", "n")
+    at = staged(shared.filter("shingles IS NOT NULL").select("digest", "shingles").join(enough, "digest").select(F.col("rep").alias("doc_id"), "n", F.explode("shingles").alias("shingle")), "candidates")
     centers = at.groupBy("shingle").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     spot = F.xxhash64("shingle").alias("spot")
-    members = at.select("*", spot).join(centers.select("shingle", "center", spot), ["spot", "shingle"]).select("center", "doc_id").distinct()
-    members = staged(members, "members")
-    sizes = members.groupBy("center").agg(F.count(F.lit(1)).alias("k"))
+    # a second key computed after the grouping: both sides are exchanged, and AQE can split a hot shingle
+    members = at.select("*", spot).join(centers.select("shingle", "center", spot), ["spot", "shingle"]).groupBy("center", "doc_id", "n").agg(F.count(F.lit(1)).alias("k"))
     own = F.xxhash64("center").alias("spot")
-    blocks = members.select("*", own).join(sizes.select("*", own), ["spot", "center"]).select("center", "doc_id", F.ceil(F.col("k") / part).cast("int").alias("parts"), "k")
-    blocks = blocks.filter("k > 1").select("center", "doc_id", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("p"))
+    big = members.groupBy("center").agg((F.count(F.lit(1)) > part).alias("big"))
+    members = members.select("*", own).join(big.select("*", own), ["spot", "center"]).drop("spot")
+    # Partners share at least this many shingles here, each with its center. In one order of centers,
+    # big blocks last, the last shingles of a set can go but for one: one that is shared comes before.
+    lay = Window.partitionBy("doc_id").orderBy("big", "center")
+    before = F.sum("k").over(lay) - F.col("k")
+    members = members.withColumn("needed", before < F.sum("k").over(Window.partitionBy("doc_id")) - _least_shared(percent) + 1)
+    members = staged(members, "members")
 
-    wanted = kept.select("doc_id")
-    texts = rows.filter("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = members.select("doc_id").distinct()
+    texts = packed_texts(rows.filter("doc_id IS NOT NULL")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
     whole = staged(texts.mapInArrow(_pack_whole(words), "doc_id long, set binary"), "sets")
 
-    placed = blocks.join(whole, "doc_id")
-    # the least set of a large block goes to each of its parts
-    everywhere = placed.filter("parts > 1 AND doc_id = center").select("center", "doc_id", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "set")
-    placed = placed.filter("parts = 1 OR doc_id <> center").select("center", "doc_id", "parts", "p", "set").union(everywhere)
-    spots = placed.select(F.concat_ws("-", "center", "p").alias("spot"), "center", "doc_id", "parts", "set").repartition(width, "spot").sortWithinPartitions("spot", "doc_id")
-    found = staged(spots.mapInArrow(_search_blocks(percent), "u long, v long, center long"), "found")
-
-    # sets of large blocks that do not link with the least: searched for in every part of the block
-    rest = found.filter("u = v").select("center", F.col("u").alias("doc_id")).distinct()
-    grid = rest.groupBy("center").agg(F.count(F.lit(1)).alias("n_rest"))
-    rest_links = found.filter("u <> v").select("u", "v")
-    if not grid.isEmpty():
-        big = blocks.filter("parts > 1")
-        shape = big.groupBy("center").agg(F.max("parts").alias("parts")).join(grid, "center").withColumn("chunks", F.ceil(F.col("n_rest") / part).cast("int"))
-        asked = rest.join(shape, "center").withColumn("c", F.pmod(F.hash("doc_id"), F.col("chunks")).cast("int"))
-        asked = asked.select("center", "doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "c", F.lit(True).alias("asked"))
-        there = big.select("center", "doc_id", "p").join(shape.select("center", "chunks"), "center").select("center", "doc_id", "p", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.lit(False).alias("asked"))
-        both = asked.union(there).groupBy("center", "doc_id", "p", "c").agg(F.max("asked").alias("asked")).join(whole, "doc_id")
-        spots = both.select(F.concat_ws("-", "center", "p", "c").alias("spot"), "doc_id", "set", "asked").repartition(width, "spot").sortWithinPartitions("spot", "doc_id")
-        rest_links = rest_links.union(spots.mapInArrow(_search_rest(percent), "u long, v long"))
-
-    near = components(rest_links)
+    # each set beside the center that it shares most with; a center goes to every part of its sets
+    best = members.filter("doc_id <> center").groupBy("doc_id").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("center"))
+    size = best.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    dealt = best.select("*", own).join(size.select("*", own), ["spot", "center"]).select("center", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("p"))
+    dealt = dealt.union(size.select("center", F.col("center").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")))
+    spots = dealt.join(whole, "doc_id").select(F.concat_ws("-", "center", "p").alias("spot"), "center", "doc_id", "set")
+    links = staged(spots.repartition(width, "spot").sortWithinPartitions("spot").mapInArrow(_compare_with_center(percent), "u long, v long"), "links")
+
+    # blocks with sets of several components
+    near = components(links)
+    labelled = members.filter("needed").select("center", "doc_id", "n", "big").join(near, F.col("doc_id") == F.col("node"), "left").select("center", "doc_id", "n", "big", F.coalesce("component", "doc_id").alias("component"))
+    # big blocks by sizes: partners stand in the same band or in neighbouring ones, and meet in one of two
+    near_size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    bands = F.explode(F.when(F.col("big"), F.array(near_size, near_size + 1)).otherwise(F.array(F.lit(-1)))).alias("band")
+    labelled = staged(labelled.select("center", bands, "doc_id", "n", "component"), "labelled")
+    # blocks in parts of about so many sets, or the shingles of so many usual ones
+    load = lambda k, n: F.ceil(F.greatest(F.col(k) / searched, F.col(n) / (searched * USUAL))).cast("int")
+
+    def dealt_out(members: DataFrame, payload: DataFrame) -> DataFrame:
+        """Members of blocks of several components, part by part, with their payload; those outside the
+        largest component are asked for in every part."""
+        split = members.groupBy("center", "band", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).groupBy("center", "band").agg(
+            F.count(F.lit(1)).alias("components"), F.max_by(F.struct("component", "k", "n"), F.struct("k", -F.col("component"))).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+        split = split.filter("components > 1").select("center", "band", F.col("most.component").alias("largest"), "k", "n", (F.col("k") - F.col("most.k")).alias("rest_k"), (F.col("n") - F.col("most.n")).alias("rest_n"))
+        split = split.select("center", "band", "largest", load("k", "n").alias("parts"), load("rest_k", "rest_n").alias("chunks"))
+        block = members.select("*", own).join(split.select("*", own), ["spot", "center", "band"]).withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        key = ["center", "band", "doc_id", "component"]
+        there = block.select(*key, "p", every("chunks").alias("c"), F.lit(False).alias("asked"))
+        asked = block.filter("component <> largest").withColumn("c", F.pmod(F.hash("doc_id"), F.col("chunks")).cast("int")).select(*key, every("parts").alias("p"), "c", F.lit(True).alias("asked"))
+        grid = there.union(asked).groupBy(*key, "p", "c").agg(F.max("asked").alias("asked")).join(payload, "doc_id")
+        return grid.withColumn("spot", F.concat_ws("-", "center", "band", "p", "c")).repartition(width, "spot").sortWithinPartitions("spot")
+
+    # first by the shared shingles alone, then by whole sets
+    lists = at.groupBy("doc_id", "n").agg(F.collect_list("shingle").alias("shingles"))
+    promising = dealt_out(labelled, lists).select("spot", "center", "band", "doc_id", "component", "n", "shingles", "asked").mapInArrow(_promising(percent), "center long, band int, doc_id long")
+    promising = staged(promising.distinct(), "promising")
+    grid = dealt_out(labelled.join(promising, ["center", "band", "doc_id"], "left_semi"), whole).select("spot", "doc_id", "component", "set", "asked")
+    more = grid.mapInArrow(_search_blocks(percent), "u long, v long")
+
+    near = components(links.union(more))
     reps = sets.join(near, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     mark = F.hash("digest").alias("mark")
     out = info.select("*", mark).join(reps.select("*", mark), ["mark", "digest", "n"], "left")
@@ -392,26 +423,20 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, par
     return out.select("doc_id", F.col("n").alias("n_shingles"), lone.alias("component_id"))
 
 
-def _pack_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets by bucket -> per batch and bucket their digests, sizes and ids as bytes."""
-    for b in it:
-        to, digest, n, rep = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        order = np.argsort(to, kind="stable")
-        to, digest, n, rep = to[order], digest[order].astype(np.int64), n[order].astype(np.int64), rep[order].astype(np.int64)
-        cut = np.flatnonzero(np.diff(np.concatenate([[-1], to])))
-        ends = np.append(cut[1:], len(to))
-        yield pa.RecordBatch.from_arrays(
-            [_array(to[cut], pa.int32()), *(_array([x[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()) for x in (digest, n, rep))],
-            names=["bucket", "digests", "sizes", "ids"],
-        )
+def _least_shared(percent: int):
+    """``reach`` as a column: how many reduced shingles a set of size n must share."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SHARE))
 
 
 def _pack_whole(words: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
         for b in it:
             for at in range(0, b.num_rows, 500):
                 some = b.slice(at, 500)
-                sets = [shingle_set(t, words).tobytes() for t in some.column(1).to_pylist()]
+                sets = [shingle_set(z.decompress(t).decode(), words).tobytes() for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), _array(sets, pa.binary())], names=["doc_id", "set"])
 
     return batches

@@ -98,7 +98,7 @@ def test_sainte_lague_takes_the_highest_quotients(spark):
 def test_near_groups(spark, odd):
     expected = brute.near_groups([(r["doc_id"], r["text"]) for r in odd.collect()])
     for part in (256, 2):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(odd, part=part).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(odd, part=part, searched=part).collect()}
         assert got == expected
     assert ngram_join.near_groups(odd.limit(0)).count() == 0
     null_id = docs(spark, [(None, "a b c", "a"), (4, "a b c", "a")])
