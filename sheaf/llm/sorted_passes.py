@@ -3,8 +3,9 @@
 Each pass hashes every vector to the signs of its products with random directions, concatenated, and
 orders all vectors by that hash; vectors near each other tend to share a long beginning and so to
 stand near each other. Every vector is compared with its neighbours inside a window, in double
-precision; verified pairs of all passes are united. Work per pass is the number of vectors times the
-window, whatever the sizes of near-copy groups.
+precision; the links of all passes are united to components. Then every vector is compared with its
+whole component, tile by tile, and its links are counted: the window bounds the search for
+components, not the number of links. Pairs are nowhere written, only a tree of each block's links.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from sheaf.llm.shared import shuffle_width, staged
 COSINE = 0.95
 #: Sorted orders, neighbours compared on each side, signs in a hash.
 PASSES, WINDOW, SIGNS = 16, 512, 48
+#: Vectors of a component in one side of a tile, about.
+TILE = 1024
 
 
 def _usable(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,51 +65,104 @@ def _hashes(passes: int, signs: int, seed: int):
     return batches
 
 
-def _compare(window: int, cosine: float):
-    """Blocks of neighbours -> linked pairs (u < v). A block holds its own rows and those of the one before."""
+def _tree(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (x, y), as places in ids -> pairs that connect the same ids, one per linked id but the least of each component."""
+    least = np.arange(len(ids))
+    while True:
+        now = least.copy()
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(now, x, low)
+        np.minimum.at(now, y, low)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    at = np.nonzero(least != np.arange(len(ids)))[0]
+    return ids[least[at]], ids[at]
 
-    def links(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        u, v = [], []
-        for order in sorted({(r[3], r[4]) for r in rows}):
-            some = [r for r in rows if (r[3], r[4]) == order]
-            own = [r for r in some if r[5]]
-            if not own:
-                continue
-            a, b = _unit([r[2] for r in some]), _unit([r[2] for r in own])
-            at_a, at_b = np.array([r[6] for r in some]), np.array([r[6] for r in own])
-            ids_a, ids_b = np.array([r[1] for r in some]), np.array([r[1] for r in own])
-            i, j = np.nonzero((a @ b.T) >= cosine)
-            gap = at_b[j] - at_a[i]
-            near = (gap > 0) & (gap <= window)
-            x, y = ids_a[i[near]], ids_b[j[near]]
-            u.append(np.minimum(x, y)), v.append(np.maximum(x, y))
-        return u, v
+
+def _by_key(of):
+    """Arrow batches sorted by their first column -> the batches that ``of`` yields for the rows of each of its values."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
-
-        def done():
-            u, v = links(rows)
-            for x, y in zip(u, v):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["u", "v"])
-
         for b in it:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != now:
                     if rows:
-                        yield from done()
+                        yield from of(rows)
                     now, rows = row[0], []
                 rows.append(row)
         if rows:
-            yield from done()
+            yield from of(rows)
 
     return batches
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, signs: int = SIGNS, seed: int = 7) -> DataFrame:
+def _compare(window: int, cosine: float):
+    """Blocks of neighbours -> a tree of their links. A block holds its own rows and those of the one before."""
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for order in sorted({(r[3], r[4]) for r in rows}):
+            some = [r for r in rows if (r[3], r[4]) == order]
+            own = np.array([k for k, r in enumerate(some) if r[5]], dtype=np.int64)
+            if not len(own):
+                continue
+            unit, at = _unit([r[2] for r in some]), np.array([r[6] for r in some])
+            i, j = np.nonzero((unit @ unit[own].T) >= cosine)
+            j = own[j]
+            gap = at[j] - at[i]
+            near = (gap > 0) & (gap <= window)
+            u, v = _tree(np.array([r[1] for r in some]), i[near], j[near])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return _by_key(links)
+
+
+def _count(cosine: float):
+    """Tiles of a component -> vec_id and the number of vectors it links with there. A tile holds the rows of two
+    parts, or of one, whose rows are compared with each other."""
+
+    def counts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        first = np.array([r[1] for r in rows])
+        unit, copies, ids = _unit([r[3] for r in rows]), np.array([r[4] for r in rows], dtype=np.int64), np.array([r[2] for r in rows])
+        a, b = np.nonzero(first)[0], np.nonzero(~first)[0]
+        n = np.zeros(len(rows), np.int64)
+        if rows[0][5]:
+            linked = np.triu((unit @ unit.T) >= cosine, 1)
+            n += linked @ copies + copies @ linked
+        elif len(a) and len(b):
+            linked = (unit[a] @ unit[b].T) >= cosine
+            n[a], n[b] = linked @ copies[b], copies[a] @ linked
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n)], names=["rep", "n"])
+
+    return _by_key(counts)
+
+
+def _links_within(copies: DataFrame, near: DataFrame, cosine: float, tile: int, width: int) -> DataFrame:
+    """rep, others: with how many vectors of its component each vector links, copies counted.
+
+    A component is dealt by hash into parts of about ``tile`` vectors; each pair of parts is a tile,
+    so that a large component is shared out among tasks. Keys made after a grouping, as in ``components``."""
+    sizes = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    spot = F.xxhash64("component").alias("spot")
+    members = near.select("*", spot).join(sizes.select("*", spot), ["spot", "component"]).select(F.col("node").alias("rep"), "component", "parts")
+    spot = F.hash("rep").alias("spot")
+    members = members.select("*", spot).join(copies.select("rep", "vector", "copies", spot), ["spot", "rep"])
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    members = members.select("rep", "component", "vector", "copies", "parts", part.alias("part"))
+    dealt = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    key = F.struct("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    dealt = dealt.select(F.to_json(key).alias("tile"), (F.col("part") <= F.col("other")).alias("first"), "rep", "vector", "copies", (F.col("part") == F.col("other")).alias("same"))
+    counted = dealt.repartition(width, "tile").sortWithinPartitions("tile").mapInArrow(_count(cosine), "rep long, n long")
+    return counted.groupBy("rep").agg(F.sum("n").alias("others"))
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, signs: int = SIGNS, seed: int = 7, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of ``vectors`` (vec_id, embedding).
 
-    Pairs with a cosine of at least ``cosine`` that some pass finds are linked, none below it.
+    Pairs with a cosine of at least ``cosine`` are linked, none below it. Those of one component are
+    all counted; a component is what the links that some pass finds connect.
     Equal vectors are always linked, whatever their number. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, nor do vectors of different lengths. A row
     without vec_id has no links and a null component and is not kept; rows that repeat a vec_id
@@ -120,8 +176,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     copies = usable.groupBy("vector", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = staged(copies, "distinct-vectors")
 
-    order = ["pass", "dim", "key", "vec_id"]
-    hashed = copies.select(F.col("rep").alias("vec_id"), "vector", "dim").mapInArrow(_hashes(passes, signs, seed), "pass int, dim int, key long, vec_id long, vector binary")
+    # equal keys stand in another order in each pass
+    order = ["pass", "dim", "key", "tie", "vec_id"]
+    hashed = copies.select(F.col("rep").alias("vec_id"), "vector", "dim").mapInArrow(_hashes(passes, signs, seed), "pass int, dim int, key long, vec_id long, vector binary").withColumn("tie", F.xxhash64("pass", "vec_id"))
     ordered = hashed.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     ordered = staged(ordered.select("pass", "dim", "vec_id", "vector", "at"), "ordered")
     # place in the whole order: rows of earlier partitions and rows before it in its own; one row per partition here
@@ -136,11 +193,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     pairs = dealt.repartition(width, "block").sortWithinPartitions("block", "at").mapInArrow(_compare(window, cosine), "u long, v long")
     pairs = staged(pairs.distinct(), "pairs")
 
-    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    number = copies.select(F.col("rep").alias("v"), "copies")
-    spot = F.hash("v").alias("spot")
-    counted = both.select("*", spot).join(number.select("*", spot), ["spot", "v"]).groupBy(F.col("u").alias("rep")).agg(F.sum("copies").alias("others"))
-    near = components(pairs)
+    near = staged(components(pairs), "components")
+    counted = _links_within(copies, near, cosine, tile, width)
     found = copies.join(counted, "rep", "left").join(near, F.col("rep") == F.col("node"), "left")
     found = found.select("vector", "dim", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     spot = F.xxhash64("vector").alias("spot")

@@ -186,6 +186,22 @@ def test_recall_of_sorted_passes(spark):
     assert sum(got.values()) >= 0.9 * degree.sum() > 0 and rng
 
 
+def test_links_of_large_groups_of_vectors(spark):
+    """Groups larger than the window: scaled copies, tight and loose ones; every link is counted."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 64))
+    rows = [base[0] * s for s in rng.uniform(0.5, 2, 700)]
+    rows += [base[1] + 0.0005 * rng.normal(size=64) for _ in range(700)]
+    rows += [base[2] + 0.2 * rng.normal(size=64) for _ in range(700)]
+    m = np.array(rows)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    degree = ((m @ m.T) >= 0.95).sum(axis=1) - 1
+    assert degree[:1400].min() == 699 and 100 < degree[1400:].mean() < 690
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in sorted_passes.near_vectors(df, window=64, tile=128).collect()}
+    assert got == dict(enumerate(degree.tolist()))
+
+
 def test_bpe(spark, odd):
     import public_tokenizers as P
     import tiktoken
