@@ -325,6 +325,16 @@ def test_network_prefers_text_in_order(spark):
     assert mean(held) > mean([" ".join(rng.sample(t.split(), len(t.split()))) for t in held])
 
 
+def test_network_is_trained_on_every_place(spark):
+    texts = ["one two", "three", "four five six seven", None, "", "eight nine"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    words = pseudo_lm.vocabulary(pseudo_lm.count_words(d))
+    context, target, _ = pseudo_lm.windows([words.of(t or "") for t in texts], words.edge)
+    net, got = pseudo_lm.new_net(words), pseudo_lm.train(d, words)
+    pseudo_lm.train_on(net, context, words.group[target])
+    assert len(target) == 9 and all(np.allclose(net[k], got[k], atol=1e-5) for k in net)
+
+
 def test_probabilities_sum_to_one(spark):
     words = pseudo_lm.vocabulary(spark.createDataFrame([(f"w{i}", 100 - i) for i in range(90)], "word string, n long"), 80)
     net = pseudo_lm.new_net(words)
