@@ -20,7 +20,7 @@ def payloads(s, d):
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     a = A(s, d).withColumn("part", F.floor(F.col("seq") / 20))
     date, iso = F.date_format("published_at", "dd MMM yyyy HH:mm:ss"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")
-    body = esc(F.substring("content", 1, 400))
+    body = esc(F.col("content"))
     item = F.concat(F.lit("<item><title>"), esc(F.col("title")), F.lit("</title>"), F.when(F.col("seq") % 19 == 0, "").otherwise(F.concat(F.lit("<link>"), esc(F.col("url")), F.lit("</link>"))), F.lit("<description>"), body, F.lit("</description>"),
                     F.when(F.col("published_at").isNull(), "").otherwise(F.concat(F.lit("<pubDate>Mon, "), date, F.lit(" GMT</pubDate>"))), F.lit("<category>a</category><category>b</category><guid>"), "id", F.lit("</guid></item>"))
     entry = F.concat(F.lit("<entry><title>"), esc(F.col("title")), F.lit('</title><link href="'), esc(F.col("url")), F.lit('"/><summary>'), body, F.lit("</summary>"), F.when(F.col("published_at").isNull(), "").otherwise(F.concat(F.lit("<published>"), iso, F.lit("Z</published>"))), F.lit("<id>"), "id", F.lit("</id></entry>"))

@@ -61,3 +61,13 @@ def test_feed_items(spark):
     got = {(r["feed_url"], r["position"], r["title"], r["link"]) for r in feeds.items(df).collect()}
     assert got == {("r", 0, "A", "https://a"), ("r", 1, "B", None), ("a", 0, "C", "https://c")}
     assert {r["feed_url"]: r["title"] for r in feeds.metadata(df).collect()} == {"r": "T", "a": "X", "n": "Untitled Feed", "b": "Untitled Feed"}
+
+
+def test_feed_payloads_hold_whole_texts(spark, data):
+    from sheaf.plans import pages
+
+    tidy = lambda c: F.md5(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    want = pages.A(spark, data).select("title", tidy(F.coalesce("content", F.lit(""))).alias("body"))
+    got = feeds.items(pages.payloads(spark, data)).select("title", tidy(F.coalesce("description", "summary", F.lit(""))).alias("body"))
+    assert pages.A(spark, data).filter("length(content) > 400").count() > 0
+    assert got.count() == want.count() and got.select("body").exceptAll(want.select("body")).count() == 0
