@@ -1,45 +1,51 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
-Documents are sets of hashed word shingles. Two sets with Jaccard similarity of at least p % overlap
-in a number of shingles that grows with their sizes, which gives three exact steps:
+Documents are sets of hashed word shingles; equal sets count once through all steps. Two sets with a
+Jaccard similarity of at least p % overlap in a number of shingles that grows with their sizes,
+which gives four exact steps:
 
 1. Sets are reduced to their least shingle hashes. Partners must share a share of those, so a set
    of whose reduced shingles too few occur in any other set has no partner. Most sets end here.
-2. The others meet in blocks: each shared reduced shingle sends its sets to the block of the least
-   set that has it, the block's center. Partners share a reduced shingle, so they share a block.
-   Each set is compared with the center that it shares most with, which links most groups already.
-3. In blocks that are not in one component by now, whose lists are local, a T-occurrence search finds
-   the sets that overlap enough: short inverted lists are merged, long ones probed by binary search
-   (DivideSkip), first over the shared shingles, then over the whole sets of those that may link. Sets outside the block's largest component are searched for among all sets, large
-   blocks part by part.
-
-Links become components. Sets that are equal count once through all steps.
+2. In how many of the sets left each of their shingles occurs is counted. A set of which too few
+   shingles occur in another one ends here. The others are ordered by that number, rare shingles
+   first; partners share one of the first n - T + 1, where T is the least overlap. A shingle sends
+   the sets that have it among those to the block of the least set of them, its center.
+3. Inside a block, whose inverted lists are local, each set searches for the sets that overlap in T
+   shingles: short lists are merged by a heap with skips, long ones probed by binary search
+   (DivideSkip). Sets that a search before has united with the largest component need not search:
+   each link has an end that does, or joins what is joined. Out comes a tree of the links.
+4. Blocks too large for one task are searched part by part, then the sets outside the block's largest
+   component are searched for in the other parts.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sheaf.llm.components import components
 from sheaf.llm.shared import packed_texts, shuffle_width, staged, text_or_empty
 
 WORDS = 5
 PERCENT = 80
-#: Sets that are compared with their center by one task; larger blocks are also split by size bands.
-PART = 256
-#: Usual sets that are searched together: a block in p parts of which c are asked for moves its sets c
-#: times, so a small part costs more shuffle than it saves memory.
-SEARCHED = 1024
-#: Shingles of a usual set; longer ones count for more.
+#: Usual sets that are searched together by one task; longer ones count for more.
+PART = 512
+#: Shingles of a usual set.
 USUAL = 512
+#: Bytes of text whose reduced shingles are dealt to one bucket, about.
+BUCKET = 32 << 20
+#: Searches before the largest component of a part is told.
+FIRST = 16
 
 #: Reduced sets hold a part of so many more shingles than partners may differ in. A smaller number means
-#: more shingles to move and fewer sets and blocks left.
+#: more shingles to move and fewer sets left.
 SHARE = 5
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -62,13 +68,14 @@ _letters = _mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 _turns = _mix(np.arange(1, 65, dtype=np.uint64) * _MULTIPLIER) | np.uint64(1)
 
 
-def _word_hashes(b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of some bytes, all words at once, by letters and their places."""
+
+def _word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some bytes, all words at once, by letters and their places; and where each begins."""
     space = _SPACE[b]
     edge = np.flatnonzero(np.concatenate([[not space[0]], space[1:] != space[:-1], [not space[-1]]]))
     sizes = edge[1::2] - edge[0::2]
     if not len(sizes):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), edge
     letters = b[~space]
     begin = np.cumsum(sizes) - sizes
     place = np.arange(len(letters)) - np.repeat(begin, sizes)
@@ -76,22 +83,40 @@ def _word_hashes(b: np.ndarray) -> np.ndarray:
     each = _letters[letters] * _turns[place & 63]
     if long.any():
         each[long] = _mix(each[long] + (place[long] >> 6).astype(np.uint64) * _MULTIPLIER)
-    return _mix(np.add.reduceat(each, begin) ^ sizes.astype(np.uint64))
+    return _mix(np.add.reduceat(each, begin) ^ sizes.astype(np.uint64)), edge[0::2]
+
+
+def shingle_sets(texts: list[str], words: int = WORDS, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Of each whole text the distinct 64-bit hashes of its word shingles, ascending; A-Z lower-cased first.
 
+    Fewer words than ``words`` make one shingle, no word none. Texts are hashed together, about
+    ``at_once`` bytes at a time."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append(text.encode())
+        size += len(held[-1])
+        if size >= at_once or i == len(texts) - 1:
+            yield from _sets_of(held, words)
+            held, size = [], 0
 
-def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles of a whole text, ascending; A-Z lower-cased first.
 
-    Fewer words than ``words`` make one shingle, no word none."""
-    b = _LOWER[np.frombuffer(text.encode(), dtype=np.uint8)]
-    w = _word_hashes(b) if len(b) else np.zeros(0, np.uint64)
-    if not len(w):
-        return w
-    n = min(words, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
+def _sets_of(raw: list[bytes], words: int) -> Iterator[np.ndarray]:
+    b = _LOWER[np.frombuffer(b"\n".join(raw), dtype=np.uint8)]
+    w, begin = _word_hashes(b) if len(b) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    cut = np.searchsorted(begin, np.cumsum([0] + [len(r) + 1 for r in raw]))
+    h = np.full(max(0, len(w) - words + 1), words, np.uint64)
+    for k in range(words):
         h += w[k : k + len(h)] * _turns[k]
-    return np.unique(_mix(h))
+    h = _mix(h)
+    for first, end in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        n = end - first
+        if n >= words:
+            s = np.sort(h[first : end - words + 1])
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+        elif n:
+            yield _mix(np.array([n], np.uint64) + (w[first:end] * _turns[:n]).sum(dtype=np.uint64))
+        else:
+            yield w[:0]
 
 
 def needed(n: int, percent: int) -> int:
@@ -113,336 +138,442 @@ def band(n: int, percent: int) -> int:
     return int(math.log(n) / math.log(100 / percent) + 1e-9)
 
 
-def required(n: np.ndarray, m: int, percent: int) -> np.ndarray:
-    """Least overlap at which sets of sizes n and m link: 100 o >= p (n + m - o)."""
-    return -(-(n + m) * percent // (100 + percent))
+def digest_of(s: np.ndarray) -> int:
+    """64 bits that stand for a whole set, as a signed number; 0 for the empty one."""
+    if not len(s):
+        return 0
+    mixed = np.bitwise_xor.reduce(_mix(s * _MULTIPLIER)) + np.uint64(len(s))
+    return int(_mix(np.array([mixed], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _array(values, kind) -> pa.Array:
-    return pa.array(values, kind)
+PACKED = "bucket int, kind int, owners binary, shingles binary, extra binary"
+_TYPES = [pa.int32()] * 2 + [pa.binary()] * 3
+_NAMES = [x.split()[0] for x in PACKED.split(", ")]
+#: Kinds of packed rows: documents, shingles of sets, numbers of shared shingles, sizes of sets.
+DOCUMENTS, SHINGLES, SHARED, SIZES = 0, 1, 2, 3
 
 
-def _pack_reduced(buckets: int, words: int, percent: int):
-    """Documents -> per batch and bucket the reduced shingles with the digests of their sets, and (kind
-    0) the documents' ids, sizes and digests. Equal sets of a batch send their shingles once."""
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Arrays go as bytes, so that Spark moves few long rows instead of many short ones."""
+    columns = [[r[i] if i < 2 else r[i].tobytes() for r in rows] for i in range(5)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for at in range(0, b.num_rows, 2000):
-                some = b.slice(at, 2000)
-                sizes, digests, seen = [], [], set()
-                shingles, owners, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-                for text in some.column(1).to_pylist():
-                    s = shingle_set(text, words)
-                    n = len(s)
-                    digest = _mix(np.array([np.bitwise_xor.reduce(_mix(s * _MULTIPLIER)) + np.uint64(n) if n else np.uint64(0)], dtype=np.uint64))[0]
-                    sizes.append(n), digests.append(digest)
-                    if n and digest not in seen:
-                        seen.add(digest)
-                        head = s[: reach(n, percent)[0]]
-                        shingles.append(head), owners.append(np.full(len(head), digest)), bands.append(np.full(len(head), band(n, percent), np.uint8))
-                ids = [-1 if i is None else i for i in some.column(0).to_pylist()]
-                known = np.array([i is not None for i in some.column(0).to_pylist()], np.uint8)
-                d = np.array(digests, dtype=np.uint64)
-                a, o, w = np.concatenate(shingles), np.concatenate(owners), np.concatenate(bands)
-                which = ((a >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(which, kind="stable")
-                a, o, w, which = a[order], o[order], w[order], which[order]
-                cut = np.flatnonzero(np.diff(np.concatenate([[-1], which])))
-                ends = np.append(cut[1:], len(a))
-                # half of a shingle's hash is enough here: two that agree on it can only let a set through too many
-                a = (a >> np.uint64(24)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([
-                    _array([int(d[0] % np.uint64(buckets)), *which[cut].tolist()], pa.int32()),
-                    _array([0] + [1] * len(cut), pa.int32()),
-                    _array([np.array(sizes, np.int64).tobytes()] + [a[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
-                    _array([d.tobytes()] + [o[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
-                    _array([np.array(ids, np.int64).tobytes()] + [None] * len(cut), pa.binary()),
-                    _array([known.tobytes()] + [w[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary()),
-                ], names=["bucket", "kind", "shingles", "owners", "ids", "bands"])
 
-    return batches
+_NOTHING = np.zeros(0, np.int64)
+
 
+def _dealt(which: np.ndarray, kind: int, *arrays: np.ndarray) -> list[tuple]:
+    """A packed row for each value of ``which``, the bucket of each element of the arrays, two or three."""
+    if not len(which):
+        return []
+    order = np.argsort(which, kind="stable")
+    which, arrays = which[order], [a[order] for a in arrays]
+    cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    rest = [_NOTHING] * (3 - len(arrays))
+    return [(int(which[s]), kind, *(a[s:e] for a in arrays), *rest) for s, e in zip(cut, np.append(cut[1:], len(which)))]
 
-PACKED = "bucket int, kind int, shingles binary, owners binary, ids binary, bands binary"
 
+def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
 
-def _by_bucket(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of a partition sorted by its first column, one bucket at a time."""
+
+class Held:
+    """Owners and what goes with them, gathered over the buckets of a task and dealt out by owner."""
+
+    def __init__(self, kind: int, parts: int, most: int = 1 << 22):
+        self.kind, self.parts, self.most, self.arrays, self.n = kind, parts, most, [], 0
+
+    def add(self, owners: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.arrays.append((owners, *arrays))
+        self.n += len(owners)
+        if self.n >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            owners, *arrays = (np.concatenate(a) for a in zip(*self.arrays))
+            yield _packed(_dealt(_bucket_of(owners, self.parts), self.kind, owners, *arrays))
+        self.arrays, self.n = [], 0
+
+
+def _column(rows: list[tuple], at: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(r[at] for r in rows), dtype=kind)
+
+
+def _by_key(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of a partition sorted by its first column, those of one value at a time."""
     now, rows = None, []
     for b in it:
-        for row in zip(*(b.column(n).to_pylist() for n in names)):
+        for row in zip(*(c.to_pylist() for c in b.columns)):
             if row[0] != now:
                 if rows:
-                    yield now, rows
+                    yield rows
                 now, rows = row[0], []
             rows.append(row)
     if rows:
-        yield now, rows
+        yield rows
+
 
+def _pack_reduced(buckets: int, words: int, percent: int):
+    """Documents (doc_id, text) -> by bucket the reduced shingles with the digests and bands of their
+    sets; and ids, sizes and digests. Equal sets of a batch send their shingles once."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 2000):
+                some = b.slice(at, 2000)
+                sizes, digests, alike, heads = [], [], [], {}
+                for s in shingle_sets(some.column(1).to_pylist(), words):
+                    digest, head = digest_of(s), s[: reach(len(s), percent)[0]] if len(s) else s
+                    # half of a shingle's hash goes on; halves that are alike in a set count for shared, so none is lost
+                    half = (head >> np.uint64(32)).astype(np.uint32)
+                    sizes.append(len(s)), digests.append(digest), alike.append(int((half[1:] == half[:-1]).sum()))
+                    if len(s):
+                        heads[digest] = head, half, band(len(s), percent)
+                ids = some.column(0).to_pylist()
+                facts = np.array([sizes, alike, [i is not None for i in ids], [i or 0 for i in ids]], dtype=np.int64)
+                digests = np.array(digests, dtype=np.int64)
+                rows = [(int(_bucket_of(digests[:1], buckets)[0]), DOCUMENTS, digests, facts, _NOTHING)]
+                if heads:
+                    long = [len(h[0]) for h in heads.values()]
+                    owners, bands = np.repeat(np.array(list(heads), np.int64), long), np.repeat(np.array([h[2] for h in heads.values()], np.uint8), long)
+                    which = _bucket_of(np.concatenate([h[0] for h in heads.values()]), buckets)
+                    rows += _dealt(which, SHINGLES, owners, np.concatenate([h[1] for h in heads.values()]), bands)
+                yield _packed(rows)
+
+    return batches
 
-def _shared_shingles():
-    """Per bucket: (set's digest, shared shingles) of the sets that share shingles of this bucket with
-    another set of a possible size, and one row per document: id, size, digest."""
+
+def _shared_shingles(parts: int):
+    """Per bucket: for each set the number of its shingles here that another set of a possible size has,
+    dealt into ``parts`` by the set's digest; and the rows of documents as they came."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(it, ["bucket", "kind", "shingles", "owners", "ids", "bands"]):
-            for r in rows:
-                if r[1] == 0:
-                    sizes, ids = np.frombuffer(r[2], np.int64), np.frombuffer(r[4], np.int64)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(ids, mask=np.frombuffer(r[5], np.uint8) == 0), pa.array(sizes), pa.array(np.frombuffer(r[3], np.int64)), pa.nulls(len(ids), pa.list_(pa.int64())),
-                    ], names=["doc_id", "n", "digest", "shingles"])
-            s = np.frombuffer(b"".join(r[2] for r in rows if r[1]), dtype=np.uint32)
-            o = np.frombuffer(b"".join(r[3] for r in rows if r[1]), dtype=np.uint64)
-            if not len(s):
-                continue
-            w = np.frombuffer(b"".join(r[5] for r in rows if r[1]), dtype=np.uint8).astype(np.int16)
-            order = np.lexsort((o, w, s))
-            s, o, w = s[order], o[order], w[order]
-            new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
-            s, o, w = s[new], o[new], w[new]
-            # shared: another set of a possible size has it too; in order of bands that is a neighbour
-            pair = (s[1:] == s[:-1]) & (w[1:] - w[:-1] <= 1)
-            several = np.concatenate([[False], pair]) | np.concatenate([pair, [False]])
-            s, o = s[several].astype(np.int64) | (bucket << 32), o[several]
-            if not len(s):
-                continue
-            order = np.argsort(o, kind="stable")
-            s, o = s[order], o[order]
-            cut = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(o[cut].view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.append(cut, len(s)).astype(np.int32)), pa.array(s)),
-            ], names=["doc_id", "n", "digest", "shingles"])
+        held = Held(SHARED, parts)
+        for rows in _by_key(it):
+            yield _packed([(r[0], DOCUMENTS, _column([r], 2, np.int64), _column([r], 3, np.int64), _NOTHING) for r in rows if r[1] == DOCUMENTS])
+            some = [r for r in rows if r[1] == SHINGLES]
+            if some:
+                o, s, w = _column(some, 2, np.int64), _column(some, 3, np.uint32), _column(some, 4, np.uint8).astype(np.int16)
+                order = np.lexsort((o, w, s))
+                s, o, w = s[order], o[order], w[order]
+                new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
+                s, o, w = s[new], o[new], w[new]
+                # shared: another set of a possible size has it too; in order of bands that is a neighbour
+                pair = (s[1:] == s[:-1]) & (w[1:] - w[:-1] <= 1)
+                several = np.concatenate([[False], pair]) | np.concatenate([pair, [False]])
+                owner, k = np.unique(o[several], return_counts=True)
+                yield from held.add(owner, k.astype(np.int32))
+        yield from held.rest()
 
     return batches
 
 
-def divide_skip(query: np.ndarray, keys: np.ndarray, starts: np.ndarray, posts: np.ndarray, places: np.ndarray, threshold: int, n_sets: int) -> np.ndarray:
-    """Sets that share at least ``threshold`` shingles with ``query``.
+def _document_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for owners, facts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            n, alike, known, ids = np.frombuffer(facts, np.int64).reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(n), pa.array(np.frombuffer(owners, np.int64)), pa.array(alike)], names=["doc_id", "n", "digest", "alike"])
 
-    The inverted lists are ``posts[starts[i]:starts[i + 1]]`` for ``keys[i]``, both ascending;
-    ``places`` is ``i * n_sets + posts``. The longest lists, fewer than the threshold, are put aside; the short ones are merged and counted; a
-    set that could still reach the threshold is looked up in each long list by binary search."""
-    at = np.minimum(np.searchsorted(keys, query), len(keys) - 1)
-    at = at[keys[at] == query]
-    lengths = starts[at + 1] - starts[at]
-    order = np.argsort(-lengths, kind="stable")
-    at, lengths = at[order], lengths[order]
-    # as many long lists as DivideSkip's balance of merging against probing says
-    n_long = min(len(at), threshold - 1, int(threshold / (0.01 * math.log(max(2, n_sets)) + 1)))
-    short, n = at[n_long:], lengths[n_long:]
-    if not len(short):
-        return np.zeros(0, np.int64)
-    merged = posts[np.repeat(starts[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    count = np.bincount(merged, minlength=n_sets)
-    found = np.flatnonzero(count >= max(1, threshold - n_long))
-    if n_long and len(found):
-        # list number and set together ascend over all lists, so one search probes all of them
-        probe = (at[:n_long, None] * n_sets + found[None, :]).ravel()
-        place = np.minimum(np.searchsorted(places, probe), len(places) - 1)
-        count[found] += (places[place] == probe).reshape(n_long, -1).sum(axis=0)
-    return found[count[found] >= threshold]
-
-
-def inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    keys, first = np.unique(flat[order], return_index=True)
-    starts, posts = np.append(first, len(flat)), owner[order]
-    return keys, starts, posts, np.repeat(np.arange(len(keys)), np.diff(starts)) * len(sets) + posts
-
-
-def partners(sets: list[np.ndarray], queries: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (query, other) that link, by T-occurrence search and a check of each found set's size."""
-    keys, starts, posts, places = inverted(sets)
-    sizes = np.array([len(s) for s in sets])
-    for q in queries:
-        n = len(sets[q])
-        low = needed(n, percent)  # no partner is smaller, or overlaps less
-        for j in divide_skip(sets[q], keys, starts, posts, places, low, len(sets)):
-            j = int(j)
-            if j != q and sizes[j] * 100 >= n * percent and n * 100 >= sizes[j] * percent:
-                need = int(required(sizes[j : j + 1], n, percent)[0])
-                if need <= low or len(np.intersect1d(sets[q], sets[j], assume_unique=True)) >= need:
-                    yield q, j
-
-
-def _compare_with_center(percent: int):
-    """Sets beside their center, by spot -> links u, v."""
+
+def _sum_shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _by_key(it):
+        owner, at = np.unique(_column(rows, 2, np.int64), return_inverse=True)
+        k = np.bincount(at, weights=_column(rows, 3, np.int32), minlength=len(owner)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(k)], names=["digest", "k"])
+
+
+def _whole_sets(words: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for b in it:
+            for at in range(0, b.num_rows, 500):
+                sets = list(shingle_sets([z.decompress(t).decode() for t in b.column(1).slice(at, 500).to_pylist()], words))
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "set"])
+
+    return batches
+
+
+def _pack_whole(buckets: int, parts: int):
+    """Sets (digest, set) -> by bucket all their shingles with the sets' digests; and the sizes of sets, in ``parts``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(it, ["spot", "center", "doc_id", "set"]):
-            center = rows[0][1]
-            own = next(np.frombuffer(r[3], dtype=np.uint64) for r in rows if r[2] == center)
-            u = []
-            for r in rows:
-                s = np.frombuffer(r[3], dtype=np.uint64)
-                if r[2] != center and len(s) * 100 >= percent * len(own) and len(own) * 100 >= percent * len(s):
-                    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                    o = int((own[at] == s).sum())
-                    if o * 100 >= percent * (len(s) + len(own) - o):
-                        u.append(r[2])
-            if u:
-                yield pa.RecordBatch.from_arrays([_array(u, pa.int64()), _array([center] * len(u), pa.int64())], names=["u", "v"])
+        for b in it:
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                digests, sets = np.array(some.column(0).to_pylist(), np.int64), some.column(1).to_pylist()
+                n = np.array([len(s) // 8 for s in sets], np.int64)
+                flat = np.frombuffer(b"".join(sets), dtype=np.uint64)
+                yield _packed(_dealt(_bucket_of(flat, buckets), SHINGLES, np.repeat(digests, n), flat) + _dealt(_bucket_of(digests, parts), SIZES, digests, n))
 
     return batches
 
 
-def _promising(percent: int):
-    """Parts of blocks with the shared shingles of their sets -> those that share enough of them with a
-    set of another component: center, band, doc_id. No set without such a partner links with one."""
+def _frequencies(parts: int):
+    """Per bucket: the shingles that several sets have, with the number of these sets, dealt into
+    ``parts`` by each set's digest; and the sizes of sets as they came."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(it, ["spot", "center", "band", "doc_id", "component", "n", "shingles", "asked"]):
-            asked = [i for i, r in enumerate(rows) if r[7]]
-            if not asked:
+        held = Held(SHARED, parts)
+        for rows in _by_key(it):
+            yield _packed([(r[0], SIZES, _column([r], 2, np.int64), _column([r], 3, np.int64), _NOTHING) for r in rows if r[1] == SIZES])
+            some = [r for r in rows if r[1] == SHINGLES]
+            if some:
+                o, s = _column(some, 2, np.int64), _column(some, 3, np.uint64)
+                order = np.lexsort((o, s))
+                s, o = s[order], o[order]
+                new = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])
+                s, o = s[new], o[new]
+                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                df = np.diff(np.append(first, len(s)))
+                df = np.repeat(df, df)
+                s, o, df = (a[df > 1] for a in (s, o, df))
+                order = np.argsort(o, kind="stable")
+                # only the order counts from here on, and any that is the same for all sets will do
+                yield from held.add(o[order], s[order], np.minimum(df[order], 65535).astype(np.uint16))
+        yield from held.rest()
+
+    return batches
+
+
+def _rare_first(percent: int):
+    """Per bucket of digests -> digest, n, shingle: of each set with enough shared shingles the rarest
+    ones, so many that each partner has one of them among its own. Shingles that no other set has
+    come before them in the order."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(it):
+            some, sizes = [r for r in rows if r[1] == SHARED], [r for r in rows if r[1] == SIZES]
+            if not some:
                 continue
-            sets = [np.sort(np.array(r[6], dtype=np.int64)).view(np.uint64) for r in rows]
-            keys, starts, posts, places = inverted(sets)
-            sizes, component = np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
-            near = np.zeros(len(rows), bool)
-            for q in asked:
-                j = divide_skip(sets[q], keys, starts, posts, places, reach(int(sizes[q]), percent)[1], len(sets))
-                j = j[(component[j] != component[q]) & (sizes[j] * 100 >= sizes[q] * percent) & (sizes[q] * 100 >= sizes[j] * percent)]
-                near[j] = True
-                near[q] |= len(j) > 0
-            at = np.flatnonzero(near)
-            yield pa.RecordBatch.from_arrays([_array([rows[i][k] for i in at], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64()))], names=["center", "band", "doc_id"])
+            o, s, df = _column(some, 2, np.int64), _column(some, 3, np.int64), _column(some, 4, np.uint16)
+            order = np.lexsort((s, df, o))
+            s, o = s[order], o[order]
+            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            k = np.diff(np.append(first, len(o)))
+            known, at = np.unique(_column(sizes, 2, np.int64), return_index=True)
+            n = _column(sizes, 3, np.int64)[at][np.searchsorted(known, o[first])]
+            take = np.maximum(0, k - needed(n, percent) + 1)
+            kept = np.arange(len(o)) - np.repeat(first, k) < np.repeat(take, k)
+            yield pa.RecordBatch.from_arrays([pa.array(o[kept]), pa.array(np.repeat(n, k)[kept]), pa.array(s[kept])], names=["digest", "n", "shingle"])
 
     return batches
 
 
-def _search_blocks(percent: int):
-    """Parts of blocks, in which some sets are asked for -> links between sets of different components,
-    one for each pair of components, found by searching the part for each asked set."""
+class Lists:
+    """Inverted lists of some sets: of each shingle that several have, the sets that have it, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(self.n), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        long = np.diff(np.append(first, len(flat)))
+        several = np.repeat(long > 1, long)
+        self.posts, lengths = owner[several], long[long > 1]
+        self.keys, self.starts = flat[first][long > 1], np.concatenate([[0], np.cumsum(lengths)])
+        #: List number and set together ascend over all lists, so one search probes many lists.
+        self.places = np.repeat(np.arange(len(lengths)), lengths) * self.n + self.posts
+
+    def of(self, query: np.ndarray) -> np.ndarray:
+        """Numbers of the lists of a set's shingles, the longest first."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        return at[np.argsort(self.starts[at] - self.starts[at + 1], kind="stable")]
+
+
+def merge_skip(lists: list[list[int]], threshold: int) -> Iterator[tuple[int, int]]:
+    """(number, how many of the ascending lists hold it), for numbers that at least ``threshold`` hold.
+
+    A heap merges the lists. When the least number is in too few of them, lists are taken off up to
+    threshold - 1, and all of these skip to the next number on the heap: none before it can be in enough."""
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    while len(heap) >= threshold:
+        least = heap[0][0]
+        off = []
+        while heap and heap[0][0] == least:
+            off.append(heapq.heappop(heap)[1])
+        if len(off) >= threshold:
+            yield least, len(off)
+            to = least + 1
+        else:
+            while heap and len(off) < threshold - 1:
+                off.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            to = heap[0][0]
+        for i in off:
+            x = lists[i]
+            at[i] = bisect_left(x, to, at[i])
+            if at[i] < len(x):
+                heapq.heappush(heap, (x[at[i]], i))
+
+
+def divide_skip(lists: Lists, at: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets that are in at least ``threshold`` of the lists numbered ``at`` (the longest first), and in how many.
+
+    The longest lists, fewer than the threshold, are put aside; the short ones are merged; a set that
+    could still reach the threshold is looked up in each long list by binary search."""
+    if len(at) < threshold:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, posts = lists.starts, lists.posts
+    # as many long lists as DivideSkip's balance of merging against probing says
+    n_long = min(threshold - 1, int(threshold / (0.01 * math.log(max(2, starts[at[0] + 1] - starts[at[0]])) + 1)))
+    found = list(merge_skip([posts[starts[i] : starts[i + 1]].tolist() for i in at[n_long:]], threshold - n_long))
+    sets, count = np.array([f for f, _ in found], np.int64), np.array([k for _, k in found], np.int64)
+    step = max(1, (1 << 22) // max(1, n_long))
+    for a in range(0, len(sets) if n_long else 0, step):
+        probe = (at[:n_long, None] * lists.n + sets[None, a : a + step]).ravel()
+        place = np.minimum(np.searchsorted(lists.places, probe), len(lists.places) - 1)
+        count[a : a + step] += (lists.places[place] == probe).reshape(n_long, -1).sum(axis=0)
+    return sets[count >= threshold], count[count >= threshold]
+
+
+def partners(lists: Lists, sizes: np.ndarray, sets: list[np.ndarray], q: int, percent: int) -> np.ndarray:
+    """The sets that link with set q, q itself left out."""
+    n = len(sets[q])
+    j, overlap = divide_skip(lists, lists.of(sets[q]), needed(n, percent))  # no partner overlaps less
+    return j[(j != q) & (overlap * 100 >= percent * (n + sizes[j] - overlap))]
+
+
+def tree(sets: list[np.ndarray], labels: list[int], asked: list[int], percent: int, largest: int | None = None) -> Iterator[tuple[int, int]]:
+    """Links among sets that join components, which ``labels`` tell at first: places of two sets each.
+
+    The sets ``asked`` search among all. One that has got into the component of ``largest`` by then
+    need not: the other end of a link of it searches too, or is in that component. Where
+    ``largest`` is not given it is told after FIRST searches, once."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    lists, sizes = Lists(sets), np.array([len(s) for s in sets])
+    for i, q in enumerate(asked):
+        if largest is None and i == FIRST:
+            most, k = Counter(root(x) for x in labels).most_common(1)[0]
+            largest = most if k > 1 else None
+        if largest is not None and root(labels[q]) == root(largest):
+            continue
+        for j in partners(lists, sizes, sets, q, percent).tolist():
+            a, b = root(labels[q]), root(labels[j])
+            if a != b:
+                above[a] = b
+                yield q, j
+
+
+def _search(percent: int):
+    """Parts of blocks (spot, digest, set, label, asked, largest) -> a tree of the links of each."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(it, ["spot", "doc_id", "component", "set", "asked"]):
+        for rows in _by_key(it):
+            rows.sort(key=lambda r: r[1])  # digests are random, so the first ones are a fair choice
             asked = [i for i, r in enumerate(rows) if r[4]]
-            if not asked:
-                continue
-            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
-            found: dict[tuple[int, int], tuple[int, int]] = {}
-            for q, j in partners(sets, asked, percent):
-                a, b = rows[q][2], rows[j][2]
-                if a != b:
-                    found.setdefault((min(a, b), max(a, b)), (rows[q][1], rows[j][1]))
-            if found:
-                yield pa.RecordBatch.from_arrays([_array([a for a, _ in found.values()], pa.int64()), _array([b for _, b in found.values()], pa.int64())], names=["u", "v"])
+            if len(rows) > 1 and asked:
+                sets = [np.frombuffer(r[2], dtype=np.uint64) for r in rows]
+                pairs = [(rows[q][1], rows[j][1]) for q, j in tree(sets, [r[3] for r in rows], asked, percent, rows[0][5])]
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], names=["u", "v"])
 
     return batches
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part: int = PART, searched: int = SEARCHED) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``.
 
     Null or empty text, or text of white space only, has no shingles and links with nothing. Rows
-    without doc_id get n_shingles and a null component. Rows that repeat a doc_id must repeat its
-    text. Equal sets are linked whatever their number. Other columns are ignored; an empty table
-    gives an empty table. Shingles are told apart by 64-bit hashes.
+    without doc_id get n_shingles and a null component, and link nothing. Rows that repeat a doc_id
+    each have the component of their own text. Equal sets are linked whatever their number. Other
+    columns are ignored; an empty table gives an empty table. Shingles, and whole sets, are told
+    apart by 64-bit hashes.
     """
     width = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    packed = rows.mapInArrow(_pack_reduced(width * 4, words, percent), PACKED)
-    shared = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_shingles(), "doc_id long, n long, digest long, shingles array<long>")
-    shared = staged(shared, "shared")
-
-    info = shared.filter("shingles IS NULL").select("doc_id", "n", "digest")
-    sets = info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
-    sets = staged(sets, "distinct-sets")
-    # sets with enough shared shingles; a set's row number here is bounded by its own size
-    counts = shared.filter("shingles IS NOT NULL").groupBy("digest").agg(F.sum(F.size("shingles")).alias("k"))
-    enough = sets.join(counts, "digest").filter(F.col("k") >= _least_shared(percent)).select("digest", "rep", "n")
-    at = staged(shared.filter("shingles IS NOT NULL").select("digest", "shingles").join(enough, "digest").select(F.col("rep").alias("doc_id"), "n", F.explode("shingles").alias("shingle")), "candidates")
-    centers = at.groupBy("shingle").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    spot = F.xxhash64("shingle").alias("spot")
+    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(width, -(-volume // BUCKET))
+
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition(width, "bucket").sortWithinPartitions("bucket")
+
+    # 1: sets with enough shared reduced shingles
+    packed = by_bucket(rows.mapInArrow(_pack_reduced(buckets, words, percent), PACKED))
+    shared = staged(packed.mapInArrow(_shared_shingles(width), PACKED), "shared")
+    info = shared.filter(F.col("kind") == DOCUMENTS).mapInArrow(_document_rows, "doc_id long, n long, digest long, alike long")
+    sets = staged(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.max("alike").alias("alike")), "distinct-sets")
+    counts = by_bucket(shared.filter(F.col("kind") == SHARED)).mapInArrow(_sum_shared, "digest long, k long")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SHARE))
+    wanted = sets.join(counts, "digest").filter(F.col("k") + F.col("alike") >= least).select(F.col("rep").alias("doc_id")).distinct()
+    texts = packed_texts(rows.filter("doc_id IS NOT NULL")).join(wanted, "doc_id").select("doc_id", "packed")
+    whole = staged(texts.mapInArrow(_whole_sets(words), "digest long, set binary"), "sets")
+
+    # 2: their rarest shingles, and blocks of the sets that share one
+    frequent = by_bucket(whole.mapInArrow(_pack_whole(buckets, width), PACKED)).mapInArrow(_frequencies(width), PACKED)
+    rare = staged(by_bucket(frequent).mapInArrow(_rare_first(percent), "digest long, n long, shingle long"), "rare")
+    centers = rare.groupBy("shingle").agg(F.min("digest").alias("center"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     # a second key computed after the grouping: both sides are exchanged, and AQE can split a hot shingle
-    members = at.select("*", spot).join(centers.select("shingle", "center", spot), ["spot", "shingle"]).groupBy("center", "doc_id", "n").agg(F.count(F.lit(1)).alias("k"))
-    own = F.xxhash64("center").alias("spot")
-    big = members.groupBy("center").agg((F.count(F.lit(1)) > part).alias("big"))
-    members = members.select("*", own).join(big.select("*", own), ["spot", "center"]).drop("spot")
-    # Partners share at least this many shingles here, each with its center. In one order of centers,
-    # big blocks last, the last shingles of a set can go but for one: one that is shared comes before.
-    lay = Window.partitionBy("doc_id").orderBy("big", "center")
-    before = F.sum("k").over(lay) - F.col("k")
-    members = members.withColumn("needed", before < F.sum("k").over(Window.partitionBy("doc_id")) - _least_shared(percent) + 1)
+    spot = F.xxhash64("shingle").alias("spot")
+    members = rare.select("*", spot).join(centers.select("shingle", "center", spot), ["spot", "shingle"]).select("center", "digest", "n").distinct()
     members = staged(members, "members")
 
-    wanted = members.select("doc_id").distinct()
-    texts = packed_texts(rows.filter("doc_id IS NOT NULL")).join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    whole = staged(texts.mapInArrow(_pack_whole(words), "doc_id long, set binary"), "sets")
-
-    # each set beside the center that it shares most with; a center goes to every part of its sets
-    best = members.filter("doc_id <> center").groupBy("doc_id").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("center"))
-    size = best.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    dealt = best.select("*", own).join(size.select("*", own), ["spot", "center"]).select("center", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("p"))
-    dealt = dealt.union(size.select("center", F.col("center").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")))
-    spots = dealt.join(whole, "doc_id").select(F.concat_ws("-", "center", "p").alias("spot"), "center", "doc_id", "set")
-    links = staged(spots.repartition(width, "spot").sortWithinPartitions("spot").mapInArrow(_compare_with_center(percent), "u long, v long"), "links")
-
-    # blocks with sets of several components
+    # 3: each block by itself; one in parts has some sets in each, so that a group hangs together
+    load = lambda k, n: F.ceil(F.greatest(F.col(k) / part, F.col(n) / (part * USUAL))).cast("int")
+    own = F.xxhash64("center").alias("spot")
+    pivots = [F.min_by("digest", F.xxhash64("digest", F.lit(i))) for i in range(3)]
+    size = members.groupBy("center").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.array_distinct(F.array("center", *pivots)).alias("pivots"))
+    size = staged(size.select("center", load("k", "total").alias("parts"), "pivots"), "blocks")
+    dealt = members.select("*", own).join(size.select("center", "parts", own), ["spot", "center"]).select("center", "digest", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("p"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    in_each = size.filter("parts > 1").select("center", F.explode("pivots").alias("digest"), "parts").select("center", "digest", every("parts").alias("p"))
+    dealt = dealt.union(in_each).distinct().select(F.concat_ws("/", "center", "p").alias("spot"), "digest", F.col("digest").alias("label"), F.lit(True).alias("asked"), F.lit(None).cast("long").alias("largest"))
+
+    def searched(grid: DataFrame) -> DataFrame:
+        placed = grid.join(whole, "digest").select("spot", "digest", "set", "label", "asked", "largest")
+        return placed.repartition(width, "spot").sortWithinPartitions("spot").mapInArrow(_search(percent), "u long, v long")
+
+    links = staged(searched(dealt), "links")
     near = components(links)
-    labelled = members.filter("needed").select("center", "doc_id", "n", "big").join(near, F.col("doc_id") == F.col("node"), "left").select("center", "doc_id", "n", "big", F.coalesce("component", "doc_id").alias("component"))
-    # big blocks by sizes: partners stand in the same band or in neighbouring ones, and meet in one of two
-    near_size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    bands = F.explode(F.when(F.col("big"), F.array(near_size, near_size + 1)).otherwise(F.array(F.lit(-1)))).alias("band")
-    labelled = staged(labelled.select("center", bands, "doc_id", "n", "component"), "labelled")
-    # blocks in parts of about so many sets, or the shingles of so many usual ones
-    load = lambda k, n: F.ceil(F.greatest(F.col(k) / searched, F.col(n) / (searched * USUAL))).cast("int")
-
-    def dealt_out(members: DataFrame, payload: DataFrame) -> DataFrame:
-        """Members of blocks of several components, part by part, with their payload; those outside the
-        largest component are asked for in every part."""
-        split = members.groupBy("center", "band", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).groupBy("center", "band").agg(
-            F.count(F.lit(1)).alias("components"), F.max_by(F.struct("component", "k", "n"), F.struct("k", -F.col("component"))).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"))
-        split = split.filter("components > 1").select("center", "band", F.col("most.component").alias("largest"), "k", "n", (F.col("k") - F.col("most.k")).alias("rest_k"), (F.col("n") - F.col("most.n")).alias("rest_n"))
-        split = split.select("center", "band", "largest", load("k", "n").alias("parts"), load("rest_k", "rest_n").alias("chunks"))
-        block = members.select("*", own).join(split.select("*", own), ["spot", "center", "band"]).withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        key = ["center", "band", "doc_id", "component"]
-        there = block.select(*key, "p", every("chunks").alias("c"), F.lit(False).alias("asked"))
-        asked = block.filter("component <> largest").withColumn("c", F.pmod(F.hash("doc_id"), F.col("chunks")).cast("int")).select(*key, every("parts").alias("p"), "c", F.lit(True).alias("asked"))
-        grid = there.union(asked).groupBy(*key, "p", "c").agg(F.max("asked").alias("asked")).join(payload, "doc_id")
-        return grid.withColumn("spot", F.concat_ws("-", "center", "band", "p", "c")).repartition(width, "spot").sortWithinPartitions("spot")
-
-    # first by the shared shingles alone, then by whole sets
-    lists = at.groupBy("doc_id", "n").agg(F.collect_list("shingle").alias("shingles"))
-    promising = dealt_out(labelled, lists).select("spot", "center", "band", "doc_id", "component", "n", "shingles", "asked").mapInArrow(_promising(percent), "center long, band int, doc_id long")
-    promising = staged(promising.distinct(), "promising")
-    grid = dealt_out(labelled.join(promising, ["center", "band", "doc_id"], "left_semi"), whole).select("spot", "doc_id", "component", "set", "asked")
-    more = grid.mapInArrow(_search_blocks(percent), "u long, v long")
-
-    near = components(links.union(more))
-    reps = sets.join(near, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
+
+    # 4: blocks in parts, where they are not one component
+    big = size.filter("parts > 1")
+    if not big.isEmpty():
+        block = members.select("*", own).join(big.select("center", "parts", own), ["spot", "center"]).drop("spot")
+        block = block.join(near, F.col("digest") == F.col("node"), "left").select("center", "parts", "digest", "n", F.coalesce("component", "digest").alias("label"))
+        block = staged(block, "large-blocks")
+        split = block.groupBy("center", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).groupBy("center").agg(
+            F.max_by(F.struct("label", "k", "n"), F.struct("k", "label")).alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+        split = split.select("center", F.col("most.label").alias("largest"), (F.col("k") - F.col("most.k")).alias("rest_k"), (F.col("n") - F.col("most.n")).alias("rest_n"))
+        split = split.filter("rest_k > 0").select("center", "largest", load("rest_k", "rest_n").alias("chunks"))
+        block = block.select("*", own).join(split.select("*", own), ["spot", "center"])
+        key = ["center", "digest", "label", "largest"]
+        there = block.select(*key, F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("p"), every("chunks").alias("c"), F.lit(False).alias("asked"))
+        asked = block.filter("label <> largest").withColumn("c", F.pmod(F.hash("digest"), F.col("chunks")).cast("int")).select(*key, every("parts").alias("p"), "c", F.lit(True).alias("asked"))
+        grid = there.union(asked).groupBy(*key, "p", "c").agg(F.max("asked").alias("asked")).withColumn("spot", F.concat_ws("/", "center", "p", "c"))
+        near = components(links.union(searched(grid.select("spot", "digest", "label", "asked", "largest"))))
+
+    # the least document of each component
+    named = near.join(sets, F.col("node") == F.col("digest")).select("digest", "n", "component", "rep")
+    of = F.hash("component").alias("spot")
+    least_of = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    joined = named.select("*", of).join(least_of.select("*", of), ["spot", "component"]).select("digest", "n", "component_id")
+    reps = sets.select("digest", "n", "rep").join(joined, ["digest", "n"], "left").select("digest", "n", F.coalesce("component_id", "rep").alias("component_id"))
     mark = F.hash("digest").alias("mark")
     out = info.select("*", mark).join(reps.select("*", mark), ["mark", "digest", "n"], "left")
     lone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), lone.alias("component_id"))
 
 
-def _least_shared(percent: int):
-    """``reach`` as a column: how many reduced shingles a set of size n must share."""
-    return F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / SHARE))
-
-
-def _pack_whole(words: int):
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        z = zstandard.ZstdDecompressor()
-        for b in it:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                sets = [shingle_set(z.decompress(t).decode(), words).tobytes() for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), _array(sets, pa.binary())], names=["doc_id", "set"])
-
-    return batches
-
-
 def one_per_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are the least of their group, all columns kept; rows without doc_id stay."""
-    g = near_groups(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(g, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` that are the least of their group, all columns kept; rows without doc_id stay.
+
+    A doc_id on several rows goes when each of its texts has a lesser partner."""
+    groups = near_groups(docs, words, percent).filter("doc_id IS NOT NULL")
+    gone = groups.groupBy("doc_id").agg(F.min(F.col("doc_id") - F.col("component_id")).alias("behind")).filter("behind > 0")
+    return docs.join(gone.select(F.col("doc_id").alias("_dropped")), F.col("doc_id") == F.col("_dropped"), "left_anti")

@@ -98,7 +98,7 @@ def test_sainte_lague_takes_the_highest_quotients(spark):
 def test_near_groups(spark, odd):
     expected = brute.near_groups([(r["doc_id"], r["text"]) for r in odd.collect()])
     for part in (256, 2):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(odd, part=part, searched=part).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(odd, part=part).collect()}
         assert got == expected
     assert ngram_join.near_groups(odd.limit(0)).count() == 0
     null_id = docs(spark, [(None, "a b c", "a"), (4, "a b c", "a")])
@@ -106,14 +106,43 @@ def test_near_groups(spark, odd):
     assert sorted(r["doc_id"] for r in ngram_join.one_per_group(odd).select("doc_id").collect()) == sorted(d for d, (_, c) in expected.items() if d == c)
 
 
+def test_near_groups_in_a_loose_group(spark):
+    """Documents that link with each other but mostly not with any one of them: a tree of links, not all of them."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(150), 3):
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words), "a"))
+    expected = brute.near_groups([(i, t) for i, t, _ in rows])
+    sets = list(ngram_join.shingle_sets([t for _, t, _ in rows]))
+    for part in (512, 16):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(docs(spark, rows), part=part).collect()} == expected
+    links = list(ngram_join.tree(sets, list(range(120)), list(range(120)), 80))
+    root = brute.union_find(range(120), links)
+    assert len(links) == 120 - len(set(root.values())) and [root[i] for i in range(120)] == [expected[i][1] for i in range(120)]
+
+
+def test_near_groups_of_a_repeated_id(spark):
+    a, b = prose(random.Random(1), 60), prose(random.Random(2), 60)
+    got = ngram_join.near_groups(docs(spark, [(5, a, "a"), (5, b, "a"), (3, b, "a"), (9, a, "a"), (None, a, "a")])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (3, 3), (5, 3), (5, 5), (9, 5)]
+
+
 def test_divide_skip():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
-    index = ngram_join.inverted(sets)
+    lists = ngram_join.Lists(sets)
     for q in sets:
+        overlap = [len(np.intersect1d(q, s)) for s in sets]
         for t in (1, 5, 15, len(q)):
-            got = set(ngram_join.divide_skip(q, *index, t, len(sets)).tolist())
-            assert got == {i for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= t}
+            found, count = ngram_join.divide_skip(lists, lists.of(q), t)
+            assert dict(zip(found.tolist(), count.tolist())) == {i: o for i, o in enumerate(overlap) if o >= t}
+        short = [lists.posts[lists.starts[i] : lists.starts[i + 1]].tolist() for i in lists.of(q)]
+        for t in (1, 3, 9):
+            assert dict(ngram_join.merge_skip(short, t)) == {i: o for i, o in enumerate(overlap) if o >= t}
 
 
 def test_components(spark):
