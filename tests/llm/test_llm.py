@@ -320,6 +320,21 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.without_toxic(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_machine_is_a_sum_over_pairs():
+    rng = np.random.default_rng(6)
+    slot = np.full(1 << toxicity.BITS, 20, np.int32)
+    slot[:20] = rng.permutation(20)
+    w, v = rng.normal(size=21), rng.normal(size=(21, 3))
+    w[20], v[20] = 0, 0
+    m = toxicity.Machine(0.25, slot, w, v, -1.0)
+    lists = [np.array(x, np.int32) for x in ([], [3], [1, 2, 5], [0, 7, 11, 100, 19], list(range(25)))]
+    expected = []
+    for x in lists:
+        z = 0.25 + sum(w[slot[a]] for a in x) + sum(v[slot[a]] @ v[slot[b]] for i, a in enumerate(x) for b in x[:i])
+        expected.append(1 / (1 + np.exp(-(z - 1.0))))
+    assert np.allclose(m.score(lists), expected)
+
+
 def test_machine_learns_a_pair():
     rng = random.Random(0)
     texts, labels = [], []
