@@ -22,8 +22,8 @@ from sheaf.llm.shared import text_or_empty
 BITS = 18
 #: Lengths of the word beginnings that count as terms of their own.
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: Numbers of terms that may learn, and folds of the training rows that decide.
-SIZES, FOLDS = (512, 1024), 3
+#: Numbers of terms that may learn and shares of terms left out, of which folds of the training rows decide.
+SETTINGS, FOLDS = ((512, 0.3), (1024, 0.3)), 3
 #: How many times as much as precision recall counts where the classes part.
 BETA = 2.0
 #: Distinct words whose terms a Python worker remembers; when full it starts afresh.
@@ -93,7 +93,7 @@ def _flat(lists: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(term_lists: list[np.ndarray], labels: np.ndarray, keep: int = 1024, factors: int = 4, epochs: int = 20,
-          batch: int = 128, rate: float = 0.03, decay: float = 1e-4, drop: float = 0.3, seed: int = 1) -> Machine:
+          batch: int = 128, rate: float = 0.03, decay: float = 1e-4, drop: float = 0.0, seed: int = 1) -> Machine:
     """Logistic loss with Adam over the ``keep`` terms that tell the classes apart best. Each time a
     text is shown a share ``drop`` of its terms is left out, so that one sign of many has to do."""
     n = len(term_lists)
@@ -149,22 +149,22 @@ def best_cut(margin: np.ndarray, labels: np.ndarray, beta: float = BETA) -> tupl
     return float(z[at] + z[min(at + 1, len(z) - 1)]) / 2, float(f[at])
 
 
-def chosen(term_lists: list[np.ndarray], labels: np.ndarray, threshold: float = 0.3, sizes: tuple[int, ...] = SIZES, folds: int = FOLDS, **options) -> Machine:
-    """A machine trained on all rows. Its number of terms is the one that does best on rows not trained
-    on, fold by fold, and it is shifted so that ``threshold`` parts these best, by F score."""
+def chosen(term_lists: list[np.ndarray], labels: np.ndarray, threshold: float = 0.3, settings: tuple[tuple[int, float], ...] = SETTINGS, folds: int = FOLDS, **options) -> Machine:
+    """A machine trained on all rows. Its setting is the one that does best on rows not trained on,
+    fold by fold, and it is shifted so that ``threshold`` parts these best, by F score."""
     fold = np.arange(len(labels)) % folds
     if any(not 0 < labels[fold == f].sum() < (fold == f).sum() for f in range(folds)):
-        return train(term_lists, labels, sizes[-1], **options)
+        return train(term_lists, labels, settings[-1][0], drop=settings[-1][1], **options)
     found = []
-    for keep in sizes:
+    for keep, drop in settings:
         margin = np.empty(len(labels))
         for f in range(folds):
-            machine = train([t for t, g in zip(term_lists, fold) if g != f], labels[fold != f], keep, **options)
+            machine = train([t for t, g in zip(term_lists, fold) if g != f], labels[fold != f], keep, drop=drop, **options)
             margin[fold == f] = machine.margin([t for t, g in zip(term_lists, fold) if g == f])
         cut, reached = best_cut(margin, labels)
-        found.append((-reached, keep, cut))
-    _, keep, cut = min(found)
-    machine = train(term_lists, labels, keep, **options)
+        found.append((-reached, keep, drop, cut))
+    _, keep, drop, cut = min(found)
+    machine = train(term_lists, labels, keep, drop=drop, **options)
     machine.shift = float(np.log(threshold / (1 - threshold))) - cut
     return machine
 
