@@ -1,94 +1,124 @@
 """Masked pseudo-likelihood scores of documents.
 
-A small network sees the words on both sides of a masked place and predicts the class of the word
-there; a word's probability is that of its class times its share of the class. The sum of the
-log-probabilities of all places of a document is its score. Counts are taken over all documents;
-the network is trained in numpy on the executors, each partition on its own places, and averaged.
+A small network sees the words on both sides of a masked place and predicts the word there: first
+its class, then the word in the class, both by a softmax over the same hidden layer. The sum of the
+log-probabilities of all places of a document is its score. Words are counted over all documents;
+the vocabulary grows with them, and the words beyond it share hashed symbols that the network treats
+as words. It is trained in numpy on the executors, each partition on its own places, and averaged.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sheaf.llm.shared import shuffle_width, staged, text_or_empty
 
-VOCABULARY, CLASSES, SIDE, WIDTH, HIDDEN = 8192, 64, 2, 12, 24
-#: Every round of training takes every place of every document once.
-ROUNDS, BATCH, RATE = 1, 256, 0.15
-#: Distinct words counted in a task before they are passed on.
-COUNTED = 200_000
+#: Words in the vocabulary for each square root of a token, and one hashed symbol for so many of them.
+GROWTH, WORDS_PER_SYMBOL = 0.25, 8
+SIDE, WIDTH, HIDDEN = 2, 8, 15
+#: Places of one step of training, its rate (Adagrad), and what sums of squared gradients start from.
+BATCH, RATE, START = 12288, 0.1, 1e-6
+#: Texts split into words together.
+TOGETHER = 1000
+#: Pieces of a network that are averaged apart.
+PIECES = 64
 
 
 @dataclass
 class Words:
-    """Ids of the frequent words; ``unknown`` stands for all others, ``edge`` for places outside a text."""
+    """Symbols by falling count: frequent words, and after them the hashed symbols of all others.
+
+    ``share`` is what one word has of its symbol, 1 for a frequent one. A class is ``span`` symbols in a row."""
 
     ids: dict[str, int]
-    group: np.ndarray
     share: np.ndarray
+    hashed: int
+    span: int
 
     @property
-    def unknown(self) -> int:
-        return len(self.ids)
+    def edge(self) -> int:
+        """Stands for places outside a text."""
+        return len(self.share)
 
     @property
-    def edge(self) -> int:
-        return len(self.ids) + 1
+    def classes(self) -> int:
+        return -(-len(self.share) // self.span)
 
-    def of(self, text: str) -> list[int]:
-        get, unknown = self.ids.get, self.unknown
-        return [get(w, unknown) for w in text.lower().split()]
+    def of(self, distinct: list[str]) -> np.ndarray:
+        get, first, hashed = self.ids.get, len(self.ids), self.hashed
+        return np.array([i if (i := get(w, -1)) >= 0 else first + zlib.crc32(w.encode()) % hashed for w in distinct], dtype=np.int64)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, n over all whole texts."""
+def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words of some texts, lower-cased, as places in a list of the distinct ones; that list; words of each text."""
+    words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten().dictionary_encode()
+    at, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if "" in distinct:  # white space at the ends of a text
+        empty = at == distinct.index("")
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        at = at[~empty]
+    return at, distinct, sizes
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-        for b in it:
-            for text in b.column(0):
-                total.update(text.as_py().lower().split())
-                if len(total) > COUNTED:
-                    yield flush()
-                    total.clear()
-        yield flush()
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    return (texts.slice(at, TOGETHER) for at in range(0, len(texts), TOGETHER))
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> Words:
-    """The ``size`` most frequent words, in classes of about equal weight; a last class has the others.
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, n over all whole texts."""
 
-    A word beyond the vocabulary has the share of one such word in theirs."""
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    all_n, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n = np.array([r["n"] for r in top], dtype=np.float64)
-    before = (np.cumsum(n) - n) / max(1.0, n.sum())
-    group = np.minimum((before * (classes - 1)).astype(np.int64), classes - 2)
-    share = n / np.maximum(1.0, np.bincount(group, weights=n, minlength=classes))[group] if len(n) else n
-    unknown_share = 1.0 / max(1, kinds - len(top))
-    return Words({r["word"]: i for i, r in enumerate(top)}, np.append(group, classes - 1), np.append(share, unknown_share))
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for texts in _slices(b.column(0)):
+                at, distinct, _ = split(texts)
+                n = np.bincount(at, minlength=len(distinct))
+                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.string()), pa.array(n)], names=["word", "n"])
+
+    words = docs.select(text_or_empty().alias("text")).mapInArrow(batches, "word string, n long").filter("n > 0")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame, growth: float = GROWTH) -> Words:
+    """The most frequent words, ``growth`` times the square root of the number of tokens; the others
+    share hashed symbols, each word of a symbol equally."""
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = max(16, math.ceil(growth * math.sqrt(tokens)))
+    hashed = -(-size // WORDS_PER_SYMBOL)
+    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    symbol = F.crc32(F.col("word").cast("binary")) % hashed
+    kinds = np.zeros(hashed)
+    for r in counts.groupBy(symbol.alias("symbol")).agg(F.count(F.lit(1)).alias("kinds")).collect():
+        kinds[r["symbol"]] = r["kinds"]
+    for w in top:
+        kinds[zlib.crc32(w.encode()) % hashed] -= 1
+    share = np.concatenate([np.ones(len(top)), 1 / np.maximum(kinds, 1)])
+    return Words({w: i for i, w in enumerate(top)}, share, hashed, max(1, math.isqrt(len(share))))
 
 
 Net = dict[str, np.ndarray]
 
 
-def new_net(words: Words, classes: int = CLASSES, seed: int = 3) -> Net:
+def new_net(words: Words, seed: int = 3) -> Net:
+    """Embeddings, the hidden layer, classes, and words of each class; biases are the last row but in embeddings."""
     rng = np.random.default_rng(seed)
-    return {
-        "e": rng.normal(0, 0.3, (len(words.ids) + 2, WIDTH)).astype(np.float32),
-        "w": rng.normal(0, 0.3, (2 * SIDE, WIDTH, HIDDEN)).astype(np.float32),
-        "b": np.zeros(HIDDEN, np.float32),
-        "v": rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32),
-        "c": np.zeros(classes, np.float32),
+    net = {
+        "e": rng.normal(0, 0.3, (len(words.share) + 1, WIDTH)),
+        "w": rng.normal(0, 0.3, (2 * SIDE * WIDTH + 1, HIDDEN)),
+        "v": rng.normal(0, 0.1, (HIDDEN + 1, words.classes)),
+        "u": rng.normal(0, 0.1, (words.classes, HIDDEN + 1, words.span)),
     }
+    return {k: v.astype(np.float32) for k, v in net.items()}
 
 
 def pack(net: Net) -> np.ndarray:
@@ -103,115 +133,153 @@ def unpack(flat: np.ndarray, like: Net) -> Net:
     return out
 
 
-def windows(texts: list[list[int]], edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts (places x 2 SIDE), the words masked there, and the text of each place."""
-    gap = [edge] * SIDE
-    flat = list(gap)
-    for t in texts:
-        flat += t
-        flat += gap
-    flat = np.array(flat, dtype=np.int64)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    start = SIDE + np.concatenate([[0], np.cumsum(sizes + SIDE)[:-1]]) if len(sizes) else sizes
-    of = np.repeat(np.arange(len(texts)), sizes)
-    at = np.repeat(start, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    context = np.stack([flat[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1) if len(at) else np.zeros((0, 2 * SIDE), np.int64)
-    return context, flat[at], of
-
-
-def train_on(net: Net, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
-    """Plain stochastic gradient steps, in place, over the given places once."""
-    every, w = net["e"].reshape(-1), net["w"].reshape(-1, HIDDEN)
-    for at in range(0, len(target), BATCH):
-        x, y = context[at : at + BATCH], target[at : at + BATCH]
-        e = net["e"][x].reshape(len(y), -1)
-        h = np.tanh(e @ w + net["b"])
-        z = h @ net["v"] + net["c"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        g = z / z.sum(axis=1, keepdims=True)
-        g[np.arange(len(y)), y] -= 1
-        gh = (g @ net["v"].T) * (1 - h * h)
-        ge = gh @ w.T
-        step = np.float32(rate / len(y))
-        net["v"] -= step * (h.T @ g)
-        net["c"] -= step * g.sum(axis=0)
-        w -= step * (e.T @ gh)
-        net["b"] -= step * gh.sum(axis=0)
-        # one flat index: numpy is slow at subtracting whole rows
-        np.subtract.at(every, (x[:, :, None] * WIDTH + np.arange(WIDTH)).ravel(), (np.float32(rate) / 8 * ge).ravel())
+def windows(flat: np.ndarray, sizes: np.ndarray, edge: int) -> np.ndarray:
+    """Contexts (places x 2 SIDE) of the symbols of some texts in a row."""
+    padded = np.full(len(flat) + SIDE * (len(sizes) + 1), edge, np.int32)
+    at = np.arange(len(flat)) + SIDE * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    padded[at] = flat
+    return np.stack([padded.take(at + d) for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+
+
+def _hidden(net: Net, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of the context, and the hidden layer, each with a last column of ones for the bias."""
+    e = _with_one(net["e"].take(context.ravel(), axis=0).reshape(len(context), -1))
+    return e, _with_one(np.tanh(e @ net["w"]))
+
+
+def _powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row, over its largest where that could overflow, in place; and what was taken off."""
+    off = np.zeros(len(z), np.float32)
+    if len(z) and np.abs(z).max() > 60:
+        off = z.max(axis=1)
+        z -= off[:, None]
+    return np.exp(z, out=z), off
+
+
+def _sums(q: np.ndarray) -> np.ndarray:
+    return q @ np.ones(q.shape[1], np.float32)
+
+
+def _by_class(words: Words, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places in order of their words' classes, and (class, first, end) of each class among them."""
+    group = (target // words.span).astype(np.uint16 if words.classes < 65536 else np.int64)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return order, [(int(group[a]), int(a), int(e)) for a, e in zip(cut, np.append(cut[1:], len(group)))]
+
+
+def _room(words: Words, c: int) -> int:
+    """Symbols of class ``c``; the last one may have fewer than the others."""
+    return min(words.span, len(words.share) - c * words.span)
+
+
+def train_on(net: Net, words: Words, context: np.ndarray, target: np.ndarray, seen: Net, rate: float = RATE) -> None:
+    """Adagrad steps, in place, over the given places once; ``seen`` holds the sums of squared gradients."""
+    grown = {k: np.zeros_like(v) for k, v in net.items()}
+    for first in range(0, len(target), BATCH):
+        y = target[first : first + BATCH]
+        order, groups = _by_class(words, y)
+        x, y = context[first : first + BATCH].take(order, axis=0), y.take(order)
+        scale = np.float32(1 / len(y))
+        e, h = _hidden(net, x)
+        # the share of each class, less one for the class that is right; rows are divided by their sums only where they are small
+        q, _ = _powers(h @ net["v"])
+        over = scale / _sums(q)
+        gh = (q @ net["v"].T) * over[:, None]
+        np.matmul(np.ascontiguousarray((h * over[:, None]).T), q, out=grown["v"])
+        grown["u"][:] = 0
+        for c, a, z in groups:
+            m = _room(words, c)
+            own, u = h[a:z], net["u"][c, :, :m]
+            q, _ = _powers(own @ u)
+            right = y[a:z] - c * words.span
+            q *= (scale / _sums(q))[:, None]
+            q[np.arange(z - a), right] -= scale
+            gh[a:z] += q @ u.T - scale * net["v"][:, c]
+            grown["v"][:, c] -= scale * own.sum(axis=0)
+            np.matmul(own.T, q, out=grown["u"][c, :, :m])
+        gh = gh[:, :-1] * (1 - h[:, :-1] ** 2)
+        np.matmul(e.T, gh, out=grown["w"])
+        ge = gh @ net["w"][:-1].T
+        flat = (x[:, :, None] * np.int32(WIDTH) + np.arange(WIDTH, dtype=np.int32)).ravel()
+        grown["e"][:] = np.bincount(flat, weights=ge.ravel(), minlength=net["e"].size).reshape(net["e"].shape)
+        for k, g in grown.items():
+            seen[k] += g * g
+            net[k] -= np.float32(rate) * g / np.sqrt(seen[k])
 
 
 def log_probabilities(net: Net, words: Words, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p(word | both sides) of each place; the network's first layer is looked up, not computed."""
-    tables = [net["e"] @ net["w"][p] for p in range(2 * SIDE)]
-    group, share = words.group, np.log(words.share)
-    out = np.empty(len(target))
-    for at in range(0, len(target), 8192):
-        x, y = context[at : at + 8192], target[at : at + 8192]
-        h = tables[0][x[:, 0]] + net["b"]
-        for p in range(1, 2 * SIDE):
-            h += tables[p][x[:, p]]
-        z = np.tanh(h) @ net["v"] + net["c"]
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(y)), group[y]]
-        out[at : at + 8192] = own - np.log(np.exp(z).sum(axis=1)) + share[y]
+    """log p(word | both sides) of each place."""
+    out, share = np.empty(len(target)), np.log(words.share)
+    for first in range(0, len(target), BATCH):
+        y = target[first : first + BATCH]
+        order, groups = _by_class(words, y)
+        y = y.take(order)
+        h = _hidden(net, context[first : first + BATCH].take(order, axis=0))[1]
+        z = h @ net["v"]
+        p = share[y]
+        for c, a, end in groups:
+            p[a:end] += z[a:end, c]
+        q, off = _powers(z)
+        p -= np.log(_sums(q)) + off
+        for c, a, end in groups:
+            z = h[a:end] @ net["u"][c, :, : _room(words, c)]
+            p[a:end] += z[np.arange(end - a), y[a:end] - c * words.span]
+            q, off = _powers(z)
+            p[a:end] -= np.log(_sums(q)) + off
+        out[first + order] = p
     return out
 
 
-def _some(texts: list[str], words: Words, at_once: int = 200_000) -> Iterator[list[list[int]]]:
-    """Texts as ids, about ``at_once`` places at a time."""
-    held, n = [], 0
-    for t in texts:
-        held.append(words.of(t))
-        n += len(held[-1])
-        if n >= at_once:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def _some(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts, symbols and numbers of words of some texts at a time."""
+    for part in _slices(texts):
+        at, distinct, sizes = split(part)
+        target = words.of(distinct)[at] if len(at) else np.zeros(0, np.int64)
+        yield windows(target, sizes, words.edge), target, sizes
 
 
-def train(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> Net:
-    """Rounds of training on all of every partition's own places, shuffled some documents at a time,
-    and averaging by number of places. At most 32 partial averages come to the driver, whatever the
-    number of partitions; each is summed up as a stream."""
+def train(docs: DataFrame, words: Words) -> Net:
+    """One round of training on all of every partition's own places, shuffled some documents at a
+    time, and averaging by number of places. The average is taken piece by piece on the executors,
+    as a stream; the driver gets it once. Rows in another order, or dealt to other partitions, give
+    another average of the same kind."""
     spark = docs.sparkSession
     net = new_net(words)
     texts = docs.select(text_or_empty().alias("text"))
-    for r in range(rounds):
-
-        def batches(it: Iterator[pa.RecordBatch], r: int = r, net: Net = net) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            own, places = {k: v.copy() for k, v in net.items()}, 0
-            for b in it:
-                for some in _some(b.column(0).to_pylist(), words):
-                    context, target, _ = windows(some, words.edge)
-                    mixed = np.random.default_rng([r, places]).permutation(len(target))
-                    train_on(own, context[mixed], words.group[target[mixed]])
-                    places += len(target)
-            if places:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([places], pa.int64()), pa.array([pack(own).tobytes()], pa.binary())],
-                    names=["slot", "places", "net"])
-
-        def average(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, places = None, 0
-            for b in it:
-                for n, flat in zip(b.column(1).to_pylist(), b.column(2)):
-                    x = np.frombuffer(flat.as_py(), dtype=np.float32).astype(np.float64) * n
-                    total, places = x if total is None else total + x, places + n
-            if places:
-                yield pa.RecordBatch.from_arrays([pa.array([places], pa.int64()), pa.array([(total / places).astype(np.float32).tobytes()], pa.binary())], names=["places", "net"])
-
-        own = texts.mapInArrow(batches, "slot int, places long, net binary")
-        parts = own.repartition(min(32, shuffle_width(spark)), "slot").mapInArrow(average, "places long, net binary").collect()
-        if not parts:
-            break
-        parts.sort(key=lambda p: (p["places"], bytes(p["net"])))
-        all_places = sum(p["places"] for p in parts)
-        net = unpack(sum(np.frombuffer(p["net"], dtype=np.float32).astype(np.float64) * p["places"] for p in parts) / all_places, net)
-    return net
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, places = {k: v.copy() for k, v in net.items()}, 0
+        seen = {k: np.full_like(v, START) for k, v in net.items()}
+        for b in it:
+            for context, target, _ in _some(b.column(0), words):
+                mixed = np.random.default_rng(places).permutation(len(target))
+                train_on(own, words, context.take(mixed, axis=0), target.take(mixed), seen)
+                places += len(target)
+        if places:
+            parts = [p.tobytes() for p in np.array_split(pack(own), PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([places] * PIECES, pa.int64()), pa.array(parts, pa.binary())], names=["piece", "places", "net"])
+
+    def average(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        places: Counter = Counter()
+        for b in it:
+            for piece, n, flat in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x = np.frombuffer(flat.as_py(), dtype=np.float32).astype(np.float64) * n
+                total[piece] = total[piece] + x if piece in total else x
+                places[piece] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x / places[k]).astype(np.float32).tobytes() for k, x in total.items()], pa.binary())], names=["piece", "net"])
+
+    own = texts.mapInArrow(batches, "piece int, places long, net binary")
+    parts = own.repartition(min(PIECES, shuffle_width(spark)), "piece").mapInArrow(average, "piece int, net binary").collect()
+    if not parts:
+        return net
+    return unpack(np.concatenate([np.frombuffer(p["net"], dtype=np.float32) for p in sorted(parts, key=lambda p: p["piece"])]), net)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -228,10 +296,10 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             n, total = [], []
-            for some in _some(b.column(1).to_pylist(), words):
-                context, target, of = windows(some, words.edge)
-                total += np.bincount(of, weights=log_probabilities(net, words, context, target), minlength=len(some)).tolist()
-                n += [len(t) for t in some]
+            for context, target, sizes in _some(b.column(1), words):
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                total += np.bincount(of, weights=log_probabilities(net, words, context, target), minlength=len(sizes)).tolist()
+                n += sizes.tolist()
             mean = [t / k if k else None for t, k in zip(total, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())],
                                              names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -354,6 +356,12 @@ def test_pseudo_likelihood(spark, odd):
     assert pseudo_lm.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
+def ids_of(words, texts):
+    """Contexts, symbols and sizes of all texts together."""
+    parts = list(pseudo_lm._some(pa.array([t or "" for t in texts]), words))
+    return [np.concatenate([p[i] for p in parts]) for i in range(3)]
+
+
 def test_network_prefers_text_in_order(spark):
     d = table(spark, "/root/testdata/sf0.1", "documents").filter("lang = 'en'")
     held = [r["text"] for r in d.filter("doc_id % 50 = 7").limit(60).collect()]
@@ -362,7 +370,7 @@ def test_network_prefers_text_in_order(spark):
     net = pseudo_lm.train(rest, words)
 
     def mean(texts):
-        context, target, _ = pseudo_lm.windows([words.of(t) for t in texts], words.edge)
+        context, target, _ = ids_of(words, texts)
         return pseudo_lm.log_probabilities(net, words, context, target).mean()
 
     rng = random.Random(1)
@@ -370,22 +378,70 @@ def test_network_prefers_text_in_order(spark):
 
 
 def test_network_is_trained_on_every_place(spark):
-    texts = ["one two", "three", "four five six seven", None, "", "eight nine"]
+    texts = ["one two", "three", "four five six seven", None, "", " eight  Nine "]
     d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     words = pseudo_lm.vocabulary(pseudo_lm.count_words(d))
-    context, target, _ = pseudo_lm.windows([words.of(t or "") for t in texts], words.edge)
+    context, target, sizes = ids_of(words, texts)
     net, got = pseudo_lm.new_net(words), pseudo_lm.train(d, words)
-    pseudo_lm.train_on(net, context, words.group[target])
-    assert len(target) == 9 and all(np.allclose(net[k], got[k], atol=1e-5) for k in net)
+    mixed = np.random.default_rng(0).permutation(len(target))
+    pseudo_lm.train_on(net, words, context[mixed], target[mixed], {k: np.full_like(v, pseudo_lm.START) for k, v in net.items()})
+    assert sizes.tolist() == [2, 1, 4, 0, 0, 2] and all(np.allclose(net[k], got[k], atol=1e-4) for k in net)
 
 
-def test_probabilities_sum_to_one(spark):
-    words = pseudo_lm.vocabulary(spark.createDataFrame([(f"w{i}", 100 - i) for i in range(90)], "word string, n long"), 80)
+def small_network(spark, kinds=90):
+    """A vocabulary with hashed symbols, and a network with weights of its own."""
+    words = pseudo_lm.vocabulary(spark.createDataFrame([(f"w{i}", 100 - i) for i in range(kinds)], "word string, n long"), 0.8)
     net = pseudo_lm.new_net(words)
-    context = np.array([[1, 2, 3, words.edge]])
-    p = sum(np.exp(pseudo_lm.log_probabilities(net, words, context, np.array([w])))[0] for w in range(80))
-    p += 10 * np.exp(pseudo_lm.log_probabilities(net, words, context, np.array([words.unknown])))[0]
-    assert abs(p - 1) < 0.05
+    rng = np.random.default_rng(9)
+    return words, {k: (v + 0.3 * rng.normal(size=v.shape)).astype(np.float32) for k, v in net.items()}
+
+
+def probability(net, words, context, symbol):
+    """A forward pass in plain Python."""
+    e = [x for c in context for x in net["e"][c]] + [1.0]
+    h = [math.tanh(sum(e[i] * net["w"][i][k] for i in range(len(e)))) for k in range(pseudo_lm.HIDDEN)] + [1.0]
+    up = lambda w: math.exp(sum(h[k] * w[k] for k in range(len(h))))
+    c, own = divmod(symbol, words.span)
+    first = up(net["v"][:, c]) / sum(up(net["v"][:, k]) for k in range(words.classes))
+    room = min(words.span, len(words.share) - c * words.span)
+    return first * up(net["u"][c, :, own]) / sum(up(net["u"][c, :, k]) for k in range(room)) * words.share[symbol]
+
+
+def test_network_is_that_of_plain_python(spark):
+    words, net = small_network(spark)
+    texts = ["w1 w2 w3 w80 w4", "w89", "w5 w88 w6 w7"]
+    context, target, _ = ids_of(words, texts)
+    expected = [math.log(probability(net, words, c, t)) for c, t in zip(context, target)]
+    assert np.allclose(pseudo_lm.log_probabilities(net, words, context, target), expected, atol=1e-4)
+
+
+def test_gradient_of_the_network(spark):
+    words, net = small_network(spark)
+    context, target, _ = ids_of(words, ["w1 w2 w3 w80 w4", "w5 w88 w6 w7"])
+    share = np.log(words.share)[target]
+    moved, seen = {k: v.copy() for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        pseudo_lm.train_on(moved, words, context, target, seen)
+    loss = lambda n: -(pseudo_lm.log_probabilities(n, words, context, target) - share).mean()
+    rng = np.random.default_rng(0)
+    for k in net:
+        for flat in rng.choice(np.flatnonzero(seen[k]), 5):
+            at, far = np.unravel_index(flat, net[k].shape), {n: v.astype(np.float64) for n, v in net.items()}
+            far[k][at] += 1e-3
+            up = loss(far)
+            far[k][at] -= 2e-3
+            assert abs(abs(up - loss(far)) / 2e-3 - math.sqrt(seen[k][at])) < 2e-3
+
+
+def test_probabilities_sum_to_one(spark):
+    words, net = small_network(spark)
+    every = [f"w{i}" for i in range(90)]
+    symbols = words.of(every)
+    assert len(words.ids) < 90 and len(set(symbols.tolist())) < 90
+    for context in ([1, 2, 3, words.edge], [words.edge] * 4, [0, len(words.share) - 1, 5, 7]):
+        p = np.exp(pseudo_lm.log_probabilities({k: v.astype(np.float64) for k, v in net.items()}, words, np.array([context] * 90), symbols))
+        assert abs(p.sum() - 1) < 1e-6
+    assert len(pseudo_lm.vocabulary(spark.createDataFrame([(f"w{i}", 1000) for i in range(900)], "word string, n long")).ids) > 2 * len(words.ids)
 
 
 def test_pipeline(spark, data):
