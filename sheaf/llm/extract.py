@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Elements whose content is text of no page, up to their end tag.
-RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes svg math object canvas".split())
+RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
 #: Elements that never hold main text.
-APART = frozenset("head nav header footer aside form button select dialog menu figcaption audio video map".split())
+APART = frozenset("head nav header footer aside form button select dialog menu audio video map".split())
+#: Blocks of prose, in which a button is a word of a sentence.
+PROSE = frozenset("p li td th dd dt figcaption blockquote h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark such an element where its name does not.
 MARKS = frozenset((
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar "
@@ -40,18 +42,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that mark the article on labelled pages.
 ARTICLE = ("article", "main")
 
+# A quote counts where a value begins and nowhere else. Nothing is read twice, so a page is read in linear time.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)"
+    r"(?P<attributes>(?:[^\s=>]++|\s++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))*+)>"
+    r"|(?P<text>[^<]++|<(?!/?[A-Za-z]))",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 #: Weights where no page is labelled.
-DEFAULT_WEIGHTS = {"word": 1.0, "tag": -1.0}
+DEFAULT_WEIGHTS = {"word": 1.0, "tag": -0.5}
 #: Bounds of learnt weights, and the weight of tags that no labelled page has.
 LIMIT, LEAST, LEAST_WORD, UNSEEN = 8.0, 0.1, 1.0, -0.2
+#: Tags in a row, without a word between them, that count: rows of an empty table do not part a text.
+RUN = 12
 
 
 def marked(attributes: str) -> bool:
@@ -64,13 +70,20 @@ def marked(attributes: str) -> bool:
     return False
 
 
+def set_apart(name: str, articles: int, block: str) -> bool:
+    """Whether an element holds no main text by its name: a header only outside articles, a button only outside prose."""
+    return name in APART and not (name == "header" and articles) and not (name == "button" and block in PROSE)
+
+
 def read(page: str, whole: bool = False) -> list[tuple[str, str]]:
     """The sequence of a page: (tag name with a slash if it ends, "") and ("", text), without apart
-    elements unless ``whole``. One found to hold the article or a main heading is kept after all."""
+    elements unless ``whole``. A form, or one set apart by class, id or role, that is found to hold the
+    article or a main heading is kept after all; so is the header of an article."""
     out: list[tuple[str, str, int]] = []  # the last: number of the outermost apart element, 0 if none
     depth, apart, apart_name, number, implied = 0, 0, "", 0, False
     rescued: set[int] = set()
-    by_mark: set[int] = set()
+    may_hold: set[int] = set()
+    articles, block = 0, ""
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
@@ -83,6 +96,10 @@ def read(page: str, whole: bool = False) -> list[tuple[str, str]]:
         if m["name"] is None:
             continue
         name, ending = m["name"].lower(), bool(m["end"])
+        if name in ARTICLE:
+            articles = max(0, articles + (-1 if ending else 1))
+        if name in BLOCKS:
+            block = "" if ending else name
         if name in RAW and not ending:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else size
@@ -92,17 +109,17 @@ def read(page: str, whole: bool = False) -> list[tuple[str, str]]:
         if apart:
             if name == apart_name and name not in VOID and not m["attributes"].endswith("/"):
                 depth += -1 if ending else 1
-            if not ending and (name in ARTICLE or name == "h1") and apart in by_mark:
+            if not ending and (name in ARTICLE or name == "h1") and apart in may_hold:
                 rescued.add(apart)
             out.append((f"/{name}" if ending else name, "", apart))
             if ending and depth == 0:
                 apart = 0
             continue
-        if not ending and name not in VOID and name not in (*ARTICLE, "html", "body") and (name in APART or marked(m["attributes"])):
+        if not ending and name not in VOID and name not in (*ARTICLE, "html", "body") and (set_apart(name, articles, block) or marked(m["attributes"])):
             number += 1
             apart, apart_name, depth, implied = number, name, 1, name in ("p", "li", "dd", "dt")
-            if name not in APART:
-                by_mark.add(number)
+            if name == "form" or name not in APART:
+                may_hold.add(number)
             out.append((name, "", apart))
             continue
         out.append((f"/{name}" if ending else name, "", 0))
@@ -169,11 +186,16 @@ def learn(pages: DataFrame) -> dict[str, float]:
 def region(sequence: list[tuple[str, str]], weights: dict[str, float]) -> tuple[int, int]:
     """First and end position of the maximum-scoring subsequence, by one scan; (0, 0) if none is positive."""
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    word, other = weights.get("word", 1.0), weights.get("tag", UNSEEN)
+    word, other, run = weights.get("word", 1.0), weights.get("tag", UNSEEN), 0
     for i, (tag, text) in enumerate(sequence):
         if total <= 0:
             total, start = 0.0, i
-        total += weights.get(kind(tag), other) if tag else word * len(text.split())
+        if tag:
+            run += 1
+            total += weights.get(kind(tag), other) if run <= RUN else 0.0
+        elif words := len(text.split()):
+            run = 0
+            total += word * words
         if total > best:
             best, best_span = total, (start, i + 1)
     return best_span
@@ -193,7 +215,8 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     """page_id, url, text, n_chars per row of ``pages``; weights are learnt from ``pages`` if not given.
 
     Null or empty html gives the empty text, as does a page without words outside apart elements.
-    Unclosed elements end with the page; broken tags are text or end the page. Repeated rows are
+    Unclosed elements end with the page; a tag that never ends ends the page and is no text, a ``<``
+    that begins no tag is text. Pages are read in linear time, whatever they hold. Repeated rows are
     extracted each; other columns are ignored; an empty table gives an empty table."""
     weights = weights or learn(pages)
     rows = pages.select("page_id", "url", "html")

@@ -294,6 +294,31 @@ def test_extract(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<p title=it's>good text</p>", "good text"),
+    ("<p>kept text here</p> <div class=\"foo", "kept text here"),
+    ("<p>a < b and 3 <4</p><a href='x", "a < b and 3 <4"),
+    ("<p a==b c=\"x>y\" d>one two</p>", "one two"),
+    ("<article><header><h1>The title of it</h1></header><p>Some words of prose.</p></article>", "The title of it Some words of prose."),
+    ("<article><p>Words of an article here.</p><figure><img><figcaption>A caption</figcaption></figure><p>More <math><mi>x</mi></math> of it.</p></article>", "Words of an article here. A caption More x of it."),
+    ("<p>Press the <button>OK</button> button, then <label>wait</label>.</p><button>Share</button>", "Press the OK button, then wait."),
+    ("<form><h1>A title</h1><p>A page in a form.</p></form>", "A title A page in a form."),
+    ("<p>One two three four five six seven.</p><table>" + "<tr><td></td></tr>" * 60 + "</table>" + "<p>After the table come words.</p>" * 3, "One two three four five six seven." + " After the table come words." * 3),
+])
+def test_extract_odd_pages(page, expected):
+    assert extract.main_text(page) == expected
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<a \"", "<a b=\"", "<", "<!--", "<script>", "<p><", "</", "<div><form>", "<p class=ad>x", "&amp"])
+def test_extract_hostile_pages(piece):
+    import time
+
+    page = "<p>Some words first.</p>" + piece * (1_000_000 // len(piece))
+    before = time.process_time()
+    assert extract.main_text(page).startswith("Some words first.")
+    assert time.process_time() - before < 8
+
+
 def test_extract_driver_pages(spark, data):
     import html
     import re
