@@ -25,19 +25,21 @@ def quality(as_of: Column) -> Column:
 
 
 def _first_of(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds the least seq with the same key. A further key of the join, computed after the grouping,
-    has both sides exchanged, so that AQE can split a hot key."""
-    spot = F.xxhash64(key).alias("_spot")
-    first = df.groupBy(key).agg(F.min("seq").alias(name))
-    return df.select("*", spot).join(first.select(key, name, spot), ["_spot", key]).drop("_spot")
+    """Adds the least seq with the same key; null where the key is. A further key of the join, computed
+    after the grouping, has both sides exchanged, so that AQE can split a hot key; rows without key
+    are spread by their seq."""
+    spot = F.when(F.col(key).isNull(), F.xxhash64("seq")).otherwise(F.xxhash64(key)).alias("_spot")
+    first = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias(name))
+    return df.select("*", spot).join(first.select(key, name, F.xxhash64(key).alias("_spot")), ["_spot", key], "left").drop("_spot")
 
 
 def batch_duplicates(articles: DataFrame, least_title: int = 10, least_content: int = 50) -> DataFrame:
     """seq, content_hash, url, is_duplicate, duplicate_of, issues: a row is a duplicate if an earlier one
-    has its hash or its URL; the URL is named if both do."""
+    has its hash or its URL; the URL is named if both do. A null URL is equal to none, and so is the hash
+    of a null title or URL: such rows stay, with a null hash."""
     keys = articles.select("seq", "url", tx.content_hash(F.col("title"), F.col("url")).alias("content_hash"), F.length("title").alias("tn"), F.length("content").alias("cn"))
     d = _first_of(_first_of(keys, "content_hash", "h0"), "url", "u0")
-    by_hash, by_url = F.col("seq") > F.col("h0"), F.col("seq") > F.col("u0")
+    by_hash, by_url = (F.coalesce(F.col("seq") > F.col(c), F.lit(False)) for c in ("h0", "u0"))
     issues = F.array_compact(F.array(
         F.when(by_hash, F.lit("Duplicate content hash")), F.when(by_url, F.lit("Duplicate URL")),
         F.when((F.col("tn") > 0) & (F.col("tn") < least_title), F.lit("Title too short")), F.when((F.col("cn") > 0) & (F.col("cn") < least_content), F.lit("Content too short"))))

@@ -63,9 +63,10 @@ def keyword_hits(features: DataFrame, dictionary: DataFrame, cfg: MatchConfig =
 
 
 def hits_by_trigram(features: DataFrame, dictionary: DataFrame) -> DataFrame:
+    keys = dictionary.filter(F.length("keyword") >= 3).select("keyword", F.explode(trigrams(F.col("keyword"))).alias("gram"))
     grams = features.filter(F.length("clean_text") >= 3).select("id", F.explode(trigrams(F.col("clean_text"))).alias("gram"))
+    grams = grams.join(keys.select("gram").distinct(), "gram", "left_semi")  # what no keyword has goes before it is moved, where the dictionary's trigrams are few enough to broadcast
     number = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    keys = dictionary.filter(F.length("keyword") >= 3).select("keyword", F.explode(trigrams(F.col("keyword"))).alias("gram"))
     rarest = keys.join(number, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
     spot = F.hash("gram").alias("spot")
     candidates = grams.select("*", spot).join(rarest.select("*", spot), ["spot", "gram"]).select("id", "keyword")
@@ -75,12 +76,17 @@ def hits_by_trigram(features: DataFrame, dictionary: DataFrame) -> DataFrame:
     return both.select("id", "keyword", occurrences(F.col("clean_text"), F.col("keyword")).alias("phrase_count"))
 
 
-def keyword_scores(features: DataFrame, keywords: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
+def topic_hits(features: DataFrame, topic_keywords: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
+    """``keyword_hits`` of all keywords of topics, included and excluded ones in one pass over the articles."""
+    return keyword_hits(features, topic_keywords.select(F.lower(F.trim("keyword")).alias("keyword")), cfg)
+
+
+def keyword_scores(features: DataFrame, keywords: DataFrame, hits: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
     """id, keyword, s, m: score and number of matches of each keyword in each article where it has any.
 
-    Phrase hits come from ``keyword_hits``, word facts from equi-joins on the articles' tokens."""
+    ``hits`` may have further keywords. Word facts come from equi-joins on the articles' tokens."""
     d = keywords.select("keyword").distinct()
-    hits = keyword_hits(features, d, cfg)
+    hits = hits.join(d, "keyword", "left_semi")
     # phrases score as parts of the text, words by their share of the tokens
     words = d.select("keyword", F.filter(F.split("keyword", " "), lambda w: F.length(w) > 2).alias("kw"))
     need = words.select("keyword", F.size("kw").alias("n_kw"), F.explode("kw").alias("word"))
@@ -94,25 +100,26 @@ def keyword_scores(features: DataFrame, keywords: DataFrame, cfg: MatchConfig =
     return j.select("id", "keyword", F.greatest(phrase, F.coalesce("word_score", F.lit(0.0))).alias("s"), ((F.coalesce("phrase_count", F.lit(0)) > 0).cast("int") + F.col("word_score").isNotNull().cast("int")).alias("m"))
 
 
-def relevance(features: DataFrame, topic_keywords: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
+def relevance(features: DataFrame, topic_keywords: DataFrame, hits: DataFrame | None = None, cfg: MatchConfig = CONFIG) -> DataFrame:
     """id, name, score for each topic of which a keyword matches. ``topic_keywords``: name, keyword, kind."""
+    hits = topic_hits(features, topic_keywords, cfg) if hits is None else hits
     inc = topic_keywords.filter("kind = 'include'").select("name", F.lower(F.trim("keyword")).alias("keyword"))
     n = inc.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    j = keyword_scores(features, inc.filter("keyword <> ''"), cfg).join(inc, "keyword").groupBy("id", "name").agg(F.sum("s").alias("s"), F.sum("m").alias("m")).join(n, "name")
+    j = keyword_scores(features, inc.filter("keyword <> ''"), hits, cfg).join(inc, "keyword").groupBy("id", "name").agg(F.sum("s").alias("s"), F.sum("m").alias("m")).join(n, "name")
     score = F.least(F.col("s") / F.col("n") + cfg.bonus * F.least(F.col("m") / F.col("n"), F.lit(1.0)), F.lit(1.0))
     return j.filter("m > 0").select("id", "name", F.round(score, 6).alias("score"))
 
 
-def exclusions(features: DataFrame, topic_keywords: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
+def exclusions(topic_keywords: DataFrame, hits: DataFrame) -> DataFrame:
     """id, name, keyword: the first exclude keyword of a topic that is part of an article."""
     exc = topic_keywords.filter("kind = 'exclude'").select("name", "kw_ord", F.lower(F.trim("keyword")).alias("keyword"))
-    return keyword_hits(features, exc, cfg).join(exc, "keyword").groupBy("id", "name").agg(F.min_by("keyword", "kw_ord").alias("keyword"))
+    return hits.join(exc, "keyword").groupBy("id", "name").agg(F.min_by("keyword", "kw_ord").alias("keyword"))
 
 
-def prefilter(features: DataFrame, topic_keywords: DataFrame, topics: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
+def prefilter(features: DataFrame, topic_keywords: DataFrame, topics: DataFrame, hits: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
     """id, chat_id, name, topic_ord, score, matched for the active topics of the channels in ``topics``
     (chat_id, name, topic_ord, source_feed): without excluded ones and with a score above 0."""
-    scored = relevance(features, topic_keywords, cfg).join(exclusions(features, topic_keywords, cfg), ["id", "name"], "left_anti")
+    scored = relevance(features, topic_keywords, hits, cfg).join(exclusions(topic_keywords, hits), ["id", "name"], "left_anti")
     pairs = scored.join(features.select("id", "source_feed"), "id").join(topics, ["name", "source_feed"])
     return pairs.select("id", "chat_id", "name", "topic_ord", "score", (F.col("score") >= cfg.least_relevance).alias("matched"))
 

@@ -72,7 +72,7 @@ def d12(s, d):
 def d13(s, d):
     m = A(s, d).select("seq", "id", "source_feed", "published_at", tx.body_hash(F.col("content"), F.lit(None).cast("string")).alias("body_hash"))
     feeds = view(s, d, "feeds").select("chat_id", F.col("url").alias("source_feed"))
-    topics = view(s, d, "topics").filter("active AND topic_ord <= 2").select("chat_id", "topic_ord")
+    topics = view(s, d, "topics").filter("active").select("chat_id", "topic_ord")
     e = m.join(feeds, "source_feed").join(topics, "chat_id")
     e = e.withColumn("age", -F.coalesce(F.unix_timestamp("published_at"), F.lit(0)))
     out = op.repeat_bonus(e, [F.col(c) for c in ("chat_id", "topic_ord", "age", "id")])
@@ -136,7 +136,7 @@ SQL = {
         strftime(coalesce(n.processed_at, o.processed_at), '%Y-%m-%d %H:%M:%S') AS processed_at, coalesce(o.delivered, false) AS delivered
       FROM o FULL JOIN n ON o.article_id = n.article_id AND o.chat_id = n.chat_id AND o.topic_name = n.topic_name""",
     "D13_repeat_body_bonus": """WITH e AS (SELECT a.id, f.chat_id, t.topic_ord, md5(coalesce(content, '')) AS bh, -coalesce(epoch(published_at)::BIGINT, 0) AS age
-        FROM articles_raw a JOIN feeds f ON a.source_feed = f.url JOIN topics t ON t.chat_id = f.chat_id AND t.active AND t.topic_ord <= 2)
+        FROM articles_raw a JOIN feeds f ON a.source_feed = f.url JOIN topics t ON t.chat_id = f.chat_id AND t.active)
       SELECT id, chat_id, topic_ord, CASE WHEN row_number() OVER (PARTITION BY bh ORDER BY chat_id, topic_ord, age, id) > 1 THEN 0.05 ELSE 0.0 END::DOUBLE AS bonus FROM e""",
 }
 SQL = {k: with_views(v) for k, v in SQL.items()}

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from sheaf.functions.words import STOP_WORDS
 from sheaf.operators import matching as op
 from sheaf.plans.views import view, with_views
+from sheaf.sources.stage import staged
 
 
 def features(s, d):
-    return op.text_features(view(s, d, "articles_raw"))
+    """Cleaned once and written: several joins read them, and would each clean all articles again."""
+    return staged(op.text_features(view(s, d, "articles_raw")), "features")
+
+
+def matched(s, d):
+    """Features, and the hits of all topics' keywords in them."""
+    f = features(s, d)
+    return f, staged(op.topic_hits(f, view(s, d, "topic_keywords")), "hits")
 
 
 def topic_feeds(s, d):
@@ -19,19 +27,21 @@ def topic_feeds(s, d):
 
 
 def pairs(s, d):
-    return op.prefilter(features(s, d), view(s, d, "topic_keywords"), topic_feeds(s, d))
+    f, hits = matched(s, d)
+    return staged(op.prefilter(f, view(s, d, "topic_keywords"), topic_feeds(s, d), hits), "pairs")
 
 
 def m1(s, d):
-    return features(s, d).select("id", F.explode("tokens").alias("word"), "n_tokens").groupBy("id", "word", "n_tokens").agg(F.count(F.lit(1)).alias("n")).select("id", "word", "n", F.round(F.col("n") / F.col("n_tokens"), 6).alias("tf"))
+    return op.text_features(view(s, d, "articles_raw")).select("id", F.explode("tokens").alias("word"), "n_tokens").groupBy("id", "word", "n_tokens").agg(F.count(F.lit(1)).alias("n")).select("id", "word", "n", F.round(F.col("n") / F.col("n_tokens"), 6).alias("tf"))
 
 
 def m2(s, d):
-    return op.relevance(features(s, d), view(s, d, "topic_keywords"))
+    f, hits = matched(s, d)
+    return op.relevance(f, view(s, d, "topic_keywords"), hits)
 
 
 def m3(s, d):
-    return op.exclusions(features(s, d), view(s, d, "topic_keywords"))
+    return op.exclusions(view(s, d, "topic_keywords"), op.topic_hits(op.text_features(view(s, d, "articles_raw")), view(s, d, "topic_keywords").filter("kind = 'exclude'")))
 
 
 def m4(s, d):
@@ -39,17 +49,19 @@ def m4(s, d):
 
 
 def _verdicts(s, d):
-    f = features(s, d)
-    ex = op.exclusions(f, view(s, d, "topic_keywords"))
-    return op.verdicts(view(s, d, "articles_raw"), op.prefilter(f, view(s, d, "topic_keywords"), topic_feeds(s, d)), ex)
+    """Pairs and the verdicts on articles."""
+    f, hits = matched(s, d)
+    p = staged(op.prefilter(f, view(s, d, "topic_keywords"), topic_feeds(s, d), hits), "pairs")
+    return p, op.verdicts(view(s, d, "articles_raw"), p, op.exclusions(view(s, d, "topic_keywords"), hits))
 
 
 def m5(s, d):
-    return _verdicts(s, d).select("id", "passed", "chat_id", "best_topic", "best_score", "reason")
+    return _verdicts(s, d)[1].select("id", "passed", "chat_id", "best_topic", "best_score", "reason")
 
 
 def m6(s, d):
-    return op.topic_histogram(pairs(s, d)).crossJoin(F.broadcast(op.summary(_verdicts(s, d))))  # one row
+    p, v = _verdicts(s, d)
+    return op.topic_histogram(p).crossJoin(F.broadcast(op.summary(v)))  # one row
 
 
 QUERIES = {"M1_text_features": m1, "M2_keyword_relevance": m2, "M3_exclusion": m3, "M4_prefilter": m4, "M5_best_topic": m5, "M6_prefilter_summary": m6}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
 from sheaf.operators import html as op
 from sheaf.sources import feeds as fd
+from sheaf.sources.stage import shared_path
 from sheaf.plans.views import now, view, with_views
 
 A = lambda s, d: view(s, d, "articles_raw")
@@ -54,7 +53,7 @@ def s5(s, d):
 
 
 def s7(s, d):
-    path = f"{(s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='sheaf-')).rstrip('/')}/snapshot-{tempfile.mktemp(dir='').strip('/')}"
+    path = shared_path(s, "snapshot")
     rows = A(s, d).select("id", "url", "published_at")
     fd.write_snapshot(rows, path, "published_at")
     fd.write_snapshot(rows.filter("published_at >= TIMESTAMP '2024-01-30'"), path, "published_at")

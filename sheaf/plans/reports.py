@@ -123,7 +123,7 @@ def v3(s, d):
 QUERIES = {
     "A1_feed_counts": lambda s, d: op.feed_counts(A(s, d)),
     "A2_feed_stats": a2,
-    "A3_feed_health_counts": lambda s, d: op.feed_health(view(s, d, "feeds").filter("chat_id = '0'"), A(s, d)),
+    "A3_feed_health_counts": lambda s, d: op.feed_health(view(s, d, "feeds"), A(s, d)),
     "A4_channel_feed_report": lambda s, d: op.channel_feeds(view(s, d, "feeds")),
     "A5_topic_stats": a5,
     "A6_channel_topic_report": lambda s, d: op.channel_topics(view(s, d, "topics"), view(s, d, "topic_keywords")),
@@ -148,9 +148,9 @@ SQL = {
     "A1_feed_counts": "SELECT source_feed, count(*) AS articles FROM articles_raw GROUP BY source_feed",
     "A2_feed_stats": f"""WITH {FEEDS} SELECT chat_id, count(*) AS total, count_if(active)::BIGINT AS active, count_if(error_count > 0)::BIGINT AS with_errors, round(avg(error_count), 6) AS average_errors,
         strftime(max(last_success_at), '%Y-%m-%d %H:%M:%S') AS last_success_at, count(DISTINCT chat_id0) AS channels FROM (SELECT *, chat_id AS chat_id0 FROM fd) GROUP BY GROUPING SETS ((chat_id), ())""",
-    "A3_feed_health_counts": f"""SELECT count_if(f.active)::BIGINT AS active, count_if(f.active AND error_count < 5)::BIGINT AS healthy, count_if(error_count > 0 AND f.active)::BIGINT AS with_errors,
+    "A3_feed_health_counts": f"""SELECT f.chat_id, count_if(f.active)::BIGINT AS active, count_if(f.active AND error_count < 5)::BIGINT AS healthy, count_if(error_count > 0 AND f.active)::BIGINT AS with_errors,
         count_if(NOT f.active OR error_count >= 10)::BIGINT AS disabled, coalesce(sum(CASE WHEN f.active THEN n END), 0)::BIGINT AS articles, {_pct('count_if(f.active AND error_count < 5)', 'count_if(f.active)')} AS health
-      FROM feeds f LEFT JOIN (SELECT source_feed, count(*) AS n FROM articles_raw GROUP BY 1) a ON a.source_feed = f.url WHERE f.chat_id = '0'""",
+      FROM feeds f LEFT JOIN (SELECT source_feed, count(*) AS n FROM articles_raw GROUP BY 1) a ON a.source_feed = f.url GROUP BY GROUPING SETS ((f.chat_id), ())""",
     "A4_channel_feed_report": """SELECT chat_id, count_if(active AND error_count = 0)::BIGINT AS healthy, count_if(error_count > 0)::BIGINT AS with_errors, round(avg(error_count), 6) AS average_errors,
         array_to_string(list_sort(list(url || ' ' || error_count || ' ' || CASE WHEN active THEN 'active' ELSE 'off' END)), '; ') AS feeds FROM feeds GROUP BY chat_id""",
     "A5_topic_stats": f"""WITH {NK} SELECT count(*) AS total, count_if(active)::BIGINT AS active, round(avg(confidence_threshold), 6) AS average_threshold, round(avg(nkw), 6) AS average_keywords, max(nkw)::BIGINT AS most_keywords,

@@ -12,24 +12,25 @@ from sheaf.plans.views import now, view, with_views
 A = lambda s, d: view(s, d, "articles_raw")
 
 
-def _weighted(s, d):
-    return op.weighted_keywords(m.pairs(s, d).select("id", "chat_id", "name"), A(s, d), view(s, d, "topic_keywords"))
+def _weighted(s, d, pairs):
+    return op.weighted_keywords(pairs.select("id", "chat_id", "name"), A(s, d), view(s, d, "topic_keywords"))
 
 
-def _bonus(s, d):
+def _bonus(s, d, pairs):
     from sheaf.functions import text as tx
 
     body = A(s, d).select("id", "published_at", tx.body_hash(F.col("content"), F.lit(None).cast("string")).alias("body_hash"))
-    e = m.pairs(s, d).select("id", "chat_id", "name", "topic_ord").join(body, "id").withColumn("age", -F.coalesce(F.unix_timestamp("published_at"), F.lit(0)))
+    e = pairs.select("id", "chat_id", "name", "topic_ord").join(body, "id").withColumn("age", -F.coalesce(F.unix_timestamp("published_at"), F.lit(0)))
     return dedup.repeat_bonus(e, [F.col(c) for c in ("chat_id", "topic_ord", "age", "id")]).select("id", "chat_id", "name", "bonus")
 
 
-def _routed(s, d):
-    return op.routed(_weighted(s, d), A(s, d), _bonus(s, d))
+def _routed(s, d, pairs=None):
+    pairs = m.pairs(s, d) if pairs is None else pairs
+    return op.routed(_weighted(s, d, pairs), A(s, d), _bonus(s, d, pairs))
 
 
 def m7(s, d):
-    return _weighted(s, d).withColumn("matched", F.array_join("matched", ","))
+    return _weighted(s, d, m.pairs(s, d)).withColumn("matched", F.array_join("matched", ","))
 
 
 def m8(s, d):
@@ -53,8 +54,8 @@ def m12(s, d):
     return _routed(s, d).select("id", "chat_id", "name", "routing", "action")
 
 
-def _fallback(s, d):
-    return op.fallback(m.pairs(s, d), A(s, d), view(s, d, "topic_keywords"))
+def _fallback(s, d, pairs=None):
+    return op.fallback(m.pairs(s, d) if pairs is None else pairs, A(s, d), view(s, d, "topic_keywords"))
 
 
 def m13(s, d):
@@ -86,9 +87,9 @@ def m17(s, d):
     return op.quality_adjusted(calls.select("seq", "provider", "relevance", "confidence"), _factors(s))
 
 
-def _ladder(s, d):
+def _ladder(s, d, pairs=None):
     order = s.createDataFrame([(p, i) for i, p in enumerate(w.PROVIDER_ORDER)], "provider string, position int")
-    fb = _fallback(s, d).groupBy(F.col("id").alias("article_id"), F.col("name").alias("topic_name")).agg(F.max("relevance").alias("relevance"), F.max("confidence").alias("confidence"))
+    fb = _fallback(s, d, pairs).groupBy(F.col("id").alias("article_id"), F.col("name").alias("topic_name")).agg(F.max("relevance").alias("relevance"), F.max("confidence").alias("confidence"))
     calls = view(s, d, "call_log").select("article_id", "topic_name", "seq", "provider", (F.col("success") & (F.col("seq") % 3 == 0)).alias("success"), F.round("relevance", 6).alias("relevance"), "confidence")
     return op.ladder(calls, order, fb)
 
@@ -103,11 +104,12 @@ def m19(s, d):
 
 
 def m20(s, d):
-    adjusted = op.quality_adjusted(_ladder(s, d), _factors(s)).select(F.col("article_id").alias("id"), F.col("topic_name").alias("name"), "provider", "relevance", "confidence")
-    r = _routed(s, d)
+    pairs = m.pairs(s, d)
+    adjusted = op.quality_adjusted(_ladder(s, d, pairs), _factors(s)).select(F.col("article_id").alias("id"), F.col("topic_name").alias("name"), "provider", "relevance", "confidence")
+    r = _routed(s, d, pairs)
     keys = r.select("id", "chat_id", "name")
     model = keys.join(adjusted, ["id", "name"]).filter(F.col("id").cast("long") % 5 != 0)
-    failed = _fallback(s, d).filter(F.col("id").cast("long") % 5 == 0).withColumn("provider", F.lit("keyword_fallback"))
+    failed = _fallback(s, d, pairs).filter(F.col("id").cast("long") % 5 == 0).withColumn("provider", F.lit("keyword_fallback"))
     return op.accepted(r, model, failed)
 
 
