@@ -1,51 +1,18 @@
-"""What the operators of this subpackage have in common: the shared folder and word pattern."""
+"""What the operators of this subpackage have in common: tables in the shared folder, the word pattern, packed texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sheaf.sources.stage import shared_path, shared_root, staged  # noqa: F401
+
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, a laptop) a local temporary folder is taken."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="sheaf-"))
-    return _own_root[0]
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; Hadoop's file system removes it when the driver ends."""
-    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage and survives the loss of any executor, unlike a local checkpoint."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

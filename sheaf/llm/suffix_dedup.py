@@ -368,8 +368,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Removed is every byte of a ``length``-byte string that starts anywhere else too, in another
     document or the same one, overlaps included, judged on the input. Texts are UTF-8 bytes, null as
     empty; texts below ``length`` bytes never lose any. Ids must be unique: rows that repeat a
-    doc_id are taken for further copies of the text, each shown with all spans of the id; rows
-    without doc_id are neither compared nor cut and have no spans. Other columns are ignored; an
+    doc_id are taken for further copies of the text, each shown with all spans of the id. Rows
+    without doc_id are compared and cut like others, under a hash of their text. Other columns are ignored; an
     empty table gives an empty table. Contexts and windows of hot anchors are told apart by 64-bit
     hashes, all other suffixes by their bytes.
     """
@@ -377,20 +377,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     width = shuffle_width(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     known = rows.filter("doc_id IS NOT NULL")
+    nameless = rows.filter("doc_id IS NULL").select(F.xxhash64("text").alias("doc_id"), "text")
+    rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
 
     # which way anchors go depends on this list of bounded length, the result does not
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)
     least = max(HOT_IN_SAMPLE, -(-sample.count() // width))
     hot = sample.mapInArrow(_contexts_in_sample(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     hot = np.array(sorted(r["h"] for r in hot.orderBy(F.desc("n"), "h").limit(HOT_ANCHORS).collect()), dtype=np.int64).view(np.uint64)
 
-    packed = known.mapInArrow(_survey(width * 4, length, hot), PACKED).repartition(width, "bucket").sortWithinPartitions("bucket")
+    packed = rows.mapInArrow(_survey(width * 4, length, hot), PACKED).repartition(width, "bucket").sortWithinPartitions("bucket")
     found = staged(packed.mapInArrow(_settle(length), FOUND), "anchors")
     spans = found.filter(F.col("kind") == SPAN).select("doc_id", "start", "end")
 
     def with_texts(kind: int) -> DataFrame:
         parts = found.filter(F.col("kind") == kind).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "end", "sure")).alias("parts"))
-        return packed_texts(known).join(parts, "doc_id").select("doc_id", "packed", "parts")
+        return packed_texts(rows).join(parts, "doc_id").select("doc_id", "packed", "parts")
 
     contexts = with_texts(CONTEXT).mapInArrow(_cut_contexts, "h long, doc_id long, start long, sure boolean, bytes binary")
     spans = spans.union(contexts.repartition(width, "h").sortWithinPartitions("h").mapInArrow(_sort_buckets(length), "doc_id long, start long, end long"))
@@ -402,5 +404,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         spans = spans.union(again.select("doc_id", "start", (F.col("start") + length).alias("end")))
 
     every = staged(spans, "spans").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return packed_texts(rows).join(every, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
-        _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+
+    def cut(some: DataFrame) -> DataFrame:
+        return packed_texts(some).join(every, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
+            _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+
+    return cut(known).union(cut(nameless).withColumn("doc_id", F.lit(None).cast("long")))

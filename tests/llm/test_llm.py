@@ -165,6 +165,15 @@ def test_repeats(spark, odd, hot, monkeypatch):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_of_rows_without_id(spark):
+    rng = random.Random(12)
+    passage, other = prose(rng, 80), prose(rng, 80)
+    rows = [(1, prose(rng, 30) + " " + passage, "a"), (None, passage, "a"), (None, other, "a"), (None, other, "a"), (None, prose(rng, 90), "a"), (None, None, "a")]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect())
+    size = [len((t or "").encode()) for _, t, _ in rows]
+    assert got == sorted([(1, size[0], size[1]), (0, size[1], size[1]), (0, size[2], size[2]), (0, size[3], size[3]), (0, size[4], 0), (0, 0, 0)])
+
+
 def test_difference_cover_sort():
     rng = np.random.default_rng(1)
     part = rng.integers(97, 99, 3000).astype(np.uint8)
