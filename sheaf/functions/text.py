@@ -75,7 +75,7 @@ def preview(c: Column, most: int = 150, ceiling: int = 700, threshold: float = 0
 def source_name(url: Column) -> Column:
     host = F.regexp_extract(url, r"https?://([^/]+)", 1)
     label = F.split(F.regexp_replace(host, r"^www\.", ""), r"\.")[0]
-    return F.when(F.coalesce(host, F.lit("")) == "", F.lit("Unknown Source")).otherwise(F.concat(F.upper(F.substring(label, 1, 1)), F.lower(F.substring(label, 2, 10000))))
+    return F.when(F.coalesce(host, F.lit("")) == "", F.lit("Unknown Source")).otherwise(F.concat(F.upper(F.substring(label, 1, 1)), F.lower(F.substr(label, F.lit(2)))))
 
 
 def extractive_summary(content: Column, title: Column, sentences: int = 3) -> Column:

@@ -135,7 +135,7 @@ def parsed_response(text: Column) -> dict[str, Column]:
 
     def last(label: str) -> Column:
         own = F.filter(lines, lambda x: x.startswith(f"{label}:"))
-        return F.trim(F.substring(F.try_element_at(own, F.lit(-1)), F.lit(len(label) + 2), F.lit(100000)))
+        return F.trim(F.substr(F.try_element_at(own, F.lit(-1)), F.lit(len(label) + 2)))
 
     number = lambda label, default: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(last(label).try_cast("double"), F.lit(default))))
     words = F.filter(F.transform(F.split(F.coalesce(last("MATCHED_KEYWORDS"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

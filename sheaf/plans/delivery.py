@@ -112,6 +112,16 @@ def DEL(k):
       WHERE NOT r.delivered AND r.processed_at >= TIMESTAMP '2024-01-30' AND r.confidence_score >= t.confidence_threshold) WHERE rank <= {k})"""
 
 
+ITEMS = rf"""{DEL(5)},
+pv AS (SELECT id, source_feed, trim(regexp_replace(coalesce(content, ''), '{tx.SPACE}', ' ', 'g')) AS t FROM articles_raw),
+pe AS (SELECT *, substr(t, 1, 200) AS h FROM pv),
+pf AS (SELECT *, greatest(""" + ", ".join(f"CASE WHEN contains(h, '{c}') THEN 200 - instr(reverse(h), '{c}') ELSE -1 END" for c in ".!?") + rf""") AS e FROM pe),
+ps AS (SELECT id, CASE WHEN length(t) <= 200 THEN t WHEN e > 140 THEN substr(t, 1, e + 1) ELSE substr(t, 1, 197) || '...' END AS text,
+  split_part(regexp_replace(regexp_extract(source_feed, 'https?://([^/]+)', 1), '^www\.', ''), '.', 1) AS l FROM pf),
+it AS (SELECT d.chat_id, d.topic_name, d.rank, d.rank || '. ' || {_trunc('d.title', 120)} || chr(10) || chr(10) || CASE WHEN text <> '' THEN text || chr(10) || chr(10) ELSE '' END
+  || coalesce(CASE WHEN a.published_at::DATE = DATE '2024-01-31' THEN 'Today ' || strftime(a.published_at, '%H:%M') ELSE strftime(a.published_at, '%m/%d %H:%M') END || ' - ', '') || upper(substr(l, 1, 1)) || lower(substr(l, 2)) || chr(10)
+  || 'Read: ' || a.url || chr(10) || chr(10) || '{dg.RULE}' || chr(10) || chr(10) AS item FROM del d JOIN articles_raw a ON a.id = d.article_id JOIN ps ON ps.id = a.id)"""
+
 OWNED = "ow AS (SELECT *, CASE WHEN topic_ord % 2 = 0 THEN chat_id::BIGINT + topic_ord END AS telegram_user_id FROM topics)"
 
 SQL = {
@@ -133,6 +143,13 @@ SQL = {
     "J10_channels_due": "SELECT DISTINCT chat_id FROM feeds WHERE active",
     "J11_preview": f"""WITH {DEL(3)} SELECT chat_id, topic_name, count(*) AS total,
         array_to_string(list({_trunc('title', 60)} ORDER BY rank)[1:2], chr(10)) || CASE WHEN count(*) > 2 THEN chr(10) || '... and ' || (count(*) - 2) || ' more' ELSE '' END AS text FROM del GROUP BY ALL""",
+    "F1_digest_items": f"WITH {ITEMS} SELECT chat_id, topic_name, rank, item FROM it",
+    "F2_pack_messages": rf"""WITH RECURSIVE {ITEMS}, g AS (SELECT chat_id, topic_name, list(item ORDER BY rank) AS items FROM it GROUP BY ALL),
+      pk AS (SELECT chat_id, topic_name, items, 0 AS k, []::VARCHAR[] AS done, topic_name || chr(10) || chr(10) AS cur FROM g
+        UNION ALL SELECT chat_id, topic_name, items, k + 1, CASE WHEN length(cur) + length(items[k + 1]) > 900 THEN list_append(done, regexp_replace(cur, '\s+$', '')) ELSE done END,
+          CASE WHEN length(cur) + length(items[k + 1]) > 900 THEN topic_name || ' (continued)' || chr(10) || chr(10) || items[k + 1] ELSE cur || items[k + 1] END FROM pk WHERE k < len(items)),
+      fin AS (SELECT chat_id, topic_name, list_append(done, regexp_replace(cur, '\s+$', '')) AS m FROM pk WHERE k = len(items))
+      SELECT chat_id, topic_name, generate_subscripts(m, 1)::INT AS message_no, unnest(m) AS message FROM fin""",
     "F3_digest_header": f"""WITH {DEL(5)}, p AS (SELECT chat_id, topic_name, count(*) AS n FROM del GROUP BY ALL),
       g AS (SELECT chat_id, sum(n)::BIGINT AS articles, count(*) AS topics, list(topic_name || ': ' || n || ' articles' ORDER BY topic_name || ': ' || n || ' articles') AS lines FROM p GROUP BY ALL)
       SELECT chat_id, articles, topics, greatest(1.0, articles * 0.5)::DOUBLE AS minutes, 'Daily digest: ' || articles || ' articles from ' || topics || CASE WHEN topics = 1 THEN ' topic' ELSE ' topics' END || ', '

@@ -96,6 +96,10 @@ SQL = {
       g AS (SELECT *, CASE WHEN healthy AND position IS NOT NULL THEN 0 WHEN healthy THEN 1 WHEN NOT rate_limited THEN 2 END AS g FROM j)
       SELECT provider, position::INT AS position, CASE WHEN g IS NOT NULL THEN row_number() OVER (ORDER BY g NULLS LAST, position NULLS LAST, provider) END::INT AS effective FROM g""",
     "T7_error_classify": f"WITH {er.CLASSIFIED} SELECT seq, category, severity FROM cls",
+    "T8_alert_suppression": f"""WITH RECURSIVE {er.CLASSIFIED}, lm AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in ALERT_LIMITS.items())}) v(severity, wait)),
+      ev AS MATERIALIZED (SELECT severity, floor(epoch(ts))::BIGINT AS sec, min(seq) AS seq, any_value(wait) AS wait FROM cls JOIN lm USING (severity) GROUP BY ALL),
+      al AS (SELECT severity, min(sec) AS sec FROM ev GROUP BY severity UNION ALL SELECT ev.severity, min(ev.sec) FROM al JOIN ev ON ev.severity = al.severity AND ev.sec >= al.sec + ev.wait GROUP BY ev.severity)
+      SELECT seq, severity FROM al JOIN ev USING (severity, sec)""",
     "T9_error_counts": f"WITH {er.CLASSIFIED} SELECT 'category' AS kind, category AS value, count(*) AS n FROM cls GROUP BY category UNION ALL SELECT 'component', component, count(*) FROM cls GROUP BY component UNION ALL SELECT 'severity', severity, count(*) FROM cls GROUP BY severity",
     "T11_rate_usage": """SELECT provider, '1 minute' AS span, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) >= 2 AS exhausted FROM call_log GROUP BY provider, date_trunc('minute', ts)
       UNION ALL SELECT provider, '1 day', strftime(date_trunc('day', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S'), count(*), count(*) >= 80 FROM call_log GROUP BY provider, date_trunc('day', ts)""",

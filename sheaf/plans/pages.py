@@ -68,13 +68,22 @@ def h2(s, d):
     return op.with_text(P(s, d), plain=True)
 
 
+#: Images by page, which the generated pages lack: from the host, from elsewhere, inline, and one without a file.
+PICTURES = """CASE page_id % 3 WHEN 0 THEN '<img src="/pics/' || page_id || '.png" alt="picture ' || page_id || '" width="640">' WHEN 1 THEN '<img alt="" title="far" src="https://cdn.example.com/x.jpg" height="48">' ELSE '' END
+  || '<img src="data:image/png;base64,AA" alt="inline"><img alt="no file">' || CASE WHEN page_id % 5 = 0 THEN '<img src="//other.example.com/y.gif">' ELSE '' END"""
+
+
+def h4(s, d):
+    return op.images(P(s, d).withColumn("html", F.concat("html", F.expr(PICTURES))))
+
+
 def h8(s, d):
     return op.normalized(A(s, d)).select("id", "title", "url", F.md5("content").alias("content_md5"), "content_hash")
 
 
 QUERIES = {
     "S1_read_feed_items": s1, "S2_feed_metadata": s2, "S3_pick_content": s3, "S4_parse_dates": s4, "S5_age_cut": s5, "S6_page_articles": lambda s, d: op.page_articles(P(s, d)), "S7_snapshot_sink": s7,
-    "H1_html_clean_text": h1, "H2_html_plain_text": h2, "H3_extract_links": lambda s, d: op.links(P(s, d)), "H4_extract_images": lambda s, d: op.images(P(s, d)), "H6_page_metadata": lambda s, d: op.metadata(P(s, d)), "H8_normalize_article": h8,
+    "H1_html_clean_text": h1, "H2_html_plain_text": h2, "H3_extract_links": lambda s, d: op.links(P(s, d)), "H4_extract_images": h4, "H6_page_metadata": lambda s, d: op.metadata(P(s, d)), "H8_normalize_article": h8,
 }
 
 _san = lambda c: rf"nullif(trim(regexp_replace(regexp_replace({c}, '{tx.CONTROL}', '', 'g'), '{tx.SPACE}', ' ', 'g')), '')"
@@ -86,6 +95,11 @@ SQL = {
     "H3_extract_links": r"""WITH l AS (SELECT page_id, url AS base, generate_subscripts(m, 1) - 1 AS position, unnest(m) AS a FROM (SELECT page_id, url, regexp_extract_all(html, '<a\b[^>]*>.*?</a>') AS m FROM pages)),
       h AS (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM l)
       SELECT page_id, position::INT AS position, CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1) || href ELSE href END AS url, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text, '' AS title FROM h""",
-    "H8_normalize_article": None,
+    "H4_extract_images": rf"""WITH p AS (SELECT page_id, url AS base, html || {PICTURES} AS html FROM pages),
+      l AS (SELECT page_id, base, generate_subscripts(m, 1) - 1 AS position, unnest(m) AS tag FROM (SELECT page_id, base, regexp_extract_all(html, '<img\b[^>]*>') AS m FROM p)),
+      a AS (SELECT *, regexp_extract(tag, ' src="([^"]*)"', 1) AS s FROM l)
+      SELECT page_id, position::INT AS position, CASE WHEN s LIKE '//%' THEN regexp_extract(base, '^([A-Za-z]+):', 1) || ':' || s WHEN s LIKE '/%' THEN regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1) || s ELSE s END AS src,
+        nullif(regexp_extract(tag, ' alt="([^"]*)"', 1), '') AS alt, nullif(regexp_extract(tag, ' title="([^"]*)"', 1), '') AS title, nullif(regexp_extract(tag, ' width="([^"]*)"', 1), '') AS width, nullif(regexp_extract(tag, ' height="([^"]*)"', 1), '') AS height
+      FROM a WHERE s <> '' AND s NOT LIKE 'data:%'""",
 }
-SQL = {k: with_views(v) for k, v in SQL.items() if v}
+SQL = {k: with_views(v) for k, v in SQL.items()}

@@ -121,6 +121,7 @@ def with_views(sql: str) -> str:
     names = needs(sql)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     sql = sql.strip()
-    if sql.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{sql[5:]}" if ctes else sql
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(start):
+            return f"{start}{ctes},\n{sql[len(start):]}" if ctes else sql
     return f"WITH {ctes}\n{sql}" if ctes else sql
