@@ -8,6 +8,7 @@ from sheaf.functions import text as tx
 from sheaf.operators import html as op
 from sheaf.sources import feeds as fd
 from sheaf.sources.stage import shared_path
+from sheaf.plans.text import NORMAL_URLS, _title
 from sheaf.plans.views import now, view, with_views
 
 A = lambda s, d: view(s, d, "articles_raw")
@@ -99,6 +100,8 @@ SQL = {
     "H3_extract_links": r"""WITH l AS (SELECT page_id, url AS base, generate_subscripts(m, 1) - 1 AS position, unnest(m) AS a FROM (SELECT page_id, url, regexp_extract_all(html, '<a\b[^>]*>.*?</a>') AS m FROM pages)),
       h AS (SELECT *, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM l)
       SELECT page_id, position::INT AS position, CASE WHEN href LIKE '/%' THEN regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1) || href ELSE href END AS url, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text, '' AS title FROM h""",
+    "H8_normalize_article": rf"""WITH {NORMAL_URLS}, ca AS (SELECT id, {_title(_squeezed(_plain('title')))} AS title, {_squeezed("regexp_replace(" + _plain('content') + ", '<[^>]+>', ' ', 'g')")} AS content FROM articles_raw)
+      SELECT id, title, url, md5(CASE WHEN length(content) > 2000 THEN substr(content, 1, 2000) || '...' ELSE content END) AS content_md5, sha256(title || '|' || url) AS content_hash FROM ca JOIN nu USING (id)""",
     # the generated pages have no dangerous element but scripts and styles, no form, and these character references
     "H1_html_clean_text": f"WITH {TEXTS} SELECT page_id, text FROM tx",
     "H2_html_plain_text": f"WITH {TEXTS} SELECT page_id, text FROM tx",

@@ -92,15 +92,16 @@ def _title(c):
 
 TRACK = ", ".join(f"'{t}'" for t in tx.TRACKING)
 
+NORMAL_URLS = f"""p AS (SELECT id, url, regexp_extract(url, '(#.*)$', 1) AS frag, regexp_replace(url, '#.*$', '') AS body FROM articles_raw),
+q AS (SELECT *, regexp_extract(body, '\\?(.*)$', 1) AS query, regexp_extract(body, '^([^?]*)', 1) AS base FROM p),
+r AS (SELECT *, array_to_string(list_transform(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND split_part(x, '=', 1) NOT IN ({TRACK})), lambda x: url_encode(url_decode(split_part(x, '=', 1))) || '=' || url_encode(url_decode(regexp_extract(x, '=(.*)$', 1)))), '&') AS rest FROM q),
+nu AS (SELECT id, CASE WHEN query = '' THEN url ELSE base || CASE WHEN rest = '' THEN '' ELSE '?' || rest END || frag END AS url FROM r)"""
+
 SQL = {
     "H5_clean_valid": f"SELECT id, coalesce(length(content) >= 10 AND length(regexp_replace(content, '{_SP}', '', 'g')) / length(content) >= 0.1 AND length(content) <= 6000, false) AS valid FROM articles_raw",
     "H7_sanitize_text": f"""SELECT id, {_collapse("regexp_replace(title, '" + tx.CONTROL + "', '', 'g')")} AS title, md5({_collapse("regexp_replace(content, '" + tx.CONTROL + "', '', 'g')")}) AS content_md5 FROM articles_raw""",
     "H9_clean_title": f"SELECT id, {_title('a')} AS framed, {_title('b')} AS dashed FROM (SELECT id, '[News] Report: ' || title || ' | Site' AS a, title || ' - Daily Post' AS b FROM articles_raw)",
-    "H10_normalize_url": f"""
-WITH p AS (SELECT id, url, regexp_extract(url, '(#.*)$', 1) AS frag, regexp_replace(url, '#.*$', '') AS body FROM articles_raw),
-q AS (SELECT *, regexp_extract(body, '\\?(.*)$', 1) AS query, regexp_extract(body, '^([^?]*)', 1) AS base FROM p),
-r AS (SELECT *, array_to_string(list_transform(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND split_part(x, '=', 1) NOT IN ({TRACK})), lambda x: url_encode(url_decode(split_part(x, '=', 1))) || '=' || url_encode(url_decode(regexp_extract(x, '=(.*)$', 1)))), '&') AS rest FROM q)
-SELECT id, CASE WHEN query = '' THEN url ELSE base || CASE WHEN rest = '' THEN '' ELSE '?' || rest END || frag END AS url FROM r""",
+    "H10_normalize_url": f"WITH {NORMAL_URLS} SELECT id, url FROM nu",
     "H11_validate_url": f"""
 WITH u AS (SELECT id, CASE WHEN seq % 9 = 0 THEN 'ftp://' || substr(url, 9) WHEN seq % 10 = 0 THEN upper(url) WHEN seq % 8 = 0 THEN 'http://localhost/x' ELSE url END AS u FROM articles_raw),
 p AS (SELECT *, CASE WHEN lower(regexp_extract(u, '^([A-Za-z]+):', 1)) NOT IN ('http', 'https') THEN 'scheme' WHEN regexp_matches(lower(u), '{tx.SUSPICIOUS_URL}') THEN 'suspicious' END AS problem FROM u)
