@@ -39,6 +39,30 @@ def byte_characters() -> list[str]:
     return [rest.get(b, chr(b)) for b in range(256)]
 
 
+CHARACTERS = byte_characters()
+
+
+def byte_table() -> np.ndarray:
+    """The reverse: the byte of each stand-in character, by code point."""
+    table = np.zeros(1 + max(map(ord, CHARACTERS)), np.uint8)
+    for byte, char in enumerate(CHARACTERS):
+        table[ord(char)] = byte
+    return table
+
+
+BYTE_OF = byte_table()
+
+
+def spelled(token: bytes) -> str:
+    """A token in stand-in characters, as the library spells it."""
+    return "".join(map(CHARACTERS.__getitem__, token))
+
+
+def bytes_of(spelling: str) -> bytes:
+    """The bytes of stand-in characters, each of which is one code unit of UTF-16."""
+    return BYTE_OF[np.frombuffer(spelling.encode("utf-16-le"), np.uint16)].tobytes()
+
+
 def read_ranks(path: str) -> list[bytes]:
     """The byte strings of a rank file by rank."""
     with open(path, "rb") as f:
@@ -74,9 +98,8 @@ def tokenizer(path: str, pattern: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    table, chars = read_ranks(path), byte_characters()
-    spell = lambda b: "".join(chars[x] for x in b)
-    model = models.BPE({spell(t): i for i, t in enumerate(table) if t}, [(spell(a), spell(b)) for a, b in merges_of(table)])
+    table = read_ranks(path)
+    model = models.BPE({spelled(t): i for i, t in enumerate(table) if t}, [(spelled(a), spelled(b)) for a, b in merges_of(table)])
     tok = Tokenizer(model)
     tok.pre_tokenizer = pre_tokenizers.Sequence([
         pre_tokenizers.Split(Regex(pattern), "isolated"),
@@ -202,8 +225,25 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str] | None = N
     return rows.mapInArrow(batches, rows.drop("text").schema.add("tokens", T.ArrayType(T.IntegerType())))
 
 
-def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, ids.tolist()))
+@lru_cache(maxsize=2)
+def spellings(path: str, pattern: str) -> list[str]:
+    """The vocabulary by id, in stand-in characters. Once a process."""
+    tok, table = tokenizer(path, pattern)
+    return [tok.id_to_token(i) or "" for i in range(len(table))]
+
+
+def decode_ids(ids: list[int], spelling: list[str]) -> bytes:
+    """The bytes of a run of tokens: their stand-in characters by the reversed byte table."""
+    return bytes_of("".join(map(spelling.__getitem__, ids)))
+
+
+def split_characters(data: bytes, sizes: np.ndarray) -> int:
+    """How many characters of UTF-8 text have bytes in two or more tokens, which are ``sizes`` bytes long."""
+    units = np.frombuffer(data, np.uint8)
+    inside = (units & 0xC0) == 0x80  # neither the first byte of a character nor a character of one byte
+    cut = np.cumsum(sizes)[:-1]
+    cut = cut[inside[cut]]
+    return len(np.unique(np.cumsum(~inside)[cut])) if len(cut) else 0
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -212,9 +252,9 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     Bytes rather than a string: a run of tokens may end inside a character."""
 
     def batches(it):
-        _, table = tokenizer(path, pattern)
+        spelling = spellings(path, pattern)
         for b in it:
-            out = [decode_ids(np.asarray(x, dtype=np.int64), table) if x else b"" for x in b.column(1).to_pylist()]
+            out = [decode_ids(x, spelling) if x else b"" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
     rows = tokens.select("doc_id", "tokens")
@@ -222,24 +262,29 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded and their ids decoded in one
-    pass, so that token lists leave no task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split: texts are encoded and their ids decoded in
+    one pass, so that token lists leave no task. n_split: characters whose bytes are in several tokens.
+
+    Null text counts as empty, with no tokens; repeated rows, and rows without doc_id, are encoded
+    each. Other columns are ignored; an empty table gives an empty table."""
 
     def batches(it):
-        _, table = tokenizer(path, pattern)
-        digits = [b"%d" % i for i in range(len(table))]
+        spelling, size = spellings(path, pattern), encoder(path, pattern).size
+        digits = [b"%d" % i for i in range(len(spelling))]
         for b in it:
-            n, ids_sha, bytes_sha = [], [], []
+            n, ids_sha, bytes_sha, split = [], [], [], []
             for ids in encode_texts(b.column(1).to_pylist(), path, pattern):
                 own = ids.tolist()
                 n.append(len(own))
                 ids_sha.append(hashlib.sha256(b" ".join(map(digits.__getitem__, own))).hexdigest())
-                bytes_sha.append(hashlib.sha256(b"".join(map(table.__getitem__, own))).hexdigest())
+                data = decode_ids(own, spelling)
+                bytes_sha.append(hashlib.sha256(data).hexdigest())
+                split.append(split_characters(data, size[ids]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string()), pa.array(split, pa.int64())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"],
             )
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")

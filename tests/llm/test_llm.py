@@ -260,6 +260,26 @@ def test_bpe(spark, odd):
     assert back == {r["doc_id"]: r["text"] or "" for r in odd.collect()}
     assert all(r["decoded_sha256"] == hashlib.sha256(back[r["doc_id"]].encode()).hexdigest() for r in bpe.round_trip(odd, path, P.PATTERN).collect())
     assert bpe.round_trip(odd.limit(0), path, P.PATTERN).count() == 0
+    twice = docs(spark, [(None, "a b", "a"), (None, None, "a"), (3, "a b", "a"), (3, "a b", "a")])
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.round_trip(twice, path, P.PATTERN).collect()) == [(0, 0), (0, 2), (3, 2), (3, 2)]
+
+
+def test_split_characters(spark):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert bpe.bytes_of(bpe.spelled(bytes(range(256)))) == bytes(range(256))
+    spelling, rng, seen = bpe.spellings(path, P.PATTERN), random.Random(6), 0
+    for text in ["", "a", "é漢😀", "".join(chr(rng.randrange(0x3000, 0xD000)) for _ in range(300)), "plain words only"]:
+        spans = bpe.token_spans(text, path, P.PATTERN)
+        data = bpe.decode_ids([s[0] for s in spans], spelling)
+        assert data == text.encode()
+        tokens_of = [sum(1 for s in spans if s[3] <= k < s[4]) for k in range(len(text))]
+        assert bpe.split_characters(data, np.array([s[2] - s[1] for s in spans], np.int64)) == sum(n > 1 for n in tokens_of)
+        seen += sum(n > 1 for n in tokens_of)
+        for s in spans:  # a run of tokens may end inside a character
+            assert bpe.decode_ids([s[0]], spelling) == text.encode()[s[1] : s[2]]
+    assert seen > 20
 
 
 def test_warc(spark, tmp_path):
