@@ -28,6 +28,11 @@ SEPARATOR = struct.pack("<II", SKIPPABLE_MAGIC, 0).decode("ascii")
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 64, 1 << 19, 1 << 14
 #: Payloads of equal bytes become revisits from this size on.
 LEAST_REVISIT = 100
+#: An archive is closed when its frames reach this size; a further record begins a new one.
+ARCHIVE_BYTES = 1 << 26
+#: What a target URI may hold as it is; anything else is escaped, and the page's own URL stands in a field beside it.
+URI_SAFE = ":/?#[]@!$&'()*+,;=~-._%"
+SOURCE_URL = "X-Source-URL"
 VERSION = "WARC/1.1"
 DATE = "2024-01-31T00:00:00Z"
 
@@ -42,13 +47,26 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES] or b"\r\n\r\nHTTP/1.1 200 OK\r\n"
 
 
+def _samples(payloads: pa.Array) -> list[bytes]:
+    """The beginnings of payloads, as many as a dictionary is made from."""
+    sample, size = [], 0
+    for x in payloads:
+        sample.append(x.as_py()[:SAMPLE_BYTES])
+        if (size := size + len(sample[-1])) >= SAMPLE_BYTES:
+            break
+    return sample
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record: a response with its payload, or a revisit with the response's HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=~-._"))
+        uri = quote(url, safe=URI_SAFE)
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:
+            head.append(f"{SOURCE_URL}: {quote(url, safe='')}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -113,21 +131,24 @@ def parse(raw: bytes) -> dict:
     if kind == "response" and (len(payload) != declared or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("payload differs from its length or digest")
     number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    uri = fields.get("warc-target-uri")
+    own = fields.get(SOURCE_URL.lower())
+    url = fields.get("warc-target-uri") if own is None else unquote(own)
     return {
-        "page_id": number("warc-record-id"), "url": None if uri is None else unquote(uri), "payload_bytes": declared, "payload_digest": digest,
+        "page_id": number("warc-record-id"), "url": url, "payload_bytes": declared, "payload_digest": digest,
         "record_type": kind, "refers_to": number("warc-refers-to"), "payload": payload if kind == "response" else None,
     }
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record per row of ``pages`` (page_id, url, html) as archives in the folder ``path``.
 
     The payload is the html in UTF-8, null as empty. Of equal payloads of at least LEAST_REVISIT
     bytes the one with the smallest page_id is a response, and the others are revisits of it; smaller
     payloads are all responses. Rows that repeat a page_id and its payload are all written; a null
     page_id never becomes the response of others; a null url leaves out the header. Other columns
-    are ignored. One archive per partition of the input; an empty table writes no record."""
+    are ignored. A target URI keeps its escapes. Each archive is a file of about ``archive_bytes``
+    at most, or of one record that is larger, and has a dictionary of its own; an empty table writes
+    no record."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.length("payload"))
     first = rows.filter(F.col("n") >= LEAST_REVISIT).groupBy("digest", "n").agg(F.min("page_id").alias("first"))
@@ -139,29 +160,26 @@ def write_archives(pages: DataFrame, path: str) -> None:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        compress, out = None, []
+        out, held, compress = [], 0, None
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
         for b in it:
-            held = 0
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in b.columns)):
-                if compress is None:
-                    sample, size = [], 0
-                    for x in b.column(2).slice(0, SAMPLES):
-                        sample.append(x.as_py()[:SAMPLE_BYTES])
-                        if (size := size + len(sample[-1])) >= SAMPLE_BYTES:
-                            break
-                    own = _dictionary(sample)
+            for at, (page_id, url, payload, digest, refers_to) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+                if not out:
+                    own = _dictionary(_samples(b.column(2).slice(at, SAMPLES)))
                     compress = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(own), write_checksum=True, write_content_size=True)
                     out.append(struct.pack("<II", DICTIONARY_MAGIC, len(own)) + own)
+                    held = len(out[0])
                 out.append(compress.compress(record(page_id, url, payload, digest, refers_to)))
                 held += len(out[-1])
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-                out = []
-
-    joined.mapInArrow(batches, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+                if held >= archive_bytes:
+                    yield whole()
+                    out = []
+        if out:
+            yield whole()
+
+    # a row is an archive, and a file has one row
+    archives = joined.mapInArrow(batches, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

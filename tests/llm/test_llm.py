@@ -293,11 +293,25 @@ def test_warc(spark, tmp_path):
     assert [got[i]["record_type"] for i in range(1, 8)] == ["response"] * 5 + ["revisit", "response"] and got[6]["refers_to"] == 1
     assert all(got[i]["url"] == u for i, u, *_ in rows)
     assert all(bytes(got[i]["payload"]).decode() == (h or "") for i, _, h, *_ in rows if i != 6) and got[6]["payload_bytes"] == 303
+    small = str(tmp_path / "s")
+    warc.write_archives(pages, small, archive_bytes=900)
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("part-")]) > 2
+    assert sorted(map(str, warc.read_archives(spark, small).collect())) == sorted(map(str, got.values()))
+    again = spark.createDataFrame([(None, "u", big), (4, "u", big), (4, "u", big), (9, "u", big)], "page_id long, url string, html string")
+    warc.write_archives(again, str(tmp_path / "r"))
+    rows = [(r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "r")).collect()]
+    assert sorted(rows, key=str) == [(0, "revisit", 4), (4, "response", None), (4, "response", None), (9, "revisit", 4)]
     empty = str(tmp_path / "e")
     warc.write_archives(pages.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("url, uri", [("https://a.b/c%20d?e=%2F&f=g#h", "https://a.b/c%20d?e=%2F&f=g#h"), ("https://a.b/é x\r\nY: 1", "https://a.b/%C3%A9%20x%0D%0AY:%201"), ("", ""), ("100%", "100%")])
+def test_target_uris(url, uri):
+    raw = warc.record(1, url, b"hi", hashlib.sha256(b"hi").hexdigest(), None)
+    assert f"\r\nWARC-Target-URI: {uri}\r\n".encode() in raw and warc.parse(raw)["url"] == url
+
+
 def test_bad_archives():
     good = warc.record(1, "https://a.b", b"hi", hashlib.sha256(b"hi").hexdigest(), None)
     assert warc.parse(good)["payload"] == b"hi"
