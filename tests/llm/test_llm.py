@@ -67,6 +67,24 @@ def test_exact_groups(spark, odd):
     assert sorted((r["keep_id"] or 0, r["kept"], r["group_size"]) for r in recipes.exact_groups(null_id).collect()) == [(0, False, 1), (3, False, 2), (3, True, 2)]
 
 
+def test_exact_groups_where_identifiers_collide(spark, odd):
+    """Identifiers by length alone: nearly all collide, and texts are told apart as such."""
+    more = odd.union(docs(spark, [(None, "one", "a"), (None, "two", "a"), (6, "two", "b"), (200, "ten", "a")]))
+    by_length = lambda c: F.length(c).cast("long")
+    assert recipes.colliding_identifiers(more.select(F.coalesce("text", F.lit("")).alias("text")), 16, 64, by_length).count() > 5
+    plain = sorted(map(str, recipes.exact_groups(more, least=16, most=64).collect()))
+    assert sorted(map(str, recipes.exact_groups(more, least=16, most=64, identify=by_length).collect())) == plain
+    assert sum("doc_id=6," in r for r in plain) == 2 and any("keep_id=200," in r for r in plain)
+
+
+def test_without_copies(spark):
+    rows = [(1, "x", "a"), (3, "x", "a"), (3, "x", "a"), (5, "y", "a"), (5, "x", "b"), (None, "x", "a"), (None, "z", "b"), (None, "z", "a"), (None, None, "c"), (None, "", "b"), (7, "q", None)]
+    got = recipes.without_copies(docs(spark, rows))
+    assert got.columns == docs(spark, rows).columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["source"] or "") for r in got.collect()) == [(0, "", "c"), (0, "z", "a"), (5, "x", "b"), (5, "y", "a"), (7, "q", "")]
+    assert recipes.without_copies(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_chunks_join_to_the_text(spark, odd):
     joined = odd.select("text", F.array_join(recipes.chunks(F.coalesce("text", F.lit("")), 16, 64), "").alias("j"))
     assert joined.filter("coalesce(text, '') <> j").count() == 0
