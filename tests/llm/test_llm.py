@@ -558,3 +558,26 @@ def test_pipeline(spark, data):
         copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
         assert r["tokens"] == [x.tolist() for x in bpe.encode_texts([rows[r["doc_id"]]], P.path("byte_bpe_50k.tiktoken"), P.PATTERN)][0]
     assert set(copies) <= set(kept) and all(abs(copies.get(i, 0) - t / s) < 1 for i, (t, s) in taken.items() if s)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, data):
+    """Nulls, repeats, clashing names and empty tables pass through every stage."""
+    import corpus_pipeline as pipe
+
+    columns = odd.columns
+    more = odd.union(docs(spark, [(None, "one", "a"), (None, None, None), (20, odd.filter("doc_id = 20").first()["text"], "a")]))
+    more = more.union(spark.createDataFrame([(90, "text of a row of nulls", *[None] * (len(columns) - 2))], DOCS))
+    labels = table(spark, data, "labels")  # those of other documents: what the classifier learns here means nothing
+    for rows in (more, odd.limit(0)):
+        low = sorted((r["doc_id"] or 0) for r in toxicity.toxicity(rows, labels).collect() if r["score"] < 0.3)
+        clean = pipe.drop_toxic(spark, rows, data)
+        assert clean.columns == pipe.COLUMNS and sorted((r["doc_id"] or 0) for r in clean.collect()) == low
+        texts = [(r["doc_id"] or 0, r["text"] or "") for r in rows.collect()]
+        step, expected = rows, {r["doc_id"] for r in rows.collect()}
+        for name, stage in pipe.STAGES[1:]:
+            step = stage(spark, step, data).cache()
+            got = {r["doc_id"] for r in step.collect()}
+            assert got <= expected and (name == "byte_bpe" or step.columns == pipe.COLUMNS)
+            if name == "exact_dedup":
+                assert got == {max(j for j, t in texts if t == u) for _, u in texts}
+            expected = got
