@@ -20,9 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with identical texts the one with the largest doc_id."""
-    gone = recipes.exact_groups(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """Of documents with identical texts the one with the largest doc_id; of those without doc_id one, where no other has the text."""
+    return recipes.without_copies(docs).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
