@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sheaf.llm.components import components
 from sheaf.llm.shared import shuffle_width, staged
@@ -22,38 +22,44 @@ from sheaf.llm.shared import shuffle_width, staged
 COSINE = 0.95
 #: Sorted orders, neighbours compared on each side, signs in a hash.
 PASSES, WINDOW, SIGNS = 16, 512, 48
+#: Windows in a block of neighbours; only the rows of the window before it are repeated.
+BLOCK = 8
 #: Vectors of a component in one side of a tile, about.
 TILE = 1024
 
 
-def _usable(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, list of numbers) -> (id, bytes of doubles, dimension), without vectors that link with nothing."""
-    for b in it:
-        ids, vectors, sizes = [], [], []
-        for vec_id, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if vec_id is None or not v or any(x is None for x in v):
-                continue
-            a = np.array(v, dtype=np.float64)
-            if np.isfinite(a).all() and a.any():
-                ids.append(vec_id), vectors.append((a + 0.0).tobytes()), sizes.append(len(a))  # + 0.0: one zero
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(sizes, pa.int32())], names=["vec_id", "vector", "dim"])
+def _usable(kind: str):
+    """(id, list of numbers) -> (id, bytes of ``kind``, dimension), without vectors that link with nothing."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, vectors, sizes = [], [], []
+            for vec_id, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if vec_id is None or not v or any(x is None for x in v):
+                    continue
+                a = np.array(v, dtype=kind)
+                if np.isfinite(a).all() and a.any():
+                    ids.append(vec_id), vectors.append((a + a.dtype.type(0)).tobytes()), sizes.append(len(a))  # + 0: one zero
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(sizes, pa.int32())], names=["vec_id", "vector", "dim"])
+
+    return batches
 
 
-def _unit(rows: list[bytes]) -> np.ndarray:
-    """Rows of unit length; scaled by the largest component first, so that squares stay finite."""
-    m = np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
+def _unit(rows: list[bytes], kind: str) -> np.ndarray:
+    """Rows of unit length in double precision; scaled by the largest component first, so that squares stay finite."""
+    m = np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1).astype(np.float64)
     m = m / np.abs(m).max(axis=1, keepdims=True)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _hashes(passes: int, signs: int, seed: int):
+def _hashes(passes: int, signs: int, seed: int, kind: str):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (np.int64(1) << np.arange(signs - 1, -1, -1)).astype(np.int64)
         for b in it:
             for dim in sorted(set(b.column(2).to_pylist())):
                 some = b.filter(pa.compute.equal(b.column(2), dim))
                 raw = some.column(1).to_pylist()
-                unit = _unit(raw)
+                unit = _unit(raw, kind)
                 directions = np.random.default_rng([seed, dim]).standard_normal((passes, dim, signs))
                 for p in range(passes):
                     key = ((unit @ directions[p]) > 0) @ weights
@@ -99,8 +105,8 @@ def _by_key(of):
     return batches
 
 
-def _compare(window: int, cosine: float):
-    """Blocks of neighbours -> a tree of their links. A block holds its own rows and those of the one before."""
+def _compare(window: int, cosine: float, kind: str):
+    """Blocks of neighbours -> a tree of their links. A block holds its own rows and those of the window before it."""
 
     def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for order in sorted({(r[3], r[4]) for r in rows}):
@@ -108,24 +114,29 @@ def _compare(window: int, cosine: float):
             own = np.array([k for k, r in enumerate(some) if r[5]], dtype=np.int64)
             if not len(own):
                 continue
-            unit, at = _unit([r[2] for r in some]), np.array([r[6] for r in some])
-            i, j = np.nonzero((unit @ unit[own].T) >= cosine)
-            j = own[j]
-            gap = at[j] - at[i]
-            near = (gap > 0) & (gap <= window)
-            u, v = _tree(np.array([r[1] for r in some]), i[near], j[near])
+            unit, at = _unit([r[2] for r in some], kind), np.array([r[6] for r in some])
+            x, y = [], []
+            for start in range(0, len(own), window):  # rows are in order, so all partners are among these
+                part = own[start : start + window]
+                low = np.searchsorted(at, at[part[0]] - window)
+                i, j = np.nonzero((unit[low : part[-1] + 1] @ unit[part].T) >= cosine)
+                i, j = i + low, part[j]
+                gap = at[j] - at[i]
+                near = (gap > 0) & (gap <= window)
+                x.append(i[near]), y.append(j[near])
+            u, v = _tree(np.array([r[1] for r in some]), np.concatenate(x), np.concatenate(y))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return _by_key(links)
 
 
-def _count(cosine: float):
+def _count(cosine: float, kind: str):
     """Tiles of a component -> vec_id and the number of vectors it links with there. A tile holds the rows of two
     parts, or of one, whose rows are compared with each other."""
 
     def counts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         first = np.array([r[1] for r in rows])
-        unit, copies, ids = _unit([r[3] for r in rows]), np.array([r[4] for r in rows], dtype=np.int64), np.array([r[2] for r in rows])
+        unit, copies, ids = _unit([r[3] for r in rows], kind), np.array([r[4] for r in rows], dtype=np.int64), np.array([r[2] for r in rows])
         a, b = np.nonzero(first)[0], np.nonzero(~first)[0]
         n = np.zeros(len(rows), np.int64)
         if rows[0][5]:
@@ -139,7 +150,7 @@ def _count(cosine: float):
     return _by_key(counts)
 
 
-def _links_within(copies: DataFrame, near: DataFrame, cosine: float, tile: int, width: int) -> DataFrame:
+def _links_within(copies: DataFrame, near: DataFrame, cosine: float, tile: int, width: int, kind: str) -> DataFrame:
     """rep, others: with how many vectors of its component each vector links, copies counted.
 
     A component is dealt by hash into parts of about ``tile`` vectors; each pair of parts is a tile,
@@ -154,7 +165,7 @@ def _links_within(copies: DataFrame, near: DataFrame, cosine: float, tile: int,
     dealt = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     key = F.struct("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     dealt = dealt.select(F.to_json(key).alias("tile"), (F.col("part") <= F.col("other")).alias("first"), "rep", "vector", "copies", (F.col("part") == F.col("other")).alias("same"))
-    counted = dealt.repartition(width, "tile").sortWithinPartitions("tile").mapInArrow(_count(cosine), "rep long, n long")
+    counted = dealt.repartition(width, "tile").sortWithinPartitions("tile").mapInArrow(_count(cosine, kind), "rep long, n long")
     return counted.groupBy("rep").agg(F.sum("n").alias("others"))
 
 
@@ -170,15 +181,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     empty table.
     """
     width = shuffle_width(vectors.sparkSession)
+    # vectors move as they are stored, and are made doubles where they are compared
+    kind = "float32" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "float64"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    usable = rows.mapInArrow(_usable, "vec_id long, vector binary, dim int").dropDuplicates(["vec_id"])
+    usable = rows.mapInArrow(_usable(kind), "vec_id long, vector binary, dim int").dropDuplicates(["vec_id"])
     usable = staged(usable, "vectors")
     copies = usable.groupBy("vector", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = staged(copies, "distinct-vectors")
 
     # equal keys stand in another order in each pass
     order = ["pass", "dim", "key", "tie", "vec_id"]
-    hashed = copies.select(F.col("rep").alias("vec_id"), "vector", "dim").mapInArrow(_hashes(passes, signs, seed), "pass int, dim int, key long, vec_id long, vector binary").withColumn("tie", F.xxhash64("pass", "vec_id"))
+    hashed = copies.select(F.col("rep").alias("vec_id"), "vector", "dim").mapInArrow(_hashes(passes, signs, seed, kind), "pass int, dim int, key long, vec_id long, vector binary").withColumn("tie", F.xxhash64("pass", "vec_id"))
     ordered = hashed.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     ordered = staged(ordered.select("pass", "dim", "vec_id", "vector", "at"), "ordered")
     # place in the whole order: rows of earlier partitions and rows before it in its own; one row per partition here
@@ -187,14 +200,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     placed = ordered.withColumn("part", part).join(before, "part")
     placed = placed.select("pass", "dim", "vec_id", "vector", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("at"))
-    block = F.floor(F.col("at") / window)
-    dealt = placed.select("*", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own")))).alias("b"))
+    block = F.floor(F.col("at") / (BLOCK * window))
+    own, border = F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own"))
+    last = F.col("at") % (BLOCK * window) >= (BLOCK - 1) * window
+    dealt = placed.select("*", F.explode(F.when(last, F.array(own, border)).otherwise(F.array(own))).alias("b"))
     dealt = dealt.select("b.block", "vec_id", "vector", "pass", "dim", "b.own", "at")
-    pairs = dealt.repartition(width, "block").sortWithinPartitions("block", "at").mapInArrow(_compare(window, cosine), "u long, v long")
+    pairs = dealt.repartition(width, "block").sortWithinPartitions("block", "at").mapInArrow(_compare(window, cosine, kind), "u long, v long")
     pairs = staged(pairs.distinct(), "pairs")
 
     near = staged(components(pairs), "components")
-    counted = _links_within(copies, near, cosine, tile, width)
+    counted = _links_within(copies, near, cosine, tile, width, kind)
     found = copies.join(counted, "rep", "left").join(near, F.col("rep") == F.col("node"), "left")
     found = found.select("vector", "dim", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     spot = F.xxhash64("vector").alias("spot")
