@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, extract, mixing, ngram_join, pseudo_lm, recipes, sorted_passes, suffix_dedup, toxicity, warc
+from sheaf.llm import bpe, chat, extract, mixing, ngram_join, pseudo_lm, recipes, sorted_passes, spelling, suffix_dedup, toxicity, warc
 from sheaf.llm.shared import table
 
 
@@ -48,6 +48,14 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_chat_format(spark, sf_dir):
+    return chat.chat_digest(chat.with_conflicts(table(spark, sf_dir, "conversations")))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants_of(table(spark, sf_dir, "documents"))
+
+
 #: The generated pages mark their article, and have these tags and character references in it and no other.
 MAIN_TEXT = r"""SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(
   replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '</?(p|h1|br)>', ' ', 'g'),
@@ -93,6 +101,8 @@ def queries():
         "op8_sorted_passes": op8_sorted_passes,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
+        "op12_chat_format": op12_chat_format,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -105,4 +115,6 @@ def oracle_sql():
         "op7_warc_zstd": warc.SQL,
         "op8_sorted_passes": NEAR_VECTORS,
         "op9_suffix_dedup": REPEATS,
+        "op12_chat_format": chat.SQL,
+        "op13_spelling_variants": spelling.SQL,
     }
