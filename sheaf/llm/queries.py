@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, chat, extract, mixing, ngram_join, pseudo_lm, recipes, sorted_passes, spelling, suffix_dedup, toxicity, warc
+from sheaf.llm import bpe, chat, extract, mixing, ngram_join, pseudo_lm, recipes, search, sorted_passes, spelling, suffix_dedup, toxicity, warc
 from sheaf.llm.shared import table
 
 
@@ -48,6 +48,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_rmq_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_chat_format(spark, sf_dir):
     return chat.chat_digest(chat.with_conflicts(table(spark, sf_dir, "conversations")))
 
@@ -101,6 +105,7 @@ def queries():
         "op8_sorted_passes": op8_sorted_passes,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_rmq_search": op11_rmq_search,
         "op12_chat_format": op12_chat_format,
         "op13_spelling_variants": op13_spelling_variants,
     }
@@ -115,6 +120,7 @@ def oracle_sql():
         "op7_warc_zstd": warc.SQL,
         "op8_sorted_passes": NEAR_VECTORS,
         "op9_suffix_dedup": REPEATS,
+        "op11_rmq_search": search.SQL,
         "op12_chat_format": chat.SQL,
         "op13_spelling_variants": spelling.SQL,
     }
