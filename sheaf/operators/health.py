@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def runs(log: DataFrame, key: str) -> DataFrame:
-    """Adds the length of the run of failures up to each row: successes so far number the runs."""
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    r = log.withColumn("_run", F.sum(F.col("success").cast("int")).over(w))
-    inside = Window.partitionBy(key, "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn("errors", F.sum((~F.col("success")).cast("int")).over(inside)).drop("_run")
-
-
-def feed_states(fetches: DataFrame, disable_at: int = 10) -> DataFrame:
+def chunk_summaries(fetches: DataFrame, disable_at: int, chunk: int) -> DataFrame:
+    """feed_id, chunk and what a stretch of ``chunk`` places of the log says whatever came before it.
+
+    n rows, failures before the first success (``head``, with what was seen at each of the first
+    ``disable_at`` of them) and after the last one (``tail``), whether it has a success, and what
+    was seen where a run inside it reaches ``disable_at`` (``inner``). Windows are over a chunk."""
+    rows = fetches.select("feed_id", "seq", "fetch_time", "success", F.floor(F.col("seq") / chunk).alias("chunk"))
+    order = Window.partitionBy("feed_id", "chunk").orderBy("seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("ok_place", F.max(F.when(F.col("success"), F.col("place"))).over(upto))
+    rows = rows.withColumn("fetched", F.max("fetch_time").over(upto)).withColumn("ok", F.max(F.when(F.col("success"), F.col("fetch_time"))).over(upto))
+    seen = F.struct("seq", "fetched", "ok")
+    head = F.col("ok_place").isNull()
+    return rows.groupBy("feed_id", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(head).alias("head"), (F.count(F.lit(1)) - F.coalesce(F.max("ok_place"), F.lit(0))).alias("tail"), F.bool_or("success").alias("any_ok"),
+        F.array_sort(F.collect_list(F.when(head & (F.col("place") <= disable_at), seen))).alias("head_seen"),
+        F.min(F.when(F.col("place") - F.col("ok_place") >= disable_at, seen)).alias("inner"),
+        F.max("fetch_time").alias("fetched"), F.max(F.when(F.col("success"), F.col("fetch_time"))).alias("ok"),
+    )
+
+
+def feed_states(fetches: DataFrame, disable_at: int = 10, chunk: int = 65_536) -> DataFrame:
     """feed_id, error_count, active, last_fetched_at, last_success_at after all events.
 
     A success resets the count, a failure adds one; at ``disable_at`` the feed is off, and later events
-    are ignored, as it is no longer fetched. Events of one feed are few next to the number of feeds."""
-    r = runs(fetches, "feed_id")
-    off = r.filter(F.col("errors") >= disable_at).groupBy("feed_id").agg(F.min("seq").alias("off_at"))
-    seen = r.join(off, "feed_id", "left").filter(F.col("off_at").isNull() | (F.col("seq") <= F.col("off_at")))
-    return seen.groupBy("feed_id").agg(
-        F.max_by("errors", "seq").alias("error_count"), F.max("off_at").isNull().alias("active"), F.max("fetch_time").alias("last_fetched_at"), F.max(F.when(F.col("success"), F.col("fetch_time"))).alias("last_success_at"))
+    are ignored, as it is no longer fetched. A segmented scan on two levels: the log is cut by seq
+    (distinct within a feed) into chunks, each summed up for itself, so the events of one feed are
+    spread over tasks; the failures that a chunk begins with follow from the counts of the chunks
+    before it, one row each."""
+    c = chunk_summaries(fetches, disable_at, chunk)
+    order = Window.partitionBy("feed_id").orderBy("chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # where the run of failures begins that a chunk ends with; the last one before a chunk is the furthest
+    c = c.withColumn("run_from", F.when(F.col("any_ok"), F.col("end") - F.col("tail")))
+    c = c.withColumn("carry", F.col("end") - F.col("n") - F.coalesce(F.max("run_from").over(before), F.lit(0)))
+    c = c.withColumn("fetched_before", F.max("fetched").over(before)).withColumn("ok_before", F.max("ok").over(before))
+    need = F.greatest(F.lit(1), F.lit(disable_at) - F.col("carry")).cast("int")
+    off = F.least(F.when(F.col("head") >= need, F.try_element_at("head_seen", need)), F.col("inner"))
+    off = F.when(off.isNotNull(), F.struct(off["seq"].alias("seq"), F.greatest("fetched_before", off["fetched"]).alias("fetched"), F.greatest("ok_before", off["ok"]).alias("ok")))
+    c = c.withColumn("off", off).withColumn("errors", F.when(F.col("any_ok"), F.col("tail")).otherwise(F.col("carry") + F.col("n")))
+    g = c.groupBy("feed_id").agg(F.min("off").alias("off"), F.max_by("errors", "chunk").alias("errors"), F.max("fetched").alias("fetched"), F.max("ok").alias("ok"))
+    on = F.col("off").isNull()
+    return g.select(
+        "feed_id", F.when(on, F.col("errors")).otherwise(F.lit(disable_at)).cast("long").alias("error_count"), on.alias("active"),
+        F.when(on, F.col("fetched")).otherwise(F.col("off.fetched")).alias("last_fetched_at"), F.when(on, F.col("ok")).otherwise(F.col("off.ok")).alias("last_success_at"))
 
 
 def feed_health(states: DataFrame, as_of: Column) -> DataFrame:
@@ -58,28 +88,64 @@ def effective_priority(states: DataFrame, order: DataFrame) -> DataFrame:
     return j.select("provider", "position", F.when(F.col("_g").isNotNull(), F.row_number().over(w)).alias("effective"))
 
 
-def alerts(events: DataFrame, limits: dict[str, int]) -> DataFrame:
+def _walk(at: np.ndarray, limit: int, entry: int) -> np.ndarray:
+    """Places of the alerts that go out when the first is at ``entry``; ``at`` ascends."""
+    following = np.searchsorted(at, at + limit)
+    going, k = [], entry
+    while k < len(at):
+        going.append(k)
+        k = following[k]
+    return np.array(going, np.int64)
+
+
+def _exits(at: np.ndarray, limit: int) -> np.ndarray:
+    """For each event the last alert of the chunk if the event is an alert: pointers to the successor, doubled until they stay."""
+    following = np.searchsorted(at, at + limit)
+    to = np.where(following < len(at), following, np.arange(len(at)))
+    while (to[to] != to).any():
+        to = to[to]
+    return at[to]
+
+
+def alerts(events: DataFrame, limits: dict[str, int], chunk_limits: int = 64) -> DataFrame:
     """seq, severity of the alerts that go out: at most one per severity and limit, in seconds.
 
-    A gap of the limit always re-arms, so events are cut into sessions at such gaps and only these are
-    walked through, after each second of a severity is reduced to its first event."""
+    Each second of a severity is reduced to its first event. Time is cut into chunks of
+    ``chunk_limits`` limits. How a chunk is left depends on where it is entered, and it is entered
+    within its first limit or at its first event behind it: each chunk tells for these events the
+    last alert that would follow. One severity's chunks are then passed through in order, over
+    these tables alone (a 64th of the time span, however many events there are), and each chunk
+    walks from its true entry. Events without a severity in ``limits`` or without a time send nothing."""
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("severity"))
-    e = events.groupBy("severity", F.unix_timestamp("ts").alias("at")).agg(F.min("seq").alias("seq")).withColumn("limit", limit).filter("limit IS NOT NULL")
-    w = Window.partitionBy("severity").orderBy("at")
-    e = e.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(w) >= F.col("limit"), F.lit(True)).cast("int")).withColumn("session", F.sum("new").over(w))
-    e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("severity", "session"))).select("severity", "session", "at", "limit", "seq", "n")
-
-    def greedy(pdf):
-        keep, last = [], None
-        for at, limit in zip(pdf["at"], pdf["limit"]):
-            keep.append(last is None or at - last >= limit)
-            last = at if keep[-1] else last
-        return pdf.loc[keep, ["seq", "severity"]]
-
-    alone = e.filter("n = 1").select("seq", "severity")
-    several = e.filter("n > 1").withColumn("deal", F.pmod("session", F.lit(64)))  # sessions are many and short
-    walked = several.groupBy("severity", "deal").applyInPandas(lambda pdf: pd.concat([greedy(g.sort_values("at")) for _, g in pdf.groupby("session")]), "seq long, severity string")
-    return alone.union(walked)
+    e = events.groupBy("severity", F.unix_timestamp("ts").alias("at")).agg(F.min("seq").alias("seq")).withColumn("wait", limit.cast("long")).filter("wait IS NOT NULL AND at IS NOT NULL")
+    e = e.withColumn("chunk", F.floor(F.col("at") / (F.col("wait") * chunk_limits)))
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        at, wait, chunk = pdf["at"].to_numpy(), int(pdf["wait"].iloc[0]), int(pdf["chunk"].iloc[0])
+        first = int(np.searchsorted(at, chunk * wait * chunk_limits + wait)) + 1  # entries, and one behind them
+        return pd.DataFrame({"severity": np.full(1, pdf["severity"].iloc[0], object), "chunk": [chunk], "wait": [wait], "entries": [at[:first]], "exits": [_exits(at, wait)[:first]]})
+
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, entered = pdf.sort_values("chunk"), None, []
+        for chunk, wait, entries, exits in zip(pdf["chunk"], pdf["wait"], pdf["entries"], pdf["exits"]):
+            k = 0 if last is None else int(np.searchsorted(entries, last + wait))
+            if k < len(entries):
+                entered.append((pdf["severity"].iloc[0], chunk, int(entries[k])))
+                last = exits[k]
+        return pd.DataFrame(entered, columns=["severity", "chunk", "entry"]).astype({"severity": object})
+
+    def walked(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or entry.empty:
+            return pd.DataFrame({"seq": np.zeros(0, np.int64), "severity": np.zeros(0, object)})
+        rows = rows.sort_values("at")
+        at = rows["at"].to_numpy()
+        going = _walk(at, int(rows["wait"].iloc[0]), int(np.searchsorted(at, entry["entry"].iloc[0])))
+        return pd.DataFrame({"seq": rows["seq"].to_numpy()[going], "severity": np.full(len(going), rows["severity"].iloc[0], object)})
+
+    tables = e.groupBy("severity", "chunk").applyInPandas(table, "severity string, chunk long, wait long, entries array<long>, exits array<long>")
+    entered = tables.groupBy("severity").applyInPandas(passed, "severity string, chunk long, entry long")
+    return e.groupBy("severity", "chunk").cogroup(entered.groupBy("severity", "chunk")).applyInPandas(walked, "seq long, severity string")
 
 
 def error_counts(events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheaf.functions.words import STOP_WORDS
+from sheaf.operators.automaton import PART_CHARS, hits as find
 
 
 @dataclass(frozen=True)
@@ -19,8 +20,8 @@ class MatchConfig:
     partial: float = 0.4
     single_cap: float = 0.6
     bonus: float = 0.2
-    #: Dictionaries of at most so many keywords are broadcast; larger ones are met by their rarest trigram.
-    broadcast_keywords: int = 2000
+    #: Characters of the dictionary that one automaton holds.
+    part_chars: int = PART_CHARS
 
 
 CONFIG = MatchConfig()
@@ -42,38 +43,13 @@ def text_features(articles: DataFrame) -> DataFrame:
     return f.withColumn("tokens", tokens(F.col("clean_text"))).withColumn("n_tokens", F.size("tokens"))
 
 
-def occurrences(text: Column, keyword: Column) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, keyword, F.lit("")))) / F.length(keyword)).cast("int")
-
-
-def trigrams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-
-
 def keyword_hits(features: DataFrame, dictionary: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:
     """id, keyword, phrase_count for each keyword that is a part of an article's text.
 
-    ``dictionary`` has the distinct keywords. Its size is counted: a small one is broadcast; in a
-    large one every keyword of three letters or more is met through its rarest trigram."""
-    d = dictionary.select("keyword").distinct().filter(F.length("keyword") > 0)
-    if d.limit(cfg.broadcast_keywords + 1).count() <= cfg.broadcast_keywords:
-        near = features.select("id", "clean_text").join(F.broadcast(d), F.col("clean_text").contains(F.col("keyword")))
-        return near.select("id", "keyword", occurrences(F.col("clean_text"), F.col("keyword")).alias("phrase_count"))
-    return hits_by_trigram(features, d)
-
-
-def hits_by_trigram(features: DataFrame, dictionary: DataFrame) -> DataFrame:
-    keys = dictionary.filter(F.length("keyword") >= 3).select("keyword", F.explode(trigrams(F.col("keyword"))).alias("gram"))
-    grams = features.filter(F.length("clean_text") >= 3).select("id", F.explode(trigrams(F.col("clean_text"))).alias("gram"))
-    grams = grams.join(keys.select("gram").distinct(), "gram", "left_semi")  # what no keyword has goes before it is moved, where the dictionary's trigrams are few enough to broadcast
-    number = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = keys.join(number, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    spot = F.hash("gram").alias("spot")
-    candidates = grams.select("*", spot).join(rarest.select("*", spot), ["spot", "gram"]).select("id", "keyword")
-    short = dictionary.filter(F.length("keyword") < 3)  # at most some thousand strings of one or two letters
-    few = features.select("id", "clean_text").join(short, F.col("clean_text").contains(F.col("keyword"))).select("id", "keyword")
-    both = candidates.union(few).join(features.select("id", "clean_text"), "id").filter(F.col("clean_text").contains(F.col("keyword")))
-    return both.select("id", "keyword", occurrences(F.col("clean_text"), F.col("keyword")).alias("phrase_count"))
+    ``dictionary`` has the keywords; they are looked up together, in one pass over the texts for
+    each part of the dictionary."""
+    found = find(features.select("id", "clean_text"), dictionary.select(F.lit("clean_text").alias("surface"), F.col("keyword").alias("term")), cfg.part_chars)
+    return found.select("id", F.col("term").alias("keyword"), F.col("n").alias("phrase_count"))
 
 
 def topic_hits(features: DataFrame, topic_keywords: DataFrame, cfg: MatchConfig = CONFIG) -> DataFrame:

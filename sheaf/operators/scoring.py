@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheaf.functions import words as w
-from sheaf.operators.matching import occurrences
+from sheaf.operators import matching
+from sheaf.operators.automaton import PART_CHARS, hits as find
 
 GENERIC = sorted({x for group in w.GENERIC.values() for x in group})
 
@@ -22,20 +25,42 @@ def full_text() -> Column:
     return F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("  "), F.coalesce("content", F.lit(""))))
 
 
-def weighted_keywords(pairs: DataFrame, articles: DataFrame, topic_keywords: DataFrame, generic: list[str] = GENERIC) -> DataFrame:
+def plain_text() -> Column:
+    """Title and content in lower case, as the fallback reads them."""
+    return F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit(""))))
+
+
+def keyword_parts(keyword: Column) -> Column:
+    return F.filter(F.split(keyword, r"\s+"), lambda x: x != "")
+
+
+def text_hits(articles: DataFrame, topic_keywords: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """id, surface, term, n: keywords of topics, and parts of those of several words, in the articles.
+
+    Surface ``full`` is for weighted keywords, ``plain`` for the fallback. Written once, it stands
+    for the texts in all that follows."""
+    included = topic_keywords.filter("kind = 'include'").select(F.lower(F.trim("keyword")).alias("term"))
+    parts = included.filter(F.col("term").contains(" ")).select(F.explode(keyword_parts(F.col("term"))).alias("term"))
+    terms = included.union(parts).select(F.lit("full").alias("surface"), "term").union(topic_keywords.select(F.lit("plain"), F.lower("keyword")))
+    return find(articles.select("id", full_text().alias("full"), plain_text().alias("plain")), terms, part_chars)
+
+
+def weighted_keywords(pairs: DataFrame, found: DataFrame, topic_keywords: DataFrame, generic: list[str] = GENERIC) -> DataFrame:
     """id, chat_id, name, score, n_matched, matched (in keyword order) for (article, topic) pairs.
 
-    A keyword is looked up once per article and topic name; generic ones weigh 0.3."""
+    ``found`` is what ``text_hits`` gives. A keyword counts once per article and topic name;
+    generic ones weigh 0.3. Keywords without a hit add nothing, so only hits are joined."""
     inc = topic_keywords.filter("kind = 'include'").select("name", "kw_ord", F.lower(F.trim("keyword")).alias("keyword")).filter("keyword <> ''")
-    per_name = pairs.select("id", "name").distinct().join(inc, "name").join(articles.select("id", full_text().alias("t")), "id")
-    t, k = F.col("t"), F.col("keyword")
-    multi = k.contains(" ")
-    parts = F.filter(F.split(k, r"\s+"), lambda x: x != "")
-    share = F.when(F.col("gen"), 0.3).otherwise(1.0)
-    n_in = F.size(F.filter(F.col("parts"), lambda x: t.contains(x)))
-    one = per_name.withColumn("gen", k.isin(*generic)).withColumn("parts", parts).withColumn("c", occurrences(t, k)).withColumn("n_in", F.when(multi & (F.col("c") == 0), n_in).otherwise(0))
-    score = F.when(multi & (F.col("c") > 0), 0.8 * 1.5 * share).when(multi, F.col("n_in") / F.size("parts") * 0.4 * share).when(F.col("c") > 0, F.least(0.1 * F.col("c"), F.lit(0.6)) * share).otherwise(0.0)
-    hit = (F.col("c") > 0) | (multi & (F.col("n_in") == F.size("parts")))
+    full = found.filter("surface = 'full'").select("id", "term", "n")
+    whole = full.join(inc.withColumn("term", F.col("keyword")), "term").select("id", "name", "kw_ord", "keyword", F.col("n").alias("c"), F.lit(0).alias("n_in"))
+    some = inc.filter(F.col("keyword").contains(" ")).withColumn("term", F.explode(keyword_parts(F.col("keyword"))))
+    pieces = full.join(some, "term").select("id", "name", "kw_ord", "keyword", F.lit(0).alias("c"), F.lit(1).alias("n_in"))
+    k = F.col("keyword")
+    met = whole.union(pieces).join(pairs.select("id", "name").distinct(), ["id", "name"], "left_semi").groupBy("id", "name", "kw_ord", "keyword").agg(F.max("c").alias("c"), F.sum("n_in").alias("n_in"))
+    one = met.withColumn("gen", k.isin(*generic)).withColumn("multi", k.contains(" ")).withColumn("n_parts", F.size(keyword_parts(k)))
+    multi, share = F.col("multi"), F.when(F.col("gen"), 0.3).otherwise(1.0)
+    score = F.when(multi & (F.col("c") > 0), 0.8 * 1.5 * share).when(multi, F.col("n_in") / F.col("n_parts") * 0.4 * share).when(F.col("c") > 0, F.least(0.1 * F.col("c"), F.lit(0.6)) * share).otherwise(0.0)
+    hit = (F.col("c") > 0) | (multi & (F.col("n_in") == F.col("n_parts")))
     one = one.select("id", "name", "kw_ord", "keyword", score.alias("s"), hit.alias("hit"), "gen")
     g = one.groupBy("id", "name").agg(
         F.sum("s").alias("s"), F.count_if("hit").alias("n"), F.coalesce(F.bool_or(F.col("hit") & ~F.col("gen")), F.lit(False)).alias("specific"),
@@ -51,7 +76,8 @@ def weighted_keywords(pairs: DataFrame, articles: DataFrame, topic_keywords: Dat
         out = (F.col("n") > 0) & (F.size(F.array_intersect("matched", F.array(*[F.lit(m) for m in members]))) == 0)
         theme = F.when(applies, F.when(out, 0.3).otherwise(1.0)).otherwise(theme)
     g = g.select("id", "name", F.round(F.least(s * theme, F.lit(1.0)), 6).alias("score"), F.col("n").alias("n_matched"), "matched")
-    return pairs.join(g, ["id", "name"]).select("id", "chat_id", "name", "score", "n_matched", "matched")
+    nothing = F.array().cast("array<string>")
+    return pairs.join(g, ["id", "name"], "left").select("id", "chat_id", "name", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"), F.coalesce("matched", nothing).alias("matched"))
 
 
 def content_quality() -> Column:
@@ -96,22 +122,41 @@ def action(routing: Column, rel: Column, block_irrelevant: bool = False) -> Colu
     return (a.when(routing == "definitely_irrelevant", "reject") if block_irrelevant else a).otherwise("model")
 
 
-def routed(weighted: DataFrame, articles: DataFrame, bonus: DataFrame) -> DataFrame:
-    """Composite relevance, confidence, routing and action of pairs; ``bonus``: id, chat_id, name, bonus."""
+def routed(weighted: DataFrame, articles: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
+    """Composite relevance, confidence, routing and action of pairs; ``bonus``: id, chat_id, name, bonus, or none at all."""
     q = articles.select("id", content_quality().alias("content_q"), url_quality(F.col("url")).alias("url_q"))
-    j = weighted.join(q, "id").join(bonus, ["id", "chat_id", "name"])
+    j = weighted.join(q, "id")
+    j = j.withColumn("bonus", F.lit(0.0)) if bonus is None else j.join(bonus, ["id", "chat_id", "name"])
     j = j.withColumn("relevance", composite(F.col("score"), F.col("content_q"), F.col("url_q"), F.col("bonus"))).withColumn("confidence", confidence(F.col("score"), F.col("n_matched"), F.col("content_q"), F.col("url_q")))
     j = j.withColumn("routing", route(F.col("relevance"), F.col("confidence")))
     return j.withColumn("action", action(F.col("routing"), F.col("relevance")))
 
 
-def fallback(pairs: DataFrame, articles: DataFrame, topic_keywords: DataFrame) -> DataFrame:
-    """id, chat_id, name, relevance, confidence, n_matched by the share of keywords found; null content is empty."""
-    a = articles.select("id", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))).alias("t"))
-    j = pairs.select("id", "name").distinct().join(topic_keywords.select("name", F.lower("keyword").alias("k"), "kind"), "name").join(a, "id")
-    g = j.groupBy("id", "name").agg(
-        F.count_if((F.col("kind") == "include") & F.col("t").contains(F.col("k"))).alias("n_matched"), F.count_if(F.col("kind") == "include").alias("n"),
-        F.coalesce(F.bool_or((F.col("kind") == "exclude") & F.col("t").contains(F.col("k"))), F.lit(False)).alias("excluded"))
+def score_articles(articles: DataFrame, topic_keywords: DataFrame, topics: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """id, chat_id, name, relevance, confidence, routing, action of each article and active topic that match.
+
+    Everything follows from the article and the topics as they are now, so articles can be scored
+    in any batches. ``topics``: chat_id, name, topic_ord, source_feed; ``keep`` holds what is read
+    more than once (a written table, or rows kept while a batch is worked on)."""
+    features = keep(matching.text_features(articles))
+    pairs = keep(matching.prefilter(features, topic_keywords, topics, keep(matching.topic_hits(features, topic_keywords))))
+    weighted = weighted_keywords(pairs.select("id", "chat_id", "name"), text_hits(articles, topic_keywords), topic_keywords)
+    return routed(weighted, articles).select("id", "chat_id", "name", "relevance", "confidence", "routing", "action")
+
+
+def fallback(pairs: DataFrame, found: DataFrame, topic_keywords: DataFrame) -> DataFrame:
+    """id, chat_id, name, relevance, confidence, n_matched by the share of keywords found; null content is empty.
+
+    ``found`` is what ``text_hits`` gives. An empty keyword is a part of every text."""
+    k = topic_keywords.select("name", F.lower("keyword").alias("term"), "kind")
+    empty = F.col("term") == ""
+    topics = k.groupBy("name").agg(
+        F.count_if(F.col("kind") == "include").alias("n"), F.count_if((F.col("kind") == "include") & empty).alias("n_empty"), F.coalesce(F.bool_or((F.col("kind") == "exclude") & empty), F.lit(False)).alias("out"))
+    plain = found.filter("surface = 'plain'").select("id", "term")
+    met = plain.join(k, "term").join(pairs.select("id", "name").distinct(), ["id", "name"], "left_semi").groupBy("id", "name").agg(
+        F.count_if(F.col("kind") == "include").alias("n_found"), F.bool_or(F.col("kind") == "exclude").alias("found_out"))
+    g = pairs.select("id", "name").distinct().join(topics, "name").join(met, ["id", "name"], "left")
+    g = g.withColumn("n_matched", F.col("n_empty") + F.coalesce("n_found", F.lit(0))).withColumn("excluded", F.col("out") | F.coalesce("found_out", F.lit(False)))
     r = F.col("n_matched") / F.col("n")
     rel = F.when(F.col("excluded"), r * 0.3).otherwise(F.least(F.lit(0.8), r * 0.7))
     g = g.filter("n > 0").select("id", "name", F.round(rel, 6).alias("relevance"), F.round(F.least(F.lit(0.6), r), 6).alias("confidence"), "n_matched")

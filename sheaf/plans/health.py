@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
 from sheaf.functions.words import PROVIDER_ORDER
-from sheaf.operators import dedup, errors as er, health as op, matching
+from sheaf.operators import dedup, errors as er, health as op, scoring
+from sheaf.plans.matching import topic_feeds
 from sheaf.plans.views import now, view, with_views
+from sheaf.sources.stage import staged
 
 #: Seconds between two alerts of a severity (fixed values).
 ALERT_LIMITS = {"critical": 60, "high": 300, "medium": 900, "low": 3600}
@@ -55,7 +57,7 @@ def t11(s, d):
 
 
 def t12(s, d):
-    return matching.keyword_hits(matching.text_features(view(s, d, "articles_raw")), view(s, d, "topic_keywords").select(F.lower(F.trim("keyword")).alias("keyword")))
+    return scoring.score_articles(view(s, d, "articles_raw"), view(s, d, "topic_keywords"), topic_feeds(s, d), lambda df: staged(df, "scores"))
 
 
 def t13(s, d):
@@ -83,7 +85,7 @@ p AS (SELECT *, consecutive_errors < 3 AND NOT rate_limited AS healthy FROM ps)"
 
 
 from sheaf.plans.dedup import MERGED  # noqa: E402
-from sheaf.plans.matching import FEATURES  # noqa: E402
+from sheaf.plans.scoring import ROUTED_ALONE  # noqa: E402
 
 SQL = {
     "T1_stream_dedup": f"WITH {MERGED} SELECT seq, url FROM v WHERE NOT is_duplicate AND url NOT IN (SELECT url FROM history)",
@@ -103,8 +105,7 @@ SQL = {
     "T9_error_counts": f"WITH {er.CLASSIFIED} SELECT 'category' AS kind, category AS value, count(*) AS n FROM cls GROUP BY category UNION ALL SELECT 'component', component, count(*) FROM cls GROUP BY component UNION ALL SELECT 'severity', severity, count(*) FROM cls GROUP BY severity",
     "T11_rate_usage": """SELECT provider, '1 minute' AS span, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) >= 2 AS exhausted FROM call_log GROUP BY provider, date_trunc('minute', ts)
       UNION ALL SELECT provider, '1 day', strftime(date_trunc('day', ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S'), count(*), count(*) >= 80 FROM call_log GROUP BY provider, date_trunc('day', ts)""",
-    "T12_stream_score": f"""WITH {FEATURES}, kk AS (SELECT DISTINCT lower(trim(keyword)) AS keyword FROM topic_keywords)
-      SELECT id, keyword, ((length(t) - length(replace(t, keyword, ''))) / length(keyword))::INT AS phrase_count FROM ft JOIN kk ON contains(t, keyword)""",
+    "T12_stream_score": f"WITH {ROUTED_ALONE} SELECT id, chat_id, name, relevance, confidence, routing, action FROM routed",
     "T13_daily_windows": "SELECT strftime(processed_at, '%Y-%m-%d') AS day, chat_id, count(*) AS results, count_if(delivered)::BIGINT AS delivered FROM results_log GROUP BY 1, 2",
 }
 SQL = {k: with_views(v) for k, v in SQL.items()}

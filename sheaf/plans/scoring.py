@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sheaf.functions import words as w
 from sheaf.operators import dedup, scoring as op
 from sheaf.plans import dedup as dedup_plans, matching as m
 from sheaf.plans.views import now, view, with_views
+from sheaf.sources.stage import staged
 
 A = lambda s, d: view(s, d, "articles_raw")
 
 
-def _weighted(s, d, pairs):
-    return op.weighted_keywords(pairs.select("id", "chat_id", "name"), A(s, d), view(s, d, "topic_keywords"))
+def text_hits(s, d):
+    """Keywords in the articles' own texts, looked up once for all that a query derives from them."""
+    return staged(op.text_hits(A(s, d), view(s, d, "topic_keywords")), "text-hits")
+
+
+def _weighted(s, d, pairs, found):
+    return op.weighted_keywords(pairs.select("id", "chat_id", "name"), found, view(s, d, "topic_keywords"))
 
 
 def _bonus(s, d, pairs):
@@ -24,13 +32,13 @@ def _bonus(s, d, pairs):
     return dedup.repeat_bonus(e, [F.col(c) for c in ("chat_id", "topic_ord", "age", "id")]).select("id", "chat_id", "name", "bonus")
 
 
-def _routed(s, d, pairs=None):
-    pairs = m.pairs(s, d) if pairs is None else pairs
-    return op.routed(_weighted(s, d, pairs), A(s, d), _bonus(s, d, pairs))
+def _routed(s, d, pairs=None, found=None):
+    pairs, found = m.pairs(s, d) if pairs is None else pairs, text_hits(s, d) if found is None else found
+    return op.routed(_weighted(s, d, pairs, found), A(s, d), _bonus(s, d, pairs))
 
 
 def m7(s, d):
-    return _weighted(s, d, m.pairs(s, d)).withColumn("matched", F.array_join("matched", ","))
+    return _weighted(s, d, m.pairs(s, d), text_hits(s, d)).withColumn("matched", F.array_join("matched", ","))
 
 
 def m8(s, d):
@@ -54,8 +62,8 @@ def m12(s, d):
     return _routed(s, d).select("id", "chat_id", "name", "routing", "action")
 
 
-def _fallback(s, d, pairs=None):
-    return op.fallback(m.pairs(s, d) if pairs is None else pairs, A(s, d), view(s, d, "topic_keywords"))
+def _fallback(s, d, pairs=None, found=None):
+    return op.fallback(m.pairs(s, d) if pairs is None else pairs, text_hits(s, d) if found is None else found, view(s, d, "topic_keywords"))
 
 
 def m13(s, d):
@@ -87,9 +95,9 @@ def m17(s, d):
     return op.quality_adjusted(calls.select("seq", "provider", "relevance", "confidence"), _factors(s))
 
 
-def _ladder(s, d, pairs=None):
+def _ladder(s, d, pairs=None, found=None):
     order = s.createDataFrame([(p, i) for i, p in enumerate(w.PROVIDER_ORDER)], "provider string, position int")
-    fb = _fallback(s, d, pairs).groupBy(F.col("id").alias("article_id"), F.col("name").alias("topic_name")).agg(F.max("relevance").alias("relevance"), F.max("confidence").alias("confidence"))
+    fb = _fallback(s, d, pairs, found).groupBy(F.col("id").alias("article_id"), F.col("name").alias("topic_name")).agg(F.max("relevance").alias("relevance"), F.max("confidence").alias("confidence"))
     calls = view(s, d, "call_log").select("article_id", "topic_name", "seq", "provider", (F.col("success") & (F.col("seq") % 3 == 0)).alias("success"), F.round("relevance", 6).alias("relevance"), "confidence")
     return op.ladder(calls, order, fb)
 
@@ -104,12 +112,12 @@ def m19(s, d):
 
 
 def m20(s, d):
-    pairs = m.pairs(s, d)
-    adjusted = op.quality_adjusted(_ladder(s, d, pairs), _factors(s)).select(F.col("article_id").alias("id"), F.col("topic_name").alias("name"), "provider", "relevance", "confidence")
-    r = _routed(s, d, pairs)
+    pairs, found = m.pairs(s, d), text_hits(s, d)
+    adjusted = op.quality_adjusted(_ladder(s, d, pairs, found), _factors(s)).select(F.col("article_id").alias("id"), F.col("topic_name").alias("name"), "provider", "relevance", "confidence")
+    r = _routed(s, d, pairs, found)
     keys = r.select("id", "chat_id", "name")
     model = keys.join(adjusted, ["id", "name"]).filter(F.col("id").cast("long") % 5 != 0)
-    failed = _fallback(s, d, pairs).filter(F.col("id").cast("long") % 5 == 0).withColumn("provider", F.lit("keyword_fallback"))
+    failed = _fallback(s, d, pairs, found).filter(F.col("id").cast("long") % 5 == 0).withColumn("provider", F.lit("keyword_fallback"))
     return op.accepted(r, model, failed)
 
 
@@ -155,6 +163,8 @@ e AS (SELECT *, CASE WHEN confidence >= 0.8 THEN CASE WHEN relevance >= 0.7 THEN
   WHEN confidence >= 0.6 THEN CASE WHEN relevance >= 0.8 THEN 'high_confidence' WHEN relevance <= 0.2 THEN 'low_confidence' ELSE 'uncertain' END
   WHEN confidence <= 0.3 AND relevance <= 0.35 THEN 'definitely_irrelevant' ELSE 'uncertain' END AS routing FROM c),
 routed AS MATERIALIZED (SELECT *, CASE WHEN routing = 'high_confidence' AND relevance >= 0.7 THEN 'accept' WHEN routing = 'low_confidence' AND relevance <= 0.3 THEN 'reject' ELSE 'model' END AS action FROM e)"""
+#: Without what other articles add.
+ROUTED_ALONE = re.sub(r"CASE WHEN row_number\(\) OVER \(PARTITION BY q\.bh .*? AS bonus", "0::DOUBLE AS bonus", ROUTED)
 FALLBACK = """,
 fa AS (SELECT p.id, p.name, count_if(k.kind = 'include' AND contains(l.tx, lower(k.keyword))) AS nm, count_if(k.kind = 'include') AS n, bool_or(k.kind = 'exclude' AND contains(l.tx, lower(k.keyword))) AS ex
   FROM (SELECT DISTINCT id, name FROM pairs) p JOIN topic_keywords k ON k.name = p.name JOIN (SELECT id, lower(coalesce(title, '') || ' ' || coalesce(content, '')) AS tx FROM articles_raw) l ON l.id = p.id GROUP BY p.id, p.name),

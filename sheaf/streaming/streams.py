@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sheaf.operators import dedup, errors, matching
+from sheaf.operators import dedup, errors, scoring
 
 HORIZON = "7 days"
 
@@ -136,10 +137,26 @@ def rate_usage(stream: DataFrame, span: str = "1 minute", most: int = 30) -> Dat
     return g.select("provider", F.lit(span).alias("span"), F.col("w.start").alias("start"), "n", (F.col("n") >= most).alias("exhausted"))
 
 
-def scored(stream: DataFrame, topic_keywords: DataFrame) -> DataFrame:
-    """Arriving articles with the phrase hits of the current topics' keywords: a stream-static join."""
-    f = matching.text_features(stream)
-    return matching.keyword_hits(f, topic_keywords.select(F.lower(F.trim("keyword")).alias("keyword")))
+def score_batches(topic_keywords: Callable[[SparkSession], DataFrame], topics: Callable[[SparkSession], DataFrame], sink: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: scores arriving articles against the topics of the moment.
+
+    Keywords and topics are read anew for each batch. No state is held, and a batch goes to a folder
+    of its own below ``sink``, which it replaces when it is run again. Rows that the batch reads
+    more than once are kept while it runs, on memory and disk; a lost executor's part is made again
+    from the source."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, held = batch.sparkSession, []
+
+        def keep(df: DataFrame) -> DataFrame:
+            held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return held[-1]
+
+        scoring.score_articles(batch, topic_keywords(spark), topics(spark), keep).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        for df in held:
+            df.unpersist()
+
+    return run
 
 
 def daily_counts(stream: DataFrame) -> DataFrame:

@@ -1,17 +1,57 @@
-"""Keyword matching on both paths, and rules of scoring."""
+"""Keyword matching, and rules of scoring."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sheaf.operators import digest, health, matching, scoring
+from sheaf.operators import automaton, digest, matching, scoring
 from sheaf.operators.matching import MatchConfig
 from sheaf.plans.views import view
 
 
-def test_trigram_path_equals_broadcast_path(spark, data):
-    f = matching.text_features(view(spark, data, "articles_raw")).cache()
-    d = view(spark, data, "topic_keywords").select(F.lower("keyword").alias("keyword")).union(spark.createDataFrame([("a",), ("th",), ("zzzz",)], "keyword string"))
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(matching.keyword_hits(f, d)) == rows(matching.keyword_hits(f, d, MatchConfig(broadcast_keywords=2)))
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def dictionary(spark, data, n):
+    """So many distinct strings that stand in the texts, next to odd ones."""
+    words = [r[0] for r in view(spark, data, "articles_raw").select(F.explode(F.split(F.lower("content"), "[^a-zà-ÿ ]+")).alias("w")).filter("length(w) BETWEEN 1 AND 30").distinct().orderBy("w").limit(n).collect()]
+    return [w.strip() for w in words] + ["a", "th", "aa", "zzzz", "", None, "the", "the", "𝄞", "tion of"]
+
+
+@pytest.mark.parametrize("n", [20, 2100])
+def test_automaton_finds_what_python_finds(spark, data, n):
+    f = matching.text_features(view(spark, data, "articles_raw")).select("id", "clean_text").union(spark.createDataFrame([("x", None), ("y", ""), ("z", "aaaaa 𝄞aaa the the")], "id string, clean_text string")).cache()
+    keywords = dictionary(spark, data, n)
+    d = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+    texts = {r["id"]: r["clean_text"] or "" for r in f.collect()}
+    expected = sorted((i, k, t.count(k)) for i, t in texts.items() for k in {k for k in keywords if k} if k in t)
+    found = matching.keyword_hits(f, d)
+    assert rows(found) == expected
+    assert rows(matching.keyword_hits(f, d, MatchConfig(part_chars=300))) == expected  # in many parts
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("NestedLoop", "Cartesian"))
+
+
+def test_no_keywords_and_no_texts(spark):
+    texts = spark.createDataFrame([("1", "some text")], "id string, clean_text string")
+    assert rows(matching.keyword_hits(texts, spark.createDataFrame([], "keyword string"))) == []
+    assert rows(matching.keyword_hits(texts.limit(0), spark.createDataFrame([("text",)], "keyword string"))) == []
+
+
+def test_surfaces_have_terms_of_their_own(spark):
+    texts = spark.createDataFrame([("1", "one two", "two three")], "id string, a string, b string")
+    terms = spark.createDataFrame([("a", "two"), ("b", "three"), ("b", "one"), ("c", "two")], "surface string, term string")
+    assert rows(automaton.hits(texts, terms)) == [("1", "a", "two", 1), ("1", "b", "three", 1)]
+
+
+def test_scores_without_hits_and_with_empty_keywords(spark):
+    a = spark.createDataFrame([("1", "Rain", "the rain of nations"), ("2", "Sun", None)], "id string, title string, content string")
+    k = spark.createDataFrame([("t", 1, "rain of", "include"), ("t", 2, "of no one", "include"), ("u", 1, "", "include"), ("u", 2, "Sun", "include"), ("u", 3, "", "exclude")], "name string, kw_ord int, keyword string, kind string")
+    pairs = spark.createDataFrame([(i, "c", n) for i in "12" for n in "tu"], "id string, chat_id string, name string")
+    found = scoring.text_hits(a, k)
+    got = {(r["id"], r["name"]): (r["score"], r["n_matched"], r["matched"]) for r in scoring.weighted_keywords(pairs, found, k).collect()}
+    assert got == {("1", "t"): (1.0, 1, ["rain of"]), ("2", "t"): (0.0, 0, []), ("1", "u"): (0.0, 0, []), ("2", "u"): (0.1, 1, ["sun"])}
+    got = {(r["id"], r["name"]): (r["relevance"], r["n_matched"]) for r in scoring.fallback(pairs, found, k).collect()}
+    assert got == {("1", "t"): (0.35, 1), ("2", "t"): (0.0, 0), ("1", "u"): (0.15, 1), ("2", "u"): (0.3, 2)}
 
 
 def test_phrase_inside_a_word_matches(spark):
@@ -32,19 +72,3 @@ def test_messages_keep_items_in_order(spark):
     m = digest.messages(spark.createDataFrame(rows, "chat_id string, topic_name string, rank int, item string"), 150).orderBy("message_no").collect()
     assert len(m) > 1 and all(len(r["message"]) <= 150 for r in m)
     assert [w for r in m for w in r["message"].split() if w.isdigit()] == [str(i) for i in range(1, 8)]
-
-
-def test_alerts_greedy(spark):
-    import random
-
-    rng, at, rows = random.Random(1), 0, []
-    for i in range(400):
-        at += rng.choice([1, 5, 30, 70])
-        rows.append((i, rng.choice(["critical", "high"]), at))
-    df = spark.createDataFrame(rows, "seq long, severity string, at long").selectExpr("seq", "severity", "timestamp_seconds(at) AS ts")
-    limits, last, expected = {"critical": 60, "high": 300}, {}, set()
-    for seq, sev, t in rows:
-        if sev not in last or t - last[sev] >= limits[sev]:
-            last[sev] = t
-            expected.add(seq)
-    assert {r["seq"] for r in health.alerts(df, limits).collect()} == expected

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import errors, health
+from sheaf.operators import errors, health, scoring
 from sheaf.plans.health import ALERT_LIMITS
 from sheaf.plans.views import now, view
 from sheaf.streaming import streams
@@ -45,3 +45,31 @@ def test_exact_dedup(spark, data, tmp_path):
     step(a.filter(F.col("seq") % 3 == 2), 2)  # a batch that runs again changes nothing
     kept = spark.read.parquet(path)
     assert kept.count() == first and kept.select("url").distinct().count() == first > 0
+
+
+def test_scores_of_arriving_articles(spark, data, tmp_path):
+    """Two starts of one stream, 2,100 keywords, and topics that change between the starts."""
+    articles, source, sink = view(spark, data, "articles_raw"), f"{tmp_path}/in", f"{tmp_path}/out"
+    words = [r[0] for r in articles.select(F.explode(F.split(F.lower("content"), "[^a-zà-ÿ]+")).alias("w")).filter("length(w) > 3").distinct().orderBy("w").limit(2094).collect()]
+    more = spark.createDataFrame([(f"t{i % 90}", i, w, "include") for i, w in enumerate(words)], "name string, kw_ord int, keyword string, kind string")
+    few = view(spark, data, "topic_keywords").filter("kind = 'include'").limit(6)
+    topics = more.union(few).select("name").distinct().crossJoin(view(spark, data, "feeds").select("chat_id", F.col("url").alias("source_feed")).filter("chat_id < '2'")).withColumn("topic_ord", F.hash("name"))
+    now_topics = {"k": few}
+    articles.filter("seq % 2 = 0").coalesce(1).write.parquet(f"{source}/0")
+    step = streams.score_batches(lambda s: now_topics["k"], lambda s: topics, sink)
+    stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+
+    def go():
+        q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/ck").start()
+        q.processAllAvailable()
+        q.stop()
+
+    go()
+    now_topics["k"] = few.union(more)
+    articles.filter("seq % 2 = 1").coalesce(1).write.parquet(f"{source}/1")
+    go()
+    expected = [scoring.score_articles(articles.filter(f"seq % 2 = {i}"), k, topics) for i, k in ((0, few), (1, few.union(more)))]
+    kept = spark.read.parquet(sink)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(kept.drop("batch_id")) == rows(expected[0].union(expected[1])) and kept.select("batch_id").distinct().count() == 2
+    assert kept.filter("batch_id = 1").select("name").distinct().count() > 50
