@@ -46,13 +46,30 @@ def batch_duplicates(articles: DataFrame, least_title: int = 10, least_content:
     return d.select("seq", "content_hash", "url", (by_hash | by_url).alias("is_duplicate"), F.when(by_url, F.col("url")).when(by_hash, F.col("content_hash")).alias("duplicate_of"), issues.alias("issues"))
 
 
+#: Keys of a batch whose hashes are broadcast, 8 bytes each, to leave out what it has not before history is moved.
+BROADCAST_KEYS = 2_000_000
+
+
+def with_keys_of(rows: DataFrame, key: Column, batch: DataFrame, batch_key: Column, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows whose key may be among the batch's keys: all that are, and those of equal 64-bit hash.
+
+    The batch's distinct keys are counted; where there are more than ``most`` all rows stay, as a
+    batch of that size is moved like the history itself."""
+    hashes = batch.select(F.xxhash64(batch_key).alias("_h")).distinct()
+    if hashes.limit(most + 1).count() > most:
+        return rows
+    return rows.withColumn("_k", F.xxhash64(key)).join(F.broadcast(hashes), F.col("_k") == F.col("_h"), "left_semi").drop("_k")
+
+
 def history_duplicates(articles: DataFrame, history: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """seq, is_duplicate, duplicate_of, issues against articles created or published in the last days;
-    of too old, known hash and known URL the last that holds is named."""
+    of too old, known hash and known URL the last that holds is named. ``history`` has title and url,
+    or content_hash and url; of its rows only those with a key of the batch are moved."""
     cutoff = as_of - F.expr(f"INTERVAL {days} DAYS")
-    known = history.filter((F.col("created_at") >= cutoff) | (F.col("published_at") >= cutoff)).select(tx.content_hash(F.col("title"), F.col("url")).alias("content_hash"), "url")
-    hashes = known.select(F.col("content_hash").alias("kh")).distinct()
-    urls = known.select(F.col("url").alias("ku")).distinct()
+    hash_of = tx.content_hash(F.col("title"), F.col("url"))
+    known = history.filter((F.col("created_at") >= cutoff) | (F.col("published_at") >= cutoff)).select(F.col("content_hash") if "content_hash" in history.columns else hash_of.alias("content_hash"), "url")
+    hashes = with_keys_of(known.select(F.col("content_hash").alias("kh")), F.col("kh"), articles, hash_of).distinct()
+    urls = with_keys_of(known.select(F.col("url").alias("ku")), F.col("ku"), articles, F.col("url")).distinct()
     a = articles.select("seq", "url", "published_at", tx.content_hash(F.col("title"), F.col("url")).alias("content_hash"))
     j = a.join(hashes, F.col("content_hash") == F.col("kh"), "left").join(urls, F.col("url") == F.col("ku"), "left")
     old, day = F.coalesce(F.col("published_at") < cutoff, F.lit(False)), F.date_format("published_at", "yyyy-MM-dd")
@@ -95,9 +112,10 @@ def dedup_summary(articles: DataFrame, verdicts: DataFrame, as_of: Column) -> Da
 
 
 def unknown_hashes(articles: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose hash is not stored; both sides have title and url."""
-    hashes = stored.select(tx.content_hash(F.col("title"), F.col("url")).alias("content_hash"))
-    return articles.withColumn("content_hash", tx.content_hash(F.col("title"), F.col("url"))).join(hashes, "content_hash", "left_anti")
+    """Rows whose hash is not stored; both sides have title and url. Of what is stored only rows with a hash of the batch are moved."""
+    hash_of = tx.content_hash(F.col("title"), F.col("url"))
+    hashes = with_keys_of(stored.select(hash_of.alias("content_hash")), F.col("content_hash"), articles, hash_of)
+    return articles.withColumn("content_hash", hash_of).join(hashes, "content_hash", "left_anti")
 
 
 def insert_new(stored: DataFrame, batch: DataFrame) -> DataFrame:

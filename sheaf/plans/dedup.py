@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
-from sheaf.operators import dedup as op
+from sheaf.operators import dedup as op, upserts
 from sheaf.plans.views import now, view, with_views
+from sheaf.sources.buckets import BucketTable
+from sheaf.sources.stage import shared_path
 
 A = lambda s, d: view(s, d, "articles_raw")
 
@@ -56,17 +58,25 @@ def d10(s, d):
     return op.replace_batch(view(s, d, "history").select(*cols), view(s, d, "incoming").select(*cols))
 
 
-def d11(s, d):
+def _scored(s, d):
     stored = view(s, d, "history").groupBy("url").agg(F.min(F.struct("seq", "id", "title")).alias("r")).select("r.id", "r.title", "url")
     stored = stored.withColumn("ai_relevance_score", F.lit(0.1)).withColumn("ai_confidence", F.lit(None).cast("double"))
     scored = view(s, d, "incoming").groupBy("url").agg(F.max(F.struct("seq", "id", "title")).alias("r")).select("r.id", "r.title", "url", (F.col("r.seq") % 100 / 100).alias("ai_relevance_score"), F.lit(0.5).alias("ai_confidence"))
-    return op.merge_scores(stored, scored)
+    return stored, scored
 
 
-def d12(s, d):
+def d11(s, d):
+    return op.merge_scores(*_scored(s, d))
+
+
+def _results(s, d):
     log = view(s, d, "results_log").withColumn("processed_at", tx.stamp(F.col("processed_at")))
     stored = op.latest(log.filter("seq % 5 <> 0"), op.RESULT_KEY)
-    return op.merge_results(stored, op.latest(log.filter("seq % 5 = 0"), op.RESULT_KEY))
+    return stored, op.latest(log.filter("seq % 5 = 0"), op.RESULT_KEY)
+
+
+def d12(s, d):
+    return op.merge_results(*_results(s, d))
 
 
 def d13(s, d):
@@ -79,9 +89,45 @@ def d13(s, d):
     return out.select("id", "chat_id", "topic_ord", "bonus")
 
 
+def _stored(s, label, key, rows, buckets=32):
+    return BucketTable(s, shared_path(s, label), key).create(rows, buckets)
+
+
+def d9_stored(s, d):
+    """D9 into a table of buckets by URL."""
+    cols = ["id", "title", "url", "seq"]
+    t = _stored(s, "articles", ["url"], view(s, d, "history").select(*cols))
+    upserts.insert_new(t, view(s, d, "incoming").select(*cols))
+    return t.read()
+
+
+def d10_stored(s, d):
+    """D10 into a table of buckets by URL, with an index by id."""
+    cols = ["id", "title", "url", "seq"]
+    h = view(s, d, "history").select(*cols)
+    t, index = _stored(s, "articles", ["url"], h), upserts.id_index(s, shared_path(s, "ids"), h, 32)
+    upserts.replace_batch(t, index, view(s, d, "incoming").select(*cols))
+    return t.read()
+
+
+def d11_stored(s, d):
+    stored, scored = _scored(s, d)
+    t = _stored(s, "articles", ["url"], stored)
+    upserts.merge_scores(t, scored)
+    return t.read()
+
+
+def d12_stored(s, d):
+    stored, new = _results(s, d)
+    t = _stored(s, "results", op.RESULT_KEY, stored)
+    upserts.merge_results(t, new)
+    return t.read()
+
+
 QUERIES = {
     "D3_batch_dedup": d3, "D4_history_dedup": d4, "D5_dedup_merge": d5, "D6_dedup_stats": d6, "D7_dedup_summary": d7, "D8_known_hash_filter": d8, "D9_insert_new": d9,
     "D10_replace_batch": d10, "D11_merge_scores": d11, "D12_merge_results": d12, "D13_repeat_body_bonus": d13,
+    "D9_insert_new_stored": d9_stored, "D10_replace_batch_stored": d10_stored, "D11_merge_scores_stored": d11_stored, "D12_merge_results_stored": d12_stored,
 }
 
 BATCH = """
@@ -140,3 +186,4 @@ SQL = {
       SELECT id, chat_id, topic_ord, CASE WHEN row_number() OVER (PARTITION BY bh ORDER BY chat_id, topic_ord, age, id) > 1 THEN 0.05 ELSE 0.0 END::DOUBLE AS bonus FROM e""",
 }
 SQL = {k: with_views(v) for k, v in SQL.items()}
+SQL |= {f"{k}_stored": SQL[k] for k in ("D9_insert_new", "D10_replace_batch", "D11_merge_scores", "D12_merge_results")}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
-from sheaf.operators import digest as dg, selection as op
+from sheaf.operators import digest as dg, selection as op, upserts
 from sheaf.plans import matching as m
 from sheaf.plans.views import now, view, with_views
+from sheaf.sources.buckets import BucketTable
+from sheaf.sources.stage import shared_path
 
 A = lambda s, d: view(s, d, "articles_raw")
 
@@ -87,17 +89,27 @@ def f4(s, d):
     return dg.topic_preview(_delivery(s, d), A(s, d))
 
 
-def f5(s, d):
-    r = _results(s, d)
-    sent = _delivery(s, d)
-    marked = dg.mark_delivered(r, sent)
+def _with_channels(s, d, marked, sent):
     ch = dg.mark_channels(view(s, d, "channels"), sent, now()).select("chat_id", tx.stamp(F.col("last_delivery_at")).alias("last_delivery_at"))
     return marked.select("article_id", "chat_id", "topic_name", "delivered").join(ch, "chat_id")
 
 
+def f5(s, d):
+    sent = _delivery(s, d)
+    return _with_channels(s, d, dg.mark_delivered(_results(s, d), sent), sent)
+
+
+def f5_stored(s, d):
+    """F5 in a table of buckets by article, channel and topic."""
+    sent = _delivery(s, d)
+    t = BucketTable(s, shared_path(s, "results"), ["article_id", "chat_id", "topic_name"]).create(_results(s, d), 32)
+    upserts.mark_delivered(t, sent)
+    return _with_channels(s, d, t.read(), sent)
+
+
 QUERIES = {
     "J1_unprocessed": j1, "J2_candidates_topk": j2, "J3_delivery_topk": j3, "J4_articles_by_feed": j4, "J5_recent_articles": j5, "J6_user_topics": j6, "J7_topic_search": j7, "J9_assign_owners": j9,
-    "J10_channels_due": j10, "J11_preview": j11, "F1_digest_items": f1, "F2_pack_messages": f2, "F3_digest_header": f3, "F4_topic_preview": f4, "F5_mark_delivered": f5,
+    "J10_channels_due": j10, "J11_preview": j11, "F1_digest_items": f1, "F2_pack_messages": f2, "F3_digest_header": f3, "F4_topic_preview": f4, "F5_mark_delivered": f5, "F5_mark_delivered_stored": f5_stored,
 }
 
 
@@ -162,3 +174,4 @@ SQL = {
       FROM processing_results r LEFT JOIN del d ON d.article_id = r.article_id AND d.chat_id = r.chat_id AND d.topic_name = r.topic_name JOIN channels c ON c.chat_id = r.chat_id""",
 }
 SQL = {k: with_views(v) for k, v in SQL.items()}
+SQL["F5_mark_delivered_stored"] = SQL["F5_mark_delivered"]

@@ -9,29 +9,35 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sheaf.operators import dedup, errors, scoring
+from sheaf.operators import dedup, errors, scoring, upserts
+from sheaf.sources.buckets import BucketTable
+from sheaf.streaming.keys import KeyDays, keys_of
 
 HORIZON = "7 days"
 
 
-def dedup_batches(snapshot: str, as_of: Column, days: int = 7) -> Callable[[DataFrame, int], None]:
+def dedup_batches(keys: KeyDays, articles: BucketTable, as_of: Column, days: int = 7, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: exact duplicate verdicts of each micro-batch against itself and the
-    snapshot at ``snapshot``, to which unique rows are appended under their batch id. A batch that is
-    run again overwrites what it wrote before."""
+    keys of the last ``days``; what is unique and has a URL that ``articles`` (dealt by url) lacks is stored.
+
+    A batch reads the keys of its horizon and the buckets it inserts into. One that is run again
+    finds itself in the table's commits and does nothing, or, if it broke off before, writes the
+    same keys again."""
+    cutoff = as_of - F.expr(f"INTERVAL {days} DAYS")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = ["id", "seq", "title", "url", "content", "published_at", "created_at"]
-        try:
-            stored = spark.read.parquet(snapshot).filter(F.col("batch_id") < batch_id)
-        except Exception as e:  # the snapshot does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.limit(0).withColumn("batch_id", F.lit(-1))
-        verdict = dedup.merged_verdicts(dedup.batch_duplicates(batch), dedup.history_duplicates(batch, stored, as_of, days))
-        unique = batch.select(*columns).join(verdict.filter("NOT is_duplicate").select("seq"), "seq", "left_semi")
-        new = unique.join(stored.select("url"), "url", "left_anti")
-        new.select(*columns).write.mode("overwrite").parquet(f"{snapshot}/batch_id={batch_id}")
+        if articles.has(batch_id):
+            return
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        verdict = dedup.merged_verdicts(dedup.batch_duplicates(batch), dedup.history_duplicates(batch, keys.read(cutoff, batch_id), as_of, days))
+        unique = batch.join(verdict.filter("NOT is_duplicate").select("seq"), "seq", "left_semi")
+        new = unique.join(articles.touched(unique).select("url"), "url", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        keys.write(keys_of(new), batch_id)
+        upserts.insert_new(articles, new, batch_id)
+        new.unpersist()
+        batch.unpersist()
+        if batch_id % compact_every == compact_every - 1:
+            keys.compact(cutoff, batch_id)
 
     return run
 

@@ -2,12 +2,17 @@
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from sheaf.operators import errors, health, scoring
 from sheaf.plans.health import ALERT_LIMITS
 from sheaf.plans.views import now, view
+from sheaf.sources.buckets import BucketTable
 from sheaf.streaming import streams
+from sheaf.streaming.keys import KeyDays, keys_of
 
 
 def run(spark, tmp_path, df, build, mode="append", parts=2):
@@ -36,15 +41,65 @@ def test_feed_states(spark, data, tmp_path):
     assert last == {r["feed_id"]: (r["error_count"], r["active"]) for r in health.feed_states(f).collect()}
 
 
+def start(spark, tmp_path, schema, step):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/ck").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def test_exact_dedup(spark, data, tmp_path):
-    a = view(spark, data, "articles_raw").coalesce(1)
-    step, path = streams.dedup_batches(f"{tmp_path}/snap", now()), f"{tmp_path}/snap"
-    for i in range(3):
-        step(a.filter(F.col("seq") % 3 == i), i)
-    first = spark.read.parquet(path).count()
-    step(a.filter(F.col("seq") % 3 == 2), 2)  # a batch that runs again changes nothing
-    kept = spark.read.parquet(path)
-    assert kept.count() == first and kept.select("url").distinct().count() == first > 0
+    """A stream of four batches that breaks off in the third gives the rows of the batch query."""
+    a, h = view(spark, data, "articles_raw"), view(spark, data, "history")
+    columns = ["id", "seq", "title", "url", "content", "published_at", "created_at"]
+    stored = BucketTable(spark, f"{tmp_path}/articles", ["url"]).create(h.select(*columns), 8)
+    keys = KeyDays(spark, f"{tmp_path}/keys")
+    keys.write(keys_of(h), -1)
+    step, fail = streams.dedup_batches(keys, stored, now(), compact_every=2), {2}
+
+    def breaking(batch, batch_id):
+        if batch_id in fail:
+            fail.discard(batch_id)
+            keys.write(keys_of(batch.limit(1)), batch_id + 1000)  # of a batch that has not been: is not read
+            raise OSError("lost")
+        step(batch, batch_id)
+
+    for i in range(4):
+        a.select(*columns).filter(f"seq DIV 60 = {i}" if i < 3 else "seq >= 180").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    with pytest.raises(Exception, match="lost"):
+        start(spark, tmp_path, a.select(*columns).schema, breaking)
+    start(spark, tmp_path, a.select(*columns).schema, breaking)
+    expected = sorted(r["seq"] for r in entry.queries()["T1_stream_dedup"](spark, data).collect())
+    before = {r["seq"] for r in h.collect()}
+    got = stored.read().select("seq", "url").collect()
+    assert sorted(r["seq"] for r in got if r["seq"] not in before) == sorted(s for s in expected if s not in before)
+    assert len(got) == h.count() + len(expected)
+    step(a.select(*columns).filter("seq >= 180"), 3)  # a batch that runs again changes nothing
+    assert stored.read().count() == len(got)
+
+
+def test_a_batch_reads_the_days_of_its_horizon(spark, tmp_path):
+    """Ten times the history, the same bytes; compaction keeps the keys and drops old days."""
+    keys, cutoff = KeyDays(spark, f"{tmp_path}/keys"), now() - F.expr("INTERVAL 7 DAYS")
+    assert keys.read(cutoff).count() == 0
+    rows = lambda days: spark.range(days * 20).selectExpr("concat('t', id) AS title", "concat('u', id) AS url", f"timestamp'2024-01-31' - make_interval(0, 0, 0, CAST(id % {days} AS INT)) AS created_at", "CAST(NULL AS TIMESTAMP) AS published_at")
+    keys.write(keys_of(rows(8)), 0)
+    keys.write(keys_of(rows(8).withColumn("url", F.concat("url", F.lit("-b")))), 1)
+    read = lambda: {r[0] for r in keys.read(cutoff).select(F.input_file_name()).distinct().collect()}
+    files, found = read(), keys.read(cutoff).count()
+    keys.write(keys_of(rows(80).filter("created_at < timestamp'2024-01-20'")), 2)
+    assert read() == files and keys.read(cutoff).count() == found == 320
+    assert keys.read(cutoff, before=1).count() == 160
+    plan = keys.read(cutoff)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    known = sorted(map(tuple, keys.read(cutoff).select("url", "content_hash", "created_at").collect()))
+    keys.compact(cutoff, 3)
+    assert len([n for n in keys.files.names(f"{tmp_path}/keys") if n.startswith("day=")]) == len(read()) == 8
+    assert sorted(map(tuple, keys.read(cutoff).select("url", "content_hash", "created_at").collect())) == known
+    keys.compact(cutoff, 3)
+    assert keys.read(cutoff).count() == found
 
 
 def test_scores_of_arriving_articles(spark, data, tmp_path):
@@ -57,17 +112,10 @@ def test_scores_of_arriving_articles(spark, data, tmp_path):
     now_topics = {"k": few}
     articles.filter("seq % 2 = 0").coalesce(1).write.parquet(f"{source}/0")
     step = streams.score_batches(lambda s: now_topics["k"], lambda s: topics, sink)
-    stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
-
-    def go():
-        q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/ck").start()
-        q.processAllAvailable()
-        q.stop()
-
-    go()
+    start(spark, tmp_path, articles.schema, step)
     now_topics["k"] = few.union(more)
     articles.filter("seq % 2 = 1").coalesce(1).write.parquet(f"{source}/1")
-    go()
+    start(spark, tmp_path, articles.schema, step)
     expected = [scoring.score_articles(articles.filter(f"seq % 2 = {i}"), k, topics) for i, k in ((0, few), (1, few.union(more)))]
     kept = spark.read.parquet(sink)
     rows = lambda df: sorted(map(tuple, df.collect()))
