@@ -101,15 +101,24 @@ def run_status(channels: DataFrame, as_of: Column) -> DataFrame:
                         F.when(F.count_if(F.to_date(last) == F.to_date(as_of)) > 0, "healthy").when(week > 0, "degraded").otherwise("unhealthy").alias("status"))
 
 
-def funnel(channels: DataFrame, fetched: DataFrame, unique: DataFrame, passed: DataFrame, ready: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Per channel the counts of each step and its rates; the inputs are (chat_id, n), fetches has ok, all."""
+def funnel(channels: DataFrame, counts: dict[str, DataFrame]) -> DataFrame:
+    """Per channel the counts of each step and its rates.
+
+    ``counts`` has tables with a row per chat_id: fetched, unique, passed (the pre-filter), ready
+    (accepted results) with n; fetches with ok, all; calls with ok, all, seconds (how long the run
+    took); results with relevant, all; deliveries with sent, failed. What is absent counts 0; where
+    nothing was sent, delivery is at 100."""
     j = channels.select("chat_id")
-    for name, df in (("fetched", fetched), ("unique", unique), ("passed", passed), ("ready", ready)):
-        j = j.join(df.select("chat_id", F.col("n").alias(name)), "chat_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    j = j.join(fetches, "chat_id", "left")
+    for name, df in counts.items():
+        df = df.select("chat_id", *[F.col(c).alias(name if c == "n" else f"{name}_{c}") for c in df.columns if c != "chat_id"])
+        j = j.join(df, "chat_id", "left")
+    j = j.na.fill(0)
+    per_second = F.round(F.when(F.col("calls_seconds") > 0, F.col("fetched") / F.col("calls_seconds")).otherwise(0.0), 6)
     return j.select(
-        "chat_id", "fetched", "unique", "passed", "ready", ratio(F.coalesce("ok", F.lit(0)), F.coalesce("all", F.lit(0))).alias("feed_success"), ratio(F.col("fetched") - F.col("unique"), F.col("fetched")).alias("deduplication"),
-        ratio(F.col("unique") - F.col("passed"), F.col("unique")).alias("prefilter_reduction"), ratio(F.col("fetched") - F.col("ready"), F.col("fetched")).alias("overall_reduction"))
+        "chat_id", "fetched", "unique", "passed", "ready", ratio(F.col("fetches_ok"), F.col("fetches_all")).alias("feed_success"), ratio(F.col("fetched") - F.col("unique"), F.col("fetched")).alias("deduplication"),
+        ratio(F.col("unique") - F.col("passed"), F.col("unique")).alias("prefilter_reduction"), ratio(F.col("fetched") - F.col("ready"), F.col("fetched")).alias("overall_reduction"), per_second.alias("articles_per_second"),
+        ratio(F.col("calls_ok"), F.col("calls_all")).alias("model_success"), ratio(F.col("results_relevant"), F.col("results_all")).alias("relevance"),
+        ratio(F.col("deliveries_sent") - F.col("deliveries_failed"), F.col("deliveries_sent"), 100.0).alias("delivery_success"))
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
-from sheaf.operators import errors as er, reports as op, retention as rt
-from sheaf.plans import matching as m
+from sheaf.operators import daily, errors as er, reports as op, retention as rt
+from sheaf.plans import matching as m, scoring
 from sheaf.plans.views import now, view, with_views
+from sheaf.sources.stage import shared_path
 
 A = lambda s, d: view(s, d, "articles_raw")
 
@@ -50,16 +51,35 @@ def a11(s, d):
     return op.run_status(_channels(s, d), now()).withColumn("last_success", tx.stamp(F.col("last_success")))
 
 
+def _log(s, d):
+    """Results, of which every tenth could not be delivered."""
+    return view(s, d, "results_log").withColumn("failed", F.col("delivered") & (F.col("seq") % 10 == 0))
+
+
 def a12(s, d):
     feeds = view(s, d, "feeds").select("chat_id", F.col("url").alias("source_feed"))
     per = A(s, d).join(feeds, "source_feed")
-    fetched = per.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"))
-    unique = per.groupBy("chat_id").agg(F.count_distinct("url").alias("n"))
     p = m.pairs(s, d)
-    passed = p.groupBy("chat_id").agg(F.count_distinct("id").alias("n"))
-    ready = p.filter("score >= 0.3").groupBy("chat_id").agg(F.count_distinct("id").alias("n"))
-    log = view(s, d, "fetch_log").groupBy((F.col("feed_id") % 5).cast("string").alias("chat_id")).agg(F.count_if("success").alias("ok"), F.count(F.lit(1)).alias("all"))
-    return op.funnel(view(s, d, "channels"), fetched, unique, passed, ready, log)
+    n = F.count(F.lit(1))
+    time = F.col("ts").cast("timestamp")
+    return op.funnel(view(s, d, "channels"), {
+        "fetched": per.groupBy("chat_id").agg(n.alias("n")),
+        "unique": per.groupBy("chat_id").agg(F.count_distinct("url").alias("n")),
+        "passed": p.filter("matched").groupBy("chat_id").agg(F.count_distinct("id").alias("n")),
+        "ready": scoring.accepted(s, d, p).groupBy("chat_id").agg(F.count_distinct("id").alias("n")),
+        "fetches": view(s, d, "fetch_log").groupBy((F.col("feed_id") % 5).cast("string").alias("chat_id")).agg(F.count_if("success").alias("ok"), n.alias("all")),
+        "calls": view(s, d, "call_log").groupBy("chat_id").agg(F.count_if("success").alias("ok"), n.alias("all"), (F.unix_timestamp(F.max(time)) - F.unix_timestamp(F.min(time))).alias("seconds")),
+        "results": view(s, d, "results_log").groupBy("chat_id").agg(F.count_if(F.col("ai_relevance_score") >= 0.3).alias("relevant"), n.alias("all")),
+        "deliveries": _log(s, d).groupBy("chat_id").agg(F.count_if("delivered").alias("sent"), F.count_if("failed").alias("failed")),
+    })
+
+
+def a13_daily(s, d):
+    """A13 from daily partials, of which one day has been run again."""
+    path, log = shared_path(s, "days"), _log(s, d)
+    daily.write_days(daily.day_partials(log), path)
+    daily.write_days(daily.day_partials(log.filter("date_format(processed_at, 'yyyy-MM-dd') = '2024-01-10'")), path)
+    return daily.run_rollup(daily.read_days(s, path))
 
 
 def a13(s, d):
@@ -129,7 +149,7 @@ QUERIES = {
     "A6_channel_topic_report": lambda s, d: op.channel_topics(view(s, d, "topics"), view(s, d, "topic_keywords")),
     "A7_channel_stats": lambda s, d: op.channel_stats(view(s, d, "channels")),
     "A8_channel_status": lambda s, d: op.channel_status(view(s, d, "channels"), view(s, d, "topics"), view(s, d, "feeds"), A(s, d)),
-    "A9_user_usage": a9, "A10_delivery_stats": a10, "A11_run_status": a11, "A12_funnel": a12, "A13_run_rollup": a13,
+    "A9_user_usage": a9, "A10_delivery_stats": a10, "A11_run_status": a11, "A12_funnel": a12, "A13_run_rollup": a13, "A13_run_rollup_daily": a13_daily,
     "A14_provider_breakdown": lambda s, d: op.provider_breakdown(view(s, d, "call_log")),
     "A15_error_stats": lambda s, d: op.error_stats(_errors(s, d), now(), 72),
     "A16_recent_errors": a16, "A17_retry_stats": a17,
@@ -168,12 +188,17 @@ SQL = {
     "A11_run_status": f"""WITH {CHANNELS} SELECT count_if(last_delivery_at >= TIMESTAMP '2024-01-24')::BIGINT AS deliveries, count_if(last_delivery_at::DATE = DATE '2024-01-31') > 0 AS today, strftime(max(last_delivery_at), '%Y-%m-%d %H:%M:%S') AS last_success,
         CASE WHEN count_if(last_delivery_at >= TIMESTAMP '2024-01-24') > 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS success_rate, CASE WHEN count_if(last_delivery_at::DATE = DATE '2024-01-31') > 0 THEN 'healthy'
           WHEN count_if(last_delivery_at >= TIMESTAMP '2024-01-24') > 0 THEN 'degraded' ELSE 'unhealthy' END AS status FROM ch""",
-    "A12_funnel": f"""WITH {m.PAIRS}, per AS (SELECT f.chat_id, count(*) AS fetched, count(DISTINCT a.url) AS uq FROM articles_raw a JOIN feeds f ON f.url = a.source_feed GROUP BY 1),
-      pp AS (SELECT chat_id, count(DISTINCT id) AS passed, count(DISTINCT CASE WHEN score >= 0.3 THEN id END) AS ready FROM pairs GROUP BY 1),
+    "A12_funnel": f"""WITH {scoring.ACCEPTED}, per AS (SELECT f.chat_id, count(*) AS fetched, count(DISTINCT a.url) AS uq FROM articles_raw a JOIN feeds f ON f.url = a.source_feed GROUP BY 1),
+      pp AS (SELECT chat_id, count(DISTINCT id) AS passed FROM pairs WHERE matched GROUP BY 1), rd AS (SELECT chat_id, count(DISTINCT id) AS ready FROM accepted GROUP BY 1),
       fl AS (SELECT (feed_id % 5)::VARCHAR AS chat_id, count_if(success) AS ok, count(*) AS al FROM fetch_log GROUP BY 1),
-      j AS (SELECT c.chat_id, coalesce(fetched, 0) AS fetched, coalesce(uq, 0) AS "unique", coalesce(passed, 0) AS passed, coalesce(ready, 0) AS ready, coalesce(ok, 0) AS ok, coalesce(al, 0) AS al
-        FROM channels c LEFT JOIN per USING (chat_id) LEFT JOIN pp USING (chat_id) LEFT JOIN fl USING (chat_id))
-      SELECT chat_id, fetched, "unique", passed, ready, {_pct('ok', 'al')} AS feed_success, {_pct('fetched - "unique"', 'fetched')} AS deduplication, {_pct('"unique" - passed', '"unique"')} AS prefilter_reduction, {_pct('fetched - ready', 'fetched')} AS overall_reduction FROM j""",
+      ca AS (SELECT chat_id, count_if(success) AS c_ok, count(*) AS c_all, floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS secs FROM call_log GROUP BY 1),
+      rs AS (SELECT chat_id, count_if(ai_relevance_score >= 0.3) AS rel_n, count(*) AS r_all, count_if(delivered) AS sent, count_if(delivered AND seq % 10 = 0) AS unsent FROM results_log GROUP BY 1),
+      j AS (SELECT chat_id, coalesce(fetched, 0) AS fetched, coalesce(uq, 0) AS "unique", coalesce(passed, 0) AS passed, coalesce(ready, 0) AS ready, coalesce(ok, 0) AS ok, coalesce(al, 0) AS al,
+          coalesce(c_ok, 0) AS c_ok, coalesce(c_all, 0) AS c_all, coalesce(secs, 0) AS secs, coalesce(rel_n, 0) AS rel_n, coalesce(r_all, 0) AS r_all, coalesce(sent, 0) AS sent, coalesce(unsent, 0) AS unsent
+        FROM channels LEFT JOIN per USING (chat_id) LEFT JOIN pp USING (chat_id) LEFT JOIN rd USING (chat_id) LEFT JOIN fl USING (chat_id) LEFT JOIN ca USING (chat_id) LEFT JOIN rs USING (chat_id))
+      SELECT chat_id, fetched, "unique", passed, ready, {_pct('ok', 'al')} AS feed_success, {_pct('fetched - "unique"', 'fetched')} AS deduplication, {_pct('"unique" - passed', '"unique"')} AS prefilter_reduction, {_pct('fetched - ready', 'fetched')} AS overall_reduction,
+        round(CASE WHEN secs > 0 THEN fetched / secs ELSE 0 END, 6)::DOUBLE AS articles_per_second, {_pct('c_ok', 'c_all')} AS model_success, {_pct('rel_n', 'r_all')} AS relevance,
+        round(CASE WHEN sent > 0 THEN (sent - unsent) / sent * 100 ELSE 100 END, 6)::DOUBLE AS delivery_success FROM j""",
     "A13_run_rollup": f"""WITH r AS (SELECT strftime(processed_at, '%Y-%m-%d') AS run, chat_id, count(*) AS articles, count_if(delivered) AS messages FROM results_log GROUP BY 1, 2)
       SELECT run, chat_id, sum(articles)::BIGINT AS articles, sum(messages)::BIGINT AS messages, round(CASE WHEN sum(messages) > 0 THEN sum(articles) / sum(messages) ELSE 0 END, 6)::DOUBLE AS articles_per_message,
         count_if(messages % 7 <> 0)::BIGINT AS ok, count_if(messages % 7 = 0)::BIGINT AS failed, {_pct('count_if(messages % 7 <> 0)', 'count(*)')} AS success_rate FROM r GROUP BY ROLLUP (run, chat_id)""",
@@ -208,3 +233,4 @@ SQL = {
     "V3_filter_bad_rows": """SELECT id, CASE WHEN seq % 19 = 0 OR trim(title) = '' THEN 'no title' WHEN seq % 23 = 0 THEN 'no link' WHEN seq % 29 = 0 THEN 'invalid url: scheme' ELSE '' END AS reason FROM articles_raw""",
 }
 SQL = {k: with_views(v) for k, v in SQL.items()}
+SQL["A13_run_rollup_daily"] = SQL["A13_run_rollup"]

@@ -111,8 +111,8 @@ def m19(s, d):
     return view(s, d, "call_log").select("seq", q.alias("quality"), (q >= 0.7).alias("is_relevant"))
 
 
-def m20(s, d):
-    pairs, found = m.pairs(s, d), text_hits(s, d)
+def accepted(s, d, pairs):
+    found = text_hits(s, d)
     adjusted = op.quality_adjusted(_ladder(s, d, pairs, found), _factors(s)).select(F.col("article_id").alias("id"), F.col("topic_name").alias("name"), "provider", "relevance", "confidence")
     r = _routed(s, d, pairs, found)
     keys = r.select("id", "chat_id", "name")
@@ -121,6 +121,10 @@ def m20(s, d):
     return op.accepted(r, model, failed)
 
 
+def m20(s, d):
+    return accepted(s, d, m.pairs(s, d))
+
+
 QUERIES = {
     "M7_weighted_keywords": m7, "M8_content_quality": m8, "M9_url_quality": m9, "M10_composite": m10, "M11_confidence": m11, "M12_route": m12, "M13_fallback_score": m13,
     "M14_article_quality": m14, "M15_generate_keywords": m15, "M16_parse_responses": m16, "M17_quality_adjust": m17, "M18_fallback_ladder": m18, "M19_combined_quality": m19, "M20_accept": m20,
@@ -176,6 +180,13 @@ fbt AS (SELECT id AS article_id, name AS topic_name, max(relevance) AS relevance
 lad AS MATERIALIZED (SELECT article_id, topic_name, provider, round(relevance, 6) AS relevance, confidence FROM ok WHERE rn = 1
   UNION ALL SELECT article_id, topic_name, 'keyword_fallback', relevance, confidence FROM fbt f WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.article_id = f.article_id AND ok.topic_name = f.topic_name))"""
 FACTOR = "CASE provider WHEN 'keyword_fallback' THEN 0.45 ELSE 1.0 END::DOUBLE"
+ACCEPTED = f"""{ROUTED} {FALLBACK} {LADDER},
+adj AS (SELECT article_id, topic_name, provider, round(relevance * {FACTOR}, 6) AS relevance, round(confidence * {FACTOR}, 6) AS confidence FROM lad),
+accepted AS (SELECT id, chat_id, name, relevance, confidence, 'smart_routing' AS provider, false AS summarize FROM routed WHERE action = 'accept'
+  UNION ALL SELECT r.id, r.chat_id, r.name, a.relevance, a.confidence, a.provider, a.relevance >= 0.6 FROM routed r JOIN adj a ON a.article_id = r.id AND a.topic_name = r.name
+    WHERE r.action = 'model' AND r.id::BIGINT % 5 <> 0 AND a.relevance >= 0.5
+  UNION ALL SELECT f.id, f.chat_id, f.name, f.relevance, least(f.confidence, 0.6), 'keyword_backup', false FROM fb f JOIN routed r ON r.id = f.id AND r.chat_id = f.chat_id AND r.name = f.name
+    WHERE r.action = 'model' AND f.id::BIGINT % 5 = 0 AND f.relevance >= 0.3)"""
 
 SQL = {
     "M7_weighted_keywords": f"WITH {WEIGHTED} SELECT id, chat_id, name, score, n_matched, matched FROM weighted",
@@ -195,12 +206,6 @@ SQL = {
       FROM (SELECT seq, CASE WHEN seq % 3 = 0 THEN 'keyword_fallback' WHEN seq % 7 = 0 THEN 'other' ELSE provider END AS provider, relevance, confidence FROM call_log)""",
     "M18_fallback_ladder": f"WITH {m.PAIRS} {FALLBACK} {LADDER} SELECT * FROM lad",
     "M19_combined_quality": "SELECT seq, round(0.7::DOUBLE * relevance + 0.3::DOUBLE * confidence, 6) AS quality, round(0.7::DOUBLE * relevance + 0.3::DOUBLE * confidence, 6) >= 0.7 AS is_relevant FROM call_log",
-    "M20_accept": f"""WITH {ROUTED} {FALLBACK} {LADDER},
-      adj AS (SELECT article_id, topic_name, provider, round(relevance * {FACTOR}, 6) AS relevance, round(confidence * {FACTOR}, 6) AS confidence FROM lad)
-      SELECT id, chat_id, name, relevance, confidence, 'smart_routing' AS provider, false AS summarize FROM routed WHERE action = 'accept'
-      UNION ALL SELECT r.id, r.chat_id, r.name, a.relevance, a.confidence, a.provider, a.relevance >= 0.6 FROM routed r JOIN adj a ON a.article_id = r.id AND a.topic_name = r.name
-        WHERE r.action = 'model' AND r.id::BIGINT % 5 <> 0 AND a.relevance >= 0.5
-      UNION ALL SELECT f.id, f.chat_id, f.name, f.relevance, least(f.confidence, 0.6), 'keyword_backup', false FROM fb f JOIN routed r ON r.id = f.id AND r.chat_id = f.chat_id AND r.name = f.name
-        WHERE r.action = 'model' AND f.id::BIGINT % 5 = 0 AND f.relevance >= 0.3""",
+    "M20_accept": f"WITH {ACCEPTED} SELECT * FROM accepted",
 }
 SQL = {k: with_views(v) for k, v in SQL.items()}

@@ -68,7 +68,7 @@ FROM events""",
 SELECT event_id AS seq, ts, CASE event_id % 4 WHEN 0 THEN 'groq' WHEN 1 THEN 'deepseek' WHEN 2 THEN 'gemini' ELSE 'openai' END AS provider,
        event_type <> 'error' AS success, event_type = 'error' AND event_id % 2 = 0 AS rate_limited,
        least(value / 500, CAST(1 AS DOUBLE)) AS relevance, CAST((event_id * 53) % 101 AS DOUBLE) / 100 AS confidence,
-       CAST(event_id % 200 AS STRING) AS article_id, event_type AS topic_name
+       CAST(event_id % 200 AS STRING) AS article_id, event_type AS topic_name, CAST(user_id % 5 AS STRING) AS chat_id
 FROM events""",
     "error_events": """
 SELECT event_id AS seq, ts,
