@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sheaf.functions import text as tx
 
@@ -14,29 +14,60 @@ ATOM = f"title string, subtitle string, link {_LINK}, updated string, generator
 _OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 
 
-def parsed(payloads: DataFrame) -> DataFrame:
-    """feed_url with the parsed RSS and Atom documents; what a payload is not stays null."""
+def parsed(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """feed_url (and the columns of ``keep``) with the parsed RSS and Atom documents; what a payload is not stays null."""
     rss = F.when(F.col("payload").rlike(r"(?s)<rss\b"), F.from_xml("payload", F.lit(RSS), _OPTIONS))
     atom = F.when(F.col("payload").rlike(r"(?s)<feed\b"), F.from_xml("payload", F.lit(ATOM), _OPTIONS))
-    return payloads.select("feed_url", rss.alias("rss"), atom.alias("atom"))
+    return payloads.select("feed_url", *keep, rss.alias("rss"), atom.alias("atom"))
 
 
-def items(payloads: DataFrame) -> DataFrame:
+def items(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per item or entry, in document order: feed_url, position, title, link, summary, content,
-    description, published, updated, author, categories, guid, enclosures."""
-    p = parsed(payloads)
-    i = p.select("feed_url", F.posexplode("rss.channel.item").alias("position", "i")).select(
-        "feed_url", "position", "i.title", "i.link", "i.summary", F.col("i.encoded").alias("content"), "i.description", F.col("i.pubDate").alias("published"), "i.updated",
+    description, published, updated, author, categories, guid, enclosures, and the columns of ``keep``."""
+    p = parsed(payloads, keep)
+    i = p.select("feed_url", *keep, F.posexplode("rss.channel.item").alias("position", "i")).select(
+        "feed_url", *keep, "position", "i.title", "i.link", "i.summary", F.col("i.encoded").alias("content"), "i.description", F.col("i.pubDate").alias("published"), "i.updated",
         F.coalesce("i.author", "i.creator").alias("author"), F.coalesce("i.category", F.array().cast("array<string>")).alias("categories"), "i.guid",
         F.transform("i.enclosure", lambda e: F.struct(e["_url"].alias("url"), e["_type"].alias("type"), e["_length"].alias("length"))).alias("enclosures"))
     href = lambda c: F.coalesce(F.try_element_at(F.filter(c, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1)), F.try_element_at(c, F.lit(1)))["_href"]
-    a = p.select("feed_url", F.posexplode("atom.entry").alias("position", "i")).select(
-        "feed_url", "position", "i.title", href(F.col("i.link")).alias("link"), "i.summary", "i.content", F.lit(None).cast("string").alias("description"), "i.published", "i.updated",
+    a = p.select("feed_url", *keep, F.posexplode("atom.entry").alias("position", "i")).select(
+        "feed_url", *keep, "position", "i.title", href(F.col("i.link")).alias("link"), "i.summary", "i.content", F.lit(None).cast("string").alias("description"), "i.published", "i.updated",
         F.col("i.author.name").alias("author"), F.coalesce(F.transform("i.category", lambda c: c["_term"]), F.array().cast("array<string>")).alias("categories"), F.col("i.id").alias("guid"),
         F.lit(None).cast("array<struct<url: string, type: string, length: string>>").alias("enclosures"))
     return i.unionByName(a)
 
 
+def file_parts(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """feed_url (the file), block, place, value: files cut behind each ``</tag>``.
+
+    The text source cuts, so a large file is read by as many tasks as it has blocks, and a file
+    needs no memory but for its longest element. Order within a file is that of block and place."""
+    rows = spark.read.option("lineSep", f"</{tag}>").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("feed_url"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
+def file_items(spark: SparkSession, path: str) -> DataFrame:
+    """``items`` of RSS and Atom files, of any size and several documents to a file, with block and
+    place in place of the position. Elements must end in ``</item>`` or ``</entry>`` as written here,
+    and their texts must not hold these strings unescaped."""
+    whole = []
+    for tag, before, after in (("item", "<rss><channel>", "</channel></rss>"), ("entry", "<feed>", "</feed>")):
+        element = F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*)?>.*$", 0)
+        rows = file_parts(spark, path, tag).withColumn("element", element).filter("element <> ''")
+        whole.append(rows.select("feed_url", "block", "place", F.concat(F.lit(before), "element", F.lit(f"</{tag}>{after}")).alias("payload")))
+    return items(whole[0].union(whole[1]), keep=("block", "place")).drop("position")
+
+
+def file_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """``metadata`` of RSS and Atom files: what stands before the first item or entry of each document."""
+    heads = []
+    for tag, root in (("item", "rss"), ("entry", "feed")):
+        head = F.regexp_extract("value", rf"(?s)<{root}[\s>](?:(?!<{tag}[\s>]|</{root}>).)*+", 0)
+        close = "</channel></rss>" if root == "rss" else "</feed>"
+        heads.append(file_parts(spark, path, tag).withColumn("head", head).filter("head <> ''").select("feed_url", F.concat(F.regexp_replace("head", r"\s*</channel>\s*$", ""), F.lit(close)).alias("payload")))
+    return metadata(heads[0].union(heads[1]))
+
+
 def metadata(payloads: DataFrame) -> DataFrame:
     """feed_url, title, link, description, language, categories, image of each document."""
     p = parsed(payloads)
