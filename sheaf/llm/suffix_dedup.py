@@ -367,18 +367,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Removed is every byte of a ``length``-byte string that starts anywhere else too, in another
     document or the same one, overlaps included, judged on the input. Texts are UTF-8 bytes, null as
-    empty; texts below ``length`` bytes never lose any. Ids must be unique: rows that repeat a
-    doc_id are taken for further copies of the text, each shown with all spans of the id. Rows
-    without doc_id are compared and cut like others, under a hash of their text. Other columns are ignored; an
+    empty; texts below ``length`` bytes never lose any. Each row is judged by its own text: where a
+    doc_id stands on different texts, rows go under a hash of both, and rows without doc_id under
+    one of their text. Rows that repeat id and text are copies. Other columns are ignored; an
     empty table gives an empty table. Contexts and windows of hot anchors are told apart by 64-bit
     hashes, all other suffixes by their bytes.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    known = rows.filter("doc_id IS NOT NULL")
     nameless = rows.filter("doc_id IS NULL").select(F.xxhash64("text").alias("doc_id"), "text")
-    rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
+    known = rows.filter("doc_id IS NOT NULL")
+    texts_of = known.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    shared = staged(texts_of.filter("a <> b").select("doc_id"), "shared-ids")
+    several = None
+    if not shared.isEmpty():
+        several = known.join(shared, "doc_id", "left_semi").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+        known = known.join(shared, "doc_id", "left_anti")
+    rows = known.union(nameless)
+    if several is not None:
+        rows = rows.union(several.select("key", "text"))
 
     # which way anchors go depends on this list of bounded length, the result does not
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)
@@ -409,4 +417,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return packed_texts(some).join(every, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
             _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
-    return cut(known).union(cut(nameless).withColumn("doc_id", F.lit(None).cast("long")))
+    out = cut(known).union(cut(nameless).withColumn("doc_id", F.lit(None).cast("long")))
+    if several is not None:
+        ids = several.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
+        own = cut(several.select(F.col("key").alias("doc_id"), "text"))
+        out = out.union(own.join(ids, F.col("doc_id") == F.col("_key")).withColumn("doc_id", F.col("_id")).select(*out.columns))
+    return out

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -581,3 +582,14 @@ def test_pipeline_stages_on_odd_rows(spark, odd, data):
             if name == "exact_dedup":
                 assert got == {max(j for j, t in texts if t == u) for _, u in texts}
             expected = got
+
+
+def test_repeats_of_ids_on_several_texts(spark):
+    """Each row is cut by its own text, whatever other rows its id stands on."""
+    rng = random.Random(21)
+    passage, long = prose(rng, 70), prose(rng, 300)
+    texts = [(1, long + " " + passage), (1, "tiny"), (1, prose(rng, 260)), (2, prose(rng, 40) + " " + passage), (3, long), (3, long), (3, None), (4, passage), (None, passage + " x"), (None, long), (None, long), (None, "tiny"), (5, prose(rng, 200))]
+    expected = brute.repeats(list(enumerate(t for _, t in texts)))
+    want = Counter((i, *expected[k][:3], hashlib.sha256(expected[k][3]).hexdigest()) for k, (i, _) in enumerate(texts))
+    got = suffix_dedup.remove_repeats(docs(spark, [(i, t, "a") for i, t in texts])).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
