@@ -3,8 +3,9 @@
 A small network sees the words on both sides of a masked place and predicts the word there: first
 its class, then the word in the class, both by a softmax over the same hidden layer. The sum of the
 log-probabilities of all places of a document is its score. Words are counted over all documents;
-the vocabulary grows with them, and the words beyond it share hashed symbols that the network treats
-as words. It is trained in numpy on the executors, each partition on its own places, and averaged.
+the vocabulary grows with them, and the words beyond it stand behind hashed symbols that the network
+treats as words, each with the share of its symbol that it has by count. It is trained in numpy on
+the executors, each partition on its own places, and averaged.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from sheaf.llm.shared import shuffle_width, staged, text_or_empty
 #: Words in the vocabulary for each square root of a token, and one hashed symbol for so many of them.
 GROWTH, WORDS_PER_SYMBOL = 0.25, 8
 SIDE, WIDTH, HIDDEN = 2, 8, 15
-#: Places of one step of training, its rate (Adagrad), and what sums of squared gradients start from.
-BATCH, RATE, START = 12288, 0.1, 1e-6
+#: Places of one step of training: one in so many of all, within these bounds.
+STEPS, LEAST_BATCH, BATCH = 2000, 256, 12288
+#: The rate of a step (Adagrad), and what sums of squared gradients start from.
+RATE, START = 0.1, 1e-6
 #: Texts split into words together.
 TOGETHER = 1000
 #: Pieces of a network that are averaged apart.
@@ -37,21 +40,33 @@ PIECES = 64
 class Words:
     """Symbols by falling count: frequent words, and after them the hashed symbols of all others.
 
-    ``share`` is what one word has of its symbol, 1 for a frequent one. A class is ``span`` symbols in a row."""
+    ``totals`` has how often the words of each hashed symbol occur. A class is ``span`` symbols in a
+    row, and a step of training has ``batch`` places."""
 
     ids: dict[str, int]
-    share: np.ndarray
-    hashed: int
-    span: int
+    totals: np.ndarray
+    batch: int
+
+    @property
+    def hashed(self) -> int:
+        return len(self.totals)
+
+    @property
+    def size(self) -> int:
+        return len(self.ids) + self.hashed
+
+    @property
+    def span(self) -> int:
+        return max(1, math.isqrt(self.size))
 
     @property
     def edge(self) -> int:
         """Stands for places outside a text."""
-        return len(self.share)
+        return self.size
 
     @property
     def classes(self) -> int:
-        return -(-len(self.share) // self.span)
+        return -(-self.size // self.span)
 
     def of(self, distinct: list[str]) -> np.ndarray:
         get, first, hashed = self.ids.get, len(self.ids), self.hashed
@@ -91,19 +106,28 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, growth: float = GROWTH) -> Words:
     """The most frequent words, ``growth`` times the square root of the number of tokens; the others
-    share hashed symbols, each word of a symbol equally."""
+    stand behind hashed symbols."""
     tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = max(16, math.ceil(growth * math.sqrt(tokens)))
     hashed = -(-size // WORDS_PER_SYMBOL)
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
-    symbol = F.crc32(F.col("word").cast("binary")) % hashed
-    kinds = np.zeros(hashed)
-    for r in counts.groupBy(symbol.alias("symbol")).agg(F.count(F.lit(1)).alias("kinds")).collect():
-        kinds[r["symbol"]] = r["kinds"]
-    for w in top:
-        kinds[zlib.crc32(w.encode()) % hashed] -= 1
-    share = np.concatenate([np.ones(len(top)), 1 / np.maximum(kinds, 1)])
-    return Words({w: i for i, w in enumerate(top)}, share, hashed, max(1, math.isqrt(len(share))))
+    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    totals = np.zeros(hashed, np.int64)
+    for r in counts.groupBy(_symbol(hashed).alias("symbol")).agg(F.sum("n").alias("n")).collect():
+        totals[r["symbol"]] = r["n"]
+    for r in top:
+        totals[zlib.crc32(r["word"].encode()) % hashed] -= r["n"]
+    return Words({r["word"]: i for i, r in enumerate(top)}, totals, int(min(BATCH, max(LEAST_BATCH, tokens // STEPS))))
+
+
+def _symbol(hashed: int):
+    return F.crc32(F.col("word").cast("binary")) % hashed
+
+
+def shares(counts: DataFrame, words: Words) -> DataFrame:
+    """word, log_share: the logarithm of what a word beyond the vocabulary has of its symbol, by count."""
+    spark = counts.sparkSession
+    totals = spark.createDataFrame([(i, int(n)) for i, n in enumerate(words.totals) if n > 0], "symbol long, total long")
+    return counts.withColumn("symbol", _symbol(words.hashed)).join(F.broadcast(totals), "symbol").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
 Net = dict[str, np.ndarray]
@@ -113,7 +137,7 @@ def new_net(words: Words, seed: int = 3) -> Net:
     """Embeddings, the hidden layer, classes, and words of each class; biases are the last row but in embeddings."""
     rng = np.random.default_rng(seed)
     net = {
-        "e": rng.normal(0, 0.3, (len(words.share) + 1, WIDTH)),
+        "e": rng.normal(0, 0.3, (words.size + 1, WIDTH)),
         "w": rng.normal(0, 0.3, (2 * SIDE * WIDTH + 1, HIDDEN)),
         "v": rng.normal(0, 0.1, (HIDDEN + 1, words.classes)),
         "u": rng.normal(0, 0.1, (words.classes, HIDDEN + 1, words.span)),
@@ -175,16 +199,16 @@ def _by_class(words: Words, target: np.ndarray) -> tuple[np.ndarray, list[tuple[
 
 def _room(words: Words, c: int) -> int:
     """Symbols of class ``c``; the last one may have fewer than the others."""
-    return min(words.span, len(words.share) - c * words.span)
+    return min(words.span, words.size - c * words.span)
 
 
 def train_on(net: Net, words: Words, context: np.ndarray, target: np.ndarray, seen: Net, rate: float = RATE) -> None:
     """Adagrad steps, in place, over the given places once; ``seen`` holds the sums of squared gradients."""
     grown = {k: np.zeros_like(v) for k, v in net.items()}
-    for first in range(0, len(target), BATCH):
-        y = target[first : first + BATCH]
+    for first in range(0, len(target), words.batch):
+        y = target[first : first + words.batch]
         order, groups = _by_class(words, y)
-        x, y = context[first : first + BATCH].take(order, axis=0), y.take(order)
+        x, y = context[first : first + words.batch].take(order, axis=0), y.take(order)
         scale = np.float32(1 / len(y))
         e, h = _hidden(net, x)
         # the share of each class, less one for the class that is right; rows are divided by their sums only where they are small
@@ -214,15 +238,15 @@ def train_on(net: Net, words: Words, context: np.ndarray, target: np.ndarray, se
 
 
 def log_probabilities(net: Net, words: Words, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log p(word | both sides) of each place."""
-    out, share = np.empty(len(target)), np.log(words.share)
+    """log p(symbol | both sides) of each place."""
+    out = np.empty(len(target))
     for first in range(0, len(target), BATCH):
         y = target[first : first + BATCH]
         order, groups = _by_class(words, y)
         y = y.take(order)
         h = _hidden(net, context[first : first + BATCH].take(order, axis=0))[1]
         z = h @ net["v"]
-        p = share[y]
+        p = np.zeros(len(y))
         for c, a, end in groups:
             p[a:end] += z[a:end, c]
         q, off = _powers(z)
@@ -244,6 +268,18 @@ def _some(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarra
         yield windows(target, sizes, words.edge), target, sizes
 
 
+def _beyond(texts: pa.Array, words: Words) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """For some texts at a time, the words of each beyond the vocabulary and how often it has them."""
+    for part in _slices(texts):
+        at, distinct, sizes = split(part)
+        far = words.of(distinct) >= len(words.ids) if distinct else np.zeros(0, bool)
+        of = np.repeat(np.arange(len(sizes)), sizes)[far[at]] if len(at) else np.zeros(0, np.int64)
+        pair, times = np.unique(of * max(1, len(distinct)) + (at[far[at]] if len(at) else of), return_counts=True)
+        offsets = pa.array(np.searchsorted(pair, np.arange(len(sizes) + 1) * max(1, len(distinct))), pa.int32())
+        names = pa.array(distinct, pa.string()).take(pa.array(pair % max(1, len(distinct))))
+        yield pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
+
+
 def train(docs: DataFrame, words: Words) -> Net:
     """One round of training on all of every partition's own places, shuffled some documents at a
     time, and averaging by number of places. The average is taken piece by piece on the executors,
@@ -282,27 +318,45 @@ def train(docs: DataFrame, words: Words) -> Net:
     return unpack(np.concatenate([np.frombuffer(p["net"], dtype=np.float32) for p in sorted(parts, key=lambda p: p["piece"])]), net)
 
 
-def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_probability per row of ``docs``.
+def symbol_scores(docs: DataFrame, net: Net, words: Words) -> DataFrame:
+    """key, doc_id, n_tokens, score of the symbols, and words and times: what of the text is beyond the vocabulary.
 
-    Tokens are white-space separated words, lower-cased; null text counts as empty and has no
-    tokens, log-likelihood 0 and a null mean. Every row is counted, trained on and scored, repeated
-    ones each; other columns are ignored; an empty table gives an empty table."""
-    counts = staged(count_words(docs), "word-counts")
-    words = vocabulary(counts)
-    net = train(docs, words)
+    ``key`` is a number of the row's own; it is to be written before it is used twice."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        key = TaskContext.get().partitionId() << 40
         for b in it:
             n, total = [], []
             for context, target, sizes in _some(b.column(1), words):
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 total += np.bincount(of, weights=log_probabilities(net, words, context, target), minlength=len(sizes)).tolist()
                 n += sizes.tolist()
-            mean = [t / k if k else None for t, k in zip(total, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())],
-                                             names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
+            far = list(_beyond(b.column(1), words))
+            lists = [pa.concat_arrays([f[k] for f in far]) if far else pa.array([], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()))]
+            keys = pa.array(np.arange(b.num_rows) + key)
+            key += b.num_rows
+            yield pa.RecordBatch.from_arrays([keys, b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), *lists], names=["key", "doc_id", "n_tokens", "score", "words", "times"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_probability double")
+    return rows.mapInArrow(batches, f"key long, doc_id {kind}, n_tokens long, score double, words array<string>, times array<int>")
+
+
+def pseudo_likelihood(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, mean_log_probability per row of ``docs``.
+
+    Tokens are white-space separated words, lower-cased; null text counts as empty and has no
+    tokens, log-likelihood 0 and a null mean. Every row is counted, trained on and scored, repeated
+    ones each; other columns are ignored; an empty table gives an empty table. A word beyond the
+    vocabulary has the probability of its symbol times its share of it, which a join brings to the
+    texts that have it."""
+    counts = staged(count_words(docs), "word-counts")
+    words = vocabulary(counts)
+    net = train(docs, words)
+    scored = staged(symbol_scores(docs, net, words), "symbol-scores")
+    far = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("f")).select("key", F.col("f.words").alias("word"), F.col("f.times").alias("times"))
+    more = far.join(shares(counts, words), "word").groupBy("key").agg(F.sum(F.col("times") * F.col("log_share")).alias("more"))
+    both = scored.select("key", "doc_id", "n_tokens", "score").join(more, "key", "left").withColumn("log_likelihood", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return both.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))

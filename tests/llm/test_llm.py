@@ -490,8 +490,8 @@ def probability(net, words, context, symbol):
     up = lambda w: math.exp(sum(h[k] * w[k] for k in range(len(h))))
     c, own = divmod(symbol, words.span)
     first = up(net["v"][:, c]) / sum(up(net["v"][:, k]) for k in range(words.classes))
-    room = min(words.span, len(words.share) - c * words.span)
-    return first * up(net["u"][c, :, own]) / sum(up(net["u"][c, :, k]) for k in range(room)) * words.share[symbol]
+    room = min(words.span, words.size - c * words.span)
+    return first * up(net["u"][c, :, own]) / sum(up(net["u"][c, :, k]) for k in range(room))
 
 
 def test_network_is_that_of_plain_python(spark):
@@ -505,11 +505,10 @@ def test_network_is_that_of_plain_python(spark):
 def test_gradient_of_the_network(spark):
     words, net = small_network(spark)
     context, target, _ = ids_of(words, ["w1 w2 w3 w80 w4", "w5 w88 w6 w7"])
-    share = np.log(words.share)[target]
     moved, seen = {k: v.copy() for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}
     with np.errstate(invalid="ignore", divide="ignore"):
         pseudo_lm.train_on(moved, words, context, target, seen)
-    loss = lambda n: -(pseudo_lm.log_probabilities(n, words, context, target) - share).mean()
+    loss = lambda n: -(pseudo_lm.log_probabilities(n, words, context, target)).mean()
     rng = np.random.default_rng(0)
     for k in net:
         for flat in rng.choice(np.flatnonzero(seen[k]), 5):
@@ -524,13 +523,55 @@ def test_probabilities_sum_to_one(spark):
     words, net = small_network(spark)
     every = [f"w{i}" for i in range(90)]
     symbols = words.of(every)
+    counts = spark.createDataFrame([(f"w{i}", 100 - i) for i in range(90)], "word string, n long")
+    share = {r["word"]: math.exp(r["log_share"]) for r in pseudo_lm.shares(counts, words).collect()}
+    share = np.array([1.0 if w in words.ids else share[w] for w in every])
     assert len(words.ids) < 90 and len(set(symbols.tolist())) < 90
-    for context in ([1, 2, 3, words.edge], [words.edge] * 4, [0, len(words.share) - 1, 5, 7]):
-        p = np.exp(pseudo_lm.log_probabilities({k: v.astype(np.float64) for k, v in net.items()}, words, np.array([context] * 90), symbols))
+    for context in ([1, 2, 3, words.edge], [words.edge] * 4, [0, words.size - 1, 5, 7]):
+        p = np.exp(pseudo_lm.log_probabilities({k: v.astype(np.float64) for k, v in net.items()}, words, np.array([context] * 90), symbols)) * share
         assert abs(p.sum() - 1) < 1e-6
     assert len(pseudo_lm.vocabulary(spark.createDataFrame([(f"w{i}", 1000) for i in range(900)], "word string, n long")).ids) > 2 * len(words.ids)
 
 
+def test_scores_of_documents(spark):
+    """The query's rows are sums over places in plain Python; ids are null and repeated."""
+    rng = random.Random(31)
+    texts = [(1, "one two three four"), (1, "one two"), (None, "Two two TWO  rare"), (None, None), (4, ""), (5, " \n one ")] + [(10 + i, " ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(len(WORDS))], k=60))) for i in range(30)]
+    d = docs(spark, [(i, t, "a") for i, t in texts]).coalesce(1)
+    counts = Counter(w for _, t in texts for w in (t or "").lower().split())
+    words = pseudo_lm.vocabulary(pseudo_lm.count_words(d))
+    net, symbol_n = pseudo_lm.train(d, words), Counter()
+    for w, n in counts.items():
+        symbol_n[int(words.of([w])[0])] += n
+    want = []
+    for i, t in texts:
+        ws = (t or "").lower().split()
+        ids = [words.edge] * 2 + words.of(ws).tolist() + [words.edge] * 2 if ws else []
+        total = sum(math.log(probability(net, words, [ids[k], ids[k + 1], ids[k + 3], ids[k + 4]], ids[k + 2]) * counts[w] / symbol_n[ids[k + 2]]) for k, w in enumerate(ws))
+        want.append((i or 0, len(ws), round(total, 2)))
+    got = [(r["doc_id"] or 0, r["n_tokens"], round(r["log_likelihood"], 2)) for r in pseudo_lm.pseudo_likelihood(d).collect()]
+    assert len(words.ids) < len(counts)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.02 for a, b in zip(sorted(got), sorted(want))) and len(got) == len(want)
+
+
+def test_network_is_better_than_counting_words(spark):
+    """Held-out texts: mean log-probability of a word against that by its count over all texts."""
+    d = table(spark, "/root/testdata/sf0.1", "documents")
+    held, rest = d.filter("doc_id % 10 = 7"), d.filter("doc_id % 10 <> 7").coalesce(1)
+    counts = pseudo_lm.count_words(d).cache()
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    words = pseudo_lm.vocabulary(counts)
+    net = pseudo_lm.train(rest, words)
+    scored = pseudo_lm.symbol_scores(held, net, words).collect()
+    share = {r["word"]: r["log_share"] for r in pseudo_lm.shares(counts, words).collect()}
+    places = sum(r["n_tokens"] for r in scored)
+    network = sum(r["score"] + sum(k * share[w] for w, k in zip(r["words"], r["times"])) for r in scored) / places
+    total = sum(n.values())
+    by_count = sum(math.log(n[w] / total) for r in held.collect() for w in (r["text"] or "").lower().split()) / places
+    print("words by the network", network, "by their counts", by_count, "beyond the vocabulary", sum(k for r in scored for k in r["times"]) / places)
+    assert network > by_count + 0.3
+
+
 def test_pipeline(spark, data):
     import public_tokenizers as P
 
