@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sheaf.functions import text as tx
+from sheaf.operators.automaton import hits as find
 
 
 def unprocessed(articles: DataFrame, feeds: DataFrame, results: DataFrame, as_of: Column, days: int = 2) -> DataFrame:
@@ -60,11 +61,16 @@ def topics_of_users(topics: DataFrame, channels: DataFrame) -> DataFrame:
 def search_topics(topics: DataFrame, keywords: DataFrame, queries: DataFrame) -> DataFrame:
     """query, chat_id, name: active topics of which the name or a keyword contains the query.
 
-    Topics, keywords and queries are small tables next to articles, and a substring has no key to join on."""
+    All queries are looked up together in names and keywords; an empty one is part of every name, a
+    null one of none."""
+    names = topics.filter("active").select("name").distinct()
     words = keywords.filter("kind = 'include'").groupBy("name").agg(F.concat_ws(" | ", F.array_sort(F.collect_list("keyword"))).alias("words"))
-    t = topics.filter("active").join(words, "name", "left")
-    q = F.lower("query")
-    return t.join(queries, F.lower("name").contains(q) | F.lower("words").contains(q)).select("query", "chat_id", "name")
+    texts = names.join(words, "name", "left").select("name", F.lower("name").alias("by_name"), F.lower("words").alias("by_words"))
+    asked = queries.select("query", F.lower("query").alias("term")).distinct()
+    terms = asked.select(F.explode(F.array(F.lit("by_name"), F.lit("by_words"))).alias("surface"), "term")
+    found = find(texts, terms).select(F.col("id").alias("name"), "term").distinct().join(asked, "term").select("query", "name")
+    every = names.filter("name IS NOT NULL").crossJoin(F.broadcast(asked.filter("term = ''").select("query").limit(1)))  # one row
+    return topics.filter("active").join(found.unionByName(every.select("query", "name")), "name").select("query", "chat_id", "name")
 
 
 def owners(topics: DataFrame, channels: DataFrame) -> DataFrame:

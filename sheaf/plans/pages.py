@@ -35,6 +35,14 @@ def s1(s, d):
     return i.select("feed_url", "position", "title", "link", F.md5(F.coalesce("description", "summary")).alias("body_md5"), "published", F.array_join("categories", ",").alias("categories"), "guid")
 
 
+def s1_files(s, d):
+    """The same items from files that hold many documents, which are read in parts."""
+    path = shared_path(s, "feeds")
+    payloads(s, d).select("payload").write.text(path)
+    i = fd.file_items(s, path)
+    return i.select("title", "link", F.md5(F.coalesce("description", "summary")).alias("body_md5"), "published", F.array_join("categories", ",").alias("categories"), "guid")
+
+
 def s2(s, d):
     return fd.metadata(payloads(s, d)).withColumn("categories", F.array_join("categories", ","))
 
@@ -83,7 +91,7 @@ def h8(s, d):
 
 
 QUERIES = {
-    "S1_read_feed_items": s1, "S2_feed_metadata": s2, "S3_pick_content": s3, "S4_parse_dates": s4, "S5_age_cut": s5, "S6_page_articles": lambda s, d: op.page_articles(P(s, d)), "S7_snapshot_sink": s7,
+    "S1_read_feed_items": s1, "S1_read_feed_files": s1_files, "S2_feed_metadata": s2, "S3_pick_content": s3, "S4_parse_dates": s4, "S5_age_cut": s5, "S6_page_articles": lambda s, d: op.page_articles(P(s, d)), "S7_snapshot_sink": s7,
     "H1_html_clean_text": h1, "H2_html_plain_text": h2, "H3_extract_links": lambda s, d: op.links(P(s, d)), "H4_extract_images": h4, "H6_page_metadata": lambda s, d: op.metadata(P(s, d)), "H8_normalize_article": h8,
 }
 
@@ -125,4 +133,5 @@ SQL = {
         nullif(regexp_extract(tag, ' alt="([^"]*)"', 1), '') AS alt, nullif(regexp_extract(tag, ' title="([^"]*)"', 1), '') AS title, nullif(regexp_extract(tag, ' width="([^"]*)"', 1), '') AS width, nullif(regexp_extract(tag, ' height="([^"]*)"', 1), '') AS height
       FROM a WHERE s <> '' AND s NOT LIKE 'data:%'""",
 }
+SQL["S1_read_feed_files"] = f"SELECT title, link, body_md5, published, categories, guid FROM ({SQL['S1_read_feed_items']})"
 SQL = {k: with_views(v) for k, v in SQL.items()}
