@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.operators import automaton, digest, matching, scoring
+from sheaf.operators import automaton, digest, matching, scoring, selection
 from sheaf.operators.matching import MatchConfig
 from sheaf.plans.views import view
 
@@ -72,3 +72,31 @@ def test_messages_keep_items_in_order(spark):
     m = digest.messages(spark.createDataFrame(rows, "chat_id string, topic_name string, rank int, item string"), 150).orderBy("message_no").collect()
     assert len(m) > 1 and all(len(r["message"]) <= 150 for r in m)
     assert [w for r in m for w in r["message"].split() if w.isdigit()] == [str(i) for i in range(1, 8)]
+
+
+def test_stress_topics(spark):
+    """A keyword of thousands of characters, a thousand keywords, and keywords that look like patterns."""
+    a = spark.createDataFrame([("1", "Load test", "This is a test of load with keyword7 and more.", "f")], "id string, title string, content string, source_feed string")
+    keywords = [("long", 0, "very " * 3000 + "long"), *[("many", i, f"keyword{i}") for i in range(1000)], *[("odd", i, k) for i, k in enumerate([".*test.*", "[a-z]+\\d+", "load|test", "$", "("])]]
+    k = spark.createDataFrame([(*x, "include") for x in keywords], "name string, kw_ord int, keyword string, kind string")
+    f = matching.text_features(a)
+    assert [(r["keyword"], r["phrase_count"]) for r in matching.topic_hits(f, k).collect()] == [("keyword7", 1)]
+    got = {r["name"]: r["score"] for r in matching.relevance(f, k).collect()}
+    assert set(got) == {"many"} and 0 < got["many"] < 0.1
+
+
+@pytest.mark.parametrize("relevance, confidence, routing, action", [
+    (0.75, 0.85, "high_confidence", "accept"), (0.25, 0.85, "low_confidence", "reject"), (0.5, 0.9, "uncertain", "model"), (0.85, 0.65, "high_confidence", "accept"), (0.75, 0.65, "uncertain", "model"),
+    (0.15, 0.65, "low_confidence", "reject"), (0.3, 0.25, "definitely_irrelevant", "model"), (0.4, 0.25, "uncertain", "model"), (0.7, 0.8, "high_confidence", "accept"), (0.8, 0.6, "high_confidence", "accept"), (0.9, 0.5, "uncertain", "model"),
+])
+def test_routing_bands(spark, relevance, confidence, routing, action):
+    r = spark.range(1).select(scoring.route(F.lit(relevance), F.lit(confidence)).alias("routing")).select("routing", scoring.action(F.col("routing"), F.lit(relevance)).alias("action")).first()
+    assert tuple(r) == (routing, action)
+
+
+def test_topic_search(spark):
+    topics = spark.createDataFrame([("1", "Rust News", True), ("2", "Rust News", True), ("1", "Go", False), ("1", "Data", True)], "chat_id string, name string, active boolean")
+    keywords = spark.createDataFrame([("Data", "Apache Spark", "include"), ("Data", "rust", "exclude"), ("Go", "golang", "include")], "name string, keyword string, kind string")
+    queries = spark.createDataFrame([("RUST",), ("spark",), ("go",), ("a",), (None,), ("",)], "query string")
+    got = selection.search_topics(topics, keywords, queries)
+    assert rows(got) == sorted([("RUST", "1", "Rust News"), ("RUST", "2", "Rust News"), ("spark", "1", "Data"), ("a", "1", "Data"), ("", "1", "Rust News"), ("", "2", "Rust News"), ("", "1", "Data")])

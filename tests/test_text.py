@@ -15,6 +15,9 @@ def one(spark, value, f):
 @pytest.mark.parametrize("raw, expected", [
     ("[Tech] New Release", "New Release"), ("Great Story | Some Site", "Great Story"), ("Update: It works", "It works"), ("[x]", "[x]"), ("Short - Wired", "Short - Wired"),
     ("A rather long title about something important - TechCrunch", "A rather long title about something important"), ("Été: café", "café"),
+    ("No marks at all", "No marks at all"), ("Brief | Place", "Brief"), ("Running fault-tolerant multi-region queues with Amazon SQS", "Running fault-tolerant multi-region queues with Amazon SQS"),
+    ("Half-open and well-known multi-account patterns for on-call teams and long-lived services", "Half-open and well-known multi-account patterns for on-call teams and long-lived services"),
+    ("A headline that goes on | A site whose name takes more than forty characters", "A headline that goes on"),
 ])
 def test_clean_title(spark, raw, expected):
     assert one(spark, raw, tx.clean_title) == expected
@@ -23,6 +26,8 @@ def test_clean_title(spark, raw, expected):
 @pytest.mark.parametrize("raw, expected", [
     ("https://a.b/c", "https://a.b/c"), ("https://a.b/c?utm_source=x", "https://a.b/c"), ("https://a.b/c?id=1&utm_medium=y&id=2&z=#t", "https://a.b/c?id=1&id=2#t"),
     ("https://a.b/c?b=1&a=2&b=3", "https://a.b/c?b=1&b=3&a=2"), ("https://a.b/c?q=a%20b~*", "https://a.b/c?q=a+b~%2A"),
+    ("https://a.b", "https://a.b"), ("https://a.b/", "https://a.b/"), ("https://a.b/c#part", "https://a.b/c#part"), ("https://a.b/c?utm_medium=m&ref=r", "https://a.b/c"), ("https://a.b/c?keep=1&utm_source=s", "https://a.b/c?keep=1"),
+    ("https://a.b/c?utm_campaign=t#part", "https://a.b/c#part"),
 ])
 def test_normalize_url(spark, raw, expected):
     assert one(spark, raw, tx.normalize_url) == expected
