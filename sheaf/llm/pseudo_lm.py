@@ -130,6 +130,16 @@ def shares(counts: DataFrame, words: Words) -> DataFrame:
     return counts.withColumn("symbol", _symbol(words.hashed)).join(F.broadcast(totals), "symbol").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
+def with_shares(scored: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """key, more: what the shares of its words beyond the vocabulary add to the score of a row.
+
+    Words meet their shares by the 64-bit hash that Spark's xxhash64 gives; of two with the same
+    hash the larger share counts."""
+    by_hash = shares(counts, words).groupBy(F.xxhash64("word").alias("h")).agg(F.max("log_share").alias("log_share"))
+    far = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("f")).select("key", F.col("f.words").alias("h"), F.col("f.times").alias("times"))
+    return far.join(by_hash, "h").groupBy("key").agg(F.sum(F.col("times") * F.col("log_share")).alias("more"))
+
+
 Net = dict[str, np.ndarray]
 
 
@@ -260,24 +270,29 @@ def log_probabilities(net: Net, words: Words, context: np.ndarray, target: np.nd
     return out
 
 
-def _some(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Contexts, symbols and numbers of words of some texts at a time."""
+def _parts(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray]]:
+    """For some texts at a time what ``split`` gives, and the symbols of the distinct words."""
     for part in _slices(texts):
         at, distinct, sizes = split(part)
-        target = words.of(distinct)[at] if len(at) else np.zeros(0, np.int64)
+        yield at, distinct, sizes, words.of(distinct) if distinct else np.zeros(0, np.int64)
+
+
+def _some(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts, symbols and numbers of words of some texts at a time."""
+    for at, _, sizes, symbols in _parts(texts, words):
+        target = symbols[at]
         yield windows(target, sizes, words.edge), target, sizes
 
 
-def _beyond(texts: pa.Array, words: Words) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """For some texts at a time, the words of each beyond the vocabulary and how often it has them."""
-    for part in _slices(texts):
-        at, distinct, sizes = split(part)
-        far = words.of(distinct) >= len(words.ids) if distinct else np.zeros(0, bool)
-        of = np.repeat(np.arange(len(sizes)), sizes)[far[at]] if len(at) else np.zeros(0, np.int64)
-        pair, times = np.unique(of * max(1, len(distinct)) + (at[far[at]] if len(at) else of), return_counts=True)
-        offsets = pa.array(np.searchsorted(pair, np.arange(len(sizes) + 1) * max(1, len(distinct))), pa.int32())
-        names = pa.array(distinct, pa.string()).take(pa.array(pair % max(1, len(distinct))))
-        yield pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
+def _beyond(at: np.ndarray, distinct: list[str], of: np.ndarray, far: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array]:
+    """For each of some texts, hashes of its words beyond the vocabulary (``far``) and how often it has them."""
+    import xxhash
+
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) if f else 0 for w, f in zip(distinct, far)], np.uint64).view(np.int64)
+    there, width = far[at], max(1, len(distinct))
+    pair, times = np.unique(of[there] * width + at[there], return_counts=True)
+    offsets = pa.array(np.searchsorted(pair, np.arange(texts + 1) * width), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(hashes[pair % width], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
 
 
 def train(docs: DataFrame, words: Words) -> Net:
@@ -319,7 +334,7 @@ def train(docs: DataFrame, words: Words) -> Net:
 
 
 def symbol_scores(docs: DataFrame, net: Net, words: Words) -> DataFrame:
-    """key, doc_id, n_tokens, score of the symbols, and words and times: what of the text is beyond the vocabulary.
+    """key, doc_id, n_tokens, score of the symbols, and words (their hashes) and times: what of the text is beyond the vocabulary.
 
     ``key`` is a number of the row's own; it is to be written before it is used twice."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
@@ -329,19 +344,21 @@ def symbol_scores(docs: DataFrame, net: Net, words: Words) -> DataFrame:
 
         key = TaskContext.get().partitionId() << 40
         for b in it:
-            n, total = [], []
-            for context, target, sizes in _some(b.column(1), words):
-                of = np.repeat(np.arange(len(sizes)), sizes)
-                total += np.bincount(of, weights=log_probabilities(net, words, context, target), minlength=len(sizes)).tolist()
+            n, total, lists = [], [], [[pa.array([], pa.list_(pa.int64()))], [pa.array([], pa.list_(pa.int32()))]]
+            for at, distinct, sizes, symbols in _parts(b.column(1), words):
+                target, of = symbols[at], np.repeat(np.arange(len(sizes)), sizes)
+                logs = log_probabilities(net, words, windows(target, sizes, words.edge), target)
+                total += np.bincount(of, weights=logs, minlength=len(sizes)).tolist()
                 n += sizes.tolist()
-            far = list(_beyond(b.column(1), words))
-            lists = [pa.concat_arrays([f[k] for f in far]) if far else pa.array([], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()))]
+                for found, x in zip(lists, _beyond(at, distinct, of, symbols >= len(words.ids), len(sizes))):
+                    found.append(x)
             keys = pa.array(np.arange(b.num_rows) + key)
             key += b.num_rows
-            yield pa.RecordBatch.from_arrays([keys, b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), *lists], names=["key", "doc_id", "n_tokens", "score", "words", "times"])
+            yield pa.RecordBatch.from_arrays(
+                [keys, b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), *map(pa.concat_arrays, lists)], names=["key", "doc_id", "n_tokens", "score", "words", "times"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"key long, doc_id {kind}, n_tokens long, score double, words array<string>, times array<int>")
+    return rows.mapInArrow(batches, f"key long, doc_id {kind}, n_tokens long, score double, words array<long>, times array<int>")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
@@ -356,7 +373,6 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     words = vocabulary(counts)
     net = train(docs, words)
     scored = staged(symbol_scores(docs, net, words), "symbol-scores")
-    far = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("f")).select("key", F.col("f.words").alias("word"), F.col("f.times").alias("times"))
-    more = far.join(shares(counts, words), "word").groupBy("key").agg(F.sum(F.col("times") * F.col("log_share")).alias("more"))
+    more = with_shares(scored, counts, words)
     both = scored.select("key", "doc_id", "n_tokens", "score").join(more, "key", "left").withColumn("log_likelihood", F.col("score") + F.coalesce("more", F.lit(0.0)))
     return both.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))

@@ -562,13 +562,11 @@ def test_network_is_better_than_counting_words(spark):
     n = {r["word"]: r["n"] for r in counts.collect()}
     words = pseudo_lm.vocabulary(counts)
     net = pseudo_lm.train(rest, words)
-    scored = pseudo_lm.symbol_scores(held, net, words).collect()
-    share = {r["word"]: r["log_share"] for r in pseudo_lm.shares(counts, words).collect()}
-    places = sum(r["n_tokens"] for r in scored)
-    network = sum(r["score"] + sum(k * share[w] for w, k in zip(r["words"], r["times"])) for r in scored) / places
+    scored = pseudo_lm.symbol_scores(held, net, words).cache()
+    places, score = scored.agg(F.sum("n_tokens"), F.sum("score")).first()
+    network = (score + pseudo_lm.with_shares(scored, counts, words).agg(F.sum("more")).first()[0]) / places
     total = sum(n.values())
     by_count = sum(math.log(n[w] / total) for r in held.collect() for w in (r["text"] or "").lower().split()) / places
-    print("words by the network", network, "by their counts", by_count, "beyond the vocabulary", sum(k for r in scored for k in r["times"]) / places)
     assert network > by_count + 0.3
 
 
