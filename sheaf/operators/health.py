@@ -107,7 +107,7 @@ def _exits(at: np.ndarray, limit: int) -> np.ndarray:
     return at[to]
 
 
-def alerts(events: DataFrame, limits: dict[str, int], chunk_limits: int = 64) -> DataFrame:
+def alerts(events: DataFrame, limits: dict[str, int], chunk_limits: int = 256) -> DataFrame:
     """seq, severity of the alerts that go out: at most one per severity and limit, in seconds.
 
     Each second of a severity is reduced to its first event. Time is cut into chunks of
