@@ -1,10 +1,11 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page is read as a sequence of words and tags. Words score positive and tags negative, with weights
-from labelled pages (those that mark their article with an element of its own); one linear scan
-finds the contiguous region with the highest sum, whose blocks are the main text. Elements that are
-never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are left out of the sequence.
+A page is read as a sequence of words and tags. Words score by the block they stand in (prose positive,
+blocks that are mostly links as a rule negative) and tags negative, with weights from labelled pages (those
+that mark their article with an element of its own); one linear scan finds the contiguous region with
+the highest sum, whose blocks are the main text. Elements whose name says that they are a menu, footer,
+form and so on are left out of the sequence. A class, id or role that says so is evidence: the words of
+such an element score less, its linked words least, and it is left out if its own sum is negative.
 """
 
 from __future__ import annotations
@@ -14,25 +15,34 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Elements whose content is text of no page, up to their end tag.
-RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
+RAW = frozenset("script style title textarea iframe template xmp noembed noframes".split())
 #: Elements that never hold main text.
 APART = frozenset("head nav header footer aside form button select dialog menu audio video map".split())
 #: Blocks of prose, in which a button is a word of a sentence.
 PROSE = frozenset("p li td th dd dt figcaption blockquote h2 h3 h4 h5 h6".split())
-#: Words of a class, id or role that mark such an element where its name does not.
-MARKS = frozenset((
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar "
-    "breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social comment comments respond reply replies discussion disqus "
-    "related recommended recommendations widget widgets pagination pager search complementary contentinfo dialog"
-).split())
-#: Words that keep a wrapper of the main text although another of its words is a mark.
+#: How much a word of a class or id speaks against an element: 1 may as well be the matter of a text, 3 hardly.
+MARKS = {word: level for level, words in (
+    (1, "dialog menu search social"),
+    (2, "alert aside banner comment discussion header notice notices recommendations recommended related reply respond share sharing widget widgets"),
+    (3, "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comments consent contentinfo cookie cookies disqus footer gdpr login masthead menubar modal "
+        "nav navbar navigation newsletter overlay pager pagination popup promo promotion replies sidebar signup sponsor sponsored sponsors subscribe subscription toolbar topbar"),
+) for word in words.split()}
+#: Roles say what an element is and nothing else.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words of a class or id that speak for an element.
 KEPT = frozenset("content article main post entry story body page text container wrapper layout".split())
+#: Of these, the words of an element that is an article.
+STORY = frozenset("article post entry story".split())
+#: Score of a word, and of a linked word, in an element by the level of its marks; what the marks cost by themselves.
+SCORES, COST = {1: (1.0, -3.0), 2: (-0.5, -3.0), 3: (-2.0, -3.0)}, 4.0
+#: Level of elements that are apart by name.
+NAMED = 9
 #: Tags that end a block of text.
 BLOCKS = frozenset((
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -41,6 +51,11 @@ BLOCKS = frozenset((
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that mark the article on labelled pages.
 ARTICLE = ("article", "main")
+#: What the words of a block are counted as; those of other blocks as words of a box.
+KINDS = {name: kind for kind, names in (("p", "p blockquote figcaption pre"), ("h", "h1 h2 h3 h4 h5 h6"), ("li", "li dd dt"), ("cell", "td th caption")) for name in names.split()}
+#: An element that is still open ends where one of its likes begins, unless an element of the second kind was opened between.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)),
+        "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 
 # A quote counts where a value begins and nowhere else. Nothing is read twice, so a page is read in linear time.
 TOKEN = re.compile(
@@ -52,113 +67,232 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
-#: Weights where no page is labelled.
-DEFAULT_WEIGHTS = {"word": 1.0, "tag": -0.5}
-#: Bounds of learnt weights, and the weight of tags that no labelled page has.
-LIMIT, LEAST, LEAST_WORD, UNSEEN = 8.0, 0.1, 1.0, -0.2
-#: Tags in a row, without a word between them, that count: rows of an empty table do not part a text.
-RUN = 12
+#: Bounds of learnt weights of words and of tags; a tag within a sentence weighs the least.
+WORD_LIMIT, TAG_LIMIT, LEAST = 2.0, 1.0, 0.1
+#: Weights where no page is labelled, and of what labelled pages do not have; leaving an article weighs many words.
+DEFAULT_WEIGHTS = {"word": 1.0, "word/linked": -1.0, "tag": -0.2, "/article": -50.0, "/main": -50.0}
+
+
+@dataclass(slots=True)
+class Box:
+    """An element that may be apart: by name (level NAMED) or by its marks (1 to 3)."""
+
+    level: int
+    parent: int
+    article: bool  # within an article
+    may_hold: bool  # kept if it turns out to hold the article or a main heading
+    holds: bool = False
+    plain: int = 0
+    linked: int = 0
+    cut: bool = False
+
+
+@dataclass(slots=True)
+class Item:
+    """A tag (with a slash if it ends) or a text, and where it stands; ``kind`` is what it is weighed as."""
+
+    tag: str
+    text: str
+    box: int
+    block: str
+    linked: bool
+    article: bool
+    kind: str = ""
 
 
-def marked(attributes: str) -> bool:
-    """Whether class, id or role say that the element is apart from the main text."""
+def marked(attributes: str) -> tuple[int, bool]:
+    """The level at which class, id and role speak against an element (0 to 3), and whether they say that it is an article.
+
+    The last word of a name decides (a post-comments box holds comments), or else the first. Words that
+    speak for the element take one level off."""
+    level, kept, article = 0, 0, False
     for name, value in ATTRIBUTE.findall(attributes):
         for one in entities.unescape(value.strip("\"'")).lower().split():
             words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=\d)", " ", one)) if w]
-            if words and (words[-1] in MARKS or words[0] in MARKS and not KEPT & set(words)):
-                return True
-    return False
-
+            if not words:
+                continue
+            if name.lower() == "role":
+                level, article = max(level, 3 * (one in ROLES)), article or one in ARTICLE
+                continue
+            some = bool(KEPT.intersection(words))
+            found = max(MARKS.get(words[-1], 0), 0 if some else MARKS.get(words[0], 0))
+            if found:
+                level = max(level, found - (some and found < 3))
+            elif words[-1] in KEPT:
+                kept, article = 1, article or words[-1] in STORY
+    return max(0, level - kept), article and level < 3
+
+
+def read(page: str) -> tuple[list[Item], list[Box]]:
+    """All tags and texts of a page, and its boxes; box 0 is the page itself."""
+    items, boxes = [], [Box(0, 0, False, False)]
+    stack: list[tuple[str, int, str, bool, bool]] = [("", 0, "box", False, False)]  # name, box, block, linked, article
+    opened: dict[str, list[int]] = {}  # name -> where it stands in the stack
+    blocks = [0]  # where blocks stand in the stack
+    at, size = 0, len(page)
 
-def set_apart(name: str, articles: int, block: str) -> bool:
-    """Whether an element holds no main text by its name: a header only outside articles, a button only outside prose."""
-    return name in APART and not (name == "header" and articles) and not (name == "button" and block in PROSE)
+    def last(*names: str) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
 
+    def close(to: int) -> None:
+        while len(stack) > to:
+            opened[stack.pop()[0]].pop()
+        while blocks[-1] >= to:
+            blocks.pop()
 
-def read(page: str, whole: bool = False) -> list[tuple[str, str]]:
-    """The sequence of a page: (tag name with a slash if it ends, "") and ("", text), without apart
-    elements unless ``whole``. A form, or one set apart by class, id or role, that is found to hold the
-    article or a main heading is kept after all; so is the header of an article."""
-    out: list[tuple[str, str, int]] = []  # the last: number of the outermost apart element, 0 if none
-    depth, apart, apart_name, number, implied = 0, 0, "", 0, False
-    rescued: set[int] = set()
-    may_hold: set[int] = set()
-    articles, block = 0, ""
-    at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
         if m is None:  # a tag that never ends: the page was cut
             break
         at = m.end()
+        _, box, block, linked, article = stack[-1]
         if m["text"] is not None:
-            out.append(("", m["text"], apart))
+            items.append(Item("", m["text"], box, block, linked, article))
             continue
         if m["name"] is None:
             continue
-        name, ending = m["name"].lower(), bool(m["end"])
-        if name in ARTICLE:
-            articles = max(0, articles + (-1 if ending else 1))
-        if name in BLOCKS:
-            block = "" if ending else name
-        if name in RAW and not ending:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
-            continue
-        if apart and implied and not ending and name in BLOCKS and name != "br":
-            apart = 0  # a block without an end tag ends where the next one begins
-        if apart:
-            if name == apart_name and name not in VOID and not m["attributes"].endswith("/"):
-                depth += -1 if ending else 1
-            if not ending and (name in ARTICLE or name == "h1") and apart in may_hold:
-                rescued.add(apart)
-            out.append((f"/{name}" if ending else name, "", apart))
-            if ending and depth == 0:
-                apart = 0
+        name, attributes = m["name"].lower(), m["attributes"]
+        if m["end"]:
+            items.append(Item(f"/{name}", "", box, block, linked, article))
+            found = last(name)
+            if found > (0 if name in BLOCKS else blocks[-1]):
+                close(found)
             continue
-        if not ending and name not in VOID and name not in (*ARTICLE, "html", "body") and (set_apart(name, articles, block) or marked(m["attributes"])):
-            number += 1
-            apart, apart_name, depth, implied = number, name, 1, name in ("p", "li", "dd", "dt")
-            if name == "form" or name not in APART:
-                may_hold.add(number)
-            out.append((name, "", apart))
+        if name in RAW:
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = end.end() if end else size
             continue
-        out.append((f"/{name}" if ending else name, "", 0))
-    return [(tag, text) for tag, text, a in out if whole or not a or a in rescued]
+        if name in BLOCKS and name != "br" and last("p") > 0:
+            close(last("p"))
+        alike, between = ENDS.get(name, ((), ()))
+        if alike and last(*alike) > last(*between):
+            close(last(*alike))
+        _, box, block, linked, article = stack[-1]
+        level, story = marked(attributes) if attributes and name not in (*ARTICLE, "html", "body") else (0, False)
+        if name in APART and not (name == "header" and article) and not (name == "button" and blocks[-1] and stack[blocks[-1]][0] in PROSE):
+            level = NAMED
+        elif name == "noscript":
+            level = max(level, 2)
+        if name in ARTICLE or name == "h1":
+            up = box
+            while up and not boxes[up].holds:
+                boxes[up].holds, up = True, boxes[up].parent
+        if level and name not in VOID:
+            boxes.append(Box(level, box, article, name == "form" or level < NAMED))
+            box = len(boxes) - 1
+        if name in BLOCKS:
+            block = KINDS.get(name, block if name == "br" else "box")
+        linked, article = linked or name == "a", article or story or name in ARTICLE
+        items.append(Item(name, "", box, block, linked, article))
+        if name not in VOID and not attributes.endswith("/"):
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            opened.setdefault(name, []).append(len(stack))
+            stack.append((name, box, block, linked, article))
+    return items, boxes
+
+
+def weigh(items: list[Item], boxes: list[Box]) -> None:
+    """Which boxes are cut. Those within an article are kept after all where nothing else of it would be left."""
+    words = [0] * len(boxes)  # within articles
+    for item in items:
+        if not item.tag and (n := len(item.text.split())):
+            box = boxes[item.box]
+            if item.linked:
+                box.linked += n
+            else:
+                box.plain += n
+            words[item.box] += n * item.article
+    for box in reversed(boxes[1:]):  # inner ones come later
+        if box.holds and box.may_hold:
+            box.cut = False
+        elif box.level == NAMED:
+            box.cut = True
+        else:
+            plain, linked = SCORES[box.level]
+            box.cut = plain * box.plain + linked * box.linked - COST <= 0
+        if not box.cut:
+            boxes[box.parent].plain += box.plain
+            boxes[box.parent].linked += box.linked
+    named = [False] * len(boxes)
+    for i, box in enumerate(boxes[1:], 1):
+        box.cut = box.cut or boxes[box.parent].cut
+        named[i] = named[box.parent] or box.level == NAMED and not (box.holds and box.may_hold)
+    if not any(n for n, box in zip(words, boxes) if not box.cut):
+        for i, box in enumerate(boxes):
+            if box.article and not named[i]:
+                box.cut = False
 
 
-def article_span(sequence: list[tuple[str, str]]) -> tuple[int, int] | None:
+def kind(tag: str) -> str:
+    """Tags that HTML has keep their names, so the table of weights stays small whatever pages hold."""
+    return tag if tag.lstrip("/") in BLOCKS else "tag"
+
+
+def name_kinds(items: list[Item], boxes: list[Box], whole: bool = False) -> None:
+    """What each item is weighed as: a word of its kind of block, linked if most of its block's words are;
+    a tag by its name. Empty for what is cut (but for words, if ``whole``) and for tags of elements without content."""
+    block: list[Item] = []
+
+    def end() -> None:
+        n = sum(len(i.text.split()) for i in block)
+        mostly = 2 * sum(len(i.text.split()) for i in block if i.linked) > n
+        for i in block:
+            i.kind = f"word/{i.block}{'/linked' if mostly else ''}"
+        block.clear()
+
+    starts: list[Item] = []  # tags since the last word
+    for item in items:
+        cut = boxes[item.box].cut
+        if not item.tag:
+            if item.text.strip() and (whole or not cut):
+                block.append(item)
+                starts.clear()
+            continue
+        if item.tag.lstrip("/") not in BLOCKS:
+            item.kind = "" if cut else "inline"
+            continue
+        end()
+        item.kind = "" if cut else kind(item.tag)
+        if starts and item.tag == f"/{starts[-1].tag}":
+            item.kind = starts.pop().kind = ""
+        elif item.tag[0] == "/":
+            starts.clear()
+        elif item.tag not in VOID:
+            starts.append(item)
+    end()
+
+
+def article_span(items: list[Item]) -> tuple[int, int] | None:
     """Where a labelled page has its article; None for a page that marks none, or several."""
     for name in ARTICLE:
-        starts = [i for i, (tag, _) in enumerate(sequence) if tag == name]
-        ends = [i for i, (tag, _) in enumerate(sequence) if tag == f"/{name}"]
+        starts = [i for i, item in enumerate(items) if item.tag == name]
+        ends = [i for i, item in enumerate(items) if item.tag == f"/{name}"]
         if len(starts) == 1 and len(ends) == 1 and starts[0] < ends[0]:
             return starts[0], ends[0]
     return None
 
 
-def kind(tag: str) -> str:
-    """Tags that HTML has keep their names, so the table of weights stays small whatever pages hold."""
-    name = tag.lstrip("/")
-    return tag if name in BLOCKS or name in VOID or name in ("a", "b", "i", "em", "strong", "span", "u", "small", "sup", "sub", "code") else "tag"
-
-
 def tallies(page: str) -> Counter:
     """(kind, inside the article) -> number, for one labelled page: words of the whole page, but tags
-    only where the scan will meet them, outside apart elements."""
+    only where the scan will meet them, outside of what is cut."""
     found: Counter = Counter()
-    for whole in (True, False):
-        sequence = read(page, whole)
-        span = article_span(sequence)
-        for i, (tag, text) in enumerate(sequence if span else ()):
-            if bool(tag) != whole:
-                found[kind(tag) if tag else "word", span[0] < i < span[1]] += 1 if tag else len(text.split())
+    items, boxes = read(page)
+    span = article_span(items)
+    if span:
+        weigh(items, boxes)
+        name_kinds(items, boxes, whole=True)
+        for i, item in enumerate(items):
+            if item.kind and item.kind != "inline" and i not in span:
+                found[item.kind, span[0] < i < span[1]] += 1 if item.tag else len(item.text.split())
     return found
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
-    """Log-odds of words and tags inside against outside the article, over all labelled pages.
+    """Log-odds of words (by kind of block) and of tags inside against outside the article, over all labelled pages.
 
-    Words score at least LEAST_WORD and tags at most -LEAST. The table has a row per known tag."""
+    Words score within WORD_LIMIT of 0 on either side, tags from -TAG_LIMIT to -LEAST. The table has a
+    row per known tag and kind of block."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -171,43 +305,59 @@ def learn(pages: DataFrame) -> dict[str, float]:
 
     rows = pages.select("html").mapInArrow(batches, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
     n = {(r["kind"], r["inside"]): r["n"] for r in rows}
-    every = {k for k, _ in n}
-    if not every:
-        return dict(DEFAULT_WEIGHTS)
-    inside = sum(v for (_, i), v in n.items() if i) + len(every)
-    outside = sum(v for (_, i), v in n.items() if not i) + len(every)
-    weights = {"tag": UNSEEN}
-    for k in every:
-        odds = math.log((n.get((k, True), 0) + 1) / inside) - math.log((n.get((k, False), 0) + 1) / outside)
-        weights[k] = min(LIMIT, max(LEAST_WORD, odds)) if k == "word" else -min(LIMIT, max(LEAST, -odds))
+    weights = dict(DEFAULT_WEIGHTS)
+    for words in (True, False):
+        every = {k for k, _ in n if k.startswith("word/") == words}
+        inside = sum(v for (k, i), v in n.items() if i and k in every) + len(every)
+        outside = sum(v for (k, i), v in n.items() if not i and k in every) + len(every)
+        for k in every - set(DEFAULT_WEIGHTS):
+            odds = math.log((n.get((k, True), 0) + 1) / inside) - math.log((n.get((k, False), 0) + 1) / outside)
+            weights[k] = min(WORD_LIMIT, max(-WORD_LIMIT, odds)) if words else -min(TAG_LIMIT, max(LEAST, -odds))
     return weights
 
 
-def region(sequence: list[tuple[str, str]], weights: dict[str, float]) -> tuple[int, int]:
-    """First and end position of the maximum-scoring subsequence, by one scan; (0, 0) if none is positive."""
+def weight_of(kind_of: str, weights: dict[str, float]) -> float:
+    """The weight of a word or tag; what labelled pages do not have weighs as if there were none."""
+    if kind_of == "inline":
+        return -LEAST
+    if kind_of in weights:
+        return weights[kind_of]
+    if not kind_of.startswith("word"):
+        return weights.get("tag", DEFAULT_WEIGHTS["tag"])
+    # a sentence may be a link; a list or a box of links is a menu
+    base = "word/linked" if kind_of.endswith("/linked") and kind_of.split("/")[1] in ("li", "cell", "box") else "word"
+    return weights.get(base, DEFAULT_WEIGHTS[base])
+
+
+def region(items: list[Item], weights: dict[str, float]) -> tuple[int, int]:
+    """First and end position of the maximum-scoring subsequence, by one scan; (0, 0) if none is positive.
+
+    It begins and ends with whole blocks: the words of a block weigh the same, and a tag within a
+    sentence weighs less than a word."""
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    word, other, run = weights.get("word", 1.0), weights.get("tag", UNSEEN), 0
-    for i, (tag, text) in enumerate(sequence):
+    for i, item in enumerate(items):
         if total <= 0:
             total, start = 0.0, i
-        if tag:
-            run += 1
-            total += weights.get(kind(tag), other) if run <= RUN else 0.0
-        elif words := len(text.split()):
-            run = 0
-            total += word * words
+        if item.kind:
+            total += weight_of(item.kind, weights) * (1 if item.tag else len(item.text.split()))
         if total > best:
             best, best_span = total, (start, i + 1)
     return best_span
 
 
 def main_text(page: str | None, weights: dict[str, float] = DEFAULT_WEIGHTS) -> str:
-    """The blocks of the best region, white space runs as one space, joined by one space."""
+    """The blocks of the best region, white space runs as one space, joined by one space.
+
+    A page on which the learnt weights find nothing is scanned with the weights for unlabelled pages."""
     if not page:
         return ""
-    sequence = read(page)
-    start, end = region(sequence, weights)
-    parts = [" " if tag.lstrip("/") in BLOCKS else "" if tag else entities.unescape(text) for tag, text in sequence[start:end]]
+    items, boxes = read(page)
+    weigh(items, boxes)
+    name_kinds(items, boxes)
+    start, end = region(items, weights)
+    if start == end:
+        start, end = region(items, DEFAULT_WEIGHTS)
+    parts = [" " if i.tag.lstrip("/") in BLOCKS else "" if i.tag or boxes[i.box].cut else entities.unescape(i.text) for i in items[start:end]]
     return " ".join("".join(parts).split())
 
 

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Row, functions as F, types as T
 
 import brute
 from compare import duck_rows, spark_rows
@@ -356,6 +356,9 @@ def test_extract(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+PROSE = "Some words of an honest paragraph that goes on for a while and says things."
+
+
 @pytest.mark.parametrize("page, expected", [
     ("<p title=it's>good text</p>", "good text"),
     ("<p>kept text here</p> <div class=\"foo", "kept text here"),
@@ -366,6 +369,19 @@ def test_extract(spark):
     ("<p>Press the <button>OK</button> button, then <label>wait</label>.</p><button>Share</button>", "Press the OK button, then wait."),
     ("<form><h1>A title</h1><p>A page in a form.</p></form>", "A title A page in a form."),
     ("<p>One two three four five six seven.</p><table>" + "<tr><td></td></tr>" * 60 + "</table>" + "<p>After the table come words.</p>" * 3, "One two three four five six seven." + " After the table come words." * 3),
+    (f"<div class='entry related'><p>{PROSE}</p></div>", PROSE),
+    (f"<article><section id='full-text-search'><p>{PROSE}</p></section></article>", PROSE),
+    (f"<article><p class=comment>{PROSE}</p></article><div class=comments><p>First!</p></div>", PROSE),
+    (f"<article><p>{PROSE}</p><p class='text-notice'>It matters here as well.</p><div class='social'>{PROSE}</div><div class='dialog'>She said that he had left.</div>"
+     f"<ul class='menu'><li>Soup of the day</li><li>Roast beef</li></ul></article>", f"{PROSE} It matters here as well. {PROSE} She said that he had left. Soup of the day Roast beef"),
+    (f"<article><p>{PROSE}</p><div class='social'>Share: <a>T</a> <a>F</a></div><div class='notice'>{PROSE}</div><ul class='menu'><li><a>Home</a><li><a>News</a></ul><div class='related'><a>{PROSE}</a></div></article>", PROSE),
+    (f"<div class='article'><header><h1>The title</h1></header><p>{PROSE}</p></div><header><h2>Site</h2></header>", f"The title {PROSE}"),
+    (f"<article><noscript><p>{PROSE}</p></noscript></article>", PROSE),
+    ("<table>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(9)) + "</table>", "0 1 2 3 4 5 6 7 8"),
+    ("<ul><li><a>Home</a></li><li><a>News</a></li></ul>", ""),
+    (f"<div><a>Home</a> <a>News</a></div><p>{PROSE} See <a>the report</a>.</p>", f"{PROSE} See the report."),
+    (f"<article><p>{PROSE}</p></article><div><p>Other words of another text.</p></div>", PROSE),
+    ("<p>one<div class=ad>Buy</div>two", "one two"),
 ])
 def test_extract_odd_pages(page, expected):
     assert extract.main_text(page) == expected
@@ -392,6 +408,29 @@ def test_extract_driver_pages(spark, data):
         assert got[r["page_id"]] == " ".join(html.unescape(re.sub(r"</?(p|h1|br)>", " ", re.sub(r"</?b>", "", body))).split())
 
 
+def test_extract_unmarked_pages(spark, data):
+    """Menus, footers and articles without a name of their own: learnt weights find the article, as the scan leaves the rest out."""
+    import html
+    import re
+
+    pages = table(spark, data, "pages")
+    weights, changed = extract.learn(pages), 0
+    for r in pages.collect():
+        body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        plain = re.sub(r"<(/?)(nav|footer|article)>", r"<\1div>", r["html"])
+        expected = " ".join(html.unescape(re.sub(r"</?(p|h1|br)>", " ", re.sub(r"</?b>", "", body))).split())
+        assert extract.main_text(plain, weights) == expected
+        changed += extract.main_text(plain, {"word": 1.0, "word/linked": 1.0, "tag": 0.0}) != expected
+    assert changed == pages.count()
+
+
+def test_extract_repeated_and_nameless_rows(spark):
+    page = f"<article><p>{PROSE}</p></article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, page), (None, "v", None)], "page_id long, url string, html string")
+    assert sorted(map(str, extract.extract(df).collect())) == sorted(map(str, [
+        Row(page_id=1, url="u", text=PROSE, n_chars=len(PROSE))] * 2 + [Row(page_id=None, url=None, text=PROSE, n_chars=len(PROSE)), Row(page_id=None, url="v", text="", n_chars=0)]))
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     d, l = table(spark, folder, "documents"), table(spark, folder, "labels")
