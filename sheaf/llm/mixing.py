@@ -13,6 +13,8 @@ from sheaf.llm.shared import WORD, staged
 
 #: Coprime to any number of blocks below it, so that ``j * STRIDE + offset`` permutes the blocks.
 STRIDE = 2147483647
+#: The least number of shards of a source, and how many rows of the table stand for one shard.
+SHARDS, SHARD_ROWS = 128, 65536
 
 
 def seeded(seed: str, *parts: Column) -> Column:
@@ -61,7 +63,7 @@ def sainte_lague(entities: DataFrame, group: list[str], weight: str, seats: str,
 
 
 def mix(docs: DataFrame, epochs: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), most: float = 2.0,
-        block_words: int = 64, shards: int = 128, seed: str = "mix") -> DataFrame:
+        block_words: int = 64, shards: int | None = None, seed: str = "mix") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
 
     ``size`` counts words (null text: 0); ``taken`` is how many words the mix takes of the document,
@@ -69,10 +71,14 @@ def mix(docs: DataFrame, epochs: float = 1.5, weights: tuple[int, ...] = (3, 1,
     by about a block; the result depends on ids, sizes and the seed alone. A null source is a source
     of its own, the last one; rows that repeat a doc_id are documents of their own. Sources without
     words have target 0. Other columns are ignored; an empty table gives an empty table.
-    ``shards`` bounds the rows sorted together: raise it with the number of documents.
+    A shard's rows are sorted together. If ``shards`` is not given, the rows are counted and there is
+    one for each SHARD_ROWS of them, SHARDS at least, so that shards stay small however many rows one
+    source has.
     """
     sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    sized = staged(sized.withColumn("shard", F.pmod(seeded(seed + "-shard", F.col("doc_id")), F.lit(shards))), "sizes")
+    sized = staged(sized.withColumn("shard", seeded(seed + "-shard", F.col("doc_id"))), "sizes")
+    shards = shards or max(SHARDS, -(-sized.count() // SHARD_ROWS))
+    sized = sized.withColumn("shard", F.pmod("shard", F.lit(shards)))
     same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
 
     per_shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("words"))
@@ -120,7 +126,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix-shard|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 128 AS shard
+         ('0x' || substr(md5('mix-shard|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(128, (count(*) + 65535) // 65536) FROM documents) AS shard
   FROM documents),
 per_shard AS (
   SELECT *, CASE WHEN words > 0 THEN greatest(1, (2 * words + 64) // 128) ELSE 0 END::BIGINT AS blocks
