@@ -10,6 +10,7 @@ components, not the number of links. Pairs are nowhere written, only a tree of e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +21,28 @@ from sheaf.llm.components import components
 from sheaf.llm.shared import shuffle_width, staged
 
 COSINE = 0.95
-#: Sorted orders, neighbours compared on each side, signs in a hash.
+#: The least number of sorted orders, neighbours compared on each side, signs in a hash.
 PASSES, WINDOW, SIGNS = 16, 512, 48
+#: Share of pairs at the threshold that stand near each other in some order, by which orders are added as the table grows.
+RECALL = 0.98
 #: Windows in a block of neighbours; only the rows of the window before it are repeated.
 BLOCK = 8
 #: Vectors of a component in one side of a tile, about.
 TILE = 1024
 
 
+def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
+    """How many orders ``n`` vectors need.
+
+    Two vectors are neighbours of an order if they agree in its first signs, as many as cut the table
+    into pieces of a window. A sign differs with probability angle / pi, so one order finds a pair with
+    probability (1 - angle / pi) ** log2(n / window); orders are independent. 16 up to ten million
+    vectors, 24 for 1e8, 35 for 1e9, 50 for 1e10."""
+    same = 1 - math.acos(cosine) / math.pi
+    found = same ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if found == 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+
+
 def _usable(kind: str):
     """(id, list of numbers) -> (id, bytes of ``kind``, dimension), without vectors that link with nothing."""
 
@@ -169,25 +184,28 @@ def _links_within(copies: DataFrame, near: DataFrame, cosine: float, tile: int,
     return counted.groupBy("rep").agg(F.sum("n").alias("others"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, signs: int = SIGNS, seed: int = 7, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, signs: int = SIGNS, seed: int = 7, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of ``vectors`` (vec_id, embedding).
 
     Pairs with a cosine of at least ``cosine`` are linked, none below it. Those of one component are
-    all counted; a component is what the links that some pass finds connect.
+    all counted; a component is what the links that some pass finds connect. If ``passes`` is not
+    given it follows from the number of distinct vectors (``passes_for``).
     Equal vectors are always linked, whatever their number. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, nor do vectors of different lengths. A row
-    without vec_id has no links and a null component and is not kept; rows that repeat a vec_id
-    must repeat its vector and count as one. Other columns are ignored; an empty table gives an
+    without vec_id has no links and a null component and is not kept. Rows that repeat a vec_id count
+    as one vector, the least by bytes of those that can link. Other columns are ignored; an empty table gives an
     empty table.
     """
     width = shuffle_width(vectors.sparkSession)
     # vectors move as they are stored, and are made doubles where they are compared
     kind = "float32" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "float64"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    usable = rows.mapInArrow(_usable(kind), "vec_id long, vector binary, dim int").dropDuplicates(["vec_id"])
+    usable = rows.mapInArrow(_usable(kind), "vec_id long, vector binary, dim int")
+    usable = usable.groupBy("vec_id").agg(F.min(F.struct("vector", "dim")).alias("v")).select("vec_id", "v.vector", "v.dim")
     usable = staged(usable, "vectors")
     copies = usable.groupBy("vector", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = staged(copies, "distinct-vectors")
+    passes = passes or passes_for(copies.count(), cosine, window)
 
     # equal keys stand in another order in each pass
     order = ["pass", "dim", "key", "tie", "vec_id"]

@@ -106,6 +106,21 @@ def test_mix(spark, odd):
     assert again.columns == odd.columns and again.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_mix_of_null_and_repeated_ids(spark, monkeypatch):
+    """Shards by the number of rows; rows that repeat an id, or have none, are documents of their own."""
+    monkeypatch.setattr(mixing, "SHARDS", 2), monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
+    rows = [(None if i % 7 == 0 else i // 3, "word " * (i % 50), None if i % 5 == 0 else f"s{i % 2}", "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = mixing.mix(df, block_words=4).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((d, s, len(t.split())) for d, t, s, _ in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for s in (None, "s0", "s1"):
+        some = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= 8 + 0.03 * some[0]["target"]
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df, block_words=4, shards=20).collect()))
+    assert sorted(map(str, got)) != sorted(map(str, mixing.mix(df, block_words=4, shards=2).collect()))
+
+
 def test_sainte_lague_takes_the_highest_quotients(spark):
     rng = random.Random(2)
     for trial in range(3):
@@ -232,17 +247,66 @@ def test_vectors(spark):
     assert sorted_passes.near_vectors(df.limit(0)).count() == 0
 
 
-def test_recall_of_sorted_passes(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(400)
-    rng = random.Random(1)
-    near = F.transform("embedding", lambda x: (x * 1.01).cast("float"))
-    both = df.select("vec_id", "embedding").union(df.select(F.col("vec_id") + 10_000, near))
-    rows = both.collect()
-    m = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    degree = ((m @ m.T) >= 0.95).sum(axis=1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in sorted_passes.near_vectors(both, window=32).collect()}
-    assert sum(got.values()) >= 0.9 * degree.sum() > 0 and rng
+def jittered(m, low, high, seed):
+    """A vector for each row of ``m`` with a cosine from ``low`` to ``high`` to it."""
+    rng = np.random.default_rng(seed)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    away = rng.normal(size=m.shape)
+    away -= (away * unit).sum(axis=1, keepdims=True) * unit
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(low, high, (len(m), 1))
+    return (cosine * unit + np.sqrt(1 - cosine**2) * away) * rng.uniform(0.5, 2, (len(m), 1))
+
+
+@pytest.mark.parametrize("window", [8, 32])
+def test_recall_of_isolated_pairs(spark, window):
+    """Pairs just above the threshold, in a table far larger than the window; passes are those that the table asks for."""
+    base = np.random.default_rng(1).normal(size=(3000, 64))
+    m = np.concatenate([base, jittered(base, 0.9501, 0.96, 2)])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    degree = ((unit @ unit.T) >= 0.95).sum(axis=1) - 1
+    assert degree.max() == degree.min() == 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in sorted_passes.near_vectors(df, window=window).collect()}
+    found = sum(n for n, _ in got.values())
+    assert found >= 0.95 * 6000 and all(n <= 1 and c == (i % 3000 if n else i) for i, (n, c) in got.items())
+
+
+def test_passes_grow_with_the_table():
+    passes = [sorted_passes.passes_for(10**k) for k in range(12)]
+    assert passes == sorted(passes) and passes[0] == passes[6] == 16 and 16 < passes[8] < passes[10] < 60
+    for k in range(6, 12):  # by arithmetic, one pair at the threshold
+        one = (1 - math.acos(0.95) / math.pi) ** math.log2(10**k / 512)
+        assert 1 - (1 - one) ** passes[k] >= 0.98
+
+
+def test_sorted_passes_against_sql(spark, tmp_path):
+    """The query's SQL on a table that has links: the driver's vectors with scaled and jittered copies."""
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect() if r["embedding"]]
+    m = np.array([v for _, v in rows])
+    more = np.concatenate([m[:40] * 3, jittered(m[:60], 0.951, 0.97, 5), jittered(m[:60], 0.94, 0.949, 6)])
+    both = df.union(spark.createDataFrame([(100_000 + i, v.tolist()) for i, v in enumerate(more)], "vec_id long, embedding array<double>"))
+    both.write.parquet(str(tmp_path / "embeddings.parquet"))
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        expected = sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({queries.NEAR_VECTORS})").fetchall())
+    assert sum(r[1] for r in expected) >= 200
+    assert sorted(map(tuple, queries.op8_sorted_passes(spark, str(tmp_path)).collect())) == expected
+
+
+def test_vectors_that_share_an_id(spark):
+    """One of several vectors of an id counts, the same on every run; one that can link goes before one that cannot."""
+    a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, a), (1, b), (1, None), (2, a), (3, b), (4, None), (4, a), (None, a)]
+    runs = [spark.createDataFrame(some, "vec_id long, embedding array<double>") for some in (rows, rows[::-1])]
+    got = [sorted(map(str, sorted_passes.near_vectors(df).collect())) for df in runs]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    found = {(r["vec_id"], r["n_links"]) for r in sorted_passes.near_vectors(runs[0]).collect()}
+    least = min((np.array(v).tobytes(), i) for v, i in ((a, "a"), (b, "b")))[1]
+    assert found == ({(1, 2), (2, 2), (3, 0), (4, 2), (None, 0)} if least == "a" else {(1, 1), (2, 1), (3, 1), (4, 1), (None, 0)})
 
 
 def test_links_of_large_groups_of_vectors(spark):
