@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sheaf.operators import automaton, digest, matching, scoring, selection
 from sheaf.operators.matching import MatchConfig
 from sheaf.plans.views import view
+from sheaf.sources.stage import staged
 
 
 def rows(df):
@@ -31,6 +32,13 @@ def test_automaton_finds_what_python_finds(spark, data, n):
     assert not any(x in found._jdf.queryExecution().toString() for x in ("NestedLoop", "Cartesian"))
 
 
+def test_narrow_stages_are_not_taken_for_small(spark):
+    """Spark broadcasts what it takes for less than 10 MB; half a million equal rows are 300 KB in a compressed file."""
+    df = spark.range(500_000).select(F.lit("a channel").alias("chat_id"), F.lit("a topic").alias("name"), F.lit(0.5).alias("score"))
+    size = lambda x: x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size(staged(df, "small")) < 1_000_000 and size(staged(df, "plain", plain=True)) > 10 << 20
+
+
 def test_no_keywords_and_no_texts(spark):
     texts = spark.createDataFrame([("1", "some text")], "id string, clean_text string")
     assert rows(matching.keyword_hits(texts, spark.createDataFrame([], "keyword string"))) == []
