@@ -57,7 +57,7 @@ def t11(s, d):
 
 
 def t12(s, d):
-    return scoring.score_articles(view(s, d, "articles_raw"), view(s, d, "topic_keywords"), topic_feeds(s, d), lambda df: staged(df, "scores"))
+    return scoring.score_articles(view(s, d, "articles_raw"), view(s, d, "topic_keywords"), topic_feeds(s, d), lambda df: staged(df, "scores", plain="clean_text" not in df.columns))
 
 
 def t13(s, d):

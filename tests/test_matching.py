@@ -32,6 +32,21 @@ def test_automaton_finds_what_python_finds(spark, data, n):
     assert not any(x in found._jdf.queryExecution().toString() for x in ("NestedLoop", "Cartesian"))
 
 
+def test_tokens_are_counted_in_place_and_whole(spark):
+    """An article's words are counted without a shuffle; an id on several rows has them added up, as the SQL does."""
+    a = spark.createDataFrame([("1", "The rain", "rain, rain of <b>Spain</b> 𝄞aaa to it"), ("2", "", None), ("3", "x", "the of to")], "id string, title string, content string")
+    one = [("1", "rain", 3, 4), ("1", "spain", 1, 4)]
+    got = matching.token_counts(a.withColumn("content", F.replace("content", F.lit("𝄞aaa"), F.lit(""))))
+    assert rows(got) == one and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    twice = a.union(spark.createDataFrame([("1", "Rain", "sun")], a.schema))
+    assert rows(matching.token_counts(twice)) == [("1", "aaa", 1, 7), ("1", "rain", 4, 7), ("1", "spain", 1, 7), ("1", "sun", 1, 7)]
+    f = matching.text_features(a.withColumn("source_feed", F.lit("f")))
+    assert [r["n_tokens"] for r in f.orderBy("id").collect()] == [len(r["tokens"]) for r in f.orderBy("id").collect()] == [5, 0, 0]
+    k = spark.createDataFrame([("t", 1, "rain of", "include"), ("t", 2, "the rain", "include")], "name string, kw_ord int, keyword string, kind string")
+    got = matching.topic_hits(f, k).filter("id = '1'")
+    assert sorted((r["keyword"], r["phrase_count"], r["word_count"]) for r in got.collect()) == [("rain", 3, 3), ("rain of", 1, 1), ("the rain", 1, 1)]
+
+
 def test_narrow_stages_are_not_taken_for_small(spark):
     """Spark broadcasts what it takes for less than 10 MB; half a million equal rows are 300 KB in a compressed file."""
     df = spark.range(500_000).select(F.lit("a channel").alias("chat_id"), F.lit("a topic").alias("name"), F.lit(0.5).alias("score"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.functions import text as tx
+from sheaf.functions import text as tx, words
 from sheaf.operators import html
 from sheaf.sources import feeds
 
@@ -62,6 +62,13 @@ def test_references_end_by_a_semicolon(spark):
     assert {r["page_id"]: r["title"] for r in html.page_articles(pages).collect()}[1] == "of.&&&amp"
 
 
+def test_patterns_of_words_are_found_as_rlike_finds_them(spark):
+    texts = ["best  practices", "best of practices", "top\t10", "stop 1x", "top ten", "a list \n of", "list of", "code sample", "an opinion", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for p in (*words.HIGH_CONTENT, *words.LOW_CONTENT, words.BAD_URL, r"a.c|b"):
+        assert df.filter(~tx.has_any(F.col("x"), p).eqNullSafe(F.col("x").rlike(p))).count() == 0, p
+
+
 def test_links(spark):
     rows = [(1, "https://a.b/c/d?x=1", '<a href="/e">E <b>e</b></a><a href="javascript:x()">no</a><a href="f.html" title="t">F</a><a href="//g.h/i">G</a><img src="p.png" alt="q"><img src="data:x">')]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
