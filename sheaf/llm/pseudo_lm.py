@@ -75,11 +75,12 @@ class Words:
 
 def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words of some texts, lower-cased, as places in a list of the distinct ones; that list; words of each text."""
-    words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    # at white space that ends an array, utf8_split_whitespace reads one character too many, and may leave it in the word
+    words = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(pc.utf8_lower(texts)))
     sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = words.flatten().dictionary_encode()
     at, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if "" in distinct:  # white space at the ends of a text
+    if "" in distinct:  # white space at the start of a text, or no words
         empty = at == distinct.index("")
         sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
         at = at[~empty]

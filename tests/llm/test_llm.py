@@ -546,6 +546,21 @@ def test_pseudo_likelihood(spark, odd):
     assert pseudo_lm.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("last, words", [("Nine ", ["nine"]), (" eight \u2003 nine \n", ["eight", "nine"]), (" ", []), ("nine", ["nine"]), ("", [])])
+def test_words_of_a_last_text_that_ends_by_white_space(monkeypatch, last, words):
+    """Whatever bytes follow it in memory."""
+    lower = pseudo_lm.pc.utf8_lower
+
+    def followed(texts):
+        low = lower(texts)
+        _, offsets, data = low.buffers()
+        return pa.Array.from_buffers(low.type, len(low), [None, offsets, pa.py_buffer(data.to_pybytes() + b"\x80" * 8)])
+
+    monkeypatch.setattr(pseudo_lm.pc, "utf8_lower", followed)
+    at, distinct, sizes = pseudo_lm.split(pa.array(["one two ", "", last]))
+    assert [pa.array(distinct)[i].as_py() for i in at] == ["one", "two", *words] and sizes.tolist() == [2, 0, len(words)]
+
+
 def ids_of(words, texts):
     """Contexts, symbols and sizes of all texts together."""
     parts = list(pseudo_lm._some(pa.array([t or "" for t in texts]), words))
