@@ -68,20 +68,29 @@ class Words:
     def classes(self) -> int:
         return -(-self.size // self.span)
 
-    def of(self, distinct: list[str]) -> np.ndarray:
-        get, first, hashed = self.ids.get, len(self.ids), self.hashed
-        return np.array([i if (i := get(w, -1)) >= 0 else first + zlib.crc32(w.encode()) % hashed for w in distinct], dtype=np.int64)
+    def of(self, distinct: pa.Array | list[str]) -> np.ndarray:
+        distinct = distinct if isinstance(distinct, pa.Array) else pa.array(distinct, pa.string())
+        found = pc.index_in(distinct, pa.array(list(self.ids), distinct.type))
+        symbols = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        far = symbols < 0
+        symbols[far] = np.fromiter(map(zlib.crc32, _bytes(distinct, far)), np.int64) % self.hashed + len(self.ids)
+        return symbols
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words of some texts, lower-cased, as places in a list of the distinct ones; that list; words of each text."""
+def _bytes(distinct: pa.Array, some: np.ndarray) -> list[bytes]:
+    """Those words for which ``some`` is true, in UTF-8."""
+    return distinct.filter(pa.array(some)).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of some texts, lower-cased, as places in an array of the distinct ones; that array; words of each text."""
     # at white space that ends an array, utf8_split_whitespace reads one character too many, and may leave it in the word
     words = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(pc.utf8_lower(texts)))
     sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = words.flatten().dictionary_encode()
-    at, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if "" in distinct:  # white space at the start of a text, or no words
-        empty = at == distinct.index("")
+    at, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+    if (none := distinct.index("").as_py()) >= 0:  # white space at the start of a text, or no words
+        empty = at == none
         sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
         at = at[~empty]
     return at, distinct, sizes
@@ -99,7 +108,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for texts in _slices(b.column(0)):
                 at, distinct, _ = split(texts)
                 n = np.bincount(at, minlength=len(distinct))
-                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.string()), pa.array(n)], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([distinct, pa.array(n)], names=["word", "n"])
 
     words = docs.select(text_or_empty().alias("text")).mapInArrow(batches, "word string, n long").filter("n > 0")
     return words.groupBy("word").agg(F.sum("n").alias("n"))
@@ -176,36 +185,47 @@ def windows(flat: np.ndarray, sizes: np.ndarray, edge: int) -> np.ndarray:
     return np.stack([padded.take(at + d) for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def _with_one(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+def _hidden(net: Net, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings of the context; the hidden layer with a last column of ones for the bias; and the
+    weights between them, whose last column makes these ones: tanh 20 is 1."""
+    w = np.zeros((len(net["w"]), net["w"].shape[1] + 1), net["w"].dtype)
+    w[:, :-1], w[-1, -1] = net["w"], 20
+    e = net["e"].take(context.ravel(), axis=0).reshape(len(context), -1)
+    h = e @ w[:-1]
+    h += w[-1]
+    return e, np.tanh(h, out=h), w
 
 
-def _hidden(net: Net, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings of the context, and the hidden layer, each with a last column of ones for the bias."""
-    e = _with_one(net["e"].take(context.ravel(), axis=0).reshape(len(context), -1))
-    return e, _with_one(np.tanh(e @ net["w"]))
+def _most(net: Net) -> float:
+    """No place gives a class or a word more than this, nor less than its negative: the hidden layer is from -1 to 1."""
+    return max(float(np.abs(net[k]).sum(axis=-2).max()) for k in ("v", "u"))
 
 
-def _powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _powers(z: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray | float]:
     """exp of each row, over its largest where that could overflow, in place; and what was taken off."""
-    off = np.zeros(len(z), np.float32)
-    if len(z) and np.abs(z).max() > 60:
+    off = 0.0
+    if most > 60 and len(z) and np.abs(z).max() > 60:
         off = z.max(axis=1)
         z -= off[:, None]
     return np.exp(z, out=z), off
 
 
 def _sums(q: np.ndarray) -> np.ndarray:
-    return q @ np.ones(q.shape[1], np.float32)
+    return q @ np.ones(q.shape[1], q.dtype)
+
 
+def _by_symbol(words: Words, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Places in order of their symbols, these symbols, and (class, first, end) of each class among them."""
+    order = np.argsort(target.astype(np.uint16 if words.size < 65536 else np.int64), kind="stable")
+    y = target.take(order)
+    cut = np.searchsorted(y, np.arange(words.classes + 1) * words.span).tolist()
+    return order, y, [(c, a, e) for c, (a, e) in enumerate(zip(cut, cut[1:])) if a < e]
 
-def _by_class(words: Words, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Places in order of their words' classes, and (class, first, end) of each class among them."""
-    group = (target // words.span).astype(np.uint16 if words.classes < 65536 else np.int64)
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    return order, [(int(group[a]), int(a), int(e)) for a, e in zip(cut, np.append(cut[1:], len(group)))]
+
+def _by_rows(net: Net) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of each symbol in its class, a row for each; and, flat, those by which a place gives it together with its class."""
+    u = net["u"].transpose(0, 2, 1).copy()
+    return u, (u + net["v"].T[:, None, :]).reshape(-1, u.shape[2])
 
 
 def _room(words: Words, c: int) -> int:
@@ -213,69 +233,74 @@ def _room(words: Words, c: int) -> int:
     return min(words.span, words.size - c * words.span)
 
 
+def _push(h: np.ndarray, weights: np.ndarray, back: np.ndarray, scale: np.float32, most: float, grown: np.ndarray) -> np.ndarray:
+    """Gradient of the logarithm of a softmax's sum by ``h``, times ``scale``, and in ``grown``, with a
+    row for each column of ``weights``, that by the weights. ``back`` is the transposed weights with
+    ones in the last column: so the sums come with the product, and no share is divided by its sum."""
+    q, _ = _powers(h @ weights, most)
+    g = q @ back
+    over = scale / g[:, -1:]
+    np.matmul(q.T, h * over, out=grown)
+    g *= over
+    return g
+
+
 def train_on(net: Net, words: Words, context: np.ndarray, target: np.ndarray, seen: Net, rate: float = RATE) -> None:
     """Adagrad steps, in place, over the given places once; ``seen`` holds the sums of squared gradients."""
-    grown = {k: np.zeros_like(v) for k, v in net.items()}
+    cells = np.arange(net["e"].size).reshape(net["e"].shape)
+    gv, gu = np.zeros_like(net["v"].T, order="C"), np.zeros_like(net["u"].transpose(0, 2, 1), order="C")
     for first in range(0, len(target), words.batch):
-        y = target[first : first + words.batch]
-        order, groups = _by_class(words, y)
-        x, y = context[first : first + words.batch].take(order, axis=0), y.take(order)
-        scale = np.float32(1 / len(y))
-        e, h = _hidden(net, x)
-        # the share of each class, less one for the class that is right; rows are divided by their sums only where they are small
-        q, _ = _powers(h @ net["v"])
-        over = scale / _sums(q)
-        gh = (q @ net["v"].T) * over[:, None]
-        np.matmul(np.ascontiguousarray((h * over[:, None]).T), q, out=grown["v"])
-        grown["u"][:] = 0
+        order, y, groups = _by_symbol(words, target[first : first + words.batch])
+        x = context[first : first + words.batch].take(order, axis=0)
+        scale, most = np.float32(1 / len(y)), _most(net)
+        e, h, w = _hidden(net, x)
+        back, right = _by_rows(net)
+        back_v = net["v"].T.copy()
+        back[:, :, -1] = back_v[:, -1] = 1
+        gu[:] = 0
+        gh = _push(h, net["v"], back_v, scale, most, gv)
         for c, a, z in groups:
             m = _room(words, c)
-            own, u = h[a:z], net["u"][c, :, :m]
-            q, _ = _powers(own @ u)
-            right = y[a:z] - c * words.span
-            q *= (scale / _sums(q))[:, None]
-            q[np.arange(z - a), right] -= scale
-            gh[a:z] += q @ u.T - scale * net["v"][:, c]
-            grown["v"][:, c] -= scale * own.sum(axis=0)
-            np.matmul(own.T, q, out=grown["u"][c, :, :m])
-        gh = gh[:, :-1] * (1 - h[:, :-1] ** 2)
-        np.matmul(e.T, gh, out=grown["w"])
-        ge = gh @ net["w"][:-1].T
-        flat = (x[:, :, None] * np.int32(WIDTH) + np.arange(WIDTH, dtype=np.int32)).ravel()
-        grown["e"][:] = np.bincount(flat, weights=ge.ravel(), minlength=net["e"].size).reshape(net["e"].shape)
-        for k, g in grown.items():
+            gh[a:z] += _push(h[a:z], net["u"][c, :, :m], back[c, :m], scale, most, gu[c, :m])
+        # less what the class and the word that are right have: places of a symbol stand together
+        at = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+        own = np.zeros_like(right)
+        own[y[at]] = scale * np.add.reduceat(h, at, axis=0)
+        own = own.reshape(gu.shape)
+        gu -= own
+        gv -= own.sum(axis=1)
+        gh -= scale * right.take(y, axis=0)
+        gh *= 1 - h * h  # 0 in the column of ones
+        gw = np.concatenate([e.T @ gh, _sums(gh.T)[None]])[:, :-1]
+        ge = np.bincount(cells.take(x.ravel(), axis=0).ravel(), weights=(gh @ w[:-1].T).ravel(), minlength=cells.size)
+        for k, g in (("e", ge.astype(np.float32).reshape(cells.shape)), ("w", gw), ("v", gv.T), ("u", np.ascontiguousarray(gu.transpose(0, 2, 1)))):
             seen[k] += g * g
             net[k] -= np.float32(rate) * g / np.sqrt(seen[k])
 
 
 def log_probabilities(net: Net, words: Words, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p(symbol | both sides) of each place."""
-    out = np.empty(len(target))
+
+    def log_sums(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        q, off = _powers(h @ weights, most)
+        return np.log(_sums(q)) + off
+
+    out, most, right = np.empty(len(target)), _most(net), _by_rows(net)[1]
     for first in range(0, len(target), BATCH):
-        y = target[first : first + BATCH]
-        order, groups = _by_class(words, y)
-        y = y.take(order)
+        order, y, groups = _by_symbol(words, target[first : first + BATCH])
         h = _hidden(net, context[first : first + BATCH].take(order, axis=0))[1]
-        z = h @ net["v"]
-        p = np.zeros(len(y))
-        for c, a, end in groups:
-            p[a:end] += z[a:end, c]
-        q, off = _powers(z)
-        p -= np.log(_sums(q)) + off
+        p = np.einsum("ij,ij->i", h, right.take(y, axis=0)) - log_sums(h, net["v"]).astype(np.float64)
         for c, a, end in groups:
-            z = h[a:end] @ net["u"][c, :, : _room(words, c)]
-            p[a:end] += z[np.arange(end - a), y[a:end] - c * words.span]
-            q, off = _powers(z)
-            p[a:end] -= np.log(_sums(q)) + off
+            p[a:end] -= log_sums(h[a:end], net["u"][c, :, : _room(words, c)])
         out[first + order] = p
     return out
 
 
-def _parts(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray]]:
+def _parts(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
     """For some texts at a time what ``split`` gives, and the symbols of the distinct words."""
     for part in _slices(texts):
         at, distinct, sizes = split(part)
-        yield at, distinct, sizes, words.of(distinct) if distinct else np.zeros(0, np.int64)
+        yield at, distinct, sizes, words.of(distinct)
 
 
 def _some(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -285,15 +310,16 @@ def _some(texts: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarra
         yield windows(target, sizes, words.edge), target, sizes
 
 
-def _beyond(at: np.ndarray, distinct: list[str], of: np.ndarray, far: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array]:
+def _beyond(at: np.ndarray, distinct: pa.Array, of: np.ndarray, far: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array]:
     """For each of some texts, hashes of its words beyond the vocabulary (``far``) and how often it has them."""
     import xxhash
 
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) if f else 0 for w, f in zip(distinct, far)], np.uint64).view(np.int64)
+    hashes = np.zeros(len(distinct), np.uint64)
+    hashes[far] = np.array([xxhash.xxh64_intdigest(w, 42) for w in _bytes(distinct, far)], np.uint64)
     there, width = far[at], max(1, len(distinct))
     pair, times = np.unique(of[there] * width + at[there], return_counts=True)
     offsets = pa.array(np.searchsorted(pair, np.arange(texts + 1) * width), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(hashes[pair % width], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
+    return pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)[pair % width], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
 
 
 def train(docs: DataFrame, words: Words) -> Net:

@@ -637,6 +637,59 @@ def test_gradient_of_the_network(spark):
             assert abs(abs(up - loss(far)) / 2e-3 - math.sqrt(seen[k][at])) < 2e-3
 
 
+def test_network_of_large_weights_is_that_of_plain_python(spark):
+    """Sums of powers that overflow single precision."""
+    words, net = small_network(spark)
+    net = {k: 30 * v if k in "uv" else v for k, v in net.items()}
+    context, target, _ = ids_of(words, ["w1 w2 w3 w80 w4", "w89", "w5 w88 w6 w7"])
+    assert pseudo_lm._most(net) > 60 and np.abs(pseudo_lm._hidden(net, context)[1] @ net["v"]).max() > 60
+    expected = [math.log(probability(net, words, c, t)) for c, t in zip(context, target)]
+    assert np.allclose(pseudo_lm.log_probabilities(net, words, context, target), expected, rtol=1e-4)
+    large = {k: v.copy() for k, v in net.items()}
+    pseudo_lm.train_on(large, words, context, target, {k: np.full_like(v, pseudo_lm.START) for k, v in net.items()}, 1e-3)
+    assert all(np.isfinite(v).all() for v in large.values())
+    assert pseudo_lm.log_probabilities(large, words, context, target).sum() > sum(expected)
+
+
+def test_steps_of_a_network_with_a_symbol_for_each_class(spark):
+    """The weights of a class with one symbol stay as they are: it is certain."""
+    words = pseudo_lm.vocabulary(spark.createDataFrame([("a", 3)], "word string, n long"))
+    net = pseudo_lm.new_net(words)
+    context, target, _ = ids_of(words, ["a b a", "b a"])
+    moved = {k: v.copy() for k, v in net.items()}
+    pseudo_lm.train_on(moved, words, context, target, {k: np.full_like(v, pseudo_lm.START) for k, v in net.items()})
+    assert words.span == 1 and np.allclose(moved["u"], net["u"], atol=1e-4)
+    assert pseudo_lm.log_probabilities(moved, words, context, target).sum() > pseudo_lm.log_probabilities(net, words, context, target).sum()
+
+
+class Counted(np.ndarray):
+    """An array that counts the numbers that functions read place by place, products of matrices aside."""
+
+    read = 0
+
+    def __array_ufunc__(self, ufunc, method, *given, out=(), **kw):
+        plain = lambda xs: [x.view(np.ndarray) if isinstance(x, Counted) else x for x in xs]
+        got = getattr(ufunc, method)(*plain(given), **(kw | ({"out": tuple(plain(out))} if out else {})))
+        if ufunc is not np.matmul:
+            Counted.read += max(np.size(x) for x in given)
+        return out[0] if out else got.view(Counted) if isinstance(got, np.ndarray) else got
+
+
+def test_network_passes_over_its_powers_once(spark):
+    """Of a place's powers, one for each class and one for each symbol of its class, each is taken, and then only multiplied by matrices."""
+    words = pseudo_lm.Words({f"w{i}": i for i in range(2908)}, np.ones(364, np.int64), pseudo_lm.BATCH)
+    weight = 1 / (np.arange(words.size) + 10)
+    flat = np.random.default_rng(2).choice(words.size, words.batch, p=weight / weight.sum())
+    context, powers = pseudo_lm.windows(flat, np.array([len(flat)]), words.edge), len(flat) * (words.classes + words.span)
+    net = {k: v.view(Counted) for k, v in pseudo_lm.new_net(words).items()}
+    Counted.read = 0
+    pseudo_lm.log_probabilities(net, words, context, flat)
+    assert powers < Counted.read < 1.8 * powers
+    Counted.read = 0
+    pseudo_lm.train_on(net, words, context, flat, {k: np.full_like(v, pseudo_lm.START) for k, v in net.items()})
+    assert powers < Counted.read < 3.5 * powers
+
+
 def test_probabilities_sum_to_one(spark):
     words, net = small_network(spark)
     every = [f"w{i}" for i in range(90)]
