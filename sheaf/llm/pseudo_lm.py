@@ -371,18 +371,16 @@ def symbol_scores(docs: DataFrame, net: Net, words: Words) -> DataFrame:
 
         key = TaskContext.get().partitionId() << 40
         for b in it:
-            n, total, lists = [], [], [[pa.array([], pa.list_(pa.int64()))], [pa.array([], pa.list_(pa.int32()))]]
+            first = 0
             for at, distinct, sizes, symbols in _parts(b.column(1), words):
                 target, of = symbols[at], np.repeat(np.arange(len(sizes)), sizes)
                 logs = log_probabilities(net, words, windows(target, sizes, words.edge), target)
-                total += np.bincount(of, weights=logs, minlength=len(sizes)).tolist()
-                n += sizes.tolist()
-                for found, x in zip(lists, _beyond(at, distinct, of, symbols >= len(words.ids), len(sizes))):
-                    found.append(x)
-            keys = pa.array(np.arange(b.num_rows) + key)
-            key += b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [keys, b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), *map(pa.concat_arrays, lists)], names=["key", "doc_id", "n_tokens", "score", "words", "times"])
+                total = np.bincount(of, weights=logs, minlength=len(sizes))
+                far = _beyond(at, distinct, of, symbols >= len(words.ids), len(sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(sizes)) + key), b.column(0).slice(first, len(sizes)), pa.array(sizes), pa.array(total), *far], names=["key", "doc_id", "n_tokens", "score", "words", "times"])
+                first += len(sizes)
+                key += len(sizes)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(batches, f"key long, doc_id {kind}, n_tokens long, score double, words array<long>, times array<int>")

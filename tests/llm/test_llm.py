@@ -725,6 +725,18 @@ def test_scores_of_documents(spark):
     assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 0.02 for a, b in zip(sorted(got), sorted(want))) and len(got) == len(want)
 
 
+def test_scores_of_more_texts_than_one_slice(spark):
+    """Each row keeps its id and has a key of its own."""
+    rows = 2 * pseudo_lm.TOGETHER + 300
+    d = spark.createDataFrame([(i, " ".join(["a", "b", "c", f"w{i % 90}"][: i % 5])) for i in range(rows)], "doc_id long, text string").coalesce(1)
+    words = pseudo_lm.vocabulary(pseudo_lm.count_words(d))
+    got = pseudo_lm.symbol_scores(d, pseudo_lm.new_net(words), words).collect()
+    assert len({r["key"] for r in got}) == rows and sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, i % 5) for i in range(rows)]
+    assert all((r["score"] < 0) == (r["n_tokens"] > 0) for r in got)
+    far = {r["doc_id"]: sum(r["times"]) for r in got}
+    assert all(far[i] == (i % 5 == 4 and f"w{i % 90}" not in words.ids) for i in range(rows) if {"a", "b", "c"} <= words.ids.keys())
+
+
 def test_network_is_better_than_counting_words(spark):
     """Held-out texts: mean log-probability of a word against that by its count over all texts."""
     d = table(spark, "/root/testdata/sf0.1", "documents")
